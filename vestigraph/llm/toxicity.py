@@ -26,7 +26,9 @@ SAMPLE_ROWS = 12_000
 LEXICON_WORDS, THRESHOLD = 600, 0.3
 TREES, DEPTH = 12, 3
 #: A lexicon entry stands in at least so many toxic rows, and this much more often in toxic rows than in others.
-LEAST_ROWS, LEAST_RATIO = 4, 8.0
+LEAST_ROWS, LEAST_RATIO = 5, 12.0
+#: Calibration needs so many rows that neither lexicon nor trees have seen.
+LEAST_CALIBRATION = 200
 # Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -103,7 +105,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """Learns from labelled rows; the caller leaves out what is held out. The lexicon and the trees come from three quarters of the sample, calibration from all of it: trees without noise in them are near 0 or 1 anyway."""
+    """Learns from labelled rows; the caller leaves out what is held out. The lexicon and the trees come from three quarters of the sample, calibration from the last quarter, or from all of it where that is small."""
     # One label per id: a contradiction counts as toxic.
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     n = known.count()
@@ -121,7 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     if len(counted) < 2 or learn.select("toxic").distinct().count() < 2:
         return Scorer(lexicon, None, None, prior)
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32).fit(learn)
-    raw = trees.transform(rows).select("toxic", _margin().alias("margin"))
+    unseen = rows.where(quarter)
+    sizes = {r["toxic"]: r["n"] for r in unseen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    enough = sum(sizes.values()) >= LEAST_CALIBRATION and len(sizes) == 2
+    raw = trees.transform(unseen if enough else rows).select("toxic", _margin().alias("margin"))
     return Scorer(lexicon, trees, IsotonicRegression(labelCol="toxic", featuresCol="margin").fit(raw), prior)
 
 
