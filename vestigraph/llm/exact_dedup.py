@@ -18,6 +18,8 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A partition leaves the executor once it is committed, so local disk holds the few that are at work.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Files of signatures that one micro-batch takes.
 FILES_PER_BATCH = 4096
