@@ -33,7 +33,8 @@ LEAST_CALIBRATION = 200
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_]+[@$*!#0-9]+[^\W\d_]+|(\w)\1{3,}")
-_PLAIN = str.maketrans("013457@$!", "oleastasi")
+#: A 1 stands for an l or an i.
+_PLAIN = (str.maketrans("013457@$!", "oleastasi"), str.maketrans("013457@$!", "oieastasi"))
 _SPACED = re.compile(r"\b(?:\w ){3,}\w\b")
 _STEMS = (4, 5, 6)
 NAMES = ("words_hit", "stems_hit", "word_density", "stem_density", "hidden_density", "near_you", "you_density", "capitals", "all_caps", "marks", "exclaim", "odd_words", "mean_word", "log_words")
@@ -59,7 +60,8 @@ def dense(text: str, lexicon: Lexicon) -> list[float]:
         places = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = sum(any(hit(x) or x[:5] in lexicon.stems for x in words[max(0, i - 4) : i + 5]) for i in places)
     odd = [m.group() for m in _ODD.finditer(low)]
-    hidden = sum(hit(w.translate(_PLAIN).strip("*#")) for w in odd) + sum(hit(m.group().replace(" ", "")) for m in _SPACED.finditer(low))
+    read = [{w.translate(t).strip("*#") for t in _PLAIN} for w in odd] + [{m.group().replace(" ", "")} for m in _SPACED.finditer(low)]
+    hidden = sum(any(hit(w) or w[:4] in lexicon.stems or w[:5] in lexicon.stems or w[:6] in lexicon.stems for w in ways) for ways in read)
     chars = max(1, len(text))
     letters = max(1, sum(map(len, words)))
     upper = sum(map(str.isupper, text)) if text != low else 0
