@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from vestigraph.llm.common import fresh_path, small_batches, small_or_shuffled, text_of, written
 
 BLOCK_LINES, LEAST_BYTES = 1000, 0
+#: At most so many tasks read archives back.
+READ_TASKS = 20_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DIRECTORY = "first_key string, last_key string, archive string, index string, at long, size long, lines int"
 
@@ -145,7 +147,8 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def read_archives(directory: DataFrame) -> DataFrame:
     """Every record, block by block through the index: page_id, payload_bytes, payload_digest (computed anew for responses), record_type, refers_to."""
-    spread = directory.repartition(F.col("index"), F.col("at"))
+    # A row is a whole block of records, so a number of tasks is named: by its bytes Spark would read all blocks in one.
+    spread = directory.repartition(max(1, min(directory.count(), READ_TASKS)), F.col("index"), F.col("at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,36 +169,44 @@ def read_archives(directory: DataFrame) -> DataFrame:
 
 
 def lookup(directory: DataFrame, urls: DataFrame, column: str = "url") -> DataFrame:
-    """The captures of the wanted URLs: key, page_id, payload. Queries are dealt by key; each task binary-searches the directory's sorted first keys, unpacks the blocks that can hold the key, binary-searches their lines and reads the byte ranges. The directory has one row per block_lines records and is read by each task from the table it was written to, one archive's rows at a time being enough to search."""
+    """The captures of the wanted URLs: key, page_id, record_type, payload.
+
+    A task binary-searches the archives' first keys (one row for each task that wrote, the only part that goes through the driver); the wanted keys then join the block directory of their archives, and each block that can hold a key is unpacked and binary-searched before the byte range is read.
+    """
     spark: SparkSession = directory.sparkSession
-    blocks = sorted((tuple(r) for r in directory.select("first_key", "last_key", "archive", "index", "at", "size").toLocalIterator()))
-    held = spark.sparkContext.broadcast(blocks)
+    archives = sorted(tuple(r) for r in directory.groupBy("archive").agg(F.min("first_key"), F.max("last_key")).select("min(first_key)", "max(last_key)", "archive").collect())
+    held = spark.sparkContext.broadcast(archives)
     wanted = urls.select(reversed_host_key(F.col(column)).alias("key")).distinct()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = held.value
         firsts = [r[0] for r in rows]
         for b in batches:
             out = []
             for key in b.column(0).to_pylist():
-                at = bisect_left(firsts, key)
-                lo = at
+                lo = bisect_left(firsts, key)
                 while lo and rows[lo - 1][1] >= key:
                     lo -= 1
-                for first, last, archive, index, place, size in rows[lo : bisect_right(firsts, key)]:
-                    if last < key:
-                        continue
-                    lines = _block(index, place, size)
-                    names = [x[0] for x in lines]
-                    fs, path = _file(archive)
-                    with fs.open_input_file(path) as f:
-                        for line in lines[bisect_left(names, key) : bisect_right(names, key)]:
-                            headers, payload = parse_record(f.read_at(line[3], line[2]))
-                            out.append((key, line[1], headers["WARC-Type"], payload.decode("utf-8", "surrogatepass")))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "page_id", "record_type", "payload"])
-
-    return wanted.mapInArrow(find, "key string, page_id long, record_type string, payload string")
+                out += [(key, archive) for _, last, archive in rows[lo : bisect_right(firsts, key)] if last >= key]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["key", "archive"])
+
+    placed = wanted.mapInArrow(place, "key string, archive string")
+    blocks = placed.join(directory, "archive").where("first_key <= key and key <= last_key").select("key", "archive", "index", "at", "size")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                lines, key, out = _block(row["index"], row["at"], row["size"]), row["key"], []
+                names = [x[0] for x in lines]
+                fs, path = _file(row["archive"])
+                with fs.open_input_file(path) as f:
+                    for line in lines[bisect_left(names, key) : bisect_right(names, key)]:
+                        headers, payload = parse_record(f.read_at(line[3], line[2]))
+                        out.append((key, line[1], headers["WARC-Type"], payload.decode("utf-8", "surrogatepass")))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "page_id", "record_type", "payload"])
+
+    return blocks.mapInArrow(find, "key string, page_id long, record_type string, payload string")
 
 
 def archive_report(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
