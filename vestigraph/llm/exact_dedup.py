@@ -83,9 +83,9 @@ def _dedup(docs: DataFrame, files_per_batch: int) -> DataFrame:
     groups = written(run_stream(spark, path[0].rpartition("/")[0], log.schema, files_per_batch), "groups")
     repeated = small_or_shuffled(groups.where("group_size > 1"))
     hits = signed.join(repeated, "digest")
-    first = (F.col("at_file") == F.col("stay.at_file")) & (F.col("at_row") == F.col("stay.at_row"))
-    kept_text = hits.where(first).select("digest", F.col("text").alias("kept_text"))
-    other = written(hits.join(kept_text, "digest").where("text != kept_text").select("digest").distinct(), "collisions")
+    # Full bytes are compared as grouping keys. Each task sends a text that it saw many times once, so no copy group meets in one task.
+    texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
+    other = written(texts.where("texts > 1").select("digest"), "collisions")
     if other.isEmpty():
         return _result(log, groups)
     # Different texts under one digest: these few are grouped by their full bytes.
