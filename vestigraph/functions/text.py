@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ _WIDE, _NARROW = "０１２３４５６７８９", "0123456789"
 
 
 def windows(text: Column, n: int) -> Column:
-    """All substrings of n characters; none of a shorter text."""
-    last = F.length(text) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of n characters; none of a shorter text. Characters are split once, as a substring by place would scan the text each time."""
+    chars = F.split(text, "")
+    size = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    part = [F.slice(chars, i + 1, size) for i in range(n)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), part)
 
 
 def tokens(text: Column) -> Column:
