@@ -472,3 +472,27 @@ def test_pii_behind_disguises():
 def test_pii_odd(spark, odd, empty):
     assert pii.find(odd).count() == len(ODD_TEXTS)
     assert pii.find(empty).collect() == []
+
+
+def test_packing_merges_by_ranks_as_the_tokenizer_does():
+    path = packing.tokenizer_path()
+    ranks = packing.ranks_of(path)
+    assert ranks and len(set(ranks.values())) == len(ranks)
+    encoder = packing.WordEncoder(path, ranks)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEST0123456789'.,!?$%&<>|éàüßñÉ-_@#\x00İſΣς漢"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    words += ["it's", "IT'S", "!'s", "'ll've", "<|endoftext|>", "x<|startoftext|>y", "a" * 100, "b" * 101, "é", "ﬁ"]
+    for word in words:
+        assert encoder.segment(word) == np.asarray(encoder.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    text = " ".join(words)
+    assert encoder.segment(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_without_ranks_goes_to_the_tokenizer(tmp_path):
+    import json
+
+    rules = json.load(open(packing.tokenizer_path(), encoding="utf-8"))
+    rules["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    assert packing.ranks_of(str(tmp_path / "other.json")) is None

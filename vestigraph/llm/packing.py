@@ -6,6 +6,7 @@ capacity and not by the corpus. Documents then take planned slots by their rank
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,26 +36,112 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules that `ranks_of` knows: how the tokenizer rewrites text, and where it cuts words into parts.
+_KNOWN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
+#: Words of printable ASCII and Latin-1 letters: NFC leaves them alone, and lower case and letters are the same by any Unicode version.
+_PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,100}")
+_PLAIN_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
+
+
+def _bytes_by_symbol() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+def _is_own_encoding(symbols: list[str], rank: dict[tuple[str, str], int]) -> bool:
+    while len(symbols) > 1:
+        best = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), len(rank)))
+        if (symbols[best], symbols[best + 1]) not in rank:
+            return False
+        symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+    return True
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The tokenizer's vocabulary as ranks by bytes, a space for the end of a word; None unless ranks give the very same ids.
+
+    They do if ids follow the order of merges and each token, encoded alone, is itself. For let the first merge in which
+    ranks and merges differ join x and y to a token T: nothing crossed the ends of T before, so T alone would also have
+    come to x and y, and its last merge is then the one for T.
+    """
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, cuts = rules["model"], rules.get("pre_tokenizer") or {}
+    known = rules.get("normalizer") == _KNOWN_RULES["normalizer"] and (cuts.get("pretokenizers") or [None])[0] == _KNOWN_RULES["split"]
+    bytewise = [c.get("type") for c in cuts.get("pretokenizers", [])[1:]] == ["ByteLevel"] and not cuts["pretokenizers"][1].get("add_prefix_space") and not cuts["pretokenizers"][1].get("use_regex")
+    if not (known and bytewise and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and not model.get("dropout")):
+        return None
+    vocab, end, of = model["vocab"], "</w>", _bytes_by_symbol()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    rank = {m: i for i, m in enumerate(merges)}
+    first = len(vocab) - len(merges)
+    single = {s + e for s in of for e in ("", end)}
+    if len(rank) != len(merges) or first != len(single) or {vocab.get(s, first) for s in single} != set(range(first)):
+        return None
+    if any(vocab[c + end] < 256 for c in of) or any(vocab.get(a + b) != first + i for i, (a, b) in enumerate(merges)):
+        return None
+    ranks: dict[bytes, int] = {}
+    for token, i in vocab.items():
+        whole = token.endswith(end) and token != end
+        body = token.removesuffix(end) if whole else token
+        symbols = list(body)
+        if whole:
+            symbols[-1] += end
+        if not _is_own_encoding(symbols, rank):
+            return None
+        ranks[bytes(of[c] for c in body) + (b" " if whole else b"")] = i
+    return ranks if len(ranks) == len(vocab) else None
+
+
 class WordEncoder:
-    """Little-endian unsigned 32-bit ids of a text. The tokenizer drops white space and no token crosses it, so words are encoded once and remembered (a bounded number of them)."""
+    """Little-endian unsigned 32-bit ids of a text. The tokenizer drops white space and no token crosses it, so words are encoded once and remembered (a bounded number of them).
+
+    With ranks (see `ranks_of`), plain words are merged by ranks, many in one call; all others go to the tokenizer itself.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.merger = Tokenizer.from_file(path), {}, None
+        if ranks:
+            import tiktoken
+
+            self.merger, self.line_end = tiktoken.Encoding("words", pat_str=r"[^ \n]+ |\n", mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        parts = _PLAIN_PART.sub(r"\g<0> ", "\n".join(words).lower())
+        ids = np.asarray(self.merger.encode_ordinary(parts), dtype="<u4")
+        ends = np.flatnonzero(ids == self.line_end)
+        data, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+        return [data[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(data)], strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        if self.merger:
+            plain = [w for w in new if _PLAIN_WORD.fullmatch(w) and "<|" not in w]
+            if plain:
+                self.known.update(zip(plain, self._merged(plain), strict=True))
+            if len(plain) == len(new):
+                return
+            new = [w for w in new if w not in self.known]
+        self.known.update(zip(new, (self._bytes(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+
     def segment(self, text: str) -> bytes:
         words = text.split()
         known = self.known
-        if new := list({w for w in words if w not in known}):
+        if new := [w for w in set(words) if w not in known]:
             if len(known) + len(new) > _CACHE_WORDS:
                 known.clear()
                 new = list(set(words))
-            known.update(zip(new, (self._bytes(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -74,10 +161,12 @@ class WordEncoder:
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ids of the whole text and end_id; only what is longer than capacity is cut. A null text is empty."""
     path = path or tokenizer_path()
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    ranks = spark.sparkContext.broadcast(ranks_of(path))  # as large as the vocabulary
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size, end = WordEncoder(path), 4 * capacity, np.array([end_id], "<u4").tobytes()
+        encoder, size, end = WordEncoder(path, ranks.value), 4 * capacity, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
