@@ -80,3 +80,11 @@ def percentiles(values: DataFrame, group: str, value: str) -> DataFrame:
 
 def drift(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), "absent").when(a.isNull(), "added").when(b.isNull(), "removed").when(a == b, "same").otherwise("changed")
+
+
+def dashboard(rows: DataFrame) -> DataFrame:
+    """One row over daily rows (tokens, docs, incremental, full): all tokens, distinct documents, tokens a document, and the cost ratio; ratios without a denominator are 0."""
+    sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "incremental", "full")))
+    docs = rows.select(F.explode("docs").alias("d")).distinct().agg(F.count("*").alias("n_docs"))
+    per = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+    return sums.join(F.broadcast(docs)).select("tokens", "n_docs", per("tokens", "n_docs").alias("per_doc"), per("incremental", "full").alias("cost_ratio"))

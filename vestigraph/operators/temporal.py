@@ -48,3 +48,32 @@ def sealed(edges: DataFrame, expiries: DataFrame) -> DataFrame:
 
 def coverage(edges: DataFrame, kind: str) -> DataFrame:
     return edges.groupBy(kind).agg(F.count("*").alias("n"), F.count("valid_from").alias("with_from"), F.count("valid_to").alias("with_to"))
+
+
+def single_window(edges: DataFrame, key: str) -> DataFrame:
+    """key, found (none, one or many) and window (valid_from, valid_to): the one window that a key's edges name, else null. Edges with neither date name none."""
+    named = F.when(F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull(), F.struct("valid_from", "valid_to"))
+    ends = edges.groupBy(key).agg(F.min(named).alias("a"), F.max(named).alias("b"))
+    one = F.col("a").eqNullSafe(F.col("b"))
+    return ends.select(key, F.when(F.col("a").isNull(), "none").when(one, "one").otherwise("many").alias("found"), F.when(one, F.col("a")).alias("window"))
+
+
+def inherited_window(keys: DataFrame, own: DataFrame, registered: DataFrame, key: str) -> DataFrame:
+    """keys with the window of their own edges, else the one that documents agree on, else none; adds window and found."""
+    rows = keys.join(own, key, "left").join(registered.select(key, F.col("window").alias("__doc")), key, "left")
+    return rows.withColumn("window", F.coalesce("window", "__doc")).withColumn("found", F.coalesce("found", F.lit("none"))).drop("__doc")
+
+
+def earliest_fact(facts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Facts found in several documents as one: the earliest start with its source, and the first known end.
+
+    facts: keys, order (total within keys), source, valid_from, valid_to. Where the first fact has no start, it stays without.
+    """
+    known = lambda c: F.col(c).isNotNull()
+    found = facts.groupBy(*keys).agg(
+        F.min(F.struct(*order, "valid_from", "source")).alias("first"),
+        F.min(F.when(known("valid_from"), F.struct("valid_from", *order, "source"))).alias("early"),
+        F.min(F.when(known("valid_to"), F.struct(*order, "valid_to"))).alias("ended"),
+    )
+    of = lambda c: F.when(F.col("first.valid_from").isNull(), F.col(f"first.{c}")).otherwise(F.col(f"early.{c}")).alias(c)
+    return found.select(*keys, of("valid_from"), F.col("ended.valid_to").alias("valid_to"), of("source"))

@@ -74,3 +74,11 @@ def affected(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def inner_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ids."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
+
+
+def activated(versions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """versions (org, version, status) after chosen (org, version) of each tenant becomes active: what was active there is superseded. Only ready versions can be chosen; other tenants stay."""
+    ready = versions.where("status = 'ready'").select("org", F.col("version").alias("__new")).join(chosen.select("org", F.col("version").alias("__new")).distinct(), ["org", "__new"], "left_semi")
+    rows = versions.join(ready, "org", "left")
+    status = F.when(F.col("version") == F.col("__new"), "active").when(F.col("__new").isNotNull() & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
+    return rows.select("org", "version", status.alias("status"))
