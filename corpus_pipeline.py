@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vestigraph.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from vestigraph.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from vestigraph.llm.common import fresh_path
 
 
@@ -19,7 +19,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_dedup.one_of_each(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
