@@ -469,6 +469,39 @@ def test_pii_behind_disguises():
     assert pii.disguised_spans("We met at noon (at home) and left. Point. One, two, three.") == []
 
 
+@pytest.mark.parametrize(
+    "text, kind, inner",
+    [
+        ("call +four-nine-one-seven-six-five-five-five-one-two today", "phone", "+four-nine-one-seven-six-five-five-five-one-two"),
+        ("call +four, nine, one, seven, six, five, five, one, two, three today", "phone", "+four, nine, one, seven, six, five, five, one, two, three"),
+        ("+five five five five five five five five", "phone", "+five five five five five five five five"),
+        ("+un uno six null oh dos six six six", "phone", "+un uno six null oh dos six six six"),
+        ("+one 555 123 4567", "phone", "+one 555 123 4567"),
+        ("mail anna@example dot org now", "email", "anna@example dot org"),
+        ("mail anna@example\ndot\norg now", "email", "anna@example\ndot\norg"),
+        ("mail jo at one two three four dot org", "email", "jo at one two three four dot org"),
+    ],
+)
+def test_pii_no_gate_is_narrower_than_its_transducer(text, kind, inner):
+    more = pii.disguised_spans(text)
+    assert [(k, text[a:b]) for k, a, b in more] == [(kind, inner)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_gates_lose_nothing(seed):
+    """With and without gates the same spans are found."""
+    rng = random.Random(seed)
+    parts = ["@", "+", " ", "\n", ", ", "-", "(", "[", ")", "]", "a", "jo@ex", "at", "At", "dot", "DOT", "punkt", "po\u0130nt", "punto", "one", "Six", "\u017fix", "un", "five", "555", "12", ".", "org", "\u0430", "\uff11", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randint(1, 16)))
+        tape = pii.Tape(text)
+        pii._homoglyphs(tape)
+        pii._spelled(tape)
+        pii._at_dot(tape)
+        want = [(k, tape.start[a], tape.end[b - 1]) for k, a, b in pii.base_spans(tape.text) if any(tape.changed[a:b]) and not (k == "email" and not tape.text[a:b].rpartition(".")[2].isalpha())]
+        assert pii.disguised_spans(text) == want, text
+
+
 def test_pii_odd(spark, odd, empty):
     assert pii.find(odd).count() == len(ODD_TEXTS)
     assert pii.find(empty).collect() == []
