@@ -1,17 +1,29 @@
 """Small cases that the tables don't hold: malformed layouts, citations of what isn't there, nulls and empty inputs."""
 
+import datetime
 import json
+import math
+import random
+from difflib import SequenceMatcher
 
-from vestigraph.operators import citations, evaluation, layout, temporal, versions
+import pytest
+from pyspark.sql import functions as F
 
+from vestigraph.functions import scope, text
+from vestigraph.operators import citations, documents, evaluation, evidence, layout, rules, temporal, versions
+from vestigraph.plans import relations
 
-def test_layout_blocks_in_both_forms():
+
+def test_layout_blocks_in_both_forms(spark):
     leaf = lambda t: {"type": "text", "content": t}
-    nested = [[{"type": "title", "content": {"title_content": [leaf("One "), leaf("two")]}}], "junk", [{"content": {"html": "<table>"}}, {"content": [leaf("three")]}]]
-    assert list(layout.blocks(json.dumps(nested))) == [("One two", 1), ("", 3), ("three", 3)]
-    flat = [{"text": " a ", "page_idx": 0}, {"text": "b"}, {"text": "c", "page_idx": True}, {"text": "d", "page_idx": "2"}, {"text": None, "page_idx": -1}, 7]
-    assert list(layout.blocks(json.dumps(flat))) == [("a", 1), ("b", None), ("c", None), ("d", 3), ("", None)]
-    assert list(layout.blocks(None)) == list(layout.blocks("{not json")) == list(layout.blocks('{"a": 1}')) == []
+    nested = [[{"type": "title", "content": {"title_content": [leaf("One "), leaf("two")]}}], "junk", [{"content": {"html": "<table>"}}, {"content": [leaf("three"), {"content": "not it", "type": "image"}]}]]
+    flat = [{"text": " a ", "page_idx": 0}, {"text": "b"}, {"text": "c", "page_idx": True}, {"text": "d", "page_idx": "2"}, {"text": None, "page_idx": -1}, {"text": "e", "page_idx": 1.5}, 7]
+    cases = [json.dumps(nested), json.dumps(flat), None, "{not json", '{"a": 1}', "[]", "[[]]"]
+    rows = layout.with_blocks(spark.createDataFrame(list(enumerate(cases)), "n int, layout string")).orderBy("n").collect()
+    got = [[tuple(b) for b in r.blocks] for r in rows]
+    assert got[0] == [("One two", 1), ("", 3), ("three", 3)]
+    assert got[1] == [("a", 1), ("b", None), ("c", None), ("d", 3), ("", None), ("e", None)]
+    assert got[2:] == [[]] * 5
 
 
 def test_page_spans(spark):
@@ -63,5 +75,163 @@ def test_activation_and_dashboard(spark):
     after = lambda v: sorted(tuple(r) for r in versions.activated(rows, spark.createDataFrame([("o", v)], "org string, version string")).collect())
     assert after("2") == [("o", "1", "superseded"), ("o", "2", "active"), ("o", "3", "building"), ("p", "1", "active")]
     assert after("3") == sorted(tuple(r) for r in rows.collect())
-    empty = spark.createDataFrame([], "tokens long, docs array<long>, incremental long, full long")
-    assert tuple(evaluation.dashboard(empty).first()) == (0, 0, 0.0, 0.0)
+    empty = spark.createDataFrame([], "tokens long, incremental long, full long")
+    assert tuple(evaluation.dashboard(empty, spark.createDataFrame([], "doc long")).first()) == (0, 0, 0.0, 0.0)
+
+
+def test_arbitration_against_all_pairs(spark):
+    rng = random.Random(4)
+    for relation_days in (3, 12):
+        rows = [(i, rng.randrange(3), rng.choice("ab"), rng.choice("xyz"), rng.choice([None, *range(relation_days)]), rng.choice([None, "s", "t", "u"]), rng.choice([None, None, 9])) for i in range(400)]
+        policies = [("a", "single_current"), ("*", "append")]
+        want = {}
+        for i, h, r, t, d, s, end in rows:
+            later = [d2 for _, h2, r2, t2, d2, s2, _ in rows if (h2, r2) == (h, r) and t2 != t and None not in (d, d2) and d2 > d and not (s is not None and s == s2)]
+            if r == "a" and end is None and later:
+                want[i] = min(later)
+        facts = spark.createDataFrame(rows, "fact_id int, head int, relation string, tail string, valid_from int, source string, valid_to int")
+        got = temporal.superseded(facts, spark.createDataFrame(policies, "relation string, policy string"))
+        assert {r.fact_id: r.expires_at for r in got.collect()} == want
+
+
+def test_nearest_keeps_few():
+    rng = random.Random(1)
+    for _ in range(300):
+        entries = [(d, rng.randrange(4), rng.randrange(4)) for d in range(30)]
+        kept = temporal.nearest(entries)
+        assert len(kept) <= 4
+        for t in range(4):
+            for s in range(4):
+                first = lambda es, t=t, s=s: next((d for d, x, y in es if x != t and y != s), None)
+                assert first(kept) == first(entries)
+
+
+def test_same_anchor(spark):
+    rows = [(1, "h", "r", "x", "d", 1, 1), (2, "h", "r", "y", "d", 5, 2), (3, "h", "r", "x", "d", 5, 3), (4, "g", "r", "x", "d", 1, 1), (5, "g", "r", "y", "d", None, 2), (6, "k", "r", "x", None, 1, 1), (7, "k", "r", "y", None, 2, 2), (8, "l", "other", "x", "d", 1, 1), (9, "l", "other", "y", "d", 2, 2), (10, "m", "r", "x", "d", 1, 1)]
+    facts = spark.createDataFrame(rows, "fact_id int, head string, relation string, tail string, valid_from string, tail_position int, ordinal int")
+    got = temporal.same_anchor(facts, spark.createDataFrame([("r", "single_current")], "relation string, policy string"))
+    assert [tuple(r) for r in got.collect()] == [(2, "d")]  # of equal positions the later ordinal stays, and with it all of its tail
+
+
+def test_streak_counts_repeats_as_breaks(spark):
+    def brute(days):
+        best = (1, days[0], days[0])
+        run, start = 1, days[0]
+        for a, b in zip(days, days[1:]):
+            run, start = (run + 1, start) if b - a == 1 else (1, b)
+            best = max(best, (run, start, b), key=lambda x: x[0])
+        return best
+
+    rng = random.Random(2)
+    data = {w: sorted(rng.choices(range(14), k=rng.randint(1, 16))) for w in range(60)}
+    rows = [(w, datetime.date(2024, 1, 1) + datetime.timedelta(d)) for w, ds in data.items() for d in ds]
+    got = rules.longest_streak(spark.createDataFrame(rows, "who int, day date"), "who", "day", 1)
+    first = datetime.date(2024, 1, 1)
+    assert {r.who: (r.days, (r.first_day - first).days, (r.last_day - first).days) for r in got.collect()} == {w: brute(ds) for w, ds in data.items()}
+
+
+def test_plain_and_column_forms_agree(spark):
+    texts = ["SO-2026.09/x_1 and ab 中文分词 一 二三 d.e.", "", "Ünïcode ß İ 汉", "A1b2" * 50, "...--"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", text.tokens(F.col("t")).alias("w"), F.size(text.bigrams(F.col("t"))).alias("g")).orderBy("n").collect()
+    assert [r.w for r in rows] == [text.token_list(t) for t in texts]
+    assert [r.g for r in rows if r.n != 2] == [len(text.bigram_codes(t)) for i, t in enumerate(texts) if i != 2]
+
+
+def test_hash_embedding(spark):
+    rows = spark.createDataFrame([("ab",), ("",), ("xyxy",), (None,)], "t string").select(text.hash_embedding(F.col("t"), 16).alias("v")).collect()
+    assert all(len(r.v) == 16 and abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in rows)
+    assert sum(x != 0 for x in rows[0].v) == 1
+
+
+def test_fail_closed():
+    for bad in ("2024-1-1", "20240101", "x"):
+        with pytest.raises(ValueError):
+            scope.as_of_day(bad)
+    with pytest.raises(ValueError):
+        scope.strict_tenant(F.lit("a"), None)
+
+
+def test_missing_things_raise(spark):
+    chunks = spark.createDataFrame([("c1", "t")], "chunk_id string, text string")
+    assert evidence.chunk(chunks, "c1").count() == 1
+    with pytest.raises(LookupError):
+        evidence.chunk(chunks, "c2")
+    answers = spark.createDataFrame([(1, "a"), (9, "b")], "index int, answer string")
+    with pytest.raises(Exception, match="no question for answer 9"):
+        evaluation.sheets(answers, spark.createDataFrame([(1, "q")], "index int, question string")).collect()
+    with pytest.raises(Exception, match="no dated fact"):
+        rules.observation_day(spark.createDataFrame([], "date date")).collect()
+    with pytest.raises(KeyError):
+        text.masked(F.lit("x"), "unknown", "s")
+
+
+def test_evidence_quota_against_a_loop(spark):
+    """Floors by document in order, cut or filled up as the selection is defined, with chunks that two documents hold."""
+
+    def brute(rows, limit):
+        key = lambda r: (-r[2], -r[3], r[5], r[0])
+        docs = sorted({r[1] for r in rows if r[1]})
+        floor = max(limit // len(docs), 1) if docs else limit
+        sure = sorted((r for d in docs for r in sorted((x for x in rows if x[1] == d), key=key)[:floor]), key=key)
+        if len(sure) >= limit:
+            return [r[0] for r in sure[:limit]]
+        rest = sorted((r for r in rows if r[0] not in {s[0] for s in sure}), key=lambda r: (-r[2], r[4] <= 0, -r[3], r[5], r[0]))
+        return [r[0] for r in (sure + rest)[:limit]]
+
+    rng = random.Random(5)
+    for limit in (1, 3, 8, 40):
+        rows = sorted({(f"c{c:02d}", rng.choice([None, "d1", "d2", "d3", "d4"])) for c in [rng.randrange(30) for _ in range(45)]}, key=str)
+        facts = {c: (rng.choice([0.0, 0.5, 1.0]), rng.randrange(3), rng.randrange(2), rng.randrange(4)) for c, _ in rows}
+        full = [(c, d, *facts[c]) for c, d in rows]
+        df = spark.createDataFrame([(1, *r) for r in full], "question_id int, chunk_id string, doc_id string, score double, mentions int, spans int, char_start int")
+        got = [r.chunk_id for r in evidence.selected(df, limit).orderBy("rank").collect()]
+        assert got == brute(full, limit)
+
+
+def test_chunks_against_a_scan(spark, tiny):
+    def cut(text, most):
+        out, at = [], 0
+        while True:
+            end = min(at + most, len(text))
+            if end < len(text):
+                fits = [i for i in range(at, end) if text[i] == "。" or i + 1 < end and text[i : i + 2] in ("\n\n", ". ")]
+                if fits and fits[-1] > at + most // 2:
+                    end = fits[-1] + 1
+            out.append((len(out), at, text[at:end]))
+            at = end
+            if at >= len(text):
+                return out
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()} | {-1: None, -2: "", -3: "。" * 95, -4: "a. " * 60, -5: "\n" * 99, -6: "x" * 41}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for most in (40, 800):
+        got = {}
+        for r in documents.chunked(docs, most).orderBy("doc_id", "chunk_no").collect():
+            got.setdefault(r.doc_id, []).append((r.chunk_no, r.char_start, r.chunk))
+        assert got == {i: cut(t or "", most) for i, t in texts.items()}
+
+
+def test_bounds_close_the_tail(spark):
+    cases = [(0, 10), (10, 10), (3, 10), (1, 1), (0, 0), (57, 200)]
+    tail = lambda p, ks, n: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in ks)
+    for r in spark.createDataFrame(cases, "k int, n int").select("k", "n", evaluation.exact_bounds(F.col("k"), F.col("n")).alias("b")).collect():
+        k, n, (lo, hi) = r.k, r.n, r.b
+        if n == 0:
+            assert lo is None and hi is None
+            continue
+        assert lo == 0 if k == 0 else abs(tail(lo, range(k, n + 1), n) - 0.05) < 1e-9
+        assert hi == 1 if k == n else abs(tail(hi, range(k + 1), n) - 0.05) < 1e-9
+
+
+def test_resolution_with_ratio_against_all_pairs(spark, tiny):
+    names = sorted({f"{r.p_name} {r.p_type.lower()}" for r in spark.read.parquet(f"{tiny}/part.parquet").collect()})
+    grams = {n: {n[i : i + 2] for i in range(len(n) - 1)} for n in names}
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if a[:2] == b[:2]:
+                near = round(max(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), SequenceMatcher(None, a, b).ratio()), 6)
+                if near >= 0.7:
+                    want[a, b] = near
+    got = {(r.left_name, r.right_name): r.similarity for r in relations.entity_resolution_with_ratio(spark, tiny).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)

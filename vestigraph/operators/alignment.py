@@ -77,3 +77,17 @@ def one_auto_only(found: DataFrame, raw: str) -> DataFrame:
     """A raw row with several automatic hits has all its candidates sent to review."""
     counts = found.groupBy(raw).agg(F.count_if(F.col("tier") == "auto_merged").alias("autos"))
     return found.join(counts, raw).withColumn("tier", F.when(F.col("autos") > 1, "human_review").otherwise(F.col("tier"))).drop("autos")
+
+
+def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_ratio: bool = True) -> DataFrame:
+    """(raw_id, canonical_id, similarity, tier): unaligned rows against subjects whose names share a prefix.
+
+    Both sides: id, name, tax_id, address, phone, legal_rep. Rows that share a tax id are no candidates, they align;
+    a raw row with several automatic hits has them all sent to review.
+    """
+    side = lambda df, s: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "tax_id", "address", "phone", "legal_rep")))
+    met = side(raw, "raw").join(side(canonical, "canonical"), "block").where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
+    shared = sum((F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)).cast("int") for c in ("address", "phone", "legal_rep")), F.lit(0))
+    conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != "") & (F.col("raw_tax_id") != F.col("canonical_tax_id")), F.lit(False))
+    found = met.withColumn("similarity", scored(name_similarity(F.col("raw_name"), F.col("canonical_name"), with_ratio), shared, conflict))
+    return one_auto_only(found.select("raw_id", "canonical_id", "similarity", tier(F.col("similarity")).alias("tier")).where("tier is not null"), "raw_id")

@@ -59,13 +59,96 @@ def exact_bounds(k: Column, n: Column, alpha: float = 0.05) -> Column:
     return bounds(k, n)
 
 
-def gate(results: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """results (criterion, value, gold_count, detected_count) against baseline (criterion, base): a verdict for each. Nothing unmeasured and nothing without a baseline passes."""
-    joined = results.join(F.broadcast(baseline), "criterion", "left")
-    verdict = F.when((F.col("gold_count") > 0) & (F.col("detected_count") == 0), "empty_graph").when(F.col("value").isNull(), "not_measured").when(F.col("base").isNull(), "no_baseline").when(F.abs(F.col("value") - F.col("base")) > tolerance, "drifted").otherwise("passed")
+def gate(results: DataFrame, baseline: DataFrame, directions: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """results (criterion, value, gold_count, detected_count) against baseline (criterion, base): a verdict for each.
+
+    directions (criterion, higher_is_better): only a change for the worse beyond the tolerance fails. Nothing unmeasured,
+    without a baseline or without a direction passes.
+    """
+    joined = results.join(baseline, "criterion", "left").join(directions, "criterion", "left")
+    delta = F.col("value") - F.col("base")
+    worse = F.when(F.col("higher_is_better"), -delta).otherwise(delta)
+    verdict = F.when((F.col("gold_count") > 0) & (F.col("detected_count") == 0), "empty_graph").when(F.col("value").isNull(), "not_measured").when(F.col("base").isNull(), "no_baseline").when(F.col("higher_is_better").isNull(), "no_direction").when(worse > tolerance, "regressed").otherwise("passed")
     return joined.select("criterion", "value", "base", verdict.alias("verdict"))
 
 
+def judged(value: Column, threshold: Column, higher: Column, bound: Column, provisional: Column) -> Column:
+    """indeterminate without a value or threshold; fail; underpowered where the value passes but its confidence bound doesn't; else pass, or pass (provisional)."""
+    reaches = lambda x: F.when(higher, x >= threshold).otherwise(x <= threshold)
+    passed = F.when(provisional, "pass_provisional").otherwise("pass")
+    return F.when(value.isNull() | threshold.isNull(), "indeterminate").when(~reaches(value), "fail").when(bound.isNotNull() & ~reaches(bound), "underpowered").otherwise(passed)
+
+
+def status(linked: Column, labelled: Column, rubric: Column, final: Column) -> Column:
+    """How far a criterion can be measured at all."""
+    return F.when(~linked, "blocked").when(~labelled | ~rubric, "unknown").when(~final, "measured_provisional").otherwise("measured")
+
+
+def accuracy(answers: DataFrame, by: list[str], correct: str = "correct") -> DataFrame:
+    """Share of right answers among the judged ones; null where none was judged."""
+    found = answers.groupBy(*by).agg(F.count(correct).alias("n_judged"), F.count_if(correct).alias("n_right"))
+    return found.withColumn("accuracy", ratio(F.col("n_right"), F.col("n_judged")))
+
+
+def match_key(rule: str) -> Column:
+    """What makes two relations the same, by direction: `triple`, `entity_pair` or `canonical_name`."""
+    columns = {"triple": ("head", "kind", "tail"), "entity_pair": ("head", "tail"), "canonical_name": ("head_name", "kind", "tail_name")}[rule]
+    return F.struct(*columns)
+
+
+def covered(citations: Column, span_required: bool = False, prefix: str = "chunk-") -> Column:
+    """An answer is covered if it has citations and all are of chunks, and (span_required) have a place. citations: array of struct (chunk_id, has_span)."""
+    good = F.forall(citations, lambda c: c["chunk_id"].startswith(prefix) & (c["has_span"] if span_required else F.lit(True)))
+    return F.coalesce((F.size(citations) > 0) & good, F.lit(False))
+
+
+def sheets(answers: DataFrame, questions: DataFrame, key: str = "index") -> DataFrame:
+    """Answers beside their questions. An answer without a question raises when the rows are read: it must not drop out of a measure unseen."""
+    rows = answers.join(questions.withColumn("__there", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no question for answer "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return rows.where(F.coalesce("__there", lost.cast("boolean"))).drop("__there")
+
+
+def usage_totals(calls: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """Sums of token fields, calls, and how many fields were missing; a missing one counts as 0."""
+    sums = [F.sum(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in fields]
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *sums, F.sum(sum((F.col(f).isNull().cast("long") for f in fields), F.lit(0))).alias("missing"))
+
+
+def accumulated(days: DataFrame, by: list[str], docs: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """Day rows put together: tokens of each key, and the distinct documents counted for it as rows (key, doc). The ids stay rows, so that no day becomes one huge array."""
+    return days.groupBy(*by).agg(F.sum(tokens).alias(tokens)), days.select(*by, docs).where(F.col(docs).isNotNull()).distinct()
+
+
+def cost_records(totals: DataFrame, docs: DataFrame, by: list[str], doc: str, tokens: str) -> DataFrame:
+    """A day's tokens dealt evenly over its documents (half to even), a row for each; days without documents have none."""
+    n = docs.groupBy(*by).agg(F.count("*").alias("__n"))
+    per = totals.join(n, by).select(*by, F.bround(F.col(tokens) / F.col("__n")).cast("long").alias("token_usage_total"))
+    return docs.join(per, by).select(*by, doc, "token_usage_total", F.lit("completed").alias("outcome"), F.lit(0).alias("sequence"))
+
+
+def layer(entities: DataFrame, chunks: DataFrame, by: str = "kg_version", prefix: str = "ent_") -> DataFrame:
+    """Where a version's content comes from: L2 if it has extracted entities, else L1 if it has chunks at all; versions with neither have no row."""
+    a = entities.groupBy(by).agg(F.count_if(F.col("id").startswith(prefix)).alias("extracted"))
+    rows = a.join(chunks.groupBy(by).agg(F.count("*").alias("chunks")), by, "full").select(by, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("extracted", "chunks")))
+    return rows.where("extracted > 0 or chunks > 0").withColumn("layer", F.when(F.col("extracted") > 0, "L2").otherwise("L1"))
+
+
+def version_counts(versions: DataFrame, documents: DataFrame, entities: DataFrame, relations: DataFrame, by: str = "kg_version") -> DataFrame:
+    """Documents, entities and relations of each version; 0 where there are none."""
+    rows = versions.select(by).distinct()
+    for name, df in (("doc_count", documents), ("entity_count", entities), ("relation_count", relations)):
+        rows = rows.join(df.groupBy(by).agg(F.count("*").alias(name)), by, "left")
+    return rows.na.fill(0)
+
+
+def extraction_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(measure, n): entities by type, ungrounded ones, and derived relations."""
+    types = entities.groupBy(F.concat(F.lit("type "), F.col("type")).alias("measure")).agg(F.count("*").alias("n"))
+    loose = entities.agg(F.lit("ungrounded").alias("measure"), F.count_if(~F.col("grounded")).alias("n"))
+    return types.unionByName(loose).unionByName(relations.agg(F.lit("derived").alias("measure"), F.count_if("derived").alias("n")))
+
+
 def cost_per_document(records: DataFrame, doc: str, tokens: str, order: Column, how: str = "last") -> DataFrame:
     """Tokens of each document: of its last or first record, or the sum of all."""
     pick = {"last": lambda: F.max_by(tokens, order), "first": lambda: F.min_by(tokens, order), "sum": lambda: F.sum(tokens)}[how]()
@@ -78,13 +161,23 @@ def percentiles(values: DataFrame, group: str, value: str) -> DataFrame:
     return p.withColumn("ceiling", (F.floor(F.col("p90") * 1.2 / 100 + 0.5) * 100).cast("long"))
 
 
-def drift(a: Column, b: Column) -> Column:
-    return F.when(a.isNull() & b.isNull(), "absent").when(a.isNull(), "added").when(b.isNull(), "removed").when(a == b, "same").otherwise("changed")
+def drift(first: str, other: str) -> Column:
+    """How two answers to a question differ: first and other are structs (refused, citation_ids, answer). Only white space is made even, so that other numbers are other answers."""
+    even = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\p{Z}]+", " "))
+    a, b = F.col(first), F.col(other)
+    return F.when(~a["refused"].eqNullSafe(b["refused"]), "refusal_flip").when(~a["citation_ids"].eqNullSafe(b["citation_ids"]), "evidence_drift").when(even(a["answer"]) != even(b["answer"]), "wording_drift").otherwise("identical")
 
 
-def dashboard(rows: DataFrame) -> DataFrame:
-    """One row over daily rows (tokens, docs, incremental, full): all tokens, distinct documents, tokens a document, and the cost ratio; ratios without a denominator are 0."""
+def dashboard(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row over daily rows (tokens, incremental, full) and their documents (doc, a row for each day that counts it): all tokens, distinct documents, tokens a document, and the cost ratio; ratios without a denominator are 0."""
     sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "incremental", "full")))
-    docs = rows.select(F.explode("docs").alias("d")).distinct().agg(F.count("*").alias("n_docs"))
+    n = docs.select("doc").distinct().agg(F.count("*").alias("n_docs"))
     per = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
-    return sums.join(F.broadcast(docs)).select("tokens", "n_docs", per("tokens", "n_docs").alias("per_doc"), per("incremental", "full").alias("cost_ratio"))
+    return sums.join(F.broadcast(n)).select("tokens", "n_docs", per("tokens", "n_docs").alias("per_doc"), per("incremental", "full").alias("cost_ratio"))
+
+
+def stage_series(events: DataFrame, day: str, stage: str, tokens: str, doc: str, start: str, end: str) -> DataFrame:
+    """Each day and stage of [start, end] in order of day: records, tokens, distinct documents."""
+    inside = events.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    once = inside.groupBy(day, stage, doc).agg(F.count("*").alias("n"), F.sum(tokens).alias("t"))
+    return once.groupBy(day, stage).agg(F.sum("n").alias("n"), F.sum("t").alias(tokens), F.count(doc).alias("n_docs")).orderBy(day, stage)

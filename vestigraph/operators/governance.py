@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scopes(grants: DataFrame, resource: str, action: str) -> DataFrame:
-    """(person, every, ids): the union of a person's scopes; one grant without a scope lifts all limits."""
+def role_grants(grants: DataFrame, roles: DataFrame) -> DataFrame:
+    """Grants (role_id, org_id, ...) with the role's name, within a tenant."""
+    return grants.join(roles.select("role_id", "org_id", "role"), ["role_id", "org_id"])
+
+
+def scopes(grants: DataFrame, resource: str, action: str) -> tuple[DataFrame, DataFrame]:
+    """(people without limits, (person, id) of the others): a person's scopes unite, and one grant without a scope lifts all limits. Ids stay rows, so a scope of any size is no array."""
     own = grants.where((F.col("resource") == resource) & (F.col("action") == action))
-    return own.groupBy("person").agg(F.bool_or(F.col("scope").isNull()).alias("every"), F.array_distinct(F.flatten(F.collect_list(F.split("scope", ",")))).alias("ids"))
+    every = own.where("scope is null").select("person").distinct()
+    some = own.join(every, "person", "left_anti").select("person", F.explode(F.split("scope", ",")).alias("id")).distinct()
+    return every, some
 
 
 def permitted(grants: DataFrame, rows: DataFrame, resource: str, action: str, key: str) -> DataFrame:
-    """(person, row) for what each person may see. Limited scopes join by id; only unlimited people meet every row."""
-    own = scopes(grants, resource, action)
-    some = own.where("not every").select("person", F.explode("ids").alias("__id"))
-    limited = rows.join(F.broadcast(some), rows[key].cast("string") == F.col("__id")).select("person", *rows.columns)
-    every = rows.join(F.broadcast(own.where("every").select("person"))).select("person", *rows.columns)
-    return limited.unionByName(every)
+    """(person, row) for what each person may see. Limited scopes join by id; only people without limits meet every row, which is what they may see."""
+    every, some = scopes(grants, resource, action)
+    limited = rows.join(some, rows[key].cast("string") == F.col("id")).select("person", *rows.columns)
+    return limited.unionByName(rows.crossJoin(every).select("person", *rows.columns))
 
 
 def page(rows: DataFrame, order: list[Column], size: int, offset: int) -> DataFrame:

@@ -30,9 +30,9 @@ def paths(starts: DataFrame, edges: DataFrame, nodes: DataFrame, longest: int =
 
 
 def verdict(froms: Column, tos: Column) -> Column:
-    """unknown if a start is missing; consistent if all intervals share a day; else inconsistent. An open end is no bound."""
+    """unknown if a start is missing; consistent if the last start is not after the first end; else inconsistent. An open end is no bound."""
     last_start, first_end = F.array_max(froms), F.array_min(F.filter(tos, lambda t: t.isNotNull()))
-    return F.when(F.exists(froms, lambda f: f.isNull()), "unknown").when(first_end.isNull() | (last_start < first_end), "consistent").otherwise("inconsistent")
+    return F.when(F.exists(froms, lambda f: f.isNull()), "unknown").when(first_end.isNull() | (last_start <= first_end), "consistent").otherwise("inconsistent")
 
 
 def last_hop_holds(froms: Column, tos: Column, day: Column) -> Column:

@@ -2,41 +2,128 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestigraph.functions.text import tokens
+from vestigraph.functions.text import bigram_codes, match_score, terms, token_list, windows
 
 K1, B = 1.5, 0.75
 #: Vectors of one block; two blocks meet in one task row.
 VECTOR_BLOCK = 2048
+#: Questions that go to all tasks at once; a larger set makes more passes.
+QUESTIONS = 2000
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", split=tokens) -> DataFrame:
-    """(token, doc, tf): counted on each row's own array, so no row per token occurrence is shuffled."""
-    each = docs.select(doc, F.explode(split(F.coalesce(text, F.lit("")))).alias("token"))
-    return each.groupBy(doc, "token").agg(F.count("*").alias("tf"))
+def slices(questions: DataFrame, key: str, most: int = QUESTIONS) -> list[DataFrame]:
+    """The question set cut by a hash of its key into parts of about `most` rows, each small enough to be sent to every task."""
+    n = max(1, -(-questions.count() // most))
+    return [questions.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id", split=tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, score) for each pair that shares a token. Query tokens are a set; documents without tokens count in the number and the mean length.
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "item_id", k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """(query, doc, score, rank): for each query the k best documents that share a token with it, by score rounded to `digits`, then doc.
 
-    Only postings of the queries' own tokens are shuffled.
+    Query tokens are a set; documents without tokens count in the number and the mean length. One pass counts lengths and
+    the documents of each asked token; a second scores a batch of documents against all questions at once and sends on k
+    rows for each question. Nothing is shuffled for a pair of question and document that is not among the best of a batch.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(split(F.coalesce("text", F.lit(""))))).alias("token"))
-    sized = docs.select(doc, split(F.coalesce("text", F.lit(""))).alias("words"))
-    corpus = sized.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))  # one row
-    hit = sized.select(doc, F.size("words").alias("dl"), F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = hit.groupBy(doc, "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = tf.join(df, "token").join(F.broadcast(corpus)).select(doc, "token", weight.alias("w"))
-    return terms.join(asked, "token").groupBy(query, doc).agg(F.sum("w").alias("score"))
+    kinds = {query: queries.schema[query].dataType.simpleString(), doc: docs.schema[doc].dataType.simpleString()}
+    return reduce(DataFrame.unionByName, (_bm25_top(docs, part, k, doc, query, k1, b, digits, kinds) for part in slices(queries, query)))
+
+
+def _bm25_top(docs: DataFrame, queries: DataFrame, k: int, doc: str, query: str, k1: float, b: float, digits: int, kinds: dict[str, str]) -> DataFrame:
+    asked = [(r[0], set(token_list(r[1]))) for r in queries.select(query, "text").collect()]  # one slice, of bounded size
+    place = {t: i for i, t in enumerate(sorted(set().union(*(ts for _, ts in asked))))}
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(place)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(held.value), np.int64), 0, 0
+        get = held.value.get
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = token_list(text)
+                n, total = n + 1, total + len(words)
+                df[[i for i in {get(w, -1) for w in words} if i >= 0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], names=["token", "n"])
+
+    counted = dict(tuple(r) for r in docs.select(F.coalesce("text", F.lit(""))).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n")).collect())  # one row for each asked token
+    n_docs, words = counted.pop(-1, 0), counted.pop(-2, 0)
+    df = np.zeros(len(place))
+    df[list(counted)] = list(counted.values())
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    weights = np.zeros((len(place), len(asked)))
+    for j, (_, tokens_) in enumerate(asked):
+        for t in tokens_:
+            weights[place[t], j] = idf[place[t]]
+    norm, model = words / n_docs if words else 1.0, spark.sparkContext.broadcast((weights, [q for q, _ in asked]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, (w, names) = held.value.get, model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tf = np.zeros((part.num_rows, len(w)))
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    found = token_list(text)
+                    for t in found:
+                        if (c := get(t)) is not None:
+                            tf[i, c] += 1
+                    tf[i] = tf[i] * (k1 + 1) / (tf[i] + k1 * (1 - b + b * len(found) / norm))
+                got = (tf @ w).T
+                hit = (tf > 0).astype(np.float32) @ (w != 0).astype(np.float32) > 0
+                near = np.where(hit.T, np.round(got, digits), -np.inf)
+                # Rows of equal score at the cut all go on, as the tie is settled by doc over all batches.
+                least = np.partition(near, -k, axis=1)[:, -k][:, None] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
+                q, d = np.nonzero((near >= least) & np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()], batch_type(query)), part.column(0).take(pa.array(d)), pa.array(got[q, d])], names=[query, doc, "score"])
+
+    types = {query: pa.int64() if kinds[query] in ("bigint", "int") else pa.string()}
+    batch_type = types.get
+    schema = f"{query} {'bigint' if kinds[query] in ('bigint', 'int') else 'string'}, {doc} {kinds[doc]}, score double"
+    best = docs.select(doc, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, schema)
+    return top(best, query, F.round("score", digits), doc, k)
+
+
+def coverage_scores(docs: DataFrame, questions: DataFrame, doc: str = "doc_id", question: str = "item_id") -> DataFrame:
+    """(doc, question, score) for all documents and questions: the share of a question's bigrams of letters and digits that a text has, 0 for a question without any; rounded to 6 digits.
+
+    A text is read once for all questions of a slice: its distinct bigrams are looked up among the asked ones, and one
+    matrix product counts them for every question.
+    """
+    return reduce(DataFrame.unionByName, (_coverage(docs, part, doc, question) for part in slices(questions, question)))
+
+
+def _coverage(docs: DataFrame, questions: DataFrame, doc: str, question: str) -> DataFrame:
+    asked = [(r[0], bigram_codes(r[1] or "")) for r in questions.select(question, "text").collect()]  # one slice, of bounded size
+    every = np.unique(np.concatenate([g for _, g in asked])) if asked else np.zeros(0, np.uint64)
+    table = np.zeros((len(every), len(asked)), np.float32)
+    for j, (_, g) in enumerate(asked):
+        table[np.searchsorted(every, g), j] = 1
+    held = docs.sparkSession.sparkContext.broadcast((every, table, [q for q, _ in asked]))
+    of = docs.schema[doc].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, w, names = held.value
+        size = np.maximum(w.sum(0), 1).astype(np.float64)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                has = np.zeros((part.num_rows, len(grams)), np.float32)
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    has[i] = np.isin(grams, bigram_codes(text), assume_unique=True)
+                share = np.round((has @ w).astype(np.float64) / size, 6)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names * part.num_rows, pa.int64()), pa.array(share.ravel())], names=[doc, question, "score"])
+
+    return docs.select(doc, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, f"{doc} {of}, {question} bigint, score double")
 
 
 def top(scores: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:
@@ -89,6 +176,28 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = VECT
     return top(met, "query_id", F.col("score"), vec, k)
 
 
+def fingerprints(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, n, fingerprint): SHA-256 of each group's keys, sorted as text and joined by line ends. Keys stream through the digest in order, so a group of any size takes no memory."""
+    dealt = rows.select(F.col(group).cast("string").alias("g"), F.col(key).cast("string").alias("k")).repartition("g").sortWithinPartitions("g", "k")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n, digest, out = None, 0, None, []
+        for b in batches:
+            for g, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest is None or g != of:
+                    if digest is not None:
+                        out.append((of, n, digest.hexdigest()))
+                    of, n, digest = g, 0, hashlib.sha256()
+                digest.update((("\n" if n else "") + k).encode())
+                n += 1
+        if digest is not None:
+            out.append((of, n, digest.hexdigest()))
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=[group, "n", "fingerprint"])
+
+    return dealt.where("k is not null").mapInArrow(scan, f"{group} string, n long, fingerprint string")
+
+
 def quota_nodes(nodes: DataFrame, limit: int, kind: str = "kind", degree: str = "degree", key: str = "id") -> DataFrame:
     """At most `limit` nodes: each kind has max(limit // kinds, 1) sure places by degree, what is left fills up by degree over all. Kinds beyond the limit are cut in order of their name.
 
@@ -103,24 +212,39 @@ def quota_nodes(nodes: DataFrame, limit: int, kind: str = "kind", degree: str =
     return first.select(key, F.col("k").alias(kind), degree, "sure")
 
 
-def quota_evidence(rows: DataFrame, limit: int, group: str = "source", key: str = "doc_id", rank: tuple = ("score", "mentions", "char_start")) -> DataFrame:
-    """The same for evidence, ranked by score and mentions descending, then char_start and id; rows without a group have no sure place."""
-    score, mentions, start = rank
-    order = [F.desc(score), F.desc(mentions), F.asc(start), F.asc(key)]
-    groups = rows.where(F.col(group).isNotNull()).select(group).distinct().agg(F.count("*").alias("groups"))
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    best = rows.withColumn("nth", nth).where(F.col("nth") <= limit).join(F.broadcast(groups))
-    sure = F.col(group).isNotNull() & (F.col("nth") <= F.greatest(F.floor(F.lit(limit) / F.greatest("groups", F.lit(1))), F.lit(1)))
-    return best.withColumn("sure", sure).orderBy(F.desc("sure"), *order).limit(limit).select(key, group, score, mentions, start, "sure")
+GRAMS, LEAST_NAME = (2, 4, 8, 16), 2
 
 
 def anchors(questions: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
-    """(question_id, name, rank): names that occur in a question, longest first, none that a longer kept one contains.
+    """(question_id, id, name, rank): nodes (id, name) whose trimmed name occurs in a question (question_id, question), longest first, then by id; none that a kept one's name contains, and of equal names the first.
 
-    A name contained in a longer hit is always suppressed by the longest hit that contains it, so kept names are the maximal ones.
+    Names of fewer than two characters don't count. A name meets only questions that hold its first 2, 4, 8 or 16
+    characters, by equality; then the whole name is looked for. A name contained in another hit is always contained in a
+    kept one, so kept names are the maximal ones.
     """
-    hits = questions.join(F.broadcast(names.select("name").distinct()), F.expr("contains(question, name)"))
+    named = names.select("id", F.trim("name").alias("name")).where(F.length("name") >= LEAST_NAME).groupBy("name").agg(F.min("id").alias("id"))
+    named = named.withColumn("gram", F.expr("substring(name, 1, case when length(name) >= 16 then 16 when length(name) >= 8 then 8 when length(name) >= 4 then 4 else 2 end)"))
+    places = F.array_distinct(F.flatten(F.array(*(windows(F.col("question"), g) for g in GRAMS))))
+    asked = questions.select("question_id", F.explode(places).alias("gram"))
+    met = asked.join(named, "gram").select("question_id", "name", "id").distinct()
+    hits = met.join(questions.select("question_id", "question"), "question_id").where(F.contains("question", "name")).select("question_id", "name", "id")
     longer = hits.select(F.col("question_id").alias("q"), F.col("name").alias("longer"))
-    maximal = hits.join(longer, (F.col("question_id") == F.col("q")) & (F.length("longer") > F.length("name")) & F.expr("contains(longer, name)"), "left_anti")
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.length("name")), "name")
-    return maximal.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("question_id", "name", "rank")
+    maximal = hits.join(longer, (F.col("question_id") == F.col("q")) & (F.length("longer") > F.length("name")) & F.contains("longer", "name"), "left_anti")
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.length("name")), "id")
+    return maximal.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("question_id", "id", "name", "rank")
+
+
+def derived_only(nodes: DataFrame) -> DataFrame:
+    """Nodes whose id has a namespace. Extracted fragments have none and are no place to start from."""
+    return nodes.where(F.contains("id", F.lit(":")))
+
+
+def matches(names: DataFrame, queries: DataFrame, limit: int = 8, key: str = "query_id") -> DataFrame:
+    """(query_id, id, name, score, rank): the names (id, name) that answer a query (query_id, query) best, then by id. The queries go to all names in slices."""
+
+    def part(asked: DataFrame) -> DataFrame:
+        held = F.broadcast(asked.select(key, "query", terms(F.col("query")).alias("wanted")))
+        scored = names.select("id", "name").join(held).withColumn("score", match_score(F.col("name"), F.col("query"), F.col("wanted")))
+        return top(scored.where("score is not null").select(key, "id", "name", "score"), key, F.col("score"), "id", limit)
+
+    return reduce(DataFrame.unionByName, (part(x) for x in slices(queries, key)))

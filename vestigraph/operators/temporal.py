@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestigraph.functions.scope import valid_at
@@ -12,29 +15,77 @@ def snapshot(edges: DataFrame, as_of: str | None) -> DataFrame:
     return edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
 
 
+def arbitrated(facts: DataFrame, policies: DataFrame) -> DataFrame:
+    """The facts whose relation may have one current value only. policies (relation, policy): the relation's own, else that of `*`, else facts append."""
+    rows = facts.join(policies.where("relation != '*'"), "relation", "left")
+    rows = rows.join(policies.where("relation = '*'").agg(F.max("policy").alias("__any")))  # one row
+    return rows.where(F.coalesce("policy", "__any", F.lit("append")) == "single_current").select(*facts.columns)
+
+
+def nearest(entries: list[tuple]) -> list[tuple]:
+    """Of (day, tail, source) in order of day the few that can be the first with another tail and another source, for any tail and source: four at most.
+
+    An entry counts only for a tail and a source that between them rule out all entries kept before it, but not it.
+    """
+    kept: list[tuple] = []
+    for day, tail, source in entries:
+        free = not kept
+        if kept:
+            _, t, s = kept[0]
+            others = {x[2] for x in kept if x[1] != t}
+            free = len(others) <= 1 and tail != t and source not in others
+            others = {x[1] for x in kept if x[2] != s}
+            free = free or (len(others) <= 1 and source != s and tail not in others)
+        if free:
+            kept.append((day, tail, source))
+    return kept
+
+
 def superseded(facts: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """When a later fact of the same head and relation closes an earlier one: fact_id, expires_at.
 
-    facts: fact_id, head, relation, tail, valid_from, source. Only relations whose policy is `single_current` arbitrate; the
-    default appends. A fact is closed by the earliest strictly later fact with another tail from another source.
+    facts: fact_id, head, relation, tail, valid_from, source and, where known, valid_to. A fact that has not ended is
+    closed by the earliest strictly later fact with another tail from another source; no source is no other's. Facts of a
+    head and relation pass once, latest first, and four of those already seen are all that is kept, so a head with very
+    many facts costs its rows, not their square.
+    """
+    live = facts if policies is None else arbitrated(facts, policies)
+    open_ = F.col("valid_to").isNull() if "valid_to" in facts.columns else F.lit(True)
+    rows = live.where("valid_from is not null").select("fact_id", "head", "relation", "tail", "valid_from", "source", open_.alias("open"))
+    dealt = rows.repartition("head", "relation").sortWithinPartitions("head", "relation", F.desc("valid_from"))
+    of = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = day = None
+        later: list[tuple] = []
+        today: list[tuple] = []
+        for b in batches:
+            ids, days = [], []
+            for nth, (head, relation, tail, at, source, may_close) in enumerate(zip(*(b.column(c).to_pylist() for c in ("head", "relation", "tail", "valid_from", "source", "open")), strict=True)):
+                if (head, relation) != group:
+                    group, day, later, today = (head, relation), at, [], []
+                if at != day:
+                    later, today, day = nearest(today + later), [], at
+                hit = next((d for d, t, s in later if t != tail and (source is None or s != source)), None)
+                if hit is not None and may_close:
+                    ids.append(nth)
+                    days.append(hit)
+                today = nearest([*today, (at, tail, source)])
+            yield pa.RecordBatch.from_arrays([b.column("fact_id").take(pa.array(ids, pa.int64())), pa.array(days, b.schema.field("valid_from").type)], names=["fact_id", "expires_at"])
+
+    return dealt.mapInArrow(scan, f"fact_id {of['fact_id']}, expires_at {of['valid_from']}")
+
+
+def same_anchor(facts: DataFrame, policies: DataFrame | None = None, position: str = "tail_position", ordinal: str = "ordinal") -> DataFrame:
+    """Facts of one head and relation that begin on the same day: fact_id, expires_at for those that the last one in the text replaces.
+
+    The last by position, then ordinal, stays, and so do facts with its tail. Where a position is unknown nothing is closed,
+    nor without a day. Groups are combined before they are shuffled.
     """
-    live = facts
-    if policies is not None:
-        live = live.join(F.broadcast(policies), "relation", "left").where(F.coalesce("policy", F.lit("append")) == "single_current")
-    live = live.where("valid_from is not null")
-    newer = live.groupBy("head", "relation", F.col("tail").alias("new_tail"), F.col("source").alias("new_source")).agg(F.collect_set("valid_from").alias("days"))
-    # Of one (tail, source) only the first later day counts, so it meets each older fact once.
-    met = live.join(newer, ["head", "relation"]).where("tail != new_tail and source != new_source")
-    first = F.array_min(F.filter("days", lambda d: d > F.col("valid_from")))
-    return met.groupBy("fact_id").agg(F.min(first).alias("expires_at")).where("expires_at is not null")
-
-
-def last_of_anchor(facts: DataFrame, anchor: list[str], position: str, ordinal: str) -> DataFrame:
-    """Of facts with the same anchor, where all positions are known, only the last by position (then ordinal) survives: adds `survives`."""
-    whole = Window.partitionBy(*anchor)
-    last = Window.partitionBy(*anchor).orderBy(F.desc(position), F.desc(ordinal))
-    known = F.count(position).over(whole) == F.count("*").over(whole)
-    return facts.withColumn("survives", ~known | (F.row_number().over(last) == 1))
+    live = (facts if policies is None else arbitrated(facts, policies)).where("valid_from is not null")
+    anchor = ["head", "relation", "valid_from"]
+    kept = live.groupBy(*anchor).agg(F.count("*").alias("n"), F.count(position).alias("known"), F.max(F.struct(position, ordinal, "tail"))["tail"].alias("kept"))
+    return live.join(kept.where("n > 1 and n = known"), anchor).where("tail != kept").select("fact_id", F.col("valid_from").alias("expires_at"))
 
 
 def earliest_expiry(expiries: DataFrame, key: str = "fact_id") -> DataFrame:

@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chain_of(spark: SparkSession, versions: DataFrame, start: str, deepest: int = 16) -> DataFrame:
-    """(version, rank): start and its ancestors by parent pointers, at most `deepest`, a cycle ends the walk."""
-    rows = []
-    at: str | None = start
-    while at is not None and len(rows) < deepest and at not in {v for v, _ in rows}:
-        found = versions.where(F.col("version") == at).select("parent").head()
-        if found is None:
-            break
-        rows.append((at, len(rows)))
-        at = found[0]
-    return spark.createDataFrame(rows, "version string, rank int")
+#: How a version's status may change.
+MOVES = (("pending", "building"), ("building", "ready"), ("building", "failed"), ("pending", "failed"))
+
+
+def chains(starts: DataFrame, actions: DataFrame, deepest: int = 16) -> DataFrame:
+    """(org, start, version, rank): each start (org, version) and its ancestors, all tenants in one job.
+
+    actions: org, result, parent, created_at, id. The last action that made a version names its parent; actions without a
+    parent don't. A chain ends before a version that it holds already, and after `deepest` versions.
+    """
+    parents = actions.where("parent is not null").groupBy("org", "result").agg(F.max_by("parent", F.struct("created_at", "id")).alias("parent"))
+    at = starts.select("org", F.col("version").alias("start"), "version", F.array("version").alias("seen"))
+    out = [at.withColumn("rank", F.lit(0))]
+    for rank in range(1, deepest):
+        step = at.join(parents, (at["org"] == parents["org"]) & (at["version"] == parents["result"])).where(~F.array_contains("seen", F.col("parent")))
+        at = step.select(at["org"], "start", F.col("parent").alias("version"), F.concat("seen", F.array("parent")).alias("seen"))
+        out.append(at.withColumn("rank", F.lit(rank)))
+    return reduce(DataFrame.unionByName, out).select("org", "start", "version", "rank")
+
+
+def scopes(actions: DataFrame) -> DataFrame:
+    """(org, version, id): what the actions (org, result, target_entities as JSON) that made a version said they would change. Several actions of a version add up; what is no JSON names nothing."""
+    ids = F.from_json("target_entities", "entity_ids array<string>, new_entity_ids array<string>")
+    rows = actions.where("result is not null").withColumn("t", ids)
+    both = F.array_union(*(F.coalesce(F.col(f"t.{c}"), F.array().cast("array<string>")) for c in ("entity_ids", "new_entity_ids")))
+    return rows.select("org", F.col("result").alias("version"), F.explode(both).alias("id")).where("id != ''").distinct()
+
+
+def probed(wanted: DataFrame, entities: DataFrame, org: str) -> DataFrame:
+    """wanted (id) with a verdict: `ok`, `leaked` where another tenant owns it - worse than `missing`, so told apart from it."""
+    owner = entities.groupBy("id").agg(F.max(F.col("org_id") == org).alias("own"), F.count("org_id").alias("n"))
+    rows = wanted.select("id").distinct().join(owner, "id", "left")
+    return rows.select("id", F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("own"), "ok").otherwise("leaked").alias("verdict"))
+
+
+def moved(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """versions (version, status) after changes (version, to, entity_count, relation_count, error_code): status, the fields that go with it, and `refused` where the move isn't allowed. Counts come with ready only, the error with failed only."""
+    rows = versions.join(changes, "version", "left")
+    good = reduce(lambda a, b: a | b, ((F.col("status") == x) & (F.col("to") == y) for x, y in MOVES))
+    now = F.when(good, F.col("to")).otherwise(F.col("status"))
+    of = lambda c, state: F.when(good & (F.col("to") == state), F.col(c)).alias(c)
+    return rows.select("version", now.alias("status"), of("entity_count", "ready"), of("relation_count", "ready"), of("error_code", "failed"), (F.col("to").isNotNull() & ~good).alias("refused"))
+
+
+def consistency(active: Column, in_graph: Column, manifest: Column) -> Column:
+    """struct(code, ok, drift): is the active version in the graph (null: it could not be asked), and the one that the backup names? Without an active version there is nothing to compare, which proves nothing but isn't wrong."""
+    code = F.when(F.coalesce(active, F.lit("")) == "", "no_active_version").when(in_graph.isNull(), "graph_unreachable").when(~in_graph, "ghost_version").otherwise("pg_graph_consistent")
+    drift = F.coalesce((manifest != "") & (active != "") & (manifest != active), F.lit(False))
+    return F.struct(code.alias("code"), code.isin("no_active_version", "pg_graph_consistent").alias("ok"), drift.alias("drift"))
 
 
 def visible(present: DataFrame, scopes: DataFrame, key: str = "id") -> DataFrame:

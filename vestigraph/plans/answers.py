@@ -9,34 +9,42 @@ from vestigraph.operators import citations, documents, evaluation, layout, tempo
 from vestigraph.plans.registry import query, table
 
 _MENTION = "[A-Z][a-z]{4,}"
+_PIECE = "(?s).{1,400}"
 _CITED = f"""
     d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    c AS (SELECT 'chunk-' || doc_id AS chunk_id, doc_id, substr(t, 1, 400) AS body FROM d),
+    c AS (SELECT 'chunk-' || doc_id || 'x' || i AS chunk_id, doc_id, i, (i - 1) * 400 AS base, ps[i] AS body FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{_PIECE}') AS ps FROM d))),
     s AS (SELECT chunk_id, mention, instr(body, mention) - 1 AS a FROM (SELECT chunk_id, body, unnest(list_distinct(regexp_extract_all(body, '{_MENTION}'))) AS mention FROM c)),
-    w AS (SELECT doc_id AS answer_id, substr(t, 201, 300) AS answer FROM d),
-    i AS (SELECT answer_id, 'chunk-' || answer_id AS chunk_id, 0 AS nth, '' AS said FROM w UNION ALL SELECT answer_id, 'chunk-' || answer_id, 1, lower(regexp_extract(answer, '{_MENTION}')) FROM w UNION ALL SELECT answer_id, 'chunk-' || (answer_id + 1), 2, '' FROM w),
+    i AS (SELECT doc_id AS answer_id, chunk_id, i - 1 AS nth, '' AS said FROM c UNION ALL SELECT doc_id, chunk_id, 100000 + i - 1, lower(regexp_extract(body, '{_MENTION}')) FROM c UNION ALL SELECT doc_id, 'chunk-' || (doc_id + 1) || 'x1', 1000000, '' FROM d),
     l AS (SELECT answer_id, chunk_id, nth, coalesce(a, 0) AS x, CASE WHEN a IS NULL THEN length(body) ELSE least(length(body), a + length(mention)) END AS y FROM i JOIN c USING (chunk_id) LEFT JOIN s ON s.chunk_id = i.chunk_id AND lower(mention) = said AND said <> ''),
-    b AS (SELECT answer_id, chunk_id, min(nth) AS nth, arg_min(x, (y - x) * 10 + nth) AS char_offset, arg_min(y, (y - x) * 10 + nth) AS char_end FROM l GROUP BY 1, 2),
-    g AS (SELECT answer_id, trim(unnest(regexp_extract_all(answer, '{citations.HARD}'))) AS f FROM w UNION ALL SELECT answer_id, mention FROM w JOIN s ON s.chunk_id IN ('chunk-' || answer_id, 'chunk-' || (answer_id + 1)) WHERE contains(answer, mention)),
+    lx AS (SELECT answer_id, chunk_id, nth, arg_min(x, (x, y)) AS x, arg_min(y, (x, y)) AS y FROM l GROUP BY 1, 2, 3),
+    b AS (SELECT answer_id, chunk_id, min(nth) AS nth, arg_min(x, (y - x, nth)) AS char_offset, arg_min(y, (y - x, nth)) AS char_end FROM lx GROUP BY 1, 2),
+    g AS (SELECT doc_id AS answer_id, trim(unnest(regexp_extract_all(t, '{citations.HARD}'))) AS f FROM d UNION SELECT d.doc_id, mention FROM d JOIN c ON c.doc_id = d.doc_id OR c.chunk_id = 'chunk-' || (d.doc_id + 1) || 'x1' JOIN s ON s.chunk_id = c.chunk_id WHERE contains(t, mention)),
     fs AS (SELECT answer_id, list(f) AS fs FROM g WHERE length(f) >= 2 GROUP BY 1)
 """
 
 
 @query(f"WITH {_CITED} SELECT answer_id, b.chunk_id, nth, char_offset, char_end FROM b JOIN c USING (chunk_id) LEFT JOIN fs USING (answer_id) WHERE fs IS NULL OR len(list_filter(fs, lambda f: contains(body, f))) > 0")
 def citation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as an answer that cites its own beginning twice, its neighbour, and what doesn't exist."""
+    """Each document, whole, as an answer that cites all its chunks, the first name in each, its neighbour's first chunk and what doesn't exist."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    chunk = lambda c: F.concat(F.lit("chunk-"), c)
-    chunks = docs.select(chunk(F.col("doc_id")).alias("chunk_id"), "doc_id", F.lit(0).alias("char_start"), F.substring("t", 1, 400).alias("text"))
-    each = chunks.select("chunk_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_MENTION), F.lit(0)))).alias("mention"))
-    spans = each.select("chunk_id", "mention", (F.instr("text", F.col("mention")) - 1).alias("char_start")).withColumn("char_end", F.col("char_start") + F.length("mention"))
-    own, other = chunk(F.col("doc_id")), chunk(F.col("doc_id") + 1)
-    answer = F.substring("t", 201, 300)
-    evidence = F.array(own, F.concat(F.lit("see "), own, F.lit("#"), F.regexp_extract(answer, _MENTION, 0)), other, F.lit("chunk-none"), F.lit("no id"))
-    answers = docs.select(F.col("doc_id").alias("answer_id"), answer.alias("answer"), evidence.alias("evidence"))
-    injected = docs.select(F.col("doc_id").alias("answer_id"), F.explode(F.array(own, other)).alias("chunk_id"))
+    chunk = lambda doc, n: F.concat(F.lit("chunk-"), doc, F.lit("x"), n)
+    pieces = F.regexp_extract_all("t", F.lit(_PIECE), F.lit(0))
+    parts = docs.select("doc_id", F.posexplode(pieces).alias("nr", "text"))
+    chunks = parts.select(chunk(F.col("doc_id"), F.col("nr") + 1).alias("chunk_id"), "doc_id", (F.col("nr") * 400).alias("char_start"), "text")
+    names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(_MENTION), F.lit(0)))
+    each = chunks.select("chunk_id", "text", "char_start", F.explode(names("text")).alias("mention"))
+    spans = each.select("chunk_id", "mention", (F.col("char_start") + F.instr("text", F.col("mention")) - 1).alias("char_start")).withColumn("char_end", F.col("char_start") + F.length("mention"))
+    own = F.transform("ps", lambda p, i: chunk(F.col("doc_id"), i + 1))
+    named = F.transform("ps", lambda p, i: F.concat(F.lit("see "), chunk(F.col("doc_id"), i + 1), F.lit("#"), F.regexp_extract(p, _MENTION, 0)))
+    other = chunk(F.col("doc_id") + 1, F.lit(1))
+    rows = docs.withColumn("ps", pieces)
+    evidence = F.concat(own, named, F.array(other, F.lit("chunk-none"), F.lit("no id")))
+    answers = rows.select(F.col("doc_id").alias("answer_id"), F.col("t").alias("answer"), evidence.alias("evidence"), F.size("ps").alias("n"))
+    injected = rows.select(F.col("doc_id").alias("answer_id"), F.explode(F.concat(own, F.array(other))).alias("chunk_id"))
     found = citations.located(answers, chunks, spans)
-    return citations.grounded(found, answers, injected, chunks, spans).drop("doc_id")
+    kept = citations.grounded(found, answers, injected, chunks, spans).join(answers.select("answer_id", "n"), "answer_id")
+    nth = F.when(F.col("nth") < F.col("n"), F.col("nth")).when(F.col("nth") < 2 * F.col("n"), 100000 + F.col("nth") - F.col("n")).otherwise(1000000)
+    return kept.select("answer_id", "chunk_id", nth.alias("nth"), "char_offset", "char_end")
 
 
 _BLOCK = 400
@@ -48,8 +56,8 @@ _BLOCK = 400
 def page_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out as two blocks a page, found again in their text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    last = F.floor((F.length("text") - 1) / _BLOCK).cast("int")
-    flat = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.substring("text", i * _BLOCK + 1, F.lit(_BLOCK)).alias("text"), F.floor(i / 2).alias("page_idx")))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    flat = F.transform(pieces, lambda p, i: F.struct(p.alias("text"), F.floor(i / 2).alias("page_idx")))
     return layout.page_spans(docs.where("length(text) > 0").withColumn("layout", F.to_json(flat)))
 
 
@@ -84,10 +92,26 @@ def earliest_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT tokens, n_docs, CASE WHEN n_docs > 0 THEN round(tokens / n_docs, 6) ELSE 0 END::DOUBLE AS per_doc, CASE WHEN a > 0 THEN round(i / a, 6) ELSE 0 END::DOUBLE AS cost_ratio FROM s""")
 def cost_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows by kind of event, put together: a user who occurs in several rows counts once."""
-    tokens = F.round(F.col("value") * 100).cast("long")
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("stage")).agg(F.sum(tokens).alias("tokens"), F.collect_set("user_id").alias("docs"))
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("long").alias("tokens"), F.col("user_id").alias("doc"))
+    days, docs = evaluation.accumulated(rows, ["day", "stage"], "doc", "tokens")
     spent = lambda *kinds: F.when(F.col("stage").isin(*kinds), F.col("tokens")).otherwise(0)
-    return evaluation.dashboard(days.withColumn("incremental", spent("click", "view")).withColumn("full", spent("purchase")))
+    return evaluation.dashboard(days.withColumn("incremental", spent("click", "view")).withColumn("full", spent("purchase")), docs)
+
+
+@query("""WITH e AS (SELECT ts::DATE AS day, event_type AS stage, round(value * 100)::BIGINT AS tokens, user_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+    SELECT day::VARCHAR AS day, stage, count(*) AS n, sum(tokens)::BIGINT AS tokens, count(DISTINCT user_id) AS n_docs FROM e GROUP BY 1, 2""")
+def cost_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("long").alias("tokens"), "user_id")
+    return evaluation.stage_series(rows, "day", "stage", "tokens", "user_id", "2024-01-05", "2024-01-20").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH e AS (SELECT ts::DATE AS day, event_type AS stage, round(value * 100)::BIGINT AS tokens, user_id FROM events), t AS (SELECT day, stage, sum(tokens)::BIGINT AS tokens, count(DISTINCT user_id) AS n FROM e GROUP BY 1, 2)
+    SELECT DISTINCT day::VARCHAR AS day, stage, user_id, round_even(t.tokens / n, 0)::BIGINT AS token_usage_total, 'completed' AS outcome, 0 AS sequence FROM e JOIN t USING (day, stage)""")
+def cost_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's tokens of a stage dealt over its users."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("long").alias("tokens"), "user_id")
+    totals, docs = evaluation.accumulated(rows, ["day", "stage"], "user_id", "tokens")
+    return evaluation.cost_records(totals, docs, ["day", "stage"], "user_id", "tokens").withColumn("day", F.col("day").cast("string"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_custkey, o_orderpriority, 'o_orderkey: ' || o_orderkey || '; o_custkey: ' || o_custkey || '; o_orderstatus: ' || o_orderstatus || '; o_orderpriority: ' || o_orderpriority AS text FROM orders)

@@ -38,16 +38,15 @@ def page_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_no").join(found, ["doc_id", "chunk_no"], "left")
 
 
-@query(f"""WITH {_SPANS}, e AS (SELECT doc_id, k AS entity_no, (k * 317 + doc_id * 13) % greatest(n_chars, 1) AS pos FROM (SELECT doc_id, n_chars, unnest(range(3)) AS k FROM documents WHERE n_chars > 0)),
-    w AS (SELECT doc_id, chunk_no, greatest(a - 50, 0) AS a, b FROM c), r AS (SELECT e.doc_id, entity_no, chunk_no, row_number() OVER (PARTITION BY e.doc_id, entity_no ORDER BY chunk_no) AS nth FROM e JOIN w ON e.doc_id = w.doc_id AND pos >= a AND pos < b)
-    SELECT doc_id, entity_no, chunk_no FROM r WHERE nth = 1""")
+@query(f"""WITH {_SPANS}, e AS (SELECT doc_id, mention, instr(text, mention) - 1 AS pos FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{5,}}'))) AS mention FROM documents)),
+    w AS (SELECT doc_id, chunk_no, greatest(a - 50, 0) AS a, b FROM c), r AS (SELECT e.doc_id, mention, chunk_no, row_number() OVER (PARTITION BY e.doc_id, mention ORDER BY chunk_no) AS nth FROM e JOIN w ON e.doc_id = w.doc_id AND pos >= a AND pos < b)
+    SELECT doc_id, mention, chunk_no FROM r WHERE nth = 1""")
 def interval_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three places of each document, and the first of the overlapping chunks that holds each."""
-    docs = table(spark, sf_dir, "documents").where("n_chars > 0")
-    points = docs.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("entity_no"))
-    points = points.select("doc_id", "entity_no", ((F.col("entity_no") * 317 + F.col("doc_id") * 13) % F.col("n_chars")).alias("at"))
+    """Names in each document where they first stand, and the first of the overlapping chunks that holds each."""
+    each = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))).alias("mention"))
+    points = each.select("doc_id", "mention", (F.instr("text", F.col("mention")) - 1).alias("at"))
     chunks = _spans(spark, sf_dir, CHUNK, 0, ("chunk_no", "a", "b")).withColumn("a", F.greatest(F.col("a") - 50, F.lit(0)))
-    return intervals.first_holder(points, chunks, "doc_id", "entity_no", "at", "a", "b", ["chunk_no"]).select("doc_id", "entity_no", "chunk_no")
+    return intervals.first_holder(points, chunks, "doc_id", "mention", "at", "a", "b", ["chunk_no"]).select("doc_id", "mention", "chunk_no")
 
 
 @query()
@@ -55,16 +54,35 @@ def chunk_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunked(table(spark, sf_dir, "documents"), 800)
 
 
-@query(r"""SELECT doc_id, count(*) AS n_dates FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\d{4}-\d{1,2}-\d{1,2}')) FROM documents) GROUP BY 1""")
+_NAMED = [(1, 0, "华辰智能有限公司 hired 张伟先生 for $ 3000 元 on 2024-03-05"), (2, 100, "AcmeInc. and BetaLLC"), (3, 0, "李雷 教授 2023年5月1日 2023 年度 12.5 亿 美元"), (4, 0, ""), (5, 0, None), (6, 7, "no names, 5 dollars")]
+_FOUND = [
+    (1, "ORG", "华辰智能有限公司", 0, 8, 0.85), (1, "PERSON", "张伟", 15, 17, 0.7), (1, "MONEY", "$ 3000 元", 24, 32, 0.85), (1, "DATE", "2024-03-05", 36, 46, 0.7), (2, "ORG", "AcmeInc.", 100, 108, 0.85), (2, "ORG", "BetaLLC", 113, 120, 0.85),
+    (3, "PERSON", "李雷", 0, 2, 0.7), (3, "MONEY", " 12.5 亿 美元", 23, 33, 0.85), (3, "DATE", "2023年5月1日", 6, 15, 0.7), (3, "DATE", "2023 年", 16, 22, 0.7),
+]
+
+
+@query(f"SELECT doc_id, entity_type, mention, char_start, char_end, confidence::DOUBLE AS confidence FROM (VALUES {', '.join(map(str, _FOUND))}) t(doc_id, entity_type, mention, char_start, char_end, confidence)")
 def regex_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates found in each document by the entity patterns, over whole texts."""
-    whole = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.lit(0).cast("long").alias("char_start"), F.col("text").alias("chunk"))
-    return documents.entities(whole).where("entity_type = 'DATE'").groupBy("doc_id").agg(F.count("*").alias("n_dates"))
+    """Literal chunks with entities of all four kinds; the tables hold none."""
+    chunks = spark.createDataFrame([(i, 0, at, t) for i, at, t in _NAMED], "doc_id int, chunk_no int, char_start long, chunk string")
+    return documents.entities(chunks).drop("chunk_no")
+
+
+_CLEAN_STEPS = [("(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>|<!--.*?-->", "''"), ("(?i)</t[dh]\\s*>", "chr(9)"), ("(?i)<br\\s*/?>|</(tr|p|div|li|h[1-6]|table)\\s*>", "chr(10)"), ("<[^>]+>", "''")]
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|title)[^>]*>.*?</(script|style|title)>|<!--.*?-->', ' ', 'gis'), '<br[^>]*>|</(p|div|li|h1|h2|h3|tr)>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM pages),
-    b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a)
-    SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: length(x) >= 3), chr(10)) AS text FROM b""")
+def _clean_sql() -> str:
+    text = "html"
+    for pattern, by in _CLEAN_STEPS:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    for name, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'"), (" ", "' '"), ("﻿", "''")):
+        text = f"replace({text}, '{name}', {plain})"
+    return text
+
+
+@query(rf"""WITH a AS (SELECT page_id, {_clean_sql()} AS t FROM pages),
+    b AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \r\f]+', ' ', 'g'), ' ' || chr(9))), lambda x: NOT regexp_matches(x, '{documents.NOISE_LINE}')), chr(10)) AS t FROM a)
+    SELECT page_id, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM b""")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", documents.clean_html(F.col("html")).alias("text"))
 
@@ -76,4 +94,24 @@ _DATED = ["报告期：2024年3月", "2023-06-30", "本办法自2025年1月2日
 def document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables hold no such dates; the cases are literal."""
     rows = spark.createDataFrame(list(enumerate(_DATED)), "doc_id int, text string")
-    return rows.select("doc_id", "text", documents.document_date(F.col("text")).cast("string").alias("document_date"))
+    return rows.select("doc_id", "text", documents.document_date(F.col("text"), today=F.lit("2026-01-01").cast("date")).cast("string").alias("document_date"))
+
+
+_ENDING = [("本办法有效期至2027年12月31日。", "2027-12-31"), ("合同有效期至2027-01-01\n本制度自2024-01-01起施行", None), ("本规定有效期截止至 2028年6月", "2028-06-30"), ("本细则\n有效期至2027-01-01", None), ("本制度有效期到2125年度", None), ("本制度有效期至2025-02-30\n本制度有效期至：2026.3.4", "2026-03-04"), ("", None)]
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"({i}, {repr(d) if d else 'NULL'})" for i, (_, d) in enumerate(_ENDING))}) t(doc_id, expires)""")
+def document_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal cases: whose end it is, days that don't exist, years beyond reach."""
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ENDING)], "doc_id int, text string")
+    return rows.select("doc_id", documents.document_expiry(F.col("text"), F.lit("2030-01-01").cast("date")).cast("string").alias("expires"))
+
+
+_MENTIONED = [("Alpha pays Beta", "Beta", 11, 11), ("Alpha pays Beta", "Beta", 3, 11), ("Alpha pays Beta", "Beta", None, 11), ("Alpha pays Beta", "Gamma", 0, None), ("", "x", 0, None)]
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if x[3] is None else x[3]})" for i, x in enumerate(_MENTIONED))}) t(id, char_start)""")
+def mention_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that are right, wrong, not given, and of mentions that aren't there."""
+    rows = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(_MENTIONED)], "id int, text string, mention string, start int")
+    return rows.select("id", documents.resolved_start(F.col("text"), F.col("mention"), F.col("start")).alias("char_start"))

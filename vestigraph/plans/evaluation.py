@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vestigraph.operators import evaluation
@@ -62,10 +62,115 @@ def binomial_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("b", evaluation.exact_bounds(F.col("k"), F.col("n"))).select("source", "k", "n", F.round("b.lower", 6).alias("lower"), F.round("b.upper", 6).alias("upper"))
 
 
-@query("""WITH r AS (SELECT source AS criterion, round(avg(quality), 6) AS value, count(*) AS gold_count, sum(toxic)::BIGINT AS detected_count FROM labels JOIN documents USING (doc_id) GROUP BY 1), b AS (SELECT 'src' || i AS criterion, 0.5 AS base FROM range(20) t(i) WHERE i % 5 <> 0)
-    SELECT criterion, value, base::DOUBLE AS base, CASE WHEN gold_count > 0 AND detected_count = 0 THEN 'empty_graph' WHEN value IS NULL THEN 'not_measured' WHEN base IS NULL THEN 'no_baseline' WHEN abs(value - base) > 0.02 THEN 'drifted' ELSE 'passed' END AS verdict FROM r LEFT JOIN b USING (criterion)""")
+_BASES = [(f"src{i}", round(0.3 + 0.02 * i, 2)) for i in range(20) if i % 5]
+_WAYS = [(f"src{i}", i % 2 == 0) for i in range(19)]
+
+
+@query(f"""WITH r AS (SELECT source AS criterion, round(avg(quality), 6) AS value, count(*) AS gold_count, sum(toxic)::BIGINT AS detected_count FROM labels JOIN documents USING (doc_id) GROUP BY 1), b(criterion, base) AS (VALUES {', '.join(map(str, _BASES))}), w(criterion, up) AS (VALUES {', '.join(map(str, _WAYS))})
+    SELECT criterion, value, base::DOUBLE AS base, CASE WHEN gold_count > 0 AND detected_count = 0 THEN 'empty_graph' WHEN value IS NULL THEN 'not_measured' WHEN base IS NULL THEN 'no_baseline' WHEN up IS NULL THEN 'no_direction' WHEN CASE WHEN up THEN base - value ELSE value - base END > 0.02 THEN 'regressed' ELSE 'passed' END AS verdict FROM r LEFT JOIN b USING (criterion) LEFT JOIN w USING (criterion)""")
 def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's share of good documents against a baseline; for odd sources less is better."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     results = rows.groupBy(F.col("source").alias("criterion")).agg(F.round(F.avg("quality"), 6).alias("value"), F.count("*").alias("gold_count"), F.sum("toxic").alias("detected_count"))
-    baseline = spark.createDataFrame([(f"src{i}", 0.5) for i in range(20) if i % 5], "criterion string, base double")
-    return evaluation.gate(results, baseline)
+    return evaluation.gate(results, spark.createDataFrame(_BASES, "criterion string, base double"), spark.createDataFrame(_WAYS, "criterion string, higher_is_better boolean"))
+
+
+_ANSWERS = r"""a AS (SELECT conv_id, turn, text, length(text) < 40 AS refused, list_transform(regexp_extract_all(text, '[A-Z][a-z]{5,}'), lambda w: 'chunk-' || lower(w)) AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'assistant')"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of assistants; capitalised words stand for cited chunks, and very short answers for refusals."""
+    ids = F.transform(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), 1), lambda w: F.concat(F.lit("chunk-"), F.lower(w)))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", (F.length("text") < 40).alias("refused"), ids.alias("citation_ids"), F.col("text").alias("answer"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT x.conv_id, x.turn, CASE WHEN x.refused <> y.refused THEN 'refusal_flip' WHEN x.ids <> y.ids THEN 'evidence_drift' WHEN trim(regexp_replace(x.text, '\\s+', ' ', 'g')) <> trim(regexp_replace(y.text, '\\s+', ' ', 'g')) THEN 'wording_drift' ELSE 'identical' END AS drift
+    FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.nth = x.nth + 1""".replace("\\\\s", "\\s"))
+def answer_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer of a conversation against the next one."""
+    said = _answers(spark, sf_dir).select("conv_id", "turn", F.struct("refused", "citation_ids", "answer").alias("a"))
+    next_ = F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return said.withColumn("b", next_).where("b is not null").select("conv_id", "turn", evaluation.drift("a", "b").alias("drift"))
+
+
+@query(f"""WITH {_ANSWERS}, d AS (SELECT refused, len(ids) > 0 AS cited, len(ids) > 0 AND len(list_filter(ids, lambda i: length(i) < 13)) = 0 AS placed FROM a)
+    SELECT round(avg(CASE WHEN NOT refused THEN cited::INT END), 6) AS coverage, round(avg(cited::INT), 6) AS coverage_with_refused, round(avg(CASE WHEN NOT refused THEN placed::INT END), 6) AS coverage_with_spans FROM d""")
+def citation_coverage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered answers, refused ones in and out; long names stand for citations with a place."""
+    cites = F.transform("citation_ids", lambda i: F.struct(i.alias("chunk_id"), (F.length(i) >= 13).alias("has_span")))
+    rows = _answers(spark, sf_dir).withColumn("c", cites)
+    of = lambda c, all_: F.round(F.avg(F.when(F.lit(all_) | ~F.col("refused"), c.cast("int"))), 6)
+    any_, placed = evaluation.covered(F.col("c")), evaluation.covered(F.col("c"), span_required=True)
+    return rows.agg(of(any_, False).alias("coverage"), of(any_, True).alias("coverage_with_refused"), of(placed, False).alias("coverage_with_spans"))
+
+
+@query("""WITH j AS (SELECT source, CASE WHEN d.doc_id % 3 <> 0 THEN quality = 1 END AS correct FROM documents d LEFT JOIN labels USING (doc_id))
+    SELECT source, count(correct) AS n_judged, count_if(correct) AS n_right, CASE WHEN count(correct) > 0 THEN round(count_if(correct) / count(correct), 6) END AS accuracy FROM j GROUP BY 1""")
+def judged_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as judgements of every document; two thirds count as judged where they have one."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    right = rows.withColumn("correct", F.when(F.col("doc_id") % 3 != 0, F.col("quality") == 1))
+    return evaluation.accuracy(right, ["source"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+_VERDICTS = [("recall", 1.0, 1.0, True, 0.8609, False), ("fpr", 0.0, 0.05, False, 0.1391, False), ("gain", 0.1428, 0.1, True, None, True), ("hops", 0.8333, 0.9, True, None, False), ("cost", None, 8000.0, False, None, False), ("coverage", 1.0, 1.0, True, 1.0, False), ("open", 0.5, None, True, None, False)]
+
+
+@query("""SELECT * FROM (VALUES ('recall', 'underpowered'), ('fpr', 'underpowered'), ('gain', 'pass_provisional'), ('hops', 'fail'), ('cost', 'indeterminate'), ('coverage', 'pass'), ('open', 'indeterminate')) t(criterion, verdict)
+    JOIN (VALUES ('recall', 'blocked'), ('fpr', 'unknown'), ('gain', 'measured_provisional'), ('hops', 'measured'), ('cost', 'measured'), ('coverage', 'unknown'), ('open', 'blocked')) s(criterion, status) USING (criterion)""")
+def criterion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal criteria, one for each verdict and each status."""
+    rows = spark.createDataFrame(_VERDICTS, "criterion string, value double, threshold double, higher boolean, bound double, provisional boolean")
+    c, n = F.col, F.col("criterion")
+    state = evaluation.status(~n.isin("recall", "open"), n != "fpr", n != "coverage", n != "gain")
+    return rows.select("criterion", evaluation.judged(c("value"), c("threshold"), c("higher"), c("bound"), c("provisional")).alias("verdict"), state.alias("status"))
+
+
+_RULES = {"triple": "l_suppkey, l_returnflag, l_partkey", "entity_pair": "l_suppkey, l_partkey", "canonical_name": "l_suppkey % 7, l_returnflag, l_partkey % 11"}
+
+
+@query("WITH " + ", ".join(f"g_{r} AS (SELECT DISTINCT {k} FROM lineitem WHERE l_linenumber <= 4), d_{r} AS (SELECT DISTINCT {k} FROM lineitem WHERE l_linenumber >= 3), n_{r} AS (SELECT '{r}' AS rule, (SELECT count(*) FROM g_{r}) AS n_gold, (SELECT count(*) FROM d_{r}) AS n_detected, (SELECT count(*) FROM (SELECT * FROM g_{r} INTERSECT SELECT * FROM d_{r})) AS n_hit)" for r, k in _RULES.items()) + " SELECT *, round(n_hit / n_gold, 6) AS recall, round((n_detected - n_hit) / n_detected, 6) AS false_positive_rate FROM (" + " UNION ALL ".join(f"SELECT * FROM n_{r}" for r in _RULES) + ")")
+def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of the order lines as relations, matched by each of the three rules."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", c("l_suppkey").alias("head"), c("l_returnflag").alias("kind"), c("l_partkey").alias("tail"), (c("l_suppkey") % 7).alias("head_name"), (c("l_partkey") % 11).alias("tail_name"))
+    out = []
+    for rule in _RULES:
+        keyed = rows.select("l_linenumber", evaluation.match_key(rule).alias("key"))
+        out.append(evaluation.recall_and_false_positives(keyed.where("l_linenumber <= 4"), keyed.where("l_linenumber >= 3"), "key").select(F.lit(rule).alias("rule"), "*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""SELECT event_type, count(*) AS calls, sum(CASE WHEN user_id % 4 <> 0 THEN user_id ELSE 0 END)::BIGINT AS prompt, sum(CASE WHEN event_id % 5 <> 0 THEN event_id ELSE 0 END)::BIGINT AS total, sum((user_id % 4 = 0)::INT + (event_id % 5 = 0)::INT)::BIGINT AS missing FROM events GROUP BY 1""")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls whose usage is partly missing."""
+    calls = table(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("prompt"), F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("total"))
+    return evaluation.usage_totals(calls, ["event_type"], ["prompt", "total"])
+
+
+@query("""WITH e AS (SELECT 'v' || c_nationkey AS kg_version, CASE WHEN c_acctbal < 0 THEN 'ent_' ELSE 'CUST:' END || c_custkey AS id FROM customer WHERE c_nationkey < 20), c AS (SELECT 'v' || n AS kg_version, count(*) AS chunks FROM (SELECT doc_id % 22 AS n FROM documents) WHERE n > 2 GROUP BY 1), x AS (SELECT kg_version, count_if(id LIKE 'ent\\_%' ESCAPE '\\') AS extracted FROM e GROUP BY 1)
+    SELECT kg_version, coalesce(extracted, 0) AS extracted, coalesce(chunks, 0) AS chunks, CASE WHEN extracted > 0 THEN 'L2' ELSE 'L1' END AS layer FROM x FULL JOIN c USING (kg_version) WHERE coalesce(extracted, 0) > 0 OR coalesce(chunks, 0) > 0""".replace("\\\\", "\\"))
+def corpus_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as versions; customers in debt stand for extracted entities."""
+    version = lambda c: F.concat(F.lit("v"), c.cast("string")).alias("kg_version")
+    entities = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(version(F.col("c_nationkey")), F.concat(F.when(F.col("c_acctbal") < 0, "ent_").otherwise("CUST:"), "c_custkey").alias("id"))
+    chunks = table(spark, sf_dir, "documents").where("doc_id % 22 > 2").select(version(F.col("doc_id") % 22))
+    return evaluation.layer(entities, chunks)
+
+
+@query("""SELECT n_nationkey AS kg_version, (SELECT count(*) FROM documents WHERE doc_id % 30 = n_nationkey) AS doc_count, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS entity_count, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS relation_count FROM nation""")
+def version_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as versions with their documents, customers and suppliers."""
+    of = lambda name, c: table(spark, sf_dir, name).select(c.cast("int").alias("kg_version"))
+    c = F.col
+    return evaluation.version_counts(of("nation", c("n_nationkey")), of("documents", c("doc_id") % 30), of("customer", c("c_nationkey")), of("supplier", c("s_nationkey")))
+
+
+@query("""SELECT t.conv_id, t.turn, q.text AS question, t.text AS answer FROM conversations t JOIN conversations q ON q.conv_id = t.conv_id AND q.turn = t.turn - 1 WHERE t.role = 'assistant' AND t.turn > 0""")
+def judging_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer beside the turn before it."""
+    turns = table(spark, sf_dir, "conversations")
+    key = F.struct("conv_id", F.col("turn").alias("turn")).alias("index")
+    answers = turns.where("role = 'assistant' and turn > 0").select(key, F.col("text").alias("answer"))
+    questions = turns.select(F.struct("conv_id", (F.col("turn") + 1).alias("turn")).alias("index"), F.col("text").alias("question"))
+    return evaluation.sheets(answers, questions).select("index.*", "question", "answer")

@@ -21,6 +21,30 @@ def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", tx.mask_phone(phone).alias("phone"), tx.mask_account(account).alias("account"), tx.mask_invoice(F.concat(F.lit("INV"), key)).alias("invoice"), tx.mask_hashed(F.col("c_name"), "salt").alias("person"))
 
 
+_MASKED = [("amount", "1,234,567.89", "***,***.00"), ("amount", " ", ""), ("invoice", "INV 2024 0315 0001", "INV2****0001"), ("invoice", "INV1", "****"), ("account", "６２２８4800 1234", "6228 **** 1234"), ("account", "12345678", "****"), ("account", "6228480012341234567", "6228 **** **** **** 4567"), ("phone", "+86 138-1234-5678", "861****5678"), ("phone", "1234567", "****")]
+_HASHED = [("filename", "a.pdf", "a.pdf"), ("hashed", "110101 1990-0307", "salt|1101011990" + "0307"), ("hashed", "Jörg Öz", "salt|jörgöz")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str((i, *x[::2])) for i, x in enumerate(_MASKED))}) t(nr, category, masked) UNION ALL SELECT nr, category, sha256(plain) FROM (VALUES {', '.join(str((100 + i, *x[::2])) for i, x in enumerate(_HASHED))}) t(nr, category, plain)")
+def mask_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal values of all categories, at and below the lengths that may show anything."""
+    rows = spark.createDataFrame([(i, c, v) for at, cases in ((0, _MASKED), (100, _HASHED)) for i, (c, v, _) in enumerate(cases, at)], "nr int, category string, value string")
+    out = F.when(F.lit(False), F.col("value"))
+    for category in tx.SENSITIVE:
+        out = out.when(F.col("category") == category, tx.masked(F.col("value"), category, "salt"))
+    return rows.select("nr", "category", out.alias("masked"))
+
+
+_LOGGED = [(1, '{"amount": "5", "note": "x", "who": {"phone": "13812345678", "deep": [{"tax_id": "A1"}, "13812345678"]}, "n": 3}', '{"amount": "***,***.00", "note": "x", "who": {"phone": "138****5678", "deep": [{"tax_id": "@"}, "13812345678"]}, "n": 3}'), (2, "[1]", "****"), (3, "oops", "****"), (4, None, None), (5, '{"secret": "s"}', '{"secret": "****"}')]
+
+
+@query(f"SELECT nr, replace(masked, '@', sha256('salt|a1')) AS masked FROM (VALUES {', '.join(f"({i}, {'NULL' if w is None else repr(w)})" for i, _, w in _LOGGED)}) t(nr, masked)")
+def mask_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal log records: nested objects, lists, what is no object, a field of an unknown category."""
+    rows = spark.createDataFrame([x[:2] for x in _LOGGED], "nr int, payload string")
+    return rows.select("nr", tx.masked_json(F.col("payload"), "salt", {"secret": "unknown"}).alias("masked"))
+
+
 _GRANTS = [("ana", "reader", "nation", "read", "0,1,2"), ("ana", "auditor", "nation", "read", "2,3"), ("ben", "admin", "nation", "read", None), ("ben", "reader", "nation", "read", "4"), ("cy", "reader", "nation", "write", "5")]
 
 
@@ -28,7 +52,9 @@ _GRANTS = [("ana", "reader", "nation", "read", "0,1,2"), ("ana", "auditor", "nat
     SELECT person, n_nationkey FROM s JOIN nation ON every OR list_contains(string_split(ids, ','), n_nationkey::VARCHAR)""")
 def rbac_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = spark.createDataFrame(_GRANTS, "person string, role string, resource string, action string, scope string")
-    return governance.permitted(grants, table(spark, sf_dir, "nation").select("n_nationkey"), "nation", "read", "n_nationkey")
+    roles = spark.createDataFrame([(r, r, "o1") for r in ("reader", "auditor", "admin")], "role_id string, role string, org_id string")
+    own = governance.role_grants(grants.withColumnRenamed("role", "role_id").withColumn("org_id", F.lit("o1")), roles)
+    return governance.permitted(own, table(spark, sf_dir, "nation").select("n_nationkey"), "nation", "read", "n_nationkey")
 
 
 @query("SELECT doc_id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
@@ -65,7 +91,7 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("props", "k", "kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 200), '[0-9A-Za-z]+(?:[-_./][0-9A-Za-z]+)*'), lambda x: lower(x))[1] AS first_token, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS snippet, 'DOC:' || substr(sha256(doc_id::VARCHAR || '|' || source), 1, 16) AS node_id FROM documents""")
+@query("""SELECT doc_id, list_transform([regexp_extract(text, '[0-9A-Za-z]+(?:[-_./][0-9A-Za-z]+)*')], lambda x: nullif(lower(x), ''))[1] AS first_token, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS snippet, 'DOC:' || substr(sha256(doc_id::VARCHAR || '|' || source), 1, 16) AS node_id FROM documents""")
 def document_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.try_element_at(F.transform(F.regexp_extract_all(F.substring("text", 1, 200), F.lit(tx.TOKEN), 1), F.lower), F.lit(1))
+    first = F.nullif(F.lower(F.regexp_extract("text", tx.TOKEN, 1)), F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", first.alias("first_token"), tx.snippet(F.col("text"), 80).alias("snippet"), tx.hashed_id("DOC", F.col("doc_id").cast("string"), F.col("source")).alias("node_id"))

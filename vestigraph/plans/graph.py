@@ -40,7 +40,7 @@ _GRAPH = """
     h2 AS (SELECT start, u.dst AS terminal, list_append(ids, u.dst) AS ids, list_append(used, edge) AS used, list_append(froms, f) AS froms, list_append(tos, t) AS tos, 2 AS hops FROM h1 JOIN u ON u.src = h1.terminal AND NOT list_contains(used, edge) WHERE h1.terminal NOT LIKE 'R%'),
     h3 AS (SELECT start, u.dst AS terminal, list_append(ids, u.dst) AS ids, list_append(used, edge) AS used, list_append(froms, f) AS froms, list_append(tos, t) AS tos, 3 AS hops FROM h2 JOIN u ON u.src = h2.terminal AND NOT list_contains(used, edge) WHERE h2.terminal NOT LIKE 'R%'),
     p AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3),
-    v AS (SELECT start, terminal, hops, array_to_string(ids, '/') AS path, ids, CASE WHEN len(list_filter(froms, lambda x: x IS NULL)) > 0 THEN 'unknown' WHEN list_min(tos) IS NULL OR list_max(froms) < list_min(tos) THEN 'consistent' ELSE 'inconsistent' END AS verdict,
+    v AS (SELECT start, terminal, hops, array_to_string(ids, '/') AS path, ids, CASE WHEN len(list_filter(froms, lambda x: x IS NULL)) > 0 THEN 'unknown' WHEN list_min(tos) IS NULL OR list_max(froms) <= list_min(tos) THEN 'consistent' ELSE 'inconsistent' END AS verdict,
                  coalesce(froms[-1] <= DATE '1999-01-01' AND (tos[-1] IS NULL OR tos[-1] > DATE '1999-01-01'), false) AS proven FROM p)
 """
 
@@ -91,11 +91,11 @@ def _nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("aliases"), (F.col("n_nationkey") / 100).alias("confidence"))
     t = lambda n: table(spark, sf_dir, n)
     trade = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    edges = trade.where("l_quantity > 45").select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), F.lit("sells").alias("kind")).distinct()
+    edges = trade.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), F.lit("sells").alias("kind")).distinct()
     return nodes, edges
 
 
-_TRADE = "e AS (SELECT DISTINCT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 45)"
+_TRADE = "e AS (SELECT DISTINCT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)"
 
 
 @query(f"""WITH {_TRADE}, m AS (SELECT DISTINCT CASE src WHEN 7 THEN 3 ELSE src END AS src, CASE dst WHEN 7 THEN 3 ELSE dst END AS dst FROM e)

@@ -170,19 +170,50 @@ def edge_temporal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.coverage(_status_edges(spark, sf_dir), "tail")
 
 
-@query("""WITH f AS (SELECT o_orderkey AS fact_id, o_custkey AS head, o_orderpriority AS tail, o_orderdate::DATE AS d, o_orderkey AS source FROM orders)
-    SELECT a.fact_id, min(b.d)::VARCHAR AS expires_at FROM f a JOIN f b ON a.head = b.head AND a.tail <> b.tail AND a.source <> b.source AND b.d > a.d GROUP BY 1""")
+_POLICIES = [("F", "single_current"), ("P", "append"), ("*", "single_current")]
+_FACTS = """
+    f AS (SELECT o_orderkey AS fact_id, o_custkey AS head, o_orderstatus AS relation, o_orderpriority AS tail, o_orderdate::DATE AS d, o_orderkey % 50 AS source, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate::DATE + 5 END AS ends FROM orders WHERE o_orderstatus <> 'P'),
+    r1 AS (SELECT a.fact_id, min(b.d) AS expires_at FROM f a JOIN f b ON a.head = b.head AND a.relation = b.relation AND a.tail <> b.tail AND a.source <> b.source AND b.d > a.d WHERE a.ends IS NULL GROUP BY 1)
+"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's priority by status, told by the fifty sources that orders come from; some facts have ended."""
+    day = F.to_date("o_orderdate")
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("head"), F.col("o_orderstatus").alias("relation"), F.col("o_orderpriority").alias("tail"), day.alias("valid_from"), (F.col("o_orderkey") % 50).alias("source"), F.when(F.col("o_orderkey") % 9 == 0, F.date_add(day, 5)).alias("valid_to"))
+    return facts, spark.createDataFrame(_POLICIES, "relation string, policy string")
+
+
+@query(f"WITH {_FACTS} SELECT fact_id, expires_at::VARCHAR AS expires_at FROM r1")
 def single_current_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("head"), F.lit("priority").alias("relation"), F.col("o_orderpriority").alias("tail"), F.to_date("o_orderdate").alias("valid_from"), F.col("o_orderkey").alias("source"))
-    policies = spark.createDataFrame([("priority", "single_current")], "relation string, policy string")
-    return temporal.earliest_expiry(temporal.superseded(facts, policies)).select("fact_id", F.col("expires_at").cast("string"))
+    return temporal.earliest_expiry(temporal.superseded(*_facts(spark, sf_dir))).select("fact_id", F.col("expires_at").cast("string"))
+
+
+@query(f"WITH {_FACTS} SELECT o_orderkey AS fact_id, coalesce(ends, expires_at)::VARCHAR AS valid_to FROM orders LEFT JOIN f ON fact_id = o_orderkey LEFT JOIN r1 USING (fact_id)")
+def arbitration_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fact with the day that closes it; facts whose relation appends stay open."""
+    facts, policies = _facts(spark, sf_dir)
+    appends = F.when(F.col("relation") != "P", F.col("valid_to")).alias("valid_to")
+    rows = temporal.sealed(facts.select("fact_id", appends), temporal.superseded(facts, policies))
+    return rows.select("fact_id", F.col("valid_to").cast("string"))
+
+
+_ANCHORED = """
+    l AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fact_id, l_suppkey AS head, l_returnflag AS relation, l_partkey % 5 AS tail, CASE WHEN l_quantity > 1 THEN date_trunc('month', l_shipdate)::DATE END AS d, CASE WHEN l_quantity < 50 THEN l_linenumber END AS pos, [l_orderkey, l_partkey, l_suppkey, l_quantity::BIGINT] AS ord FROM lineitem),
+    g AS (SELECT head, relation, d, count(*) AS n, count(pos) AS known, arg_max(tail, [[pos]::BIGINT[], ord]) AS kept FROM l WHERE d IS NOT NULL AND relation <> 'A' GROUP BY 1, 2, 3)
+"""
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS nth FROM lineitem)
-    SELECT l_orderkey, l_partkey, l_linenumber::INT AS l_linenumber, l_suppkey, nth = 1 AS survives FROM r""")
+@query(f"WITH {_ANCHORED} SELECT fact_id, min(l.d)::VARCHAR AS expires_at FROM l JOIN g USING (head, relation, d) WHERE n > 1 AND n = known AND tail <> kept GROUP BY 1")
 def same_anchor_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("ordinal", F.struct("l_partkey", "l_suppkey", "l_quantity"))
-    return temporal.last_of_anchor(lines, ["l_orderkey"], "l_linenumber", "ordinal").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("int"), "l_suppkey", "survives")
+    """What a supplier delivers in a month: of several parts the last by line stays, where all lines are known."""
+    ordinal = F.array("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.col("l_suppkey").alias("head"), F.col("l_returnflag").alias("relation"), (F.col("l_partkey") % 5).alias("tail"),
+        F.when(F.col("l_quantity") > 1, F.trunc("l_shipdate", "month")).alias("valid_from"), F.when(F.col("l_quantity") < 50, F.col("l_linenumber")).alias("tail_position"), ordinal.alias("ordinal"),
+    )
+    policies = spark.createDataFrame([("N", "single_current"), ("R", "single_current")], "relation string, policy string")
+    return temporal.earliest_expiry(temporal.same_anchor(lines, policies)).select("fact_id", F.col("expires_at").cast("string"))
 
 
 @query("""WITH present AS (SELECT n_nationkey AS id, unnest(CASE n_nationkey % 4 WHEN 0 THEN [0, 1, 2] WHEN 1 THEN [1, 2] WHEN 2 THEN [2] ELSE [0, 2] END) AS rank FROM nation),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigraph.functions import text as tx
-from vestigraph.operators import evaluation, retrieval
+from vestigraph.operators import evidence, retrieval
 from vestigraph.plans.registry import query, table
 
 _TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+(?:[-_./][0-9A-Za-z]+)*'), lambda x: lower(x))"
@@ -21,8 +21,7 @@ _BM25 = f"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    scores = retrieval.bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return retrieval.top(scores, "item_id", F.round("score", 6), "doc_id", k)
+    return retrieval.bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank::INT AS rank FROM k WHERE rank <= 10")
@@ -31,45 +30,42 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_BM25}, l AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1)
-    SELECT item_id, doc_id, 'lexical' AS origin FROM k WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, 'graph' FROM benchmark, l WHERE NOT EXISTS (SELECT 1 FROM k WHERE rank <= 5 AND k.item_id = benchmark.item_id AND k.doc_id = l.doc_id)""")
+    SELECT item_id, doc_id, 'lexical' AS origin FROM k WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, 'graph' FROM benchmark, l WHERE doc_id % 40 = item_id % 40 AND NOT EXISTS (SELECT 1 FROM k WHERE rank <= 5 AND k.item_id = benchmark.item_id AND k.doc_id = l.doc_id)""")
 def lexical_graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical hits, and documents that labels link to every question, less those already there."""
+    """Lexical hits, and the labelled documents that a question's topic leads to, less those already there. Remainders by 40 stand for topics."""
     lexical = _bm25(spark, sf_dir, 5).select("item_id", "doc_id", F.lit("lexical").alias("origin"))
-    linked = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 1").select("doc_id")
-    graph = linked.join(F.broadcast(table(spark, sf_dir, "benchmark").select("item_id")))  # the questions are a bounded test set
+    linked = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 1").select("doc_id", (F.col("doc_id") % 40).alias("topic"))
+    graph = linked.join(table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("topic")), "topic").select("item_id", "doc_id")
     return lexical.unionByName(graph.join(lexical, ["item_id", "doc_id"], "left_anti").withColumn("origin", F.lit("graph")))
 
 
-@query(f"""WITH {_BM25}, g AS (SELECT item_id, doc_id FROM (SELECT item_id, substr(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), 1, 60) AS key FROM benchmark) b JOIN documents ON contains(regexp_replace(documents.text, '[^A-Za-z ]', ' ', 'g'), key)),
+@query(f"""WITH {_BM25}, t AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY length(token) DESC, token) AS nth FROM q), g AS (SELECT item_id, doc_id FROM t JOIN tf USING (token) WHERE nth = 1),
     h AS (SELECT item_id, g.doc_id, rank FROM g LEFT JOIN k USING (item_id, doc_id))
     SELECT item_id, count(*) AS n_gold, count_if(rank <= 32) AS n_pool, count_if(rank <= 8) AS n_final FROM h GROUP BY 1""")
 def recall_at_k_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's first characters, and how many of them the pool and its head contain."""
-    plain = lambda c: F.regexp_replace(c, "[^A-Za-z ]", " ")
-    keys = table(spark, sf_dir, "benchmark").select("item_id", F.substring(plain("text"), 1, 60).alias("key"))
-    gold = table(spark, sf_dir, "documents").select("doc_id", plain("text").alias("plain")).join(F.broadcast(keys), F.expr("contains(plain, key)")).select("item_id", "doc_id")
+    """Documents that hold a question's key, its longest token, and how many of them the pool and its head contain."""
+    words = lambda: F.explode(F.array_distinct(tx.tokens(F.coalesce("text", F.lit(""))))).alias("token")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", words())
+    keys = asked.groupBy("item_id").agg(F.min_by("token", F.struct(-F.length("token"), "token")).alias("token"))
+    gold = table(spark, sf_dir, "documents").select("doc_id", words()).join(keys, "token").select("item_id", "doc_id")
     pool = _bm25(spark, sf_dir, 32).select("item_id", "doc_id", "rank")
     found = gold.join(pool, ["item_id", "doc_id"], "left")
     return found.groupBy("item_id").agg(F.count("*").alias("n_gold"), F.count("rank").alias("n_pool"), F.count_if(F.col("rank") <= 8).alias("n_final"))
 
 
-_OVERLAP = """
-    b AS (SELECT item_id, lower(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]', '', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, source, length(text) AS size, lower(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]', '', 'g')) AS t FROM documents),
-    q AS (SELECT item_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM b), e AS (SELECT doc_id, source, size, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM d)
+_GRAMS = "list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]))"
+_OVERLAP = f"""
+    b AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS c FROM benchmark)),
+    e AS (SELECT doc_id, source, size, {_GRAMS} AS g FROM (SELECT doc_id, source, length(text) AS size, string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS c FROM documents)),
+    x AS (SELECT doc_id, item_id, source, size, CASE WHEN len(b.g) > 0 THEN round(len(list_intersect(b.g, e.g)) / len(b.g), 6) ELSE 0 END AS score FROM e, b)
 """
 
 
-def _ascii_bigrams(column: str):
-    return F.array_distinct(tx.windows(F.lower(F.regexp_replace(F.coalesce(column, F.lit("")), "[^0-9A-Za-z]", "")), 2))
-
-
-@query(f"WITH {_OVERLAP} SELECT doc_id, max(round(len(list_intersect(q.g, e.g)) / len(q.g), 6)) AS best_overlap FROM e, q GROUP BY 1")
+@query(f"WITH {_OVERLAP} SELECT doc_id, max(score)::DOUBLE AS best_overlap FROM x GROUP BY 1")
 def bigram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best coverage of any question's bigrams by each document."""
-    asked = table(spark, sf_dir, "benchmark").select(_ascii_bigrams("text").alias("q"))
-    held = asked.agg(F.collect_list("q").alias("questions"))  # the questions are a bounded test set
-    docs = table(spark, sf_dir, "documents").select("doc_id", _ascii_bigrams("text").alias("g")).join(F.broadcast(held))
-    return docs.select("doc_id", F.array_max(F.transform("questions", lambda q: F.round(tx.coverage(q, F.col("g")), 6))).alias("best_overlap"))
+    scores = retrieval.coverage_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scores.groupBy("doc_id").agg(F.max("score").alias("best_overlap"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -90,38 +86,57 @@ def quota_node_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.quota_nodes(nodes.select("id", "kind", F.coalesce("n", F.lit(0)).cast("long").alias("degree")), 100)
 
 
-@query(f"""WITH {_OVERLAP}, x AS (SELECT doc_id, source, round(len(list_intersect((SELECT g FROM q WHERE item_id = 0), g)) / (SELECT len(g) FROM q WHERE item_id = 0), 6) AS score, size AS mentions, doc_id AS char_start FROM e),
-    n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, mentions DESC, char_start, doc_id) AS nth FROM x), s AS (SELECT *, source IS NOT NULL AND nth <= greatest(floor(64 / (SELECT count(DISTINCT source) FROM x)), 1) AS sure FROM n)
-    SELECT doc_id, source, score, mentions, char_start, sure FROM s ORDER BY sure DESC, score DESC, mentions DESC, char_start, doc_id LIMIT 64""")
+@query(f"""WITH {_OVERLAP}, y AS (SELECT *, nullif(source, 'src0') AS grp, size AS mentions, doc_id % 3 AS spans, doc_id // 2 AS char_start FROM x),
+    n AS (SELECT *, grp IS NOT NULL AND row_number() OVER (PARTITION BY item_id, grp ORDER BY score DESC, mentions DESC, char_start, doc_id) <= greatest(floor(64 / (SELECT count(DISTINCT grp) FROM y)), 1) AS sure FROM y),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sure DESC, score DESC, sure OR spans > 0 DESC, mentions DESC, char_start, doc_id) AS rank FROM n)
+    SELECT item_id, doc_id, score::DOUBLE AS score, sure, rank::INT AS rank FROM r WHERE rank <= 64""")
 def quota_evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for the first question: each source has sure places."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select(_ascii_bigrams("text").alias("q"))
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(asked))
-    rows = docs.select("doc_id", "source", F.round(tx.coverage(F.col("q"), _ascii_bigrams("text")), 6).alias("score"), F.length("text").cast("long").alias("mentions"), F.col("doc_id").alias("char_start"))
-    return retrieval.quota_evidence(rows, 64)
+    """Evidence for every question: each source but the first has sure places, the rest fills up, rows with a place in the text first."""
+    docs = table(spark, sf_dir, "documents")
+    scores = retrieval.coverage_scores(docs, table(spark, sf_dir, "benchmark"))
+    facts = docs.select("doc_id", F.nullif("source", F.lit("src0")).alias("source"), F.length("text").alias("mentions"), (F.col("doc_id") % 3).alias("spans"), F.expr("doc_id div 2").alias("char_start"))
+    rows = scores.join(facts, "doc_id")
+    return evidence.selected(rows, 64, "item_id", "source", "doc_id").select("item_id", "doc_id", "score", "sure", "rank")
 
 
-@query("""WITH names AS (SELECT DISTINCT lower(p_type) AS name FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part), q AS (SELECT p_partkey AS question_id, 'which ' || p_name || ' of type ' || lower(p_type) || ' is best' AS question FROM part),
-    h AS (SELECT question_id, name FROM q JOIN names ON contains(question, name)),
+@query("""WITH n AS (SELECT name, min(id) AS id FROM (SELECT 'TYPE:' || p_partkey AS id, lower(p_type) AS name FROM part UNION ALL SELECT 'NAME:' || p_partkey, p_name FROM part UNION ALL SELECT 'WORD:' || p_partkey, split_part(p_name, ' ', 2) FROM part) WHERE length(trim(name)) >= 2 GROUP BY 1), q AS (SELECT p_partkey AS question_id, 'which ' || p_name || ' of type ' || lower(p_type) || ' is best' AS question FROM part),
+    h AS (SELECT question_id, name, id FROM q JOIN n ON contains(question, name)),
     m AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.question_id = h.question_id AND length(x.name) > length(h.name) AND contains(x.name, h.name))),
-    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY length(name) DESC, name) AS rank FROM m) SELECT question_id, name, rank::INT AS rank FROM r WHERE rank <= 3""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY length(name) DESC, id) AS rank FROM m) SELECT question_id, id, name, rank::INT AS rank FROM r WHERE rank <= 3""")
 def anchor_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and types in a question on each part; fragments without a namespace are left out."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.explode(F.array(F.lower("p_type"), F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("name"))
+    own = lambda kind, c: F.struct(F.concat(F.lit(kind), "p_partkey").alias("id"), c.alias("name"))
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    nodes = part.select(F.explode(F.array(own("TYPE:", F.lower("p_type")), own("NAME:", F.col("p_name")), own("WORD:", word), own("ent_", word))).alias("n")).select("n.*")
     asked = part.select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("which "), "p_name", F.lit(" of type "), F.lower("p_type"), F.lit(" is best")).alias("question"))
-    return retrieval.anchors(asked, names)
+    return retrieval.anchors(asked, retrieval.derived_only(nodes))
 
 
-@query("SELECT source, count(*) AS n, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS n, substr(sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)), 1, 16) AS fingerprint FROM documents GROUP BY 1")
 def pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.substring(F.sha2(ids, 256), 1, 16).alias("fingerprint"))
+    found = retrieval.fingerprints(table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id")), "source", "id")
+    return found.withColumn("fingerprint", F.substring("fingerprint", 1, 16))
+
+
+_ASKED = [(1, "green ivory part of type small plated"), (2, "ivory"), (3, "BRASS steel"), (4, "")]
+
+
+@query(f"""WITH q(query_id, query) AS (VALUES {', '.join(map(str, _ASKED))}), n AS (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT p_partkey + 10000000, lower(p_type) FROM part),
+    t AS (SELECT query_id, query, list_filter(list_distinct([query] || string_split(query, ' ')), lambda x: x <> '') AS ts FROM q WHERE query <> ''),
+    s AS (SELECT query_id, id, name, CASE WHEN query = name THEN 100 WHEN contains(name, query) THEN 95 WHEN contains(query, name) THEN 90 WHEN list_contains(list_filter(ts, lambda x: x <> query), name) THEN 85 WHEN len(list_filter(ts, lambda x: x <> query AND contains(name, x))) > 0 THEN 70 WHEN len(list_filter(ts, lambda x: length(x) >= 2 AND contains(x, name))) > 0 THEN 65
+        WHEN len(list_intersect(list_distinct(string_split(name, '')), list_distinct(string_split(query, '')))) >= 2 AND len(list_intersect(list_distinct(string_split(name, '')), list_distinct(string_split(query, '')))) / length(name) >= 0.5 THEN 40 END AS score FROM t, n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score IS NOT NULL)
+    SELECT query_id, id, name, score, rank::INT AS rank FROM r WHERE rank <= 8""")
+def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and types that answer a few free queries."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).unionByName(part.select((F.col("p_partkey") + 10000000).alias("id"), F.lower("p_type").alias("name")))
+    return retrieval.matches(names, spark.createDataFrame(_ASKED, "query_id int, query string"))
 
 
-@query("""SELECT doc_id, CASE WHEN a IS NULL AND b IS NULL THEN 'absent' WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS drift
-    FROM (SELECT d.doc_id, quality AS a, CASE WHEN n_chars > 500 THEN 1 WHEN n_chars > 100 THEN 0 END AS b FROM documents d LEFT JOIN labels l USING (doc_id))""")
-def answer_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readings of each document's quality, compared."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    second = F.when(F.col("n_chars") > 500, 1).when(F.col("n_chars") > 100, 0)
-    return docs.select("doc_id", evaluation.drift(F.col("quality"), second).alias("drift"))
+@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> '')) AS g FROM documents), q AS (SELECT list_distinct(string_split('Zürich quartz jukebox, 1984?', '')) AS g)
+    SELECT doc_id, round(len(list_intersect(q.g, t.g)) / len(q.g), 6) AS overlap FROM t, q""")
+def character_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.round(tx.character_overlap(F.lit("Zürich quartz jukebox, 1984?"), F.col("text")), 6).alias("overlap"))

@@ -33,7 +33,16 @@ def overtime_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT user_id, count(*) AS days, min(day) AS a, max(day) AS b FROM i GROUP BY user_id, island), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days DESC, a) AS nth FROM r)
     SELECT user_id, days, a::VARCHAR AS first_day, b::VARCHAR AS last_day FROM n WHERE nth = 1 AND days >= 6""")
 def longest_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.longest_streak(_days(spark, sf_dir), "user_id", "day", 6)
+    found = rules.longest_streak(_days(spark, sf_dir).select("user_id", "day").distinct(), "user_id", "day", 6)
+    return found.select("user_id", "days", F.col("first_day").cast("string"), F.col("last_day").cast("string"))
+
+
+@query(f"""WITH {_DAYS}, g AS (SELECT user_id, day, ts, event_type, CASE WHEN day - lag(day) OVER w = 1 THEN 0 ELSE 1 END AS fresh FROM e WHERE event_type <> 'view' WINDOW w AS (PARTITION BY user_id ORDER BY day, ts)),
+    i AS (SELECT user_id, day, sum(fresh) OVER (PARTITION BY user_id ORDER BY day, ts ROWS UNBOUNDED PRECEDING) AS island FROM g), r AS (SELECT user_id, count(*) AS days, min(day) AS a, max(day) AS b FROM i GROUP BY user_id, island),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days DESC, a) AS nth FROM r) SELECT user_id, days, a::VARCHAR AS first_day, b::VARCHAR AS last_day FROM n WHERE nth = 1 AND days >= 2""")
+def streak_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over rows that repeat days: a repeated day ends a run."""
+    found = rules.longest_streak(_days(spark, sf_dir).where("event_type != 'view'"), "user_id", "day", 2)
     return found.select("user_id", "days", F.col("first_day").cast("string"), F.col("last_day").cast("string"))
 
 
@@ -64,16 +73,81 @@ def weighted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("day").cast("string").alias("day"), sure.alias("confidence")).withColumn("conclusion", rules.conclusion(F.col("confidence")))
 
 
-_POLICY = [(1, 1, "hours: normal week"), (1, 2, "each week has 40 hours at most"), (2, 1, "a week over 44 hours is high"), (2, 2, "monthly overtime is 36 hours"), (3, 1, "monthly standard is 166.5 hours")]
-_POLICY_PATTERNS = [("weekly_cap", r"each week has (\d+(?:\.\d+)?) hours"), ("weekly_cap", r"week over (\d+(?:\.\d+)?) hours"), ("monthly_overtime", r"monthly overtime is (\d+(?:\.\d+)?)"), ("monthly_standard", r"monthly standard is (\d+(?:\.\d+)?)"), ("core_hours", r"core hours are (\d+)")]
+_POLICY = [(1, 1, "标准工时制：周工作超过 44 小时的为高风险"), (1, 2, "员工每周工作 40 小时"), (2, 1, "每周工作 38 小时；月标准工时为174小时"), (2, 2, "月累计加班超过 36 小时"), (1, 3, "核心在岗时段为 10:00 至 16:30"), (2, 3, "核心时段未在岗超过 5 次"), (3, 1, "连续出勤达到 12 天，季度剩余不足15天")]
+_POLICY_VALUES = [("weekly_hours_cap", 44.0, 1, 1, 1), ("monthly_standard_hours", 174.0, 2, 1, 2), ("monthly_overtime_cap", 36.0, 2, 2, 4), ("core_hours_required", 6.5, 1, 3, 5), ("core_absence_limit", 5.0, 2, 3, 7), ("consecutive_days_limit", 12.0, 3, 1, 8), ("comp_off_quarter_remaining_days", 15.0, 3, 1, 9)]
 
 
-@query(f"""WITH s(source_no, segment_no, text) AS (VALUES {', '.join(map(str, _POLICY))}), p(pattern_no, key, pattern) AS (VALUES {', '.join(str((i, k, x)) for i, (k, x) in enumerate(_POLICY_PATTERNS)).replace(chr(92) * 2, chr(92))}),
-    m AS (SELECT *, nullif(regexp_extract(text, pattern, 1), '') AS v FROM s, p), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_no, segment_no, pattern_no) AS nth FROM m WHERE v IS NOT NULL)
-    SELECT key, v::DOUBLE AS value, source_no, segment_no, pattern_no FROM r WHERE nth = 1""")
+@query(f"SELECT key, value::DOUBLE AS value, source_no, segment_no, pattern_no FROM (VALUES {', '.join(map(str, _POLICY_VALUES))}) t(key, value, source_no, segment_no, pattern_no)")
 def policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal policies: a rule's first source and segment count, whichever of its patterns matches there."""
     sources = spark.createDataFrame(_POLICY, "source_no int, segment_no int, text string")
-    return rules.first_match(sources, _POLICY_PATTERNS, ["source_no", "segment_no"])
+    return rules.first_match(sources, list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
+
+
+@query("SELECT * FROM (VALUES ('monthly_standard_hours'), ('core_hours_required'), ('made_up')) t(key)")
+def policy_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = spark.createDataFrame([x for x in _POLICY if x[0] != 2 and x[1] != 3], "source_no int, segment_no int, text string")
+    found = rules.first_match(sources, list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
+    return rules.unresolved(found, ["weekly_hours_cap", "monthly_standard_hours", "core_hours_required", "consecutive_days_limit", "made_up"])
+
+
+@query("""SELECT source, doc_id::VARCHAR AS reference, substr(regexp_replace(text, '^ +| +$', '', 'g'), 1, 200) AS text FROM documents WHERE contains(text, 'The ') ORDER BY source, doc_id LIMIT 5""")
+def policy_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("reference"), "text")
+    return rules.sentences(segments, "The ", ["source", "doc_id"])
+
+
+@query("""WITH u AS (SELECT user_id, round(sum(value), 2) AS earned, round(sum(CASE WHEN event_id % 40 = 0 THEN value ELSE 0 END), 2) AS used FROM events WHERE event_type <> 'view' GROUP BY 1), l AS (SELECT max(ts)::DATE AS d FROM events),
+    q AS (SELECT ((date_trunc('quarter', d) + INTERVAL 3 MONTH)::DATE - 1 - d)::INT AS days_left FROM l)
+    SELECT user_id, earned, days_left, CASE WHEN days_left < 61 THEN 'high' ELSE 'medium' END AS level FROM u, q WHERE earned > 0 AND used <= 0""")
+def comp_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events earn time and whose events have no round number, which stands for using it; the last day of the data is observed."""
+    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), "event_type", "event_id", "value")
+    day = rules.observation_day(days)
+    rows = days.where("event_type != 'view'").join(F.broadcast(day)).withColumn("used", F.when(F.col("event_id") % 40 == 0, F.col("value")).otherwise(0.0))
+    found = rules.comp_off(rows.withColumn("who", F.struct("user_id", "day")), "who", "value", "used", F.col("who.day"), 61)
+    return found.select("who.user_id", "earned", "days_left", "level")
+
+
+_MARKDOWN = ["头一段\n\n第十一条 适用标准工时制的岗位。\n\n末段", "第一条 综合工时制和标准工时制。", "无关的一段\n\n第二条 没有名字"]
+_CLAUSES = [("c1", 0, 5, 9), ("c2", 1, 0, 3), ("c3", 2, 7, 10), ("c4", 2, 90, 95), ("c5", 0, 0, 3)]
+_PARAGRAPHS = {"c1": "第十一条 适用标准工时制的岗位。", "c2": "第一条 综合工时制和标准工时制。", "c3": "第二条 没有名字", "c4": None, "c5": "头一段"}
+
+
+def _clauses(spark: SparkSession) -> DataFrame:
+    docs = spark.createDataFrame(list(enumerate(_MARKDOWN)), "doc_id int, markdown string")
+    clauses = spark.createDataFrame(_CLAUSES, "clause_id string, doc_id int, start int, end int").join(docs, "doc_id")
+    return clauses.select("clause_id", "doc_id", rules.paragraph(F.col("markdown"), F.col("start"), F.col("end")).alias("text"))
+
+
+@query(f"""SELECT * FROM (VALUES {', '.join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _PARAGRAPHS.items())}) t(clause_id, text)""")
+def clause_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clauses(spark).drop("doc_id")
+
+
+@query("""SELECT * FROM (VALUES ('S', 'c1', '2024-01-01', 'inherited'), ('S', 'c2', '2020-05-05', 'doc_scope'), ('Z', 'c2', '2020-05-05', 'doc_scope')) t(system_id, clause_id, valid_from, origin)""")
+def policy_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal clauses that name systems; one has a window of its own, one its document's."""
+    systems = spark.createDataFrame([("S", "标准工时制"), ("Z", "综合工时制"), ("F", "不定时工作制")], "system_id string, name string")
+    windows = spark.createDataFrame([("c1", "2024-01-01", None)], "clause_id string, valid_from string, valid_to string")
+    document = spark.createDataFrame([(1, "2020-05-05", None)], "doc_id int, valid_from string, valid_to string")
+    return rules.bridged(_clauses(spark), systems, windows, document).select("system_id", "clause_id", "valid_from", "origin")
+
+
+@query(f"""WITH {_DAYS}, d AS (SELECT DISTINCT user_id, day FROM e), x AS (SELECT user_id, day, event_type, cents % 3 AS site FROM e),
+    t AS (SELECT user_id, day + k AS day, nullif(site, 0) AS site FROM x, (VALUES (0), (1)) v(k) WHERE event_type = 'signup'),
+    tt AS (SELECT user_id, day, count(site) > 0 AS sited FROM t GROUP BY 1, 2), o AS (SELECT user_id, day, bool_or(cents % 2 = 0) AS closed FROM e WHERE event_type = 'purchase' GROUP BY 1, 2),
+    l AS (SELECT user_id, day, bool_or(NOT coalesce(sited, false) OR EXISTS (SELECT 1 FROM t WHERE t.user_id = x.user_id AND t.day = x.day AND t.site = x.site)) AS ok FROM x LEFT JOIN tt USING (user_id, day) WHERE event_type = 'view' GROUP BY 1, 2),
+    a AS (SELECT DISTINCT user_id, day FROM e WHERE event_type = 'click')
+    SELECT d.user_id AS who, d.day::VARCHAR AS day, tt.user_id IS NOT NULL AS trip_approved, coalesce(closed, false) AS order_closed, coalesce(ok, false) AS location_match, EXISTS (SELECT 1 FROM a WHERE a.user_id = d.user_id AND a.day = d.day - 1) AND NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = d.user_id AND a.day = d.day) AS access_contrast
+    FROM d LEFT JOIN tt USING (user_id, day) LEFT JOIN o USING (user_id, day) LEFT JOIN l USING (user_id, day)""")
+def attribution_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as trips of two days, purchases as orders, views as places, clicks as access."""
+    e = _days(spark, sf_dir).withColumnRenamed("user_id", "who").withColumn("site", (F.col("cents") % 3).cast("string"))
+    of = lambda t: e.where(F.col("event_type") == t)
+    trips = of("signup").select("who", F.col("day").alias("start"), F.date_add("day", 1).alias("end"), F.when(F.col("site") != "0", F.col("site")).otherwise("").alias("site"), F.lit("approved").alias("status"))
+    orders = of("purchase").select("who", "day", (F.col("cents") % 2 == 0).alias("closed"))
+    return rules.day_facts(e, trips, orders, of("view").select("who", "day", "site"), of("click")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, DATE '1995-01-01' + (10592 + o_orderkey % 30)::INT AS d FROM orders WHERE o_orderpriority = '1-URGENT')

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parent.parent)
+_shipped: set[str] = set()
 
 
 def build(app: str = "vestigraph", **conf: str) -> SparkSession:
@@ -21,9 +24,14 @@ def build(app: str = "vestigraph", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it isn't installed but on the same path, as in local mode and tests."""
-    env = spark.sparkContext.environment
+    """Gives Python workers this package: by its path in local mode and where all machines see it, and as a file on a cluster, once for each session."""
+    context = spark.sparkContext
+    env = context.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    if not context.master.startswith("local") and context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="vestigraph-")
+        context.addPyFile(shutil.make_archive(f"{folder}/vestigraph_package", "zip", ROOT, "vestigraph"))
+        _shipped.add(context.applicationId)
     return spark
