@@ -22,11 +22,19 @@ def csv(spark: SparkSession, path: str, schema: str, optional: bool = False) ->
 
 
 def json(spark: SparkSession, path: str, schema: str, version: str | None = None, array: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and those that don't, with what could be read of them, their text (_bad) and what is wrong. array: the file is one JSON value over many lines. With a version, another schema_version raises."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("multiLine", array).json(path)
+    """Rows that fit the schema, and those that don't, as their text (_bad) with what is wrong.
+
+    A line is an object; with `array` a file is, or is a list of them over many lines. With a version, another
+    schema_version raises.
+    """
+    lines = spark.read.text(path, wholetext=array).where("trim(value) != ''")
+    if array:
+        each = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+        lines = lines.select(F.explode(F.coalesce(each, F.array("value"))).alias("value"))
+    rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
     if version is not None and not rows.where(~F.col("schema_version").eqNullSafe(F.lit(version))).isEmpty():
         raise ValueError(f"not schema version {version}")
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").withColumn("error", F.lit("not of the schema"))
+    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad", F.lit("not of the schema").alias("error"))
 
 
 def imported(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
