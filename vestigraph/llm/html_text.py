@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from vestigraph.llm.common import small_batches, text_of
 
-TRAIN_PAGES, EPOCHS = 400, 6
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+TRAIN_PAGES, EPOCHS = 700, 6
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img math mi mo mn mrow msup msub mfrac msqrt mtext semantics annotation svg g path rect circle text tspan font nobr acronym output meter progress noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style noscript template head title svg math iframe object select textarea".split())
+#: Not shown as text: code, the head, what stands in for embedded things, and the controls of forms.
+_UNSEEN = frozenset("script style template head title iframe object audio video canvas select datalist textarea button".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SPACE, _NAME = re.compile(r"\s+"), re.compile(r"[a-z]+")
 _NOTICE = re.compile(r"cookie|subscri|newsletter|copyright|©|all rights|privacy|sign ?up|log ?in|advert|sponsor|share|related|comment|reply", re.I)
@@ -106,16 +107,40 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
     return parser.blocks
 
 
+_BOX = ("article", "main", "nav", "aside", "footer", "header", "form", "section")
+
+
+def _holder(path: tuple) -> tuple:
+    """The element that a block stands in among others of its kind."""
+    return path[:-1]
+
+
 def features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
+    """Feature names of each block: its tag, ancestors and their names, its own text, and what stands in the same element, so that prose is known without any telling name around it."""
     out, headed, memo = [], False, {}
+    plain: dict[tuple, int] = {}
+    links: dict[tuple, int] = {}
+    for text, path, linked in blocks:
+        at = _holder(path)
+        plain[at] = plain.get(at, 0) + max(0, len(text) - linked)
+        links[at] = links.get(at, 0) + linked
+    whole = max(1, sum(plain.values()))
+    most = max(plain.values(), default=0)
+    before = ()
     for nth, (text, path, linked) in enumerate(blocks):
         if path not in memo:
             tags = [t for t, _ in path]
-            inner = next((t for t in reversed(tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form", "section")), "none")
-            memo[path] = [*(f"has {t}" for t in set(tags)), *(f"name {n}" for n in {n for _, ns in path for n in ns}), *(f"last {n}" for n in (path[-1][1] if path else ())), f"in {tags[-1] if tags else ''}", f"inner {inner}"]
+            inner = next((t for t in reversed(tags) if t in _BOX), "none")
+            at = _holder(path)
+            size, linky = plain[at], links[at]
+            memo[path] = [
+                *(f"has {t}" for t in set(tags)), *(f"name {n}" for n in {n for _, ns in path for n in ns}), *(f"last {n}" for n in (path[-1][1] if path else ())), f"in {tags[-1] if tags else ''}", f"inner {inner}",
+                f"group {min(12, size.bit_length())}", f"group share {min(4, 5 * size // whole)}", f"group links {min(3, 4 * linky // max(1, size + linky))}", f"largest {size == most}",
+            ]
         n = text.count(" ") + 1
         share = min(3, 4 * linked // max(1, len(text)))
-        f = ["bias", f"words {min(6, n.bit_length())}", f"links {share}", f"ends {text[-1] in '.!?:;”"'}", f"headed {headed}", *memo[path]]
+        tag = path[-1][0] if path else ""
+        f = ["bias", f"words {min(6, n.bit_length())}", f"links {share}", f"ends {text[-1] in '.!?:;”"'}", f"headed {headed}", f"{tag} links {share} words {min(4, n.bit_length())}", f"same {path == before}", *memo[path]]
         if n < 40 and _NOTICE.search(text):
             f.append("notice")
         if nth == 0:
@@ -123,6 +148,7 @@ def features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
         if nth == len(blocks) - 1:
             f.append("last block")
         headed |= any(t in ("h1", "h2") for t, _ in path)
+        before = path
         out.append(f)
     return out
 
@@ -253,6 +279,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[tuple[str, s
 
         def block() -> str:
             kind, text = rng.random(), prose(some(1, 1, 2, 3, 6))
+            if rng.random() < 0.16:
+                return odd_block(text)
             if kind < 0.1:
                 text = phrase(1, 6)
                 return content(f"<{(t := some('h2', 'h3'))}>{text}</{t}>", text)
@@ -271,17 +299,49 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[tuple[str, s
                 return content(f"<p><b>{text}<br>", text)
             return content(f"<p>{text}</p>", text)
 
+        def odd_block(text: str) -> str:
+            """Code, formulas, tables, lists of terms, figures and bare text in an element of its own."""
+            kind = rng.randrange(7)
+            if kind == 0:
+                lines = [phrase(1, 5).lower() + some(" = 1;", "();", " {", "") for _ in range(rng.randint(1, 5))]
+                return content(f"<pre>{some('', '<code>')}" + "\n  ".join(lines) + "</pre>", " ".join(lines))
+            if kind == 1:
+                return content(f"<p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {text}</p>", f"{text} x=2 {text}")
+            if kind == 2:
+                rows = [[phrase(1, 3), some(str(rng.randint(1, 999)), phrase(1, 8))] for _ in range(rng.randint(1, 4))]
+                return "<table>" + "".join("<tr>" + "".join(content(f"<td>{x}</td>", x) for x in r) + "</tr>" for r in rows) + "</table>"
+            if kind == 3:
+                term, said = phrase(1, 3), sentence()
+                return "<dl>" + content(f"<dt>{term}</dt>", term) + content(f"<dd>{said}</dd>", said) + "</dl>"
+            if kind == 4:
+                said = phrase(2, 9)
+                return f"<figure><img src=x.png>{content(f'<figcaption>{said}</figcaption>', said)}</figure>"
+            if kind == 5:
+                return content(f"<div>{text}</div>", text)
+            items = [sentence(1, 6) for _ in range(rng.randint(2, 5))]
+            return "<ol>" + "".join(content(f"<li>{x}", x) for x in items) + "</ol>"
+
         title = phrase(2, 10)
         inside = [content(f"<h1>{title}</h1>", title) if rng.random() < 0.9 else ""] + [block() for _ in range(rng.randint(1, 10))]
         for extra, chance in ((advert, 0.35), (notice, 0.15), (form, 0.15), (sidebar, 0.15), (comments, 0.25), (menu, 0.1)):
             if rng.random() < chance:
                 inside.insert(rng.randint(1, len(inside)) if extra is not comments else len(inside), extra())
         body = "".join(inside)
-        main = some(f"<article>{body}</article>", f"<article>{body}</article>", f"<main><article{name('post', 'entry', 'story')}>{body}</article></main>", f"<main>{body}</main>", f"<div{name('content', 'post', 'article', 'entry-content', 'main', 'post-body', 'story')}>{body}</div>", f"<article><section>{body}</section></article>")
+        if rng.random() < 0.1:  # a page of a few words or one stretch of text
+            truth.clear()
+            said = [prose(some(1, 2, 4, 9)) for _ in range(some(1, 1, 2, 3))]
+            body = some(content("<br>".join(said), " ".join(said)), content(f"<p>{' '.join(said)}", " ".join(said)), f"<div>{content('<br><br>'.join(said), ' '.join(said))}</div>", "".join(content(f"<p>{x}</p>", x) for x in said), "".join(content(f"<p><b>{x}<br>", x) for x in said))
+        told = rng.random() < 0.5  # a page may say where its article is, or leave it to be seen
+        if told:
+            main = some(f"<article>{body}</article>", f"<article>{body}</article>", f"<main><article{name('post', 'entry', 'story')}>{body}</article></main>", f"<main>{body}</main>", f"<div{name('content', 'post', 'article', 'entry-content', 'main', 'post-body', 'story')}>{body}</div>", f"<article><section>{body}</section></article>")
+        else:
+            main = some(body, body, f"<div>{body}</div>", f"<div><div>{body}</div></div>", f'<div id="{word()}">{body}</div>', f'<div class="{word()} {word()}">{body}</div>', f"<section>{body}</section>", f"<table><tr><td>{body}</td></tr></table>", f"<center><div>{body}</div></center>", f'<div class="col wrap"><div class="{word()}">{body}</div></div>')
         around = [f() for f, chance in ((header, 0.9), (notice, 0.4), (advert, 0.6), (form, 0.2)) if rng.random() < chance]
         after = [f() for f, chance in ((sidebar, 0.4), (advert, 0.3), (comments, 0.4), (form, 0.2), (notice, 0.2), (footer, 0.9)) if rng.random() < chance]
         if rng.random() < 0.2:
             around.append(sidebar())
+        if rng.random() < 0.1:  # nothing but the article
+            around = after = []
         page = f"<html><head><title>{title}</title></head><body>{''.join(around)}{main}{''.join(after)}</body></html>"
         yield page, truth
 
