@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vestigraph.llm import chat, decontaminate, exact_dedup, html_text, langid, packing, pii, simhash, toxicity, warc
+from vestigraph.llm import chat, common, decontaminate, exact_dedup, html_text, langid, packing, pii, simhash, toxicity, warc
 from vestigraph.llm import queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -329,7 +329,9 @@ def test_close_at_lag():
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://www.b.example.org/x#f", "<p>é</p>", 0), (2, None, None, 0), (3, "https://a.example.org:8080/y?z=1", "<p>é</p>", 0), (4, "http://b.example.org/x", "", 0), (4, "http://b.example.org/x", "", 0), (5, "u\r\nInjected: 1", "z" * 300_000, 0)], "page_id long, url string, html string, key int")
     directory = warc.write_archives(pages, block_lines=2)
-    got = sorted((tuple(r) for r in warc.read_archives(directory).collect()), key=str)
+    report = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted((tuple(r[c] for c in report) for r in warc.lookup(directory, pages).collect()), key=str)
+    assert sorted((tuple(r) for r in warc.archive_report(pages).collect()), key=str) == got
     sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     want = [(1, 9, sha("<p>é</p>"), "revisit", 3), (2, 0, sha(""), "revisit", 4), (3, 9, sha("<p>é</p>"), "response", None), (4, 0, sha(""), "response", None), (4, 0, sha(""), "response", None), (5, 300_000, sha("z" * 300_000), "response", None)]
     assert got == sorted(want, key=str)
@@ -338,6 +340,23 @@ def test_warc_round_trip(spark):
     assert warc.archive_report(pages.limit(0)).collect() == []
 
 
+def test_warc_names_every_record_once(spark):
+    rows = [(7, "http://a.example/", "x"), (7, "http://a.example/", "x"), (7, "http://b.example/", "x"), (3, "http://c.example/", "x"), (None, None, "y"), (None, None, "y"), (9, "http://a.example/", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    directory = warc.write_archives(pages, block_lines=2, partitions=3)
+    headers = []
+    for r in directory.collect():
+        fs, path = warc.file_system(r["archive"])
+        with fs.open_input_file(path) as f:
+            headers += [warc.parse_record(f.read_at(size, at))[0] for _, _, at, size in warc._block(r["index"], r["at"], r["size"])]
+    ids = [h["WARC-Record-ID"] for h in headers]
+    assert len(set(ids)) == len(ids) == len(rows)
+    for h in headers:
+        if h["WARC-Type"] == "revisit":
+            assert next(x for x in headers if x["WARC-Record-ID"] == h["WARC-Refers-To"])["WARC-Type"] == "response"
+    assert Counter(tuple(r)[:1] for r in warc.archive_report(pages).collect()) == Counter((i,) for i, _, _ in rows)
+
+
 # exact dedup
 
 
@@ -356,6 +375,32 @@ def test_exact_dedup(spark, odd, empty):
     assert left.columns == odd.columns and left.count() == len(same)
 
 
+def test_exact_dedup_keeps_odd_columns(spark, empty, tmp_path):
+    rows = [(1, "a", "f", 1, 2), (2, "a", "g", 3, 4), (None, None, "h", 5, 6), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, at_file string, at_row long, digest int")
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    for df in (docs, spark.read.parquet(f"file://{tmp_path}/docs")):
+        left = exact_dedup.without_copies(df)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+        assert exact_dedup.dedup(df).count() == 4
+    assert exact_dedup.without_copies(empty).collect() == []
+
+
+def test_exact_dedup_goes_on_where_it_was(spark, tmp_path):
+    """A further run with the same folder reads only what was added to the log, and the state remembers the rest."""
+    place = f"file://{tmp_path}/dedup"
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    first = exact_dedup.dedup(spark.read.parquet(f"file://{tmp_path}/docs"), 1, place)
+    want = sorted(tuple(r)[:5] for r in first.collect())
+    again = exact_dedup.dedup(spark.read.parquet(f"file://{tmp_path}/docs"), 1, place)
+    assert sorted(tuple(r)[:5] for r in again.collect()) == want and [r[2] for r in want] == [2, 1, 2]
+    more = exact_dedup._SIGNED, [(bytearray(hashlib.sha256(b"a").digest()), 9, "later", 0)]
+    spark.createDataFrame(more[1], more[0]).write.mode("append").parquet(f"{place}/log")
+    groups = {bytes(r.digest): (r.group_size, r.stay.doc_id) for r in exact_dedup.run_stream(spark, place).collect()}
+    assert groups == {hashlib.sha256(b"a").digest(): (3, 9), hashlib.sha256(b"b").digest(): (1, 2)}
+
+
 def test_digest_collisions_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -404,6 +449,38 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    strange = ["Zażółć gęślą jaźń, dzięki czemu wszyscy goście byli zadowoleni przez całą długą noc w mieście. " * 4, "Pääsiäisenä kävimme mummolassa, jossa söimme lämpimiä pullia ja joimme kahvia koko päivän. " * 4, "съешь же ещё этих мягких французских булок да выпей чаю " * 5, "xqz vvkw jjpf qwx zzkq bvxw " * 20]
+    far = langid.predict(spark.createDataFrame([(i, False, s) for i, s in enumerate(strange)], "doc_id long, held_out boolean, text string"), model).collect()
+    assert all(r.rejected for r in far)
+    own = langid.predict(docs.withColumn("held_out", docs.doc_id.isNull()), model)
+    share = own.where("lang_pred != 'und'").selectExpr("avg(cast(rejected as int)) as r").first().r
+    assert share < 0.02
+
+
+def test_language_sample_is_neither_all_nor_nothing(spark):
+    texts = [("en", f"the house number {i} and the garden of the old man stands where the river was") if i % 2 else ("de", f"das Haus Nummer {i} und der Garten des alten Mannes steht wo der Fluss war") for i in range(300)]
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        docs = spark.createDataFrame([(ids(i), t, lang) for i, (lang, t) in enumerate(texts)] * 3, "doc_id long, text string, lang string")
+        kept = common.sampled(docs, 40, "doc_id", "text", "lang")
+        assert 20 < kept.count() == kept.distinct().count() <= 40
+        model = langid.fit(docs, 40)
+        assert model.langs == ["de", "en"]
+        wrong = langid.predict(docs.selectExpr("0L as doc_id", "lang = 'de' as held_out", "text"), model).where("held_out != (lang_pred = 'de')")
+        assert wrong.count() == 0
+
+
+def test_language_ties_go_by_name():
+    rows = np.zeros((2, langid.DIMENSIONS), np.float32)
+    rows[:, 0] = 1
+    model = langid.Centroids(np.ones(langid.DIMENSIONS, np.float32), ["aa", "bb"], rows, np.array([0, 1]), np.full((2, len(langid.SIZES) + 1), -1.0))
+    which, score, far = model.predict(rows[:1])
+    assert which[0] == 0 and score[0] == 1 and not far[0]
+
+
 def test_language_odd(spark, odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == len(ODD_TEXTS)

@@ -5,26 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two or three numbers and a digest; a broadcast of so many takes at most some 100 MB.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to so many bytes, by a count of its rows and a bound of their size.
+BROADCAST_BYTES = 96 << 20
+#: Rows of an Arrow batch, for all operators alike, as single texts can be long; a session that asks for fewer gets fewer.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is named, only local mode may use a temporary one: on a cluster each executor would write to its own disk."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="vestigraph-"))
     return _own_dir[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, noted for sweep()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,8 +43,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows at most `most` rows, else as it is, for a shuffled join."""
+def mark() -> int:
+    """Where sweep() may begin: what is written from now on."""
+    return len(_written)
+
+
+def sweep(since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that were written since a mark(), but for those to keep. Results that are lazy still read theirs: sweep once they are saved."""
+    for path in _written[since:]:
+        if path in keep:
+            continue
+        try:
+            fs, place = file_system(path)
+            if fs.get_file_info(place).type == pafs.FileType.Directory:
+                fs.delete_dir(place)
+        except (OSError, ValueError):
+            continue  # a store that cannot be asked keeps what it has
+    _written[since:] = [p for p in _written[since:] if p in keep]
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in path and path.startswith("file:"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path)
+
+
+def small_or_shuffled(df: DataFrame, row_bytes: int = 96) -> DataFrame:
+    """df marked for broadcast if a count shows that rows of row_bytes stay within BROADCAST_BYTES, else as it is, for a shuffled join. The result is the same."""
+    most = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -48,11 +83,23 @@ def remainder(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def share(col: str, part: float) -> Column:
-    """True for about `part` of the rows, chosen by a hash of the id, so alike on every run."""
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(1_000_003)) < int(part * 1_000_003) + 1
+def share(part: float, *columns: str) -> Column:
+    """True for about `part` of the rows, chosen by a hash of the columns, so alike on every run."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1_000_003)) < int(part * 1_000_003) + 1
+
+
+def sampled(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most `most` distinct rows, spread by a hash of the columns. Repeats of one row count once, so neither null nor repeated ids make the sample all or nothing. A part a little larger than needed is taken before the exact cut."""
+    n = df.count()
+    part = df.where(share(min(1.0, 1.5 * most / max(n, 1) + 1e-3), *columns)).distinct()
+    return part.orderBy(F.xxhash64(*columns), *columns).limit(most)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes. The setting holds for the session and is the same for every operator, as plans are lazy."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) <= 0 or int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) in (None, "-1", str(2**31 - 1), str(2**63 - 1)):
+        spark.conf.set(size, str(BATCH_BYTES))

@@ -2,7 +2,7 @@
 
 Letters-only text gives hashed 1-, 2- and 3-grams; vectors are damped counts times inverse document frequency, of length
 one. Each language has a few centroids by spherical k-means; the nearest by cosine wins. A text further away than nearly
-all training texts of that language is marked as rejected.
+all training texts of that language and about its size is marked as rejected; its nearest language is still reported.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import remainder, share, small_batches, text_of
+from vestigraph.llm.common import remainder, sampled, small_batches, text_of, written
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 8
-#: The classifier is fitted on about so many labelled rows at most, chosen by a hash of doc_id.
+#: The classifier is fitted on so many labelled rows at most, spread by a hash of the whole row; repeated rows count once.
 SAMPLE_ROWS = 4000
-REJECT_QUANTILE = 0.005
+#: A text is rejected if it is further from its nearest centroid than all but this share of the language's training texts of its size, and a margin.
+REJECT_QUANTILE, REJECT_MARGIN = 0.01, 0.85
+#: Sizes of texts by their number of distinct n-grams; short texts are further from any centroid.
+SIZES = (24, 64, 160, 400)
 _CHUNK = 1 << 20
 
 
@@ -54,29 +57,37 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
 
 
+def sizes_of(damped: np.ndarray) -> np.ndarray:
+    return np.searchsorted(SIZES, (damped > 0).sum(1), "right")
+
+
 class Centroids:
+    """least: for each language and size the cosine below which a text is rejected."""
+
     def __init__(self, idf: np.ndarray, langs: list[str], rows: np.ndarray, owner: np.ndarray, least: np.ndarray):
         self.idf, self.langs, self.rows, self.owner, self.least = idf, langs, rows, owner, least
 
-    def predict(self, damped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and the cosine, for rows of log(1 + count)."""
+    def predict(self, damped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, the cosine, and whether it is too far, for rows of log(1 + count). Of equal cosines the language that comes first by name wins, as its centroids stand first."""
         near = _unit(damped * self.idf) @ self.rows.T
         best = near.argmax(1)
-        return self.owner[best], np.clip(near[np.arange(len(near)), best], 0.0, 1.0)
+        score = np.clip(near[np.arange(len(near)), best], 0.0, 1.0)
+        which = self.owner[best]
+        return which, score, score < self.least[which, sizes_of(damped)]
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
-    """Fits on at most about sample_rows rows of (doc_id, text, lang) with lang and a letter; None if there are none."""
-    rows = docs.where("lang is not null and text is not null")
-    n = rows.count()
-    part = min(1.0, sample_rows / max(n, 1))
+    """Fits on at most sample_rows distinct rows of (doc_id, text, lang) with lang and a letter; None if there are none. Vectors of the sample, of 8 KB each, are all that reaches the driver."""
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").where(F.rlike("text", F.lit(r"\p{L}")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(lang, np.log1p(v).astype(np.float16).tobytes()) for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := counts(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.binary())], names=["lang", "v"])
 
-    sample = rows.where(share("doc_id", part)).select("text", "lang").mapInArrow(vectors, "lang string, v binary").collect()
+    chosen = written(sampled(rows.select(F.xxhash64("doc_id", "text", "lang").alias("h")), sample_rows, "h"), "sampled_rows")
+    few = rows.withColumn("h", F.xxhash64("doc_id", "text", "lang")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # sample_rows numbers
+    sample = few.select("text", "lang").repartition(8).mapInArrow(vectors, "lang string, v binary").collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r[0], bytes(r[1])))
@@ -84,7 +95,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
     names = sorted({r[0] for r in sample})
     label = np.array([names.index(r[0]) for r in sample])
     idf = (np.log((1 + len(damped)) / (1 + (damped > 0).sum(0))) + 1).astype(np.float32)
-    unit = _unit(damped * idf)
+    unit, size = _unit(damped * idf), sizes_of(damped)
     rng, rows_, owner, least = np.random.default_rng(5), [], [], []
     for k in range(len(names)):
         own = unit[label == k]
@@ -94,14 +105,28 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
             centers = np.stack([_unit(own[at == j].sum(0)) if (at == j).any() else centers[j] for j in range(len(centers))])
         rows_.append(centers)
         owner += [k] * len(centers)
-        least.append(float(np.quantile((own @ centers.T).max(1), REJECT_QUANTILE)) * 0.5)
+        least.append(_limits((own @ centers.T).max(1), size[label == k]))
     return Centroids(idf, names, np.concatenate(rows_), np.array(owner), np.array(least))
 
 
+def _limits(near: np.ndarray, size: np.ndarray, enough: int = 30) -> list[float]:
+    """The limit for each size; a size of too few training texts borrows the one of the next larger with enough, or has none."""
+    out, last = [], -1.0
+    for s in range(len(SIZES), -1, -1):
+        own = near[size == s]
+        if len(own) >= enough:
+            last = float(np.quantile(own, REJECT_QUANTILE)) * REJECT_MARGIN
+            out.append(last)
+        else:
+            # Shorter texts are further away, so a larger size's limit would reject too many of them.
+            out.append(last * (0.5 if last > 0 else 1))
+    return out[::-1]
+
+
 def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """doc_id, held_out by the caller's column if present, lang_pred, score, rejected. `und` and 0 for null texts and texts without a letter, or where nothing could be learned."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +136,9 @@ def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
             has = [i for i, v in enumerate(found) if v is not None]
             langs, scores, far = ["und"] * b.num_rows, [0.0] * b.num_rows, [True] * b.num_rows
             if has:
-                which, near = m.predict(np.log1p(np.stack([found[i] for i in has])).astype(np.float16).astype(np.float32))
-                for i, k, s in zip(has, which.tolist(), near.tolist(), strict=True):
-                    langs[i], scores[i], far[i] = m.langs[k], s, s < m.least[k]
+                which, near, rejected = m.predict(np.log1p(np.stack([found[i] for i in has])).astype(np.float16).astype(np.float32))
+                for i, k, s, r in zip(has, which.tolist(), near.tolist(), rejected.tolist(), strict=True):
+                    langs[i], scores[i], far[i] = m.langs[k], s, r
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", text_of().alias("text")).mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

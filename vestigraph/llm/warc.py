@@ -17,17 +17,19 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import fresh_path, small_batches, small_or_shuffled, text_of, written
+from vestigraph.llm.common import file_system, fresh_path, small_batches, small_or_shuffled, text_of, written
 
 BLOCK_LINES, LEAST_BYTES = 1000, 0
 #: At most so many tasks read archives back.
 READ_TASKS = 20_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-DIRECTORY = "first_key string, last_key string, archive string, index string, at long, size long, lines int"
+DIRECTORY = "first_key string, first_page long, last_key string, last_page long, archive string, index string, at long, size long, lines int"
+DIRECTORY_COLUMNS = [c.split()[0] for c in DIRECTORY.split(", ")]
+#: A page without an id in the index, and the last id that there can be.
+NO_PAGE, LAST_PAGE = -(2**63), 2**63 - 1
 
 
 def reversed_host_key(url: Column) -> Column:
@@ -38,12 +40,16 @@ def reversed_host_key(url: Column) -> Column:
     return F.when(bare == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(bare, "^[^/?]*", "")))
 
 
-def _record(kind: str, page_id: int | None, url: str, digest: str, payload: bytes, refers_to: int | None) -> bytes:
+def _name(page_id: int | None, url: str, digest: str, nth: int) -> str:
+    """Record ids are of page, address, payload and, where all these repeat, a running number; so no two records share one, and a revisit can name its response without having seen it."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, json.dumps([page_id, url, digest, nth]))}>"
+
+
+def _record(kind: str, page_id: int | None, url: str, digest: str, payload: bytes, nth: int, refers_to: int | None, refers_url: str) -> bytes:
     """One gzip member with one WARC record. A revisit holds no payload; its length is kept for readers that don't follow the reference."""
-    name = lambda n: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{n}')}>"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {json.dumps(url, ensure_ascii=True)[1:-1]}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id, url, digest, nth)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {json.dumps(url, ensure_ascii=True)[1:-1]}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, refers_url, digest, 0)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
@@ -63,20 +69,15 @@ def _base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _file(path: str):
-    if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path)
-
-
 def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, refers_to, key. Of equal payloads of at least `least` bytes the largest page_id is the response; others refer to it. Rows that repeat that page_id are responses too. Grouping is by SHA-256 and length, combined before the shuffle."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_of("html").alias("html"))
+    """page_id, url, html, refers_to, refers_url, key. Of equal payloads of at least `least` bytes the largest page_id is the response; others refer to it. Rows that repeat that page_id are responses too. Grouping is by SHA-256 and length, combined before the shuffle."""
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html"))
     rows = rows.withColumn("__digest", F.unhex(F.sha2("html", 256))).withColumn("__size", F.octet_length("html"))
-    groups = rows.groupBy("__digest", "__size").agg(F.count("*").alias("n"), F.max("page_id").alias("stays"))
-    groups = small_or_shuffled(written(groups.where((F.col("n") > 1) & (F.col("__size") >= least)).select("__digest", "stays"), "equal_payloads"))
-    rows = rows.join(groups, "__digest", "left")
-    return rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("stays")), F.col("stays")).alias("refers_to"), reversed_host_key(F.col("url")).alias("key"))
+    groups = rows.groupBy("__digest", "__size").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("stays"))
+    groups = written(groups.where((F.col("n") > 1) & (F.col("__size") >= least)).select("__digest", F.col("stays.page_id").alias("stays"), F.col("stays.url").alias("stays_url")), "equal_payloads")
+    rows = rows.join(small_or_shuffled(groups, 400), "__digest", "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("stays"))
+    return rows.select("page_id", "url", "html", F.when(other, F.col("stays")).alias("refers_to"), F.when(other, F.col("stays_url")).alias("refers_url"), reversed_host_key(F.col("url")).alias("key"))
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_BYTES, block_lines: int = BLOCK_LINES, partitions: int | None = None) -> DataFrame:
@@ -85,10 +86,10 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, block_lines: int
     A task writes its own files under a name with its attempt; only files of attempts whose rows reached the directory are ever read, so a repeated or lost task does no harm.
     """
     spark = pages.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     top = fresh_path(spark, "warc")
     rows = plan_records(pages, least)
-    order = ["key", "page_id"]
+    order = ["key", F.asc_nulls_first("page_id")]
     rows = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +97,12 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, block_lines: int
 
         task = TaskContext.get()
         name = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
-        fs, base = _file(name)
+        fs, base = file_system(name)
         archive = index = None
-        place = index_at = 0
+        place = index_at = nth = 0
+        last: tuple = ()
         lines: list[bytes] = []
-        keys: list[str] = []
+        ends: list[tuple[str, int]] = []
         blocks: list[tuple] = []
 
         def close_block() -> None:
@@ -108,21 +110,25 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, block_lines: int
             if lines:
                 packed = zlib.compress(b"\n".join(lines), 6)
                 index.write(packed)
-                blocks.append((keys[0], keys[-1], f"{name}.warc.gz", f"{name}.cdx.z", index_at, len(packed), len(lines)))
+                blocks.append((*ends[0], *ends[-1], f"{name}.warc.gz", f"{name}.cdx.z", index_at, len(packed), len(lines)))
                 index_at += len(packed)
                 lines.clear()
-                keys.clear()
+                ends.clear()
 
         for b in batches:
-            for page_id, url, html, refers_to, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, refers_to, refers_url, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if archive is None:
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     archive, index = fs.open_output_stream(f"{base}.warc.gz", compression=None), fs.open_output_stream(f"{base}.cdx.z", compression=None)
                 payload = html.encode("utf-8", "surrogatepass")
-                member = _record("revisit" if refers_to is not None else "response", page_id, url or "", _base32_sha1(payload), payload, refers_to)
+                digest = _base32_sha1(payload)
+                nth = nth + 1 if (page_id, url, digest) == last else 0
+                last = (page_id, url, digest)
+                member = _record("revisit" if refers_to is not None else "response", page_id, url, digest, payload, nth, refers_to, refers_url or "")
                 archive.write(member)
-                keys.append(key)
-                lines.append(json.dumps([key, page_id, place, len(member)]).encode())
+                number = NO_PAGE if page_id is None else page_id
+                ends.append((key, number))
+                lines.append(json.dumps([key, number, place, len(member)]).encode())
                 place += len(member)
                 if len(lines) >= block_lines:
                     close_block()
@@ -130,85 +136,100 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, block_lines: int
             close_block()
             archive.close()
             index.close()
-        cols = list(zip(*blocks, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.string()] * 4, pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["first_key", "last_key", "archive", "index", "at", "size", "lines"])
+        cols = list(zip(*blocks, strict=True)) or [()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 2, pa.int64(), pa.int64(), pa.int32()), strict=True)], names=DIRECTORY_COLUMNS)
 
     return written(rows.mapInArrow(write, DIRECTORY), "directory")
 
 
 def _block(index: str, at: int, size: int) -> list[list]:
-    fs, path = _file(index)
+    fs, path = file_system(index)
     with fs.open_input_file(path) as f:
         return [json.loads(x) for x in zlib.decompress(f.read_at(size, at)).split(b"\n")]
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-
-
-def read_archives(directory: DataFrame) -> DataFrame:
-    """Every record, block by block through the index: page_id, payload_bytes, payload_digest (computed anew for responses), record_type, refers_to."""
-    # A row is a whole block of records, so a number of tasks is named: by its bytes Spark would read all blocks in one.
-    spread = directory.repartition(max(1, min(directory.count(), READ_TASKS)), F.col("index"), F.col("at"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                out = []
-                fs, path = _file(row["archive"])
-                with fs.open_input_file(path) as f:
-                    for _, page_id, place, size in _block(row["index"], row["at"], row["size"]):
-                        headers, payload = parse_record(f.read_at(size, place))
-                        if headers["WARC-Type"] == "response":
-                            out.append((page_id, len(payload), _base32_sha1(payload), "response", None))
-                        else:
-                            out.append((page_id, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(headers["X-Refers-To-Page"])))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return spread.mapInArrow(read, RECORD)
+RECORD = "key string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
 
 
-def lookup(directory: DataFrame, urls: DataFrame, column: str = "url") -> DataFrame:
-    """The captures of the wanted URLs: key, page_id, record_type, payload.
+def search(directory: DataFrame, wanted: DataFrame, payloads: bool = True) -> DataFrame:
+    """The captures of the wanted ranges (key, low, high): records of that key whose page ids lie from low to high.
 
-    A task binary-searches the archives' first keys (one row for each task that wrote, the only part that goes through the driver); the wanted keys then join the block directory of their archives, and each block that can hold a key is unpacked and binary-searched before the byte range is read.
+    Two levels: a task binary-searches the archives' ends (one row for each task that wrote, the only part that goes
+    through the driver) for each range, and the block directory, joined by archive, names the blocks that can hold it.
+    Then every block is unpacked once for all ranges that lead to it, each is found in it by binary search, and the
+    records' byte ranges are read. Responses are digested anew; a revisit has its header's digest and length.
     """
     spark: SparkSession = directory.sparkSession
-    archives = sorted(tuple(r) for r in directory.groupBy("archive").agg(F.min("first_key"), F.max("last_key")).select("min(first_key)", "max(last_key)", "archive").collect())
+    ends = directory.groupBy("archive").agg(F.min(F.struct("first_key", "first_page")).alias("a"), F.max(F.struct("last_key", "last_page")).alias("b"))
+    archives = sorted((tuple(r.a), tuple(r.b), r.archive) for r in ends.collect())
     held = spark.sparkContext.broadcast(archives)
-    wanted = urls.select(reversed_host_key(F.col(column)).alias("key")).distinct()
+    tasks = max(1, min(directory.count(), READ_TASKS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = held.value
-        firsts = [r[0] for r in rows]
+        firsts, lasts = [r[0] for r in rows], [r[1] for r in rows]
         for b in batches:
             out = []
-            for key in b.column(0).to_pylist():
-                lo = bisect_left(firsts, key)
-                while lo and rows[lo - 1][1] >= key:
-                    lo -= 1
-                out += [(key, archive) for _, last, archive in rows[lo : bisect_right(firsts, key)] if last >= key]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["key", "archive"])
+            for key, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                # Archives are ranges of one order, so their last keys are in order too.
+                out += [(key, low, high, rows[i][2]) for i in range(bisect_left(lasts, (key, low)), bisect_right(firsts, (key, high)))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], x_type) for i, x_type in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["key", "low", "high", "archive"])
 
-    placed = wanted.mapInArrow(place, "key string, archive string")
-    blocks = placed.join(directory, "archive").where("first_key <= key and key <= last_key").select("key", "archive", "index", "at", "size")
+    placed = wanted.select("key", "low", "high").mapInArrow(place, "key string, low long, high long, archive string")
+    reach = (F.struct("last_key", "last_page") >= F.struct("key", "low")) & (F.struct("first_key", "first_page") <= F.struct("key", "high"))
+    blocks = placed.join(directory, "archive").where(reach).select("archive", "index", "at", "size", "key", "low", "high")
+    # The work of a block is in the archive, not in these rows, so a number of tasks is named.
+    dealt = blocks.repartition(tasks, "index", "at").sortWithinPartitions("index", "at", "key", "low", "high")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        names = ["key", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+        at, lines, keys, archive = None, [], [], None
+
+        def flush(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=names)
+
         for b in batches:
+            out, held_bytes = [], 0
             for row in b.to_pylist():
-                lines, key, out = _block(row["index"], row["at"], row["size"]), row["key"], []
-                names = [x[0] for x in lines]
-                fs, path = _file(row["archive"])
-                with fs.open_input_file(path) as f:
-                    for line in lines[bisect_left(names, key) : bisect_right(names, key)]:
-                        headers, payload = parse_record(f.read_at(line[3], line[2]))
-                        out.append((key, line[1], headers["WARC-Type"], payload.decode("utf-8", "surrogatepass")))
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "page_id", "record_type", "payload"])
+                if (row["index"], row["at"]) != at:
+                    at = (row["index"], row["at"])
+                    lines = _block(row["index"], row["at"], row["size"])
+                    keys = [(x[0], x[1]) for x in lines]
+                    if archive is not None:
+                        archive.close()
+                    fs, path = file_system(row["archive"])
+                    archive = fs.open_input_file(path)
+                key = row["key"]
+                for _, number, start, size in lines[bisect_left(keys, (key, row["low"])) : bisect_right(keys, (key, row["high"]))]:
+                    headers, payload = parse_record(archive.read_at(size, start))
+                    page_id = None if number == NO_PAGE else number
+                    text = payload.decode("utf-8", "surrogatepass") if payloads else None
+                    if headers["WARC-Type"] == "response":
+                        out.append((key, page_id, "response", len(payload), _base32_sha1(payload), None, text))
+                    else:
+                        out.append((key, page_id, "revisit", int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Refers-To-Page"]), text))
+                    held_bytes += len(payload) if payloads else 0
+                    if len(out) >= 1000 or held_bytes >= 16 << 20:
+                        yield flush(out)
+                        out, held_bytes = [], 0
+            yield flush(out)
+        if archive is not None:
+            archive.close()
+
+    return dealt.mapInArrow(find, RECORD)
+
 
-    return blocks.mapInArrow(find, "key string, page_id long, record_type string, payload string")
+def lookup(directory: DataFrame, urls: DataFrame, column: str = "url") -> DataFrame:
+    """All captures of the wanted URLs: key, page_id, record_type, payload and the rest of RECORD."""
+    wanted = urls.select(reversed_host_key(F.col(column)).alias("key")).distinct()
+    return search(directory, wanted.select("key", F.lit(NO_PAGE).alias("low"), F.lit(LAST_PAGE).alias("high")))
 
 
 def archive_report(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Writes the archives, reads them back through the index: one row per page. Null html is empty, a null URL has the empty key, repeated rows are repeated records; an empty table gives no rows."""
-    return read_archives(write_archives(pages, least))
+    """Writes the archives and reads every page back by searching the index for its key and id: one row per page. Null html is empty, a null URL has the empty key, repeated rows are repeated records; an empty table gives no rows."""
+    directory = write_archives(pages, least)
+    number = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE))
+    wanted = pages.select(reversed_host_key(F.col("url").cast("string")).alias("key"), number.alias("low"), number.alias("high")).distinct()
+    return search(directory, wanted, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
