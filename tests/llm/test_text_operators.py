@@ -491,15 +491,58 @@ def test_language_odd(spark, odd, empty):
 
 def test_chat(spark):
     sf = "/root/testdata/sf0.01"
-    got = {(r.conv_id, r.turn): r for r in q.op10_chat_format(spark, sf).collect()}
-    truth = {(r.conv_id, r.turn): r.role for r in rows(spark, sf, "conversations") if got[r.conv_id, r.turn].held_out}
-    assert held_out_rate({k: r.role_pred for k, r in got.items()}, truth) > 0.85
-
-
-def brute_viterbi(model, texts):
+    table = {(r.conv_id, r.turn): r for r in rows(spark, sf, "conversations")}
+    got = q.op10_chat_format(spark, sf).collect()
+    said = defaultdict(list)
+    for r in got:
+        said[r.conv_id, r.turn].append(r)
+    assert said.keys() == table.keys()
+    right = Counter()
+    for k, lines in said.items():
+        lines.sort(key=lambda r: r.line)
+        assert "\n".join(r.marker + r.content for r in lines) == "\n".join([x for x in table[k].text.split("\n") if x.strip()] or [""])
+        if lines[0].held_out:
+            right[{r.role_pred for r in lines} == {table[k].role}] += 1
+    assert right[True] / right.total() > 0.95
+
+
+def markers(n):
+    rng = random.Random(n)
+    say = {"user": ["User:", "Human:", "### user:", "**Q**:"], "assistant": ["Assistant:", "AI:", "Bot>", "A:"], "system": ["System:", "Instructions:"]}
+    lines, truth = [], []
+    for i in range(n):
+        role = "system" if i == 0 and rng.random() < 0.5 else "user" if (len(truth) == 0 or truth[-1] != "user") else "assistant"
+        lines.append(f"{rng.choice(say[role])} {rng.choice(['so it is', 'why is that?', 'see the notes', 'thanks!'])}")
+        truth.append(role)
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            lines.append(rng.choice(["and more of it", "- one point", "1. first", "which ends here."]))
+            truth.append(role)
+    return lines, truth
+
+
+def test_chat_reads_marked_transcripts(spark):
+    sf = "/root/testdata/sf0.01"
+    model = chat.fit(chat.blocks_of(spark.read.parquet(f"{sf}/conversations.parquet")))
+    cases = {i: markers(30) for i in range(20)}
+    texts = spark.createDataFrame([(i, "\n".join(x)) for i, (x, _) in cases.items()], "id long, body string")
+    got = defaultdict(list)
+    for r in chat.transcripts(texts, model, "id", "body").collect():
+        got[r.conv_id].append(r)
+    for i, (lines, truth) in cases.items():
+        own = sorted(got[i], key=lambda r: r.line)
+        assert [r.role_pred for r in own] == truth
+        assert all(r.marker for r, x in zip(own, lines) if chat.marker_of(x)) and [r.marker + r.content for r in own] == lines
+        turns = [r.turn_nr for r in own]
+        assert turns == [sum(a != b for a, b in zip(truth[: k + 1], truth[1 : k + 1])) for k in range(len(truth))]
+    two = chat.transcripts(spark.createDataFrame([(1, "Bot: I said so\nUser: hi")], "id long, body string"), model, "id", "body").orderBy("line").collect()
+    assert [(r.role_pred, r.turn_nr, r.content) for r in two] == [("assistant", 0, "I said so"), ("user", 1, "hi")]
+    assert "".join(r.rendered for r in two) == "<|assistant|>\nI said so<|end|>\n<|user|>\nhi<|end|>\n"
+
+
+def brute_viterbi(model, texts, heads):
     best, back = None, []
-    for i, t in enumerate(texts):
-        s = model.step(chat.observe(t, i == 0), i == 0)
+    for i, (t, k) in enumerate(zip(texts, chat.kinds_of(texts, heads, True))):
+        s = model.step(t, k)
         if best is None:
             best = s[0]
         else:
@@ -514,24 +557,34 @@ def brute_viterbi(model, texts):
 
 def test_chat_blocks_equal_whole_viterbi(spark):
     rng = random.Random(2)
-    text = lambda: rng.choice(["User: hi", "Assistant: well", "so", "### system: be kind", "long " * 20, "why?"])
-    data = [(c, n, text()) for c in range(4) for n in range(40)]
-    lines = spark.createDataFrame(data, "conv_id long, line long, text string")
-    model = chat.Model({("", "system"): 3.0, ("system", "user"): 3.0, ("user", "assistant"): 9.0, ("assistant", "user"): 8.0}, {("user", 0, "user"): 5.0, ("assistant", 0, "assistant"): 5.0, ("user", 3, "?"): 3.0, ("assistant", 1, "7"): 2.0})
-    got = defaultdict(dict)
-    for r in chat.recover(lines, model, block_lines=7).collect():
-        got[r.conv_id][r.line] = r.role_pred
-    for c in range(4):
-        assert [got[c][n] for n in range(40)] == brute_viterbi(model, [t for k, _, t in data if k == c])
+    text = lambda: rng.choice(["User: hi", "Assistant: well\nand so on", "so", "### system: be kind", "long " * 20, "why?\nA: never\nQ: ever?", "<|end|> \\ <|user|>"])
+    data = [(c, n, text(), None) for c in range(4) for n in range(40)]
+    messages = spark.createDataFrame(data, "conv_id long, turn long, text string, role string")
+    model = chat.Model({(0, "", "system"): 3.0, (1, "system", "user"): 3.0, (1, "user", "assistant"): 9.0, (1, "assistant", "user"): 8.0}, {("user", 2, "?"): 3.0, ("assistant", 1, "7"): 2.0})
+    for size in (5, 512):
+        got = defaultdict(list)
+        for r in chat.recover(chat.blocks_of(messages, size), model).orderBy("conv_id", "turn", "line").collect():
+            got[r.conv_id].append(r)
+        for c in range(4):
+            lines = [(x, i == 0) for k, _, t, _ in data if k == c for i, x in enumerate(t.split("\n"))]
+            want = brute_viterbi(model, [x for x, _ in lines], [h for _, h in lines])
+            assert [r.role_pred for r in got[c]] == want
+            starts = [i == 0 or want[i] != want[i - 1] for i in range(len(want))]
+            assert [r.turn_nr for r in got[c]] == [sum(starts[: i + 1]) - 1 for i in range(len(want))]
+            whole = "".join(r.rendered for r in got[c])
+            turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", whole, re.S)
+            assert [t for t, _ in turns] == [w for w, s in zip(want, starts) if s]
+            assert "\n".join(chat.unescaped(body) for _, body in turns) == "\n".join(r.content for r in got[c])
 
 
 def test_chat_odd(spark):
-    lines = spark.createDataFrame([(1, 0, "user", "User: a"), (1, 0, "user", "User: a"), (1, None, None, None), (None, 1, "other", "x"), (2, 9, "assistant", "Bot> b")], "conv_id long, turn long, role string, text string")
-    got = chat.parse(lines).collect()
-    assert len(got) == 5
-    assert chat.parse(lines.limit(0)).collect() == []
-    raw = spark.createDataFrame([(1, "System: be kind\nUser: hi there\n\nAssistant: hello"), (2, None)], "id long, body string")
-    assert [r.text for r in chat.lines_of(raw, "id", "body").orderBy("line").collect()] == ["System: be kind", "User: hi there", "Assistant: hello"]
+    messages = spark.createDataFrame([(1, 0, "user", "User: a", 5), (1, 0, "user", "User: a", 5), (1, None, None, None, 5), (None, 1, "other", "x", 5), (2, 9, "assistant", "Bot> b\n\n  \nc", 5), (3, 3, "user", "word " * 50_000 + "\n" + "z" * 400_000, 5), *[(4, 0, "user", "same", 5)] * 40], "conv_id long, turn long, role string, text string, block int")
+    got = chat.parse(messages).collect()
+    assert Counter(r.conv_id for r in got) == {1: 3, None: 1, 2: 2, 3: 2, 4: 40}
+    assert {r.content for r in got if r.conv_id == 3} == {"word " * 50_000, "z" * 400_000}
+    assert chat.parse(messages.limit(0)).collect() == []
+    equal = chat.Model({}, {})
+    assert {r.role_pred for r in chat.transcripts(spark.createDataFrame([(1, "a\nb")], "id long, body string"), equal, "id", "body").collect()} == {"system"}  # of equal scores the first role
 
 
 # personal data

@@ -1,73 +1,98 @@
-"""Chat transcripts: roles recovered by a hidden Markov model over speaker markers and line features.
-
-A transcript is lines in order. States are roles; a line's observation is its marker, if any, and coarse features of its
-text. Viterbi runs block by block: a block of lines reduces to a small matrix of best scores from each state to each, the
-blocks of a conversation are chained over these matrices, and then every block is decoded between its known ends. The
-result is the same as over the whole conversation, yet no task holds more than a block of lines.
+"""Chat transcripts: roles recovered by a hidden Markov model over speaker markers and line features, then canonical turns.
+
+States are roles; a line's observation is its marker, if any, and coarse features of its text. How a role follows another
+depends on the place: where a message or a marker begins, speakers change; inside a message they hardly do. Lines lie in
+one total order over the cluster, cut into blocks of a bounded number of lines and bytes, so a conversation of any size is
+many blocks. A block reduces to a small matrix of best scores from each state to each, the blocks of a conversation are
+chained over these matrices, and then every block is decoded between its known ends: the result is that of Viterbi over
+the whole conversation. Lines of one speaker make a turn; each line carries its piece of the canonical text, so that a
+turn of any length is never one row.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import remainder, share, written
+from vestigraph.llm.common import remainder, share, small_batches, small_or_shuffled, written
 
 ROLES = ("system", "user", "assistant")
-BLOCK_LINES, SAMPLE_ROWS = 512, 20_000
+#: Lines and characters of a block. Conversations are fitted on blocks of about SAMPLE_ROWS lines in all.
+BLOCK_LINES, BLOCK_CHARS, SAMPLE_ROWS = 512, 1 << 20, 20_000
 # Speaker names that transcripts use.
 _SPEAKERS = {"system": "system sys instruction instructions context", "user": "user human customer client person q question me prompt", "assistant": "assistant ai bot agent model gpt a answer response support"}
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|?|>>\s*)?(" + "|".join(sorted((w for ws in _SPEAKERS.values() for w in ws.split()), key=len, reverse=True)) + r")(?:\*\*)?\s*(?:[:>\]]|\|?>|\*\*:?)\s*", re.I)
 _ROLE_OF = {w: r for r, ws in _SPEAKERS.items() for w in ws.split()}
-FEATURES = ("marker", "size", "lines", "ending", "first")
+FEATURES = ("marker", "size", "ending")
+#: Where a line stands: at the beginning of its conversation, of a message or at a marker, or inside a message.
+FIRST, FRESH, INSIDE = 0, 1, 2
+#: How often the speaker that a marker names is the one who speaks, and how often another is; the rest of lines bear none. Transcripts with roles seldom have markers, so this is stated and not learned.
+MARKED_RIGHT, MARKED_WRONG = 0.5, 0.0005
+#: Lines that each count begins with, and the least share of a move: tables in which assistants never speak first don't make it impossible.
+PRIOR, LEAST_MOVE = 0.5, 0.002
 
 
-def observe(text: str, first: bool) -> tuple[str, ...]:
-    """Discrete observation of a line."""
+def marker_of(text: str) -> str | None:
     m = _MARKER.match(text)
-    return (_ROLE_OF[m.group(1).lower()] if m else "none", str(min(12, len(text).bit_length())), str(min(4, text.count("\n"))), text.rstrip()[-1:] if text.rstrip()[-1:] in (".", "?", "!", ":", "") else "x", str(first))
+    return _ROLE_OF[m.group(1).lower()] if m else None
+
+
+def observe(text: str) -> tuple[str, ...]:
+    """Discrete observation of a line."""
+    end = text.rstrip()[-1:]
+    return (marker_of(text) or "none", str(min(12, len(text).bit_length())), end if end in (".", "?", "!", ":", "") else "x")
 
 
-def without_marker(text: str) -> str:
+def split_marker(text: str, role: str) -> tuple[str, str]:
+    """The marker and the rest, if the marker names that role; a leading word that names another one is part of what was said."""
     m = _MARKER.match(text)
-    return (text[m.end() :] if m else text).strip()
+    return (m.group(), text[m.end() :]) if m and _ROLE_OF[m.group(1).lower()] == role else ("", text)
 
 
-class Model:
-    """Log probabilities from counted, smoothed training lines."""
+def escaped(text: str) -> str:
+    """No content can look like the marks of a turn. unescaped() gives it back."""
+    return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
-    def __init__(self, moves: dict[tuple[str, str], float], seen: dict[tuple[str, int, str], float]):
-        k = len(ROLES)
-        table = np.array([[moves.get((a, b), 0.0) + 0.5 for b in ROLES] for a in ("", *ROLES)])
-        table = np.log(table / table.sum(1, keepdims=True))
-        self.start, self.moves = table[0], table[1:]
+
+def unescaped(text: str) -> str:
+    return re.sub(r"\\([\\|])", r"\1", text)
+
+
+class Model:
+    """Log probabilities from counted, smoothed training lines. moves: (kind, role before or '', role) -> lines; seen: (role, feature, value) -> lines."""
+
+    def __init__(self, moves: dict[tuple[int, str, str], float], seen: dict[tuple[str, int, str], float]):
+        table = np.array([[[moves.get((kind, a if kind else "", b), 0.0) + PRIOR for b in ROLES] for a in ROLES] for kind in (FIRST, FRESH, INSIDE)])
+        # Inside a message the speaker stays unless training lines show otherwise.
+        table[INSIDE] += np.eye(len(ROLES)) * 1000 * PRIOR
+        table = table / table.sum(2, keepdims=True)
+        table[:INSIDE] += LEAST_MOVE
+        self.moves = np.log(table / table.sum(2, keepdims=True))
         self.seen: dict[tuple[int, str], np.ndarray] = {}
-        values = {(f, v) for _, f, v in seen}
-        for f in range(len(FEATURES)):
+        values = {(f, v) for _, f, v in seen if f}
+        for f in range(1, len(FEATURES)):
             own = [v for g, v in values if g == f]
             total = np.array([sum(seen.get((r, f, v), 0.0) for v in own) for r in ROLES])
             for v in own:
-                self.seen[f, v] = np.log((np.array([seen.get((r, f, v), 0.0) for r in ROLES]) + 0.5) / (total + 0.5 * (len(own) + 1)))
-        # A marker that training lines never show still names its role.
-        sure = math.log(20.0)
+                self.seen[f, v] = np.log((np.array([seen.get((r, f, v), 0.0) for r in ROLES]) + PRIOR) / (total + PRIOR * (len(own) + 1)))
         for i, r in enumerate(ROLES):
-            if (0, r) not in self.seen:
-                self.seen[0, r] = np.array([sure if j == i else 0.0 for j in range(k)])
-        self.none = np.zeros(k)
+            self.seen[0, r] = np.log([MARKED_RIGHT if j == i else MARKED_WRONG for j in range(len(ROLES))])
+        self.none = np.zeros(len(ROLES))
 
-    def emit(self, seen: tuple[str, ...]) -> np.ndarray:
-        return sum((self.seen.get((f, v), self.none) for f, v in enumerate(seen)), self.none)
+    def step(self, text: str, kind: int) -> np.ndarray:
+        """Best-score matrix of one line from each state before it; before the first line all states count as one."""
+        emit = sum((self.seen.get((f, v), self.none) for f, v in enumerate(observe(text))), self.none)
+        return self.moves[kind] + emit[None, :]
 
-    def step(self, seen: tuple[str, ...], first: bool) -> np.ndarray:
-        """Best-score matrix of one line; before the first line all states count as one."""
-        return (np.tile(self.start, (len(ROLES), 1)) if first else self.moves) + self.emit(seen)[None, :]
+
+def kinds_of(texts: list[str], heads: list[bool], opens: bool) -> list[int]:
+    return [FIRST if opens and i == 0 else FRESH if head or marker_of(t) else INSIDE for i, (t, head) in enumerate(zip(texts, heads, strict=True))]
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +100,7 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def decode(steps: list[np.ndarray], entry: int, leave: int) -> list[int]:
-    """The best states of a block between the state before it and its last state."""
+    """The best states of a block between the state before it and its last state; of equal ones the first role."""
     best, back = steps[0][entry], []
     for s in steps[1:]:
         reach = best[:, None] + s
@@ -87,111 +112,174 @@ def decode(steps: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return out[::-1]
 
 
-def fit(lines: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Counts moves and observations over conversations of about sample_rows lines (conv_id, line, role, text). Only counts reach the driver: some dozens of rows."""
-    n = lines.count()
-    known = lines.where(F.col("role").isin(*ROLES) & share("conv_id", min(1.0, sample_rows / max(n, 1))))
-    dealt = known.repartition("conv_id").sortWithinPartitions("conv_id", "line", "text")
+BLOCK = "conv_id long, block long, turns array<long>, heads array<boolean>, lines array<int>, texts array<string>, roles array<string>"
+
+
+def blocks_of(messages: DataFrame, block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Messages (conv_id, turn, text, role) as blocks of lines, a written table.
+
+    Messages are dealt by ranges of conversation, turn and text, so no conversation has to fit one task. A message is cut
+    at line ends; blank lines go, but a message without any other keeps an empty one. Null text is empty, a null turn
+    comes first, and all rows without a conv_id are one conversation. role is carried along for fitting only.
+    """
+    small_batches(messages.sparkSession)
+    rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("role").cast("string"), F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "text", "row"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        conv: object = ()
+        held: list[tuple] = []
+        chars = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, held, chars
+            turns, heads, lines, texts, roles = zip(*held, strict=True)
+            out = pa.RecordBatch.from_pylist([{"conv_id": conv, "block": number, "turns": turns, "heads": heads, "lines": lines, "texts": texts, "roles": roles}], schema=_BLOCK)
+            number, held, chars = number + 1, [], 0
+            return out
+
+        for b in batches:
+            for conv_id, turn, text, role, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and conv_id != conv:
+                    yield close()
+                conv = conv_id
+                for nth, line in enumerate([x for x in text.split("\n") if x.strip()] or [""]):
+                    held.append((turn, nth == 0, nth, line, role))
+                    chars += len(line)
+                    if len(held) >= block_lines or chars >= block_chars:
+                        yield close()
+        if held:
+            yield close()
+
+    return written(dealt.mapInArrow(cut, BLOCK), "chat-blocks")
+
+
+_BLOCK = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("turns", pa.list_(pa.int64())), ("heads", pa.list_(pa.bool_())), ("lines", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())), ("roles", pa.list_(pa.string()))])
+
+
+def fit(blocks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Counts moves and observations over blocks of about sample_rows lines; only lines whose role is known count. Blocks, not conversations, are sampled, so a very long conversation can't exceed the bound. Counts alone reach the driver, some dozens of rows."""
+    n = blocks.agg(F.sum(F.size("texts"))).first()[0] or 0
+    known = blocks.where(share(min(1.0, sample_rows / max(n, 1)), "conv_id", F.element_at("turns", 1), F.element_at("texts", 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_conv, last_role, n = object(), "", {}
+        n: dict[tuple, int] = {}
         for b in batches:
-            for conv, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
-                first = conv != last_conv
-                keys = [("", -1 if first else -2, role if first else f"{last_role}>{role}")] + [(role, f, v) for f, v in enumerate(observe(text, first))]
-                for k in keys:
-                    n[k] = n.get(k, 0) + 1
-                last_conv, last_role = conv, role
-        rows = [(*k, v) for k, v in n.items()]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
+            for row in b.to_pylist():
+                before = ""
+                opens = row["turns"][0] in (0, None)
+                kinds = kinds_of(row["texts"], row["heads"], opens)
+                for text, role, kind in zip(row["texts"], row["roles"], kinds, strict=True):
+                    if role in ROLES:
+                        if kind == FIRST or before:
+                            k = ("", -1 - kind, role if kind == FIRST else f"{before}>{role}")
+                            n[k] = n.get(k, 0) + 1
+                        for f, v in enumerate(observe(text)):
+                            n[role, f, v] = n.get((role, f, v), 0) + 1
+                    before = role if role in ROLES else ""
+        cols = list(zip(*((*k, v) for k, v in n.items()), strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["role", "f", "v", "n"])
 
-    total = dealt.mapInArrow(count, "role string, f int, v string, n long").groupBy("role", "f", "v").agg(F.sum("n").alias("n")).collect()
-    moves = {(("", r["v"]) if r["f"] == -1 else tuple(r["v"].split(">"))): float(r["n"]) for r in total if r["f"] < 0}
+    total = known.mapInArrow(count, "role string, f int, v string, n long").groupBy("role", "f", "v").agg(F.sum("n").alias("n")).collect()
+    moves = {(-1 - r["f"], *(("", r["v"]) if r["f"] == -1 else r["v"].split(">"))): float(r["n"]) for r in total if r["f"] < 0}
     return Model(moves, {(r["role"], r["f"], r["v"]): float(r["n"]) for r in total if r["f"] >= 0})
 
 
-def lines_of(transcripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Raw transcripts as lines (conv_id, line, text); blank lines go."""
-    return transcripts.select(F.col(id_column).alias("conv_id"), F.posexplode(F.split(F.coalesce(F.col(text_column), F.lit("")), "\n"))).select("conv_id", F.col("pos").cast("long").alias("line"), F.col("col").alias("text")).where("trim(text) != ''")
-
+TURNS = "conv_id long, turn long, line int, role_pred string, marker string, content string, opens boolean, nth long, block long, piece string"
 
-def recover(lines: DataFrame, model: Model, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """conv_id, line, role_pred, content, rendered for each row of (conv_id, line, text).
 
-    Null text is an empty line. Lines are ordered by line, then text; a null line comes first and repeated lines all stay. A null conv_id is a conversation of its own. An empty table gives no rows.
-    """
-    spark = lines.sparkSession
+def recover(blocks: DataFrame, model: Model) -> DataFrame:
+    """For each line of the blocks: conv_id, turn, line, role_pred, turn_nr (from 0, a turn is all lines of one role in a row), marker, content and rendered, its piece of the canonical text. An empty table gives no rows."""
+    spark = blocks.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = lines.select(F.col("conv_id").cast("long"), F.col("line").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.coalesce("line", F.lit(0)) / block_lines))
-    starts = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min("block").alias("first_block"))
-    rows = rows.join(starts, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "line", "text", "block", (F.col("block") == F.col("first_block")).alias("opens"))
-    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.asc_nulls_first("line"), "text")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-        every = (r for b in batches for r in b.to_pylist())
-        for key, own in groupby(every, lambda r: (r["conv_id"], r["block"])):
-            yield key, list(own)
-
-    def steps_of(own: list[dict]) -> list[np.ndarray]:
-        m = held.value
-        return [m.step(observe(r["text"], first), first) for i, r in enumerate(own) for first in [i == 0 and r["opens"]]]
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (conv, block), own in blocks(batches):
-            total = None
-            for s in steps_of(own):
-                total = s if total is None else _times(total, s)
-            out.append((conv, block, total.ravel().tolist()))
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64()))], names=["conv_id", "block", "best"])
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                best = []
+                for opens in (False, True):
+                    kinds = kinds_of(row["texts"], row["heads"], opens)
+                    total = held.value.step(row["texts"][0], kinds[0])
+                    if not best:
+                        rest = None
+                        for t, k in zip(row["texts"][1:], kinds[1:], strict=True):
+                            s = held.value.step(t, k)
+                            rest = s if rest is None else _times(rest, s)
+                    best.append((total if rest is None else _times(total, rest)).ravel().tolist())
+                out.append((row["conv_id"], row["block"], *best))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.list_(pa.float64())) for c in cols[2:])], names=["conv_id", "block", "inner", "first"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, out = len(ROLES), []
+        k = len(ROLES)
         every = (r for b in batches for r in b.to_pylist())
         for _, own in groupby(every, lambda r: r["conv_id"]):
-            own = list(own)
-            score, back = np.array([0.0, *[-np.inf] * (k - 1)]), []
+            score, back, numbers, conv = np.zeros(k), [], [], None
+            score[1:] = -np.inf
             for r in own:
-                reach = score[:, None] + np.array(r["best"]).reshape(k, k)
-                back.append(reach.argmax(0))
+                conv = r["conv_id"]
+                reach = score[:, None] + np.array(r["inner" if back else "first"]).reshape(k, k)
+                back.append(reach.argmax(0).astype(np.int8))
+                numbers.append(r["block"])
                 score = reach.max(0)
-            state = int(score.argmax())
-            for r, b in zip(reversed(own), reversed(back), strict=True):
-                entry = int(b[state])
-                out.append((r["conv_id"], r["block"], entry, state))
+            state, out = int(score.argmax()), []
+            for i in range(len(back) - 1, -1, -1):
+                entry = int(back[i][state])
+                out.append((conv, numbers[i], entry, state, i == 0, i == len(back) - 1))
                 state = entry
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["conv_id", "block", "entry", "leave"])
+            cols = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], names=["conv_id", "b", "entry", "leave", "opens", "closes"])
 
-    ends = dealt.mapInArrow(reduce, "conv_id long, block long, best array<double>").repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, "conv_id long, block long, entry int, leave int")
-    ends = written(ends.withColumnsRenamed({"conv_id": "c", "block": "b"}), "block_ends")
-    joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
-    joined = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.asc_nulls_first("line"), "text")
+    reduced = blocks.select("conv_id", "block", "texts", "heads").mapInArrow(reduce, "conv_id long, block long, inner array<double>, first array<double>")
+    ends = reduced.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, "conv_id long, b long, entry int, leave int, opens boolean, closes boolean")
+    ends = written(ends.drop("conv_id"), "chat-ends")
+    joined = blocks.drop("roles").join(small_or_shuffled(ends, 64), F.col("block") == F.col("b"))
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (conv, _), own in blocks(batches):
-            for r, state in zip(own, decode(steps_of(own), own[0]["entry"], own[0]["leave"]), strict=True):
-                role, content = ROLES[state], without_marker(r["text"])
-                out.append((conv, r["line"], role, content, f"<|{role}|>\n{content}<|end|>\n"))
-            if len(out) >= 2000:
-                yield _turns(out)
-                out = []
-        yield _turns(out)
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+        names = [c.split()[0] for c in TURNS.split(", ")]
+        for b in batches:
+            for row in b.to_pylist():
+                kinds = kinds_of(row["texts"], row["heads"], row["opens"])
+                states = decode([held.value.step(t, k) for t, k in zip(row["texts"], kinds, strict=True)], row["entry"], row["leave"])
+                before, nth, out = -1 if row["opens"] else row["entry"], 0, []
+                for i, (state, text) in enumerate(zip(states, row["texts"], strict=True)):
+                    role, starts = ROLES[state], state != before
+                    nth += starts
+                    marker, content = split_marker(text, role)
+                    piece = ("" if before < 0 else "<|end|>\n" if starts else "\n") + (f"<|{role}|>\n" if starts else "") + escaped(content)
+                    if row["closes"] and i == len(states) - 1:
+                        piece += "<|end|>\n"
+                    out.append((row["conv_id"], row["turns"][i], row["lines"][i], role, marker, content, starts, nth, row["block"], piece))
+                    before = state
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    lines = written(joined.mapInArrow(turns, TURNS), "chat-lines")
+    sums = lines.groupBy("conv_id", "block").agg(F.count_if("opens").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("block").alias("b"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - 1).alias("base"))
+    rows = lines.join(small_or_shuffled(written(base, "chat-bases"), 32), F.col("block") == F.col("b"))
+    return rows.select("conv_id", "turn", "line", "role_pred", (F.col("base") + F.col("nth")).alias("turn_nr"), "marker", "content", F.col("piece").alias("rendered"), "block")
 
-    return joined.mapInArrow(render, "conv_id long, line long, role_pred string, content string, rendered string")
 
+def parse(conversations: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """Every line of a conversation table, whose rows may hold whole transcripts: its speaker, its turn and its piece of the canonical text.
 
-def _turns(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["conv_id", "line", "role_pred", "content", "rendered"])
+    Pieces in order of conv_id, turn and line (within a message as it stood) are the canonical transcript. Roles are learned
+    from conversations that aren't held out and are never read for prediction. Rows that repeat all stay.
+    """
+    rows = conversations.select("conv_id", "turn", "text", "role")
+    blocks = blocks_of(rows)
+    model = fit(blocks.where(remainder("conv_id", folds) != held_out), sample_rows)
+    return recover(blocks, model).drop("block").withColumn("held_out", remainder("conv_id", folds) == held_out)
 
 
-def parse(conversations: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """Every row of a conversation table as a line whose speaker is to be found: conv_id, turn, role_pred, content, rendered. Roles are learned from conversations that aren't held out and never read for prediction."""
-    lines = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("line"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    model = fit(lines.where(remainder("conv_id", folds) != held_out), sample_rows)
-    return recover(lines, model).withColumnRenamed("line", "turn").withColumn("held_out", remainder("conv_id", folds) == held_out)
+def transcripts(texts: DataFrame, model: Model, id_column: str, text_column: str) -> DataFrame:
+    """Raw transcripts, one text each, by a fitted model: as recover()."""
+    rows = texts.select(F.col(id_column).alias("conv_id"), F.lit(0).alias("turn"), F.col(text_column).alias("text"), F.lit(None).cast("string").alias("role"))
+    return recover(blocks_of(rows), model).drop("block")
