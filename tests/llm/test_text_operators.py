@@ -418,13 +418,43 @@ def held_out_rate(got, truth):
 
 
 def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
+    """Recall and precision on rows that were never learned from, for each language with enough of them."""
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in q.op6_toxicity(spark, sf).collect()}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
-    # Outside English this small table has a handful of toxic rows, too few to learn from.
-    english = {r.doc_id for r in rows(spark, sf) if r.lang == "en"}
-    truth = {r.doc_id: r.toxic for r in rows(spark, sf, "labels") if got[r.doc_id].held_out and r.doc_id in english}
-    assert held_out_rate({i: r.predicted for i, r in got.items()}, truth) > 0.93
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    truth = [(r.doc_id, r.toxic) for r in rows(spark, sf, "labels") if got[r.doc_id].held_out]
+    for of in ("en", "de", "es", "fr"):
+        own = [(got[i].predicted, y) for i, y in truth if lang[i] == of]
+        toxic = [p for p, y in own if y]
+        marked = [y for p, y in own if p]
+        assert len(toxic) >= 8 and sum(toxic) / len(toxic) >= 0.85 and sum(marked) / len(marked) >= 0.85, (of, sum(toxic), len(toxic), sum(marked), len(marked))
+    # The curve says what it means: of the rows scored above a half most are toxic.
+    sure = [y for i, y in truth if got[i].score > 0.5]
+    assert sum(sure) / len(sure) > 0.85
+
+
+def brute_features(text, words, stems):
+    low = text.lower()
+    found = re.findall(r"[^\W\d_]+", low)
+    begins = [len(w) >= 4 and any(w[:k] in stems for k in (4, 5, 6)) for w in found]
+    whole = [w in words for w in found]
+    near = sum(any(whole[j] or begins[j] for j in range(max(0, i - 4), min(len(found), i + 5))) for i, w in enumerate(found) if w in toxicity.SECOND_PERSON)
+    n = max(1, len(found))
+    return {"words_hit": np.log1p(sum(whole)), "stems_hit": np.log1p(sum(begins)), "word_density": sum(whole) / n, "stem_density": sum(begins) / n, "near_you": near / n, "capitals": sum(c.isupper() for c in text) / max(1, len(text)), "exclaim": text.count("!") / max(1, len(text)), "log_words": np.log1p(len(found))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_features_against_plain_counts(seed):
+    rng = random.Random(seed)
+    lexicon = toxicity.Lexicon(frozenset({"idiot", "du", "xyz"}), frozenset({"stup", "dumbo", "bloede"}))
+    kinds = toxicity.Kinds(lexicon)
+    parts = ["you", "Du", "idiot", "IDIOT!", "stupid", "stu", "dumbox", "bloeder", "well", "é1", "a.b", "...", "xyz", "tú", "\n"]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        got = dict(zip(toxicity.NAMES, toxicity.dense(text, kinds), strict=True))
+        want = brute_features(text, lexicon.words, lexicon.stems)
+        assert {k: got[k] for k in want} == pytest.approx(want), text
 
 
 def test_toxicity_odd(spark, odd, empty):
@@ -433,11 +463,16 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.assess(odd, labels.limit(0)).count() == len(ODD_TEXTS)
     assert toxicity.assess(empty, labels).collect() == []
     assert toxicity.without_toxic(odd, labels.limit(0)).columns == odd.columns
+    assert toxicity.without_toxic(empty, labels).collect() == []
+    toxic = spark.createDataFrame([(i, f"you {'vile worm' if i % 2 else 'good friend'} of number {i} " * 3) for i in range(60)] + [(100, "vile worm " * 60_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.assess(toxic, marks, folds=10**9, held_out=-1).collect()}
+    assert got == {i: i % 2 for i in range(60)} | {100: 1}
 
 
 def test_features_see_disguises():
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"stup"}))
-    f = dict(zip(toxicity.NAMES, toxicity.dense("You are an IDIOT, you id1ot! stupidly s t u p", lexicon), strict=True))
+    f = dict(zip(toxicity.NAMES, toxicity.dense("You are an IDIOT, you id1ot! stupidly s t u p", toxicity.Kinds(lexicon)), strict=True))
     assert f["word_density"] > 0 and f["stem_density"] > 0 and f["hidden_density"] > 0 and f["near_you"] > 0 and f["all_caps"] > 0
 
 

@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -26,9 +27,11 @@ SAMPLE_ROWS = 12_000
 LEXICON_WORDS, THRESHOLD = 600, 0.3
 TREES, DEPTH = 12, 3
 #: A lexicon entry stands in at least so many toxic rows, and this much more often in toxic rows than in others.
-LEAST_ROWS, LEAST_RATIO = 5, 12.0
-#: Calibration needs so many rows that neither lexicon nor trees have seen.
-LEAST_CALIBRATION = 200
+LEAST_ROWS, LEAST_RATIO = 4, 8.0
+#: Calibration is learned from rows scored by a model that has not seen them, over so many folds of the sample, whatever its size.
+FOLDS = 3
+#: Words whose kind a task remembers.
+REMEMBERED = 200_000
 # Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,6 +40,7 @@ _ODD = re.compile(r"[^\W\d_]+[@$*!#0-9]+[^\W\d_]+|(\w)\1{3,}")
 _PLAIN = (str.maketrans("013457@$!", "oleastasi"), str.maketrans("013457@$!", "oieastasi"))
 _SPACED = re.compile(r"\b(?:\w ){3,}\w\b")
 _STEMS = (4, 5, 6)
+_YOU = re.compile(b"[\x04-\x07]")
 NAMES = ("words_hit", "stems_hit", "word_density", "stem_density", "hidden_density", "near_you", "you_density", "capitals", "all_caps", "marks", "exclaim", "odd_words", "mean_word", "log_words")
 
 
@@ -45,23 +49,41 @@ class Lexicon:
     words: frozenset[str]
     stems: frozenset[str]
 
+    def holds(self, word: str) -> bool:
+        return word in self.words or self.begins(word)
 
-def dense(text: str, lexicon: Lexicon) -> list[float]:
+    def begins(self, word: str) -> bool:
+        return len(word) >= _STEMS[0] and any(word[:k] in self.stems for k in _STEMS)
+
+
+class Kinds(dict):
+    """What each word is to a lexicon: 1 in it, 2 begins like one of it, 4 second person. Learned as words come, and begun anew when there are many."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = kind = (word in self.lexicon.words) + 2 * self.lexicon.begins(word) + 4 * (word in SECOND_PERSON)
+        return kind
+
+
+def dense(text: str, kinds: Kinds) -> list[float]:
     """The features of a whole text."""
-    low = text.lower()
+    low, lexicon = text.lower(), kinds.lexicon
     words = _WORD.findall(low)
     n = max(1, len(words))
-    hit = lexicon.words.__contains__
-    whole = sum(map(hit, words))
-    stems = sum(len(w) >= 4 and (w[:4] in lexicon.stems or w[:5] in lexicon.stems or w[:6] in lexicon.stems) for w in words) if lexicon.stems else 0
-    you = sum(map(SECOND_PERSON.__contains__, words))
+    kind = bytes(map(kinds.__getitem__, words))
+    count = [kind.count(k) for k in range(8)]
+    whole, stems, you = sum(count[1::2]), count[2] + count[3] + count[6] + count[7], sum(count[4:])
     near = 0
     if you and (whole or stems):
-        places = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        near = sum(any(hit(x) or x[:5] in lexicon.stems for x in words[max(0, i - 4) : i + 5]) for i in places)
+        near = sum(any(k & 3 for k in kind[max(0, m.start() - 4) : m.start() + 5]) for m in _YOU.finditer(kind))
     odd = [m.group() for m in _ODD.finditer(low)]
     read = [{w.translate(t).strip("*#") for t in _PLAIN} for w in odd] + [{m.group().replace(" ", "")} for m in _SPACED.finditer(low)]
-    hidden = sum(any(hit(w) or w[:4] in lexicon.stems or w[:5] in lexicon.stems or w[:6] in lexicon.stems for w in ways) for ways in read)
+    hidden = sum(any(map(lexicon.holds, ways)) for ways in read)
     chars = max(1, len(text))
     letters = max(1, sum(map(len, words)))
     upper = sum(map(str.isupper, text)) if text != low else 0
@@ -75,8 +97,9 @@ def feature_column(spark, lexicon: Lexicon, text: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kinds = Kinds(lexicon)
         for batch in texts:
-            yield pd.Series([dense(t, lexicon) for t in batch])
+            yield pd.Series([dense(t, kinds) for t in batch])
 
     return of(text)
 
@@ -106,30 +129,50 @@ class Scorer:
     prior: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """Learns from labelled rows; the caller leaves out what is held out. The lexicon and the trees come from three quarters of the sample, calibration from the last quarter, or from all of it where that is small."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> Scorer:
+    """Learns from labelled rows; the caller leaves out what is held out.
+
+    Lexicon and trees come from the whole sample. Calibration is cross-fitted: each fold is scored by a lexicon and trees
+    of the other folds, and the isotonic curve is fitted to all those scores, alike for samples of any size.
+    """
     # One label per id: a contradiction counts as toxic.
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     n = known.count()
-    part = min(1.0, sample_rows / max(n, 1))
-    few = F.broadcast(written(known.where(share("doc_id", part)), "sampled_labels"))  # about sample_rows rows
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(few, "doc_id"), "labelled_sample")
-    quarter = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
-    lexicon = learn_lexicon(sample.where(~quarter))
-    rows = written(sample.select("doc_id", "toxic", feature_column(docs.sparkSession, lexicon, F.col("text")).alias("f")), "labelled_features")
-    rows = rows.select("doc_id", "toxic", array_to_vector("f").alias("features")).coalesce(4)
-    counted = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = F.broadcast(written(known.where(share(min(1.0, sample_rows / max(n, 1)), "doc_id")), "sampled_labels"))  # about sample_rows rows of distinct ids
+    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(few, "doc_id").dropDuplicates(["doc_id", "text"]), "labelled_sample")
+    counted = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
     prior = counted.get(1.0, 0) / total if total else 0.0
-    learn = rows.where(~quarter)
-    if len(counted) < 2 or learn.select("toxic").distinct().count() < 2:
+    lexicon = learn_lexicon(sample)
+    trees = _trees(sample, lexicon)
+    if trees is None:
         return Scorer(lexicon, None, None, prior)
-    trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32).fit(learn)
-    unseen = rows.where(quarter)
-    sizes = {r["toxic"]: r["n"] for r in unseen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    enough = sum(sizes.values()) >= LEAST_CALIBRATION and len(sizes) == 2
-    raw = trees.transform(unseen if enough else rows).select("toxic", _margin().alias("margin"))
-    return Scorer(lexicon, trees, IsotonicRegression(labelCol="toxic", featuresCol="margin").fit(raw), prior)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
+    unseen = []
+    for k in range(folds):
+        rest = sample.where(fold != k)
+        own = learn_lexicon(rest)
+        model = _trees(rest, own)
+        if model is not None:
+            scored = model.transform(_features(sample.where(fold == k), own)).select("toxic", _margin().alias("margin"))
+            unseen.append(written(scored, "unseen_scores"))
+    if not unseen:  # no two folds hold both labels
+        unseen = [trees.transform(_features(sample, lexicon)).select("toxic", _margin().alias("margin"))]
+    raw = reduce(DataFrame.unionByName, unseen)
+    return Scorer(lexicon, trees, IsotonicRegression(labelCol="toxic", featuresCol="margin").fit(raw.coalesce(4)), prior)
+
+
+def _features(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    return sample.select("doc_id", "toxic", array_to_vector(feature_column(sample.sparkSession, lexicon, F.col("text"))).alias("features"))
+
+
+def _trees(sample: DataFrame, lexicon: Lexicon) -> GBTClassificationModel | None:
+    """Trees on the sample's features; None unless both labels are there."""
+    rows = written(sample.select("doc_id", "toxic", feature_column(sample.sparkSession, lexicon, F.col("text")).alias("f")), "labelled_features")
+    if rows.select("toxic").distinct().count() < 2:
+        return None
+    learn = rows.select("toxic", array_to_vector("f").alias("features")).coalesce(4)
+    return GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32).fit(learn)
 
 
 def _margin() -> Column:
