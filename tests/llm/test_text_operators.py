@@ -249,6 +249,35 @@ def test_clean_cuts_spans(spark):
     assert "w5" not in got[1].text.lower() and got[1].text.startswith("Before it") and got[1].text.endswith("And after") and got[1].n_chars == len(got[1].text)
 
 
+def test_clean_in_groups_and_on_odd_tables(spark, odd, empty):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pad = "plain text that nobody tests " * 8
+    rows = [(1, pad + items[0][1] + " and " + items[3][1]), (1, pad + items[0][1] + " and " + items[3][1]), (2, items[2][1]), (3, pad), (None, pad + items[4][1]), (4, None), (5, (pad * 300 + items[1][1] + " ") * 3)]
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, digest int, spans int")
+    want = None
+    for most in (500_000, 30, 1):
+        got = decontaminate.clean(docs, bench, most=most)
+        assert got.columns == docs.columns
+        found = Counter(tuple(r) for r in got.collect())
+        assert want is None or found == want
+        want = found
+    assert Counter(i for i, *_ in want.elements()) == {1: 2, 3: 1, None: 1, 4: 1, 5: 1}
+    assert not any(re.search(r"w\dx\d", t or "") for _, t, *_ in want)
+    assert decontaminate.clean(empty, bench).collect() == []
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+    plan = decontaminate.clean(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_automaton_is_small():
+    rng = random.Random(3)
+    items = [(str(i), [b"w%d" % rng.randrange(5000) for _ in range(100)]) for i in range(300)]
+    machine = decontaminate.Automaton(items)
+    flat = sum(x.itemsize * len(x) for x in (machine.link, machine.length, machine.top, machine.first, machine.words, machine.target, machine.item_first, machine.item))
+    assert flat < 80 * 30_000
+
+
 # simhash
 
 
