@@ -350,6 +350,9 @@ def test_close_at_lag():
         got = simhash.close_at_lag(planes, lag, np.packbits(same, bitorder="little").view("<u8"))
         far = np.bitwise_count((values[: 300 - lag] ^ values[lag:]).view(np.uint64))
         assert got.tolist() == np.flatnonzero(far <= 2).tolist()
+        for radius in (0, 1, 2, 7, 26, 31, 40):
+            got = simhash.near_at_lag(planes, lag, np.packbits(same, bitorder="little").view("<u8"), radius)
+            assert got.tolist() == np.flatnonzero(far <= radius).tolist()
 
 
 # warc
@@ -605,8 +608,7 @@ def test_chat_reads_marked_transcripts(spark):
 
 def brute_viterbi(model, texts, heads):
     best, back = None, []
-    for i, (t, k) in enumerate(zip(texts, chat.kinds_of(texts, heads, True))):
-        s = model.step(t, k)
+    for s in model.steps(texts, heads, True):
         if best is None:
             best = s[0]
         else:

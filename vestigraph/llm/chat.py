@@ -84,15 +84,22 @@ class Model:
         for i, r in enumerate(ROLES):
             self.seen[0, r] = np.log([MARKED_RIGHT if j == i else MARKED_WRONG for j in range(len(ROLES))])
         self.none = np.zeros(len(ROLES))
+        self.known: dict[tuple, np.ndarray] = {}  # observations are few, so each one's matrix is made once
 
-    def step(self, text: str, kind: int) -> np.ndarray:
+    def step(self, seen: tuple[str, ...], kind: int) -> np.ndarray:
         """Best-score matrix of one line from each state before it; before the first line all states count as one."""
-        emit = sum((self.seen.get((f, v), self.none) for f, v in enumerate(observe(text))), self.none)
-        return self.moves[kind] + emit[None, :]
+        if (found := self.known.get((seen, kind))) is None:
+            emit = sum((self.seen.get((f, v), self.none) for f, v in enumerate(seen)), self.none)
+            found = self.known[seen, kind] = self.moves[kind] + emit[None, :]
+        return found
 
+    def steps(self, texts: list[str], heads: list[bool], opens: bool) -> list[np.ndarray]:
+        seen = [observe(t) for t in texts]
+        return [self.step(s, k) for s, k in zip(seen, kinds_of(seen, heads, opens), strict=True)]
 
-def kinds_of(texts: list[str], heads: list[bool], opens: bool) -> list[int]:
-    return [FIRST if opens and i == 0 else FRESH if head or marker_of(t) else INSIDE for i, (t, head) in enumerate(zip(texts, heads, strict=True))]
+
+def kinds_of(seen: list[tuple[str, ...]], heads: list[bool], opens: bool) -> list[int]:
+    return [FIRST if opens and i == 0 else FRESH if head or s[0] != "none" else INSIDE for i, (s, head) in enumerate(zip(seen, heads, strict=True))]
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,13 +179,13 @@ def fit(blocks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             for row in b.to_pylist():
                 before = ""
                 opens = row["turns"][0] in (0, None)
-                kinds = kinds_of(row["texts"], row["heads"], opens)
-                for text, role, kind in zip(row["texts"], row["roles"], kinds, strict=True):
+                seen = [observe(x) for x in row["texts"]]
+                for values, role, kind in zip(seen, row["roles"], kinds_of(seen, row["heads"], opens), strict=True):
                     if role in ROLES:
                         if kind == FIRST or before:
                             k = ("", -1 - kind, role if kind == FIRST else f"{before}>{role}")
                             n[k] = n.get(k, 0) + 1
-                        for f, v in enumerate(observe(text)):
+                        for f, v in enumerate(values):
                             n[role, f, v] = n.get((role, f, v), 0) + 1
                     before = role if role in ROLES else ""
         cols = list(zip(*((*k, v) for k, v in n.items()), strict=True)) or [()] * 4
@@ -201,16 +208,12 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             out = []
             for row in b.to_pylist():
-                best = []
-                for opens in (False, True):
-                    kinds = kinds_of(row["texts"], row["heads"], opens)
-                    total = held.value.step(row["texts"][0], kinds[0])
-                    if not best:
-                        rest = None
-                        for t, k in zip(row["texts"][1:], kinds[1:], strict=True):
-                            s = held.value.step(t, k)
-                            rest = s if rest is None else _times(rest, s)
-                    best.append((total if rest is None else _times(total, rest)).ravel().tolist())
+                first, *rest = held.value.steps(row["texts"], row["heads"], False)
+                total = None
+                for s in rest:
+                    total = s if total is None else _times(total, s)
+                opening = held.value.steps(row["texts"][:1], row["heads"][:1], True)[0]
+                best = [(s if total is None else _times(s, total)).ravel().tolist() for s in (first, opening)]
                 out.append((row["conv_id"], row["block"], *best))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.list_(pa.float64())) for c in cols[2:])], names=["conv_id", "block", "inner", "first"])
@@ -245,8 +248,7 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
         names = [c.split()[0] for c in TURNS.split(", ")]
         for b in batches:
             for row in b.to_pylist():
-                kinds = kinds_of(row["texts"], row["heads"], row["opens"])
-                states = decode([held.value.step(t, k) for t, k in zip(row["texts"], kinds, strict=True)], row["entry"], row["leave"])
+                states = decode(held.value.steps(row["texts"], row["heads"], row["opens"]), row["entry"], row["leave"])
                 before, nth, out = -1 if row["opens"] else row["entry"], 0, []
                 for i, (state, text) in enumerate(zip(states, row["texts"], strict=True)):
                     role, starts = ROLES[state], state != before

@@ -1,10 +1,11 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates share one of BANDS keys, each made of ROWS minima of the shingles under different hashes: two texts of
-similarity 0.8 share none with a chance of (1 - 0.8**6)**30 = 0.0001. (64-bit SimHashes of such texts differ in ten bits
-on average and in up to some 18; the blocks that pigeonhole leaves for that are three bits wide.) Candidates are linked
-to the first document of a key only, so groups cost no pairs. What is linked meets in one task, or by tiles in several,
-and there all links are made by exact comparison of the sets.
+"""Near copies by SimHash: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+64-bit fingerprints of two such sets differ in ten bits on average and seldom in more than eighteen; compared are those
+within RADIUS = 26 bits, on vertical bit planes as in `simhash`, and what is left is confirmed by exact comparison of the
+sets. For so wide a radius pigeonhole leaves blocks of two bits, which would put all documents together, so documents meet
+for that comparison over BANDS keys, each made of ROWS minima of the shingles under different hashes: two texts of
+similarity 0.8 share none with a chance of (1 - 0.8**6)**30 = 0.0001. Documents are linked to the first one of a key only,
+so keys cost no pairs. What is linked meets in one task, or by tiles in several.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestigraph.llm.common import small_batches, small_or_shuffled, text_of, written
-from vestigraph.llm.simhash import _LOWER, components
+from vestigraph.llm.simhash import _LOWER, _planes, components, near_at_lag
 
-SHINGLE, SEED, BANDS, ROWS = 5, 42, 30, 6
+SHINGLE, SEED, BANDS, ROWS, RADIUS = 5, 42, 30, 6, 26
 #: Similarity that makes a copy, as a fraction.
 NUM, DEN = 4, 5
 #: Documents of one linked group that are compared at once; larger groups are cut into tiles, and each two tiles meet.
 TILE = 128
+#: Rows, and bytes of their sets, from which groups are compared together.
+GROUPED, _GROUPED_BYTES = 1024, 32 << 20
 _CHUNK = 1 << 12
 _random = np.random.default_rng(SEED)
 _PLACE = _random.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
@@ -71,12 +74,21 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], tile: list[int], across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets; across: between sets of different tiles only.
+def fingerprint(found: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the set's hashes; 0 for the empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), _CHUNK):
+        counts += np.unpackbits(found[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
+def forest(group: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], tile: list[int], across: list[bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside each group, whose rows stand together; across: between sets of different tiles only.
 
-    Sets that are alike share one of their first n - ceil(0.8 n) + 1 hashes, so only those are looked up.
+    Pairs within the radius are found lag by lag on bit planes, all groups at once, and confirmed by their sets.
     """
-    root, index, out = list(range(len(sets))), {}, []
+    n = len(fps)
+    root, out = list(range(n)), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -84,19 +96,23 @@ def forest(sets: list[np.ndarray], tile: list[int], across: bool) -> list[tuple[
             i = root[i]
         return i
 
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n, near = len(sets[i]), set()
-        first = sets[i][: n + (-n * NUM) // DEN + 1].tolist()
-        for h in first:
-            near.update(index.get(h, ()))
-        for j in near:
-            if DEN * len(sets[j]) < NUM * n or (across and tile[i] == tile[j]) or find(i) == find(j):
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    order = np.argsort(-sizes, kind="stable")  # large groups first, so that a lag needs a leading part only
+    rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in order])
+    planes, own, reach = _planes(fps[rows]), group[rows], np.cumsum(sizes[order])
+    for lag in range(1, int(sizes.max())):
+        m = int(reach[int(np.searchsorted(-sizes[order], -lag, "left")) - 1])
+        same = np.zeros(-(-m // 64) * 64, np.uint8)
+        same[: m - lag] = own[: m - lag] == own[lag:m]
+        for k in near_at_lag(planes, lag, np.packbits(same, bitorder="little").view("<u8"), RADIUS).tolist():
+            i, j = int(rows[k]), int(rows[k + lag])
+            if (across[i] and tile[i] == tile[j]) or find(i) == find(j):
                 continue
-            if alike(sets[i], sets[j]):
+            a, b = sorted((len(sets[i]), len(sets[j])))
+            if DEN * a >= NUM * b and alike(sets[i], sets[j]):
                 root[find(i)] = find(j)
                 out.append((i, j))
-        for h in first:
-            index.setdefault(h, []).append(i)
     return out
 
 
@@ -132,22 +148,27 @@ def confirmed(docs: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame
     rows = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, tiles, sets = None, [], [], []
+        held: list[tuple] = []
+        place, nr = None, 0
 
         def flush() -> pa.RecordBatch:
-            pairs = forest(sets, tiles, place[1] != place[2])
+            groups, ids, tiles, across, sets = zip(*held, strict=True)
+            fps = np.array([fingerprint(s) for s in sets], np.int64)
+            pairs = forest(np.array(groups), fps, list(sets), list(tiles), list(across))
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
+        size = 0
         for b in batches:
             for root, x, y, doc, own, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (root, x, y) != place:
-                    if place:
+                    if len(held) >= GROUPED or size >= _GROUPED_BYTES:  # whole groups only
                         yield flush()
-                    place, ids, tiles, sets = (root, x, y), [], [], []
-                ids.append(doc)
-                tiles.append(own)
-                sets.append(np.frombuffer(hashes, np.uint64))
-        if place:
+                        size = 0
+                    place, nr = (root, x, y), nr + 1
+                held.append((nr, doc, own, x != y, np.frombuffer(hashes, np.uint64)))
+                size += len(hashes)
+        if held:
             yield flush()
 
     return rows.mapInArrow(compare, "a long, b long")

@@ -101,6 +101,49 @@ def close_at_lag(planes: np.ndarray, lag: int, valid: np.ndarray) -> np.ndarray:
     return alive[block] * 64 + lane
 
 
+def near_at_lag(planes: np.ndarray, lag: int, valid: np.ndarray, radius: int) -> np.ndarray:
+    """close_at_lag for any radius: a counter of as many planes as the radius needs, fed by full adders; what overflows it or exceeds the radius is over, and blocks of 64 lanes that are over are left."""
+    q, r = divmod(lag, 64)
+    alive = np.flatnonzero(valid)
+    over, last = ~valid[alive], planes.shape[1] - 1
+    count = [np.zeros_like(over) for _ in range(radius.bit_length() + 1)]
+
+    def add(level: int, x: np.ndarray) -> np.ndarray:
+        for i in range(level, len(count)):
+            count[i], x = count[i] ^ x, count[i] & x
+        return x
+
+    def exceeds() -> np.ndarray:
+        more, equal = np.zeros_like(over), np.full_like(over, _ALL)
+        for i in range(len(count) - 1, -1, -1):
+            if radius >> i & 1:
+                equal &= count[i]
+            else:
+                more |= equal & count[i]
+                equal &= ~count[i]
+        return more
+
+    for p in range(0, 64, 3):
+        if not len(alive):
+            break
+        low, high, x = np.minimum(alive + q, last), np.minimum(alive + q + 1, last), []
+        for plane in planes[p : p + 3]:
+            far = (plane[low] >> np.uint64(r)) | (plane[high] << np.uint64(64 - r)) if r else plane[low]
+            x.append(plane[alive] ^ far)
+        half = x[0] ^ x[1] if len(x) == 3 else x[0]
+        over |= add(0, half ^ x[2] if len(x) == 3 else half)
+        if len(x) == 3:
+            over |= add(1, (x[0] & x[1]) | (half & x[2]))
+        if p % 12 == 9 or p == 63:
+            over |= exceeds()
+            keep = over != _ALL
+            alive, over = alive[keep], over[keep]
+            count = [c[keep] for c in count]
+    lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    block, lane = np.nonzero(lanes)
+    return alive[block] * 64 + lane
+
+
 def forest(group: np.ndarray, values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each group; rows of a group stand together."""
     n = len(values)
