@@ -48,18 +48,18 @@ def mark() -> int:
     return len(_written)
 
 
-def sweep(since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables that were written since a mark(), but for those to keep. Results that are lazy still read theirs: sweep once they are saved."""
-    for path in _written[since:]:
-        if path in keep:
+def sweep(since: int = 0, keep: tuple[str, ...] = (), until: int | None = None) -> None:
+    """Deletes the tables that were written since a mark() and, where given, until another, but for those to keep. Results that are lazy still read theirs: sweep once they are saved."""
+    for i, path in list(enumerate(_written))[since:until]:
+        if path in keep or not path:
             continue
+        _written[i] = ""
         try:
             fs, place = file_system(path)
             if fs.get_file_info(place).type == pafs.FileType.Directory:
                 fs.delete_dir(place)
         except (OSError, ValueError):
             continue  # a store that cannot be asked keeps what it has
-    _written[since:] = [p for p in _written[since:] if p in keep]
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import remainder, sampled, small_batches, text_of, written
+from vestigraph.llm.common import mark, remainder, sampled, small_batches, sweep, text_of, written
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 8
 #: The classifier is fitted on so many labelled rows at most, spread by a hash of the whole row; repeated rows count once.
@@ -85,9 +85,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
             pairs = [(lang, np.log1p(v).astype(np.float16).tobytes()) for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := counts(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.binary())], names=["lang", "v"])
 
+    begun = mark()
     chosen = written(sampled(rows.select(F.xxhash64("doc_id", "text", "lang").alias("h")), sample_rows, "h"), "sampled_rows")
     few = rows.withColumn("h", F.xxhash64("doc_id", "text", "lang")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # sample_rows numbers
     sample = few.select("text", "lang").repartition(8).mapInArrow(vectors, "lang string, v binary").collect()
+    sweep(begun)
     if not sample:
         return None
     sample.sort(key=lambda r: (r[0], bytes(r[1])))

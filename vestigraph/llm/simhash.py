@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import small_batches, small_or_shuffled, text_of, written
+from vestigraph.llm.common import mark, small_batches, small_or_shuffled, sweep, text_of, written
 
 SHINGLE, RADIUS, SEED, BLOCKS = 3, 2, 42, 4
 #: Fingerprints of one bucket that are compared at once; larger buckets are cut into tiles, and each two tiles meet.
@@ -237,19 +237,23 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches, by alternating star contraction in about log2 rounds, each a written table."""
     pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    last = mark()
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     seen = None
     for _ in range(rounds):
+        now = mark()
         both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small, "stars")
-        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen:
+        sweep(last, until=now)  # the round before
+        last = now
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == seen:
             break
-        seen = mark
+        seen = state
     else:
         raise RuntimeError(f"components are not done after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

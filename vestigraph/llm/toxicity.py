@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import remainder, share, small_batches, text_of, written
+from vestigraph.llm.common import mark, remainder, share, small_batches, sweep, text_of, written
 
 #: Lexicon and trees are fitted on about so many labelled rows at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -135,6 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fold
     Lexicon and trees come from the whole sample. Calibration is cross-fitted: each fold is scored by a lexicon and trees
     of the other folds, and the isotonic curve is fitted to all those scores, alike for samples of any size.
     """
+    begun = mark()
+    try:
+        return _fit(docs, labels, sample_rows, folds)
+    finally:
+        sweep(begun)  # what was written for fitting
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample_rows: int, folds: int) -> Scorer:
     # One label per id: a contradiction counts as toxic.
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     n = known.count()
