@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vestigraph.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
-from vestigraph.llm.common import fresh_path
+from vestigraph.llm.common import fresh_path, mark, sweep
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote for itself, and the stage before it, goes once its result is saved."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         path = fresh_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(begun, keep=(path,))
     return docs
