@@ -235,3 +235,29 @@ def test_resolution_with_ratio_against_all_pairs(spark, tiny):
                     want[a, b] = near
     got = {(r.left_name, r.right_name): r.similarity for r in relations.entity_resolution_with_ratio(spark, tiny).collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_layout_coverage(spark):
+    flat = json.dumps([{"text": "aa", "page_idx": 0}, {"text": "lost", "page_idx": 0}, {"text": "no page"}, {"text": "bb", "page_idx": 1}])
+    docs = spark.createDataFrame([(1, "aa bb", flat), (2, "aa", "[]")], "doc_id long, text string, layout string")
+    got = {r.doc_id: (r.total, r.matched, r.coverage) for r in layout.coverage(docs, layout.page_spans(docs)).collect()}
+    assert got == {1: (3, 2, 0.6667), 2: (0, 0, 0.0)}
+
+
+def test_secrets_are_redacted(spark):
+    lines = spark.createDataFrame([("DB_PASSWORD=abc=d",), ("  api_key = x",), ("PORT=80",), ("TOKENS",)], "l string")
+    assert [r[0] for r in lines.select(text.redacted(F.col("l"))).collect()] == ["DB_PASSWORD=***", "  api_key =***", "PORT=80", "TOKENS"]
+    assert [r[0] for r in lines.select(text.bigrams(F.lit("Ab-b中a"))).limit(1).collect()] == [["ab", "bb", "b中", "中a"]]
+
+
+def test_gain_is_undefined_without_a_baseline(spark):
+    rows = spark.createDataFrame([(1.0, 0.875), (1.0, 0.0), (None, 0.5)], "s double, b double")
+    assert [r[0] for r in rows.select(F.round(evaluation.gain(F.col("s"), F.col("b")), 6)).collect()] == [0.142857, None, None]
+
+
+def test_merged_aliases_keep_their_order(spark):
+    nodes = spark.createDataFrame([(1, "L", ["z", "a"], 0.3), (2, "R", ["a", " ", "k"], 0.9), (3, "X", [], 0.1)], "id long, name string, aliases array<string>, confidence double")
+    edges = spark.createDataFrame([(2, 3, "e"), (1, 3, "e"), (1, 2, "e")], "src long, dst long, kind string")
+    kept, moved = versions.merge_entities(nodes, edges, 1, 2)
+    assert {r.id: (r.aliases, r.confidence) for r in kept.collect()} == {1: (["z", "a", "R", "k"], 0.9), 3: ([], 0.1)}
+    assert [tuple(r) for r in moved.collect()] == [(1, 3, "e")]

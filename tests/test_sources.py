@@ -87,3 +87,16 @@ def test_export(spark, tmp_path):
     assert [tuple(r) for r in spark.read.schema("id string, n int, absent string").json(_uri(tmp_path / "json")).collect()] == [("a", 1, None)]
     with pytest.raises(KeyError):
         tables.export(rows, ["id"], _uri(tmp_path / "x"), "xml")
+
+
+def test_backup_manifest(spark, tmp_path):
+    (tmp_path / "b" / "c").mkdir(parents=True)
+    for name, text in (("b/x", "1"), ("b/c/y", "2"), ("b/z", "3")):
+        (tmp_path / name).write_text(text)
+    before = tables.manifest(spark, _uri(tmp_path / "b"))
+    kept = spark.createDataFrame(before.collect(), before.schema)
+    (tmp_path / "b/z").unlink()
+    (tmp_path / "b/x").write_text("9")
+    (tmp_path / "b/new").write_text("4")
+    got = {r.path.rpartition("/")[2]: r.verdict for r in tables.verified(kept, tables.manifest(spark, _uri(tmp_path / "b"))).collect()}
+    assert got == {"x": "changed", "y": "ok", "z": "missing", "new": "unexpected"}

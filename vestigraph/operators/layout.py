@@ -40,6 +40,14 @@ def with_blocks(docs: DataFrame, layout: str = "layout") -> DataFrame:
     return rows.withColumn("blocks", F.when(F.col("__nested"), said.cast(_BLOCK)).otherwise(flat.cast(_BLOCK))).drop("__parts", "__nested", "__in")
 
 
+def coverage(docs: DataFrame, spans: DataFrame, key: str = "doc_id", layout: str = "layout") -> DataFrame:
+    """(key, total, matched, coverage): how many blocks with a text and a page a layout has, and how many were found; 0 for a layout without any."""
+    sought = F.size(F.filter("blocks", lambda b: (b["text"] != "") & b["page"].isNotNull()))
+    rows = with_blocks(docs.select(key, layout), layout).select(key, sought.cast("long").alias("total"))
+    rows = rows.join(spans.groupBy(key).agg(F.count("*").alias("matched")), key, "left").na.fill(0, ["matched"])
+    return rows.withColumn("coverage", F.when(F.col("total") > 0, F.round(F.col("matched") / F.col("total"), 4)).otherwise(0.0))
+
+
 def page_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", layout: str = "layout", probe: int = 60) -> DataFrame:
     """(key, char_start, char_end, page): where the blocks stand in the text, sought one after another.
 

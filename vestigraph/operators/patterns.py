@@ -18,9 +18,10 @@ def shared_pairs(edges: DataFrame, as_of: str | None = None, temporal: bool = Tr
     return live.withColumnRenamed("src", "left_id").join(other, "dst").where("left_id < right_id").select("left_id", "right_id", F.col("dst").alias("shared"))
 
 
-def shared_groups(edges: DataFrame) -> DataFrame:
+def shared_groups(edges: DataFrame, as_of: str | None = None, temporal: bool = True) -> DataFrame:
     """The same relation in linear size: each member with its group's size and smallest member."""
-    live = edges.where("dst is not null").select("src", "dst").distinct()
+    live = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of)) if temporal else edges
+    live = live.where("dst is not null").select("src", "dst").distinct()
     groups = live.groupBy("dst").agg(F.count("*").alias("group_size"), F.min("src").alias("class_id")).where("group_size > 1")
     return live.join(groups, "dst").select(F.col("src").alias("member_id"), F.col("dst").alias("shared"), "group_size", "class_id")
 

@@ -76,9 +76,13 @@ def newest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def merge_entities(nodes: DataFrame, edges: DataFrame, left: int, right: int) -> tuple[DataFrame, DataFrame]:
-    """right becomes an alias of left: aliases and names unite, the larger confidence stays, edges move, and self loops and repeats go."""
+    """right becomes an alias of left: left's aliases, right's name and right's aliases in that order, each once; the larger confidence stays, edges move, and self loops and repeats go."""
     moved = lambda c: F.when(F.col(c) == right, left).otherwise(F.col(c)).alias(c)
-    both = nodes.where(F.col("id").isin(left, right)).agg(F.max("confidence").alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.when(F.col("id") == right, F.array("name")).otherwise(F.array().cast("array<string>"))))))).alias("a"))
+    none = F.array().cast("array<string>")
+    of = lambda key, c: F.max(F.when(F.col("id") == key, F.col(c)))
+    both = nodes.where(F.col("id").isin(left, right)).agg(F.max("confidence").alias("c"), of(left, "aliases").alias("own"), of(right, "name").alias("name"), of(right, "aliases").alias("other"))
+    every = F.concat(F.coalesce("own", none), F.array("name"), F.coalesce("other", none))
+    both = both.select("c", F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x.isNotNull() & (x != ""))).alias("a"))
     kept = nodes.where(F.col("id") != right).join(F.broadcast(both))
     is_left = F.col("id") == left
     kept = kept.select("id", "name", F.when(is_left, F.col("a")).otherwise(F.col("aliases")).alias("aliases"), F.when(is_left, F.col("c")).otherwise(F.col("confidence")).alias("confidence"))
@@ -116,6 +120,12 @@ def inner_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
+def rewritten(nodes: DataFrame, edges: DataFrame, ids: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """An incremental version: copies of the affected nodes (id), and of the edges with both ends among them, under the new version. Edges to the rest stay in the old version alone."""
+    copies = nodes.join(ids.select("id").distinct(), "id", "left_semi").withColumn("kg_version", F.lit(version))
+    return copies, inner_edges(edges, ids).withColumn("kg_version", F.lit(version))
+
+
 def activated(versions: DataFrame, chosen: DataFrame) -> DataFrame:
     """versions (org, version, status) after chosen (org, version) of each tenant becomes active: what was active there is superseded. Only ready versions can be chosen; other tenants stay."""
     ready = versions.where("status = 'ready'").select("org", F.col("version").alias("__new")).join(chosen.select("org", F.col("version").alias("__new")).distinct(), ["org", "__new"], "left_semi")

@@ -130,6 +130,16 @@ def confidence_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.surviving(relations, documents.clamped(found, 3, "l_orderkey"), "l_orderkey", "l_linenumber", ("head", "tail")).select("l_orderkey", "head", "tail")
 
 
+@query("""WITH l AS (SELECT l_suppkey, CASE WHEN l_linenumber = 7 THEN ' ' ELSE 'm' END AS mention, CASE WHEN l_quantity < 3 THEN 'high' ELSE (l_discount * 10)::VARCHAR END AS c, CASE WHEN l_partkey % 9 <> 0 THEN l_linenumber END AS pos FROM lineitem),
+    k AS (SELECT l_suppkey, trim(mention) = '' OR c = 'high' OR pos IS NULL AS bad, TRY_CAST(c AS DOUBLE) < 0.5 AS low FROM l)
+    SELECT l_suppkey, count_if(NOT bad AND NOT low) AS kept, count_if(bad) AS malformed, count_if(NOT bad AND low) AS low_confidence FROM k GROUP BY 1""")
+def confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as extracted records, some without a name, a number or a place."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(c("l_linenumber") == 7, " ").otherwise("m").alias("mention"), F.when(c("l_quantity") < 3, "high").otherwise((c("l_discount") * 10).cast("string")).alias("confidence"), F.when(c("l_partkey") % 9 != 0, c("l_linenumber")).alias("char_start"))
+    return documents.floored(rows, ["l_suppkey"])[1]
+
+
 @query("""WITH v AS (SELECT o_custkey % 7 AS org, o_orderkey AS version, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'active' ELSE 'building' END AS status FROM orders), n AS (SELECT org, max(version) AS new FROM v WHERE status = 'ready' AND org < 5 GROUP BY 1)
     SELECT org, version, CASE WHEN version = new THEN 'active' WHEN new IS NOT NULL AND status = 'active' THEN 'superseded' ELSE status END AS status FROM v LEFT JOIN n USING (org)""")
 def activate_version(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vestigraph.operators import paths, versions
+from vestigraph.operators import paths, projection, versions
 from vestigraph.plans.registry import query, table
 
 
@@ -126,15 +126,16 @@ def split_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH seed AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_acctbal < -900), e AS (SELECT DISTINCT 'C' || o_custkey AS src, 'N' || o_orderpriority AS dst FROM orders WHERE o_totalprice > 400000),
     a AS (SELECT id FROM seed UNION SELECT dst FROM e WHERE src IN (SELECT id FROM seed) UNION SELECT src FROM e WHERE dst IN (SELECT id FROM seed))
-    SELECT src, dst, 'v2' AS kg_version FROM e WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a)""")
+    SELECT 'edge' AS what, src, dst, 'v2' AS kg_version FROM e WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a) UNION ALL SELECT 'node', 'C' || c_custkey, c_name, 'v2' FROM customer WHERE 'C' || c_custkey IN (SELECT id FROM a)""")
 def incremental_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The new version holds what the changed customers touch: edges with both ends affected."""
-    seeds = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.concat(F.lit("C"), "c_custkey").alias("id"))
+    """The new version holds what the changed customers touch: those nodes, and edges with both ends among them."""
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
     edges = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("N"), "o_orderpriority").alias("dst")).distinct()
-    return versions.inner_edges(edges, versions.affected(edges, seeds)).withColumn("kg_version", F.lit("v2"))
+    nodes, inner = versions.rewritten(customers.drop("c_acctbal"), edges, versions.affected(edges, customers.where("c_acctbal < -900")), "v2")
+    rows = inner.select(F.lit("edge").alias("what"), "src", "dst", "kg_version")
+    return rows.unionByName(nodes.select(F.lit("node").alias("what"), F.col("id").alias("src"), F.col("name").alias("dst"), "kg_version"))
 
 
-@query("""SELECT c_custkey, round((('0x' || substr(md5(c_custkey::VARCHAR), 1, 2))::INT) / 255.0, 3) AS x, round((('0x' || substr(md5(c_custkey::VARCHAR), 3, 2))::INT) / 255.0, 3) AS y FROM customer""")
+@query("""SELECT c_custkey, round((('0x' || substr(md5(c_custkey::VARCHAR), 1, 2))::INT) / 255.0, 3)::DOUBLE AS x, round((('0x' || substr(md5(c_custkey::VARCHAR), 3, 2))::INT) / 255.0, 3)::DOUBLE AS y FROM customer""")
 def layout_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    byte = lambda at: F.round(F.conv(F.substring(F.md5(F.col("c_custkey").cast("string")), at, 2), 16, 10).cast("int") / 255.0, 3)
-    return table(spark, sf_dir, "customer").select("c_custkey", byte(1).alias("x"), byte(3).alias("y"))
+    return table(spark, sf_dir, "customer").select("c_custkey", projection.seed(F.col("c_custkey").cast("string")).alias("s")).select("c_custkey", "s.x", "s.y")

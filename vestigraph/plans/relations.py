@@ -32,10 +32,17 @@ def shared_attribute_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.shared_pairs(_attribute_edges(spark, sf_dir), AS_OF)
 
 
-@query(f"""WITH {_ATTRIBUTES}, g AS (SELECT dst, count(*) AS group_size, min(src) AS class_id FROM e GROUP BY 1 HAVING count(*) > 1)
-    SELECT src AS member_id, dst AS shared, group_size, class_id FROM e JOIN g USING (dst)""")
+@query(f"""WITH {_ATTRIBUTES}, live AS (SELECT * FROM e WHERE valid_from IS NULL OR valid_from <= DATE '{AS_OF}'), g AS (SELECT dst, count(*) AS group_size, min(src) AS class_id FROM live GROUP BY 1 HAVING count(*) > 1)
+    SELECT src AS member_id, dst AS shared, group_size, class_id FROM live JOIN g USING (dst)""")
 def shared_attribute_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.shared_groups(_attribute_edges(spark, sf_dir))
+    return patterns.shared_groups(_attribute_edges(spark, sf_dir), AS_OF)
+
+
+@query("""WITH e AS (SELECT DISTINCT s_suppkey AS src, s_nationkey || '-' || s_suppkey % 4 AS dst FROM supplier) SELECT a.src AS left_id, b.src AS right_id, a.dst AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src""")
+def shared_phone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that share a made-up phone; phones have no validity, so edges that ended count too."""
+    phones = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.concat_ws("-", "s_nationkey", F.col("s_suppkey") % 4).alias("dst"), F.lit(None).cast("date").alias("valid_from"), F.lit("1990-01-01").cast("date").alias("valid_to"))
+    return patterns.shared_pairs(phones, temporal=False)
 
 
 @query("""WITH o AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders),

@@ -154,3 +154,16 @@ def projected(rows: DataFrame, columns: list[str]) -> DataFrame:
 def export(rows: DataFrame, columns: list[str], path: str, kind: str) -> None:
     out = projected(rows, columns).write.mode("overwrite")
     {"json": out.json, "csv": out.option("header", True).csv}[kind](path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files below a folder: what a backup holds. Files are digested where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def verified(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, verdict) of two manifests: ok, missing, changed or unexpected."""
+    rows = expected.select("path", F.col("sha256").alias("a")).join(found.select("path", F.col("sha256").alias("b")), "path", "full")
+    verdict = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a") != F.col("b"), "changed").otherwise("ok")
+    return rows.select("path", verdict.alias("verdict"))
