@@ -100,3 +100,15 @@ def test_backup_manifest(spark, tmp_path):
     (tmp_path / "b/new").write_text("4")
     got = {r.path.rpartition("/")[2]: r.verdict for r in tables.verified(kept, tables.manifest(spark, _uri(tmp_path / "b"))).collect()}
     assert got == {"x": "changed", "y": "ok", "z": "missing", "new": "unexpected"}
+
+
+def test_stream_counts_records_in_any_order(spark, tmp_path):
+    from vestigraph.streaming import usage
+
+    days = ["2024-03-09", "2024-01-01", "2024-02-15", "2024-01-01", "2024-03-09"]
+    for i, day in enumerate(days):
+        rows = [(f"{day} 0{k}:00:00", "abc"[k % 3], i + k / 4) for k in range(6)]
+        spark.createDataFrame(rows, "ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(_uri(tmp_path / "events"))
+    want = sorted(tuple(r) for r in usage.daily(spark.read.parquet(_uri(tmp_path / "events")), "ts", "kind", "value").collect())
+    got = usage.stream_daily(spark, _uri(tmp_path / "events"), "ts", "kind", "value", files_per_batch=1)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 9

@@ -24,11 +24,17 @@ def daily(events: DataFrame, at: str, kind: str, value: str) -> DataFrame:
     return events.groupBy(day.alias("day"), F.col(kind).alias("stage")).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 100).cast("long")).alias("cents"))
 
 
-def stream_daily(spark: SparkSession, path: str, at: str, kind: str, value: str, late: str = "2 days") -> DataFrame:
-    """Runs the stream over what is there and returns each day's last state. Records later than `late` behind the newest are dropped, and closed days leave the state."""
+def stream_daily(spark: SparkSession, path: str, at: str, kind: str, value: str, late: str | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """Runs the stream over what is there and returns each day's last state.
+
+    The state holds a few numbers for each day and kind, so by default it is kept for good and every record counts, in
+    whatever order files come. With `late` closed days leave the state, and records later than that behind the newest are
+    dropped.
+    """
     schema = spark.read.parquet(path).schema
     exactly = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that it may be a single file
-    events = spark.readStream.schema(schema).parquet(exactly).withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(exactly).withColumn("__at", F.col(at).cast("timestamp"))
+    events = events if late is None else events.withWatermark("__at", late)
     window = F.window("__at", "1 day")
     totals = events.groupBy(window.alias("w"), F.col(kind).alias("stage")).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 100).cast("long")).alias("cents"))
     out = shared_path(spark, "usage")
