@@ -47,12 +47,21 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def name_similarity(a: Column, b: Column, with_ratio: bool = True) -> Column:
-    near = jaccard(name_bigrams(a), name_bigrams(b))
+def name_similarity(a: Column, b: Column, with_ratio: bool = True, grams: tuple[Column, Column] | None = None) -> Column:
+    """grams: the two names' distinct bigrams, where a caller has them for each name already."""
+    near = jaccard(*(grams or (name_bigrams(a), name_bigrams(b))))
     near = F.greatest(near, sequence_ratio(a, b)) if with_ratio else near
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.round(near, 6))
 
 
+def _may_be_near(left: str, right: str) -> Column:
+    """Wider than similarity >= REVIEW: the smaller set of bigrams, or the shorter name, is not too small beside the other."""
+    share = lambda x, y: F.least(x, y) / F.greatest(x, y, F.lit(1))
+    sizes = share(F.size(f"{left}_grams"), F.size(f"{right}_grams")) >= REVIEW
+    # A ratio of 2 m / (a + b) can't exceed 2 a / (a + b) for the shorter length a.
+    return sizes | (share(F.length(f"{left}_name"), F.length(f"{right}_name")) >= REVIEW / (2 - REVIEW))
+
+
 def scored(similarity: Column, shared: Column, tax_conflict: Column) -> Column:
     """Name similarity and bonus for shared attributes; contradicting tax ids cap it below the automatic tier."""
     total = F.least(F.lit(1.0), similarity + F.least(shared * BONUS, F.lit(BONUS_CAP)))
@@ -66,10 +75,10 @@ def tier(similarity: Column) -> Column:
 def candidates(names: DataFrame, key: str = "id", name: str = "name", prefix: int = 2, with_ratio: bool = True) -> DataFrame:
     """left_name < right_name of distinct names that share a prefix and are similar: similarity and tier. `members` rows bear a name, so equal names are never paired one by one."""
     by_name = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("members"), F.min(key).alias("id"))
-    block = by_name.withColumn("block", F.substring("name", 1, prefix))
-    side = lambda s: block.select("block", *(F.col(c).alias(f"{s}_{c}") for c in ("name", "members", "id")))
-    met = side("left").join(side("right"), "block").where("left_name < right_name")
-    met = met.withColumn("similarity", name_similarity(F.col("left_name"), F.col("right_name"), with_ratio))
+    block = by_name.withColumn("block", F.substring("name", 1, prefix)).withColumn("grams", name_bigrams(F.col("name")))
+    side = lambda s: block.select("block", *(F.col(c).alias(f"{s}_{c}") for c in ("name", "members", "id", "grams")))
+    met = side("left").join(side("right"), "block").where((F.col("left_name") < F.col("right_name")) & _may_be_near("left", "right"))
+    met = met.withColumn("similarity", name_similarity(F.col("left_name"), F.col("right_name"), with_ratio, (F.col("left_grams"), F.col("right_grams"))))
     return met.withColumn("tier", tier(F.col("similarity"))).where("tier is not null").select("left_name", "right_name", "left_id", "right_id", "left_members", "right_members", "similarity", "tier")
 
 
@@ -85,9 +94,9 @@ def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_r
     Both sides: id, name, tax_id, address, phone, legal_rep. Rows that share a tax id are no candidates, they align;
     a raw row with several automatic hits has them all sent to review.
     """
-    side = lambda df, s: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "tax_id", "address", "phone", "legal_rep")))
+    side = lambda df, s: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), name_bigrams(F.col("name")).alias(f"{s}_grams"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "tax_id", "address", "phone", "legal_rep")))
     met = side(raw, "raw").join(side(canonical, "canonical"), "block").where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
     shared = sum((F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)).cast("int") for c in ("address", "phone", "legal_rep")), F.lit(0))
     conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != "") & (F.col("raw_tax_id") != F.col("canonical_tax_id")), F.lit(False))
-    found = met.withColumn("similarity", scored(name_similarity(F.col("raw_name"), F.col("canonical_name"), with_ratio), shared, conflict))
+    found = met.withColumn("similarity", scored(name_similarity(F.col("raw_name"), F.col("canonical_name"), with_ratio, (F.col("raw_grams"), F.col("canonical_grams"))), shared, conflict))
     return one_auto_only(found.select("raw_id", "canonical_id", "similarity", tier(F.col("similarity")).alias("tier")).where("tier is not null"), "raw_id")

@@ -35,7 +35,11 @@ def cycles(edges: DataFrame, longest: int = 4, simple: bool = False) -> DataFram
     step = lambda k: e.select(F.col("src").alias(f"n{k}"), F.col("dst").alias(f"n{k + 1}"))
     walk, out = step(1).where("n2 > n1"), []
     for k in range(2, longest + 1):
-        grown = walk.join(step(k), f"n{k}").where(F.col(f"n{k + 1}") >= F.col("n1"))
+        if k < longest:
+            grown = walk.join(step(k), f"n{k}").where(F.col(f"n{k + 1}") >= F.col("n1"))
+        else:  # nothing goes on from here, so only edges back to the start are met, by both their ends
+            back = e.select(F.col("src").alias(f"n{k}"), F.col("dst").alias("n1"), F.col("dst").alias(f"n{k + 1}"))
+            grown = walk.join(back, [f"n{k}", "n1"])
         last = (F.col(f"n{k}"), F.col(f"n{k + 1}"))
         for j in range(1, k):  # a trail: the new edge is none of the earlier ones
             grown = grown.where(~((F.col(f"n{j}") == last[0]) & (F.col(f"n{j + 1}") == last[1])))
