@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vestigraph.functions.scope import strict_tenant, valid_at
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge both ways, with its own id, so that a walk can tell edges apart."""
@@ -14,6 +16,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select("src", "dst", "edge", "valid_from", "valid_to").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge", "valid_from", "valid_to"))
 
 
+def scoped(edges: DataFrame, as_of: str | None, org: str | None, chain: DataFrame | None = None) -> DataFrame:
+    """The edges that every hop of a search may take: of the tenant (a search without one is an error), of a version on the chain (kg_version), valid on the day, or open without one."""
+    rows = edges.where(strict_tenant(F.col("org_id"), org) & valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
+    return rows if chain is None else rows.join(chain.select("kg_version"), "kg_version", "left_semi")
+
+
 def paths(starts: DataFrame, edges: DataFrame, nodes: DataFrame, longest: int = 3, hub: str | None = None) -> DataFrame:
     """Walks of 1 to `longest` edges from starts (id), no edge twice: start, ids, kinds, froms, tos, terminal, terminal_type, hops. Nodes of type `hub` may be ends only."""
     e = undirected(edges)

@@ -45,8 +45,8 @@ _GRAPH = """
 """
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region - nation - supplier, walked both ways from each region; regions are hubs."""
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """starts, edges and nodes of region - nation - supplier."""
     name = lambda letter, c: F.concat(F.lit(letter), c)
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     since = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.min(F.to_date("l_shipdate")).alias("valid_from"))
@@ -54,7 +54,29 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     seat = supplier.join(since, "s_suppkey", "left").select(name("N", "s_nationkey").alias("src"), name("S", "s_suppkey").alias("dst"), F.lit("seat").alias("kind"), "valid_from", F.when(F.col("s_suppkey") % 2 == 0, F.date_add("valid_from", 1000)).alias("valid_to"))
     starts = table(spark, sf_dir, "region").select(name("R", "r_regionkey").alias("id"))
     nodes = starts.withColumn("type", F.lit("REGION")).unionByName(nation.select(name("N", "n_nationkey").alias("id"), F.lit("NATION").alias("type"))).unionByName(supplier.select(name("S", "s_suppkey").alias("id"), F.lit("SUPPLIER").alias("type")))
-    return paths.paths(starts, has.unionByName(seat), nodes, 3, hub="REGION")
+    return starts, has.unionByName(seat), nodes
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks both ways from each region; regions are hubs."""
+    return paths.paths(*_graph(spark, sf_dir), 3, hub="REGION")
+
+
+@query("""WITH s AS (SELECT s_suppkey, min(l_shipdate)::DATE AS since FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1),
+    e AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation WHERE n_nationkey % 5 <> 4
+          UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier JOIN s USING (s_suppkey) WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0 AND since <= DATE '1996-01-01' AND (s_suppkey % 2 <> 0 OR since + 1000 > DATE '1996-01-01')),
+    u AS (SELECT src, dst, src || '>' || dst AS edge FROM e UNION ALL SELECT dst, src, src || '>' || dst FROM e),
+    h1 AS (SELECT 'R' || r_regionkey AS start, dst AS terminal, 'R' || r_regionkey || '/' || dst AS path, edge FROM region JOIN u ON src = 'R' || r_regionkey)
+    SELECT start, terminal, 1 AS hops, path FROM h1 UNION ALL SELECT start, u.dst, 2, path || '/' || u.dst FROM h1 JOIN u ON u.src = h1.terminal AND u.edge <> h1.edge""")
+def paths_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of two hops over one tenant's edges, of two versions of three, valid on a day."""
+    starts, edges, nodes = _graph(spark, sf_dir)
+    number = F.substring("dst", 2, 9).cast("int")
+    mine = F.when(F.col("kind") == "has", number % 5 != 4).otherwise(number % 3 != 0)
+    version = F.when((F.col("kind") == "seat") & (number % 7 == 0), "v0").when(number % 2 == 0, "v1").otherwise("v2")
+    chain = spark.createDataFrame([("v2",), ("v1",)], "kg_version string")
+    rows = paths.scoped(edges.withColumn("org_id", F.when(mine, "o1").otherwise("o2")).withColumn("kg_version", version), "1996-01-01", "o1", chain)
+    return paths.paths(starts, rows, nodes, 2).select("start", "terminal", "hops", F.array_join("ids", "/").alias("path"))
 
 
 @query(f"WITH {_GRAPH} SELECT start, terminal, hops, path FROM v")
