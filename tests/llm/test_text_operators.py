@@ -423,6 +423,9 @@ def test_exact_dedup_goes_on_where_it_was(spark, tmp_path):
     place = f"file://{tmp_path}/dedup"
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     docs.repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    broken = docs.selectExpr("doc_id", "cast(raise_error('lost') as string) as text")
+    with pytest.raises(Exception, match="lost"):  # a log that breaks off is not taken for the whole
+        exact_dedup.dedup(broken, 1, place).collect()
     first = exact_dedup.dedup(spark.read.parquet(f"file://{tmp_path}/docs"), 1, place)
     want = sorted(tuple(r)[:5] for r in first.collect())
     again = exact_dedup.dedup(spark.read.parquet(f"file://{tmp_path}/docs"), 1, place)

@@ -92,16 +92,16 @@ def dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH, place: str |
 
 
 def _logged(signed: DataFrame, place: str) -> DataFrame:
-    """The signature log at place/log, written unless a run before has written it whole."""
+    """The signature log at place/log, written unless a run before has written it whole. The mark place/logged comes after it, so a log that broke off is written again; nothing has been streamed from it yet."""
     spark = signed.sparkSession
-    path = f"{place}/log"
     try:
-        log = spark.read.schema(_SIGNED).parquet(path)
-        log.limit(1).count()
+        whole = not spark.read.schema("id long").parquet(f"{place}/logged").isEmpty()
     except AnalysisException:
-        signed.select("digest", "doc_id", *_PLACE).write.mode("overwrite").parquet(path)
-        log = spark.read.schema(_SIGNED).parquet(path)
-    return log
+        whole = False
+    if not whole:
+        signed.select("digest", "doc_id", *_PLACE).write.mode("overwrite").parquet(f"{place}/log")
+        spark.range(1).write.mode("overwrite").parquet(f"{place}/logged")
+    return spark.read.schema(_SIGNED).parquet(f"{place}/log")
 
 
 def _dedup(docs: DataFrame, files_per_batch: int, place: str | None = None) -> DataFrame:

@@ -88,30 +88,33 @@ def forest(group: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], tile: lis
     Pairs within the radius are found lag by lag on bit planes, all groups at once, and confirmed by their sets.
     """
     n = len(fps)
-    root, out = list(range(n)), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, n))
     order = np.argsort(-sizes, kind="stable")  # large groups first, so that a lag needs a leading part only
     rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in order])
     planes, own, reach = _planes(fps[rows]), group[rows], np.cumsum(sizes[order])
+    part, cross = np.array(tile)[rows], np.array(across)[rows]
+    component, left, out = np.arange(n), n - len(sizes), []
     for lag in range(1, int(sizes.max())):
+        if not left:  # every group hangs together
+            break
         m = int(reach[int(np.searchsorted(-sizes[order], -lag, "left")) - 1])
-        same = np.zeros(-(-m // 64) * 64, np.uint8)
-        same[: m - lag] = own[: m - lag] == own[lag:m]
-        for k in near_at_lag(planes, lag, np.packbits(same, bitorder="little").view("<u8"), RADIUS).tolist():
-            i, j = int(rows[k]), int(rows[k + lag])
-            if (across[i] and tile[i] == tile[j]) or find(i) == find(j):
+        a, b = slice(0, m - lag), slice(lag, m)
+        # Pairs that hang together already need no comparison, so a group of copies is soon done.
+        open_ = (own[a] == own[b]) & (component[a] != component[b]) & ~(cross[a] & (part[a] == part[b]))
+        if not open_.any():
+            continue
+        valid = np.zeros(-(-m // 64) * 64, np.uint8)
+        valid[: m - lag] = open_
+        for k in near_at_lag(planes, lag, np.packbits(valid, bitorder="little").view("<u8"), RADIUS).tolist():
+            x, y = component[k], component[k + lag]
+            if x == y:
                 continue
-            a, b = sorted((len(sets[i]), len(sets[j])))
-            if DEN * a >= NUM * b and alike(sets[i], sets[j]):
-                root[find(i)] = find(j)
+            i, j = int(rows[k]), int(rows[k + lag])
+            less, more = sorted((len(sets[i]), len(sets[j])))
+            if DEN * less >= NUM * more and alike(sets[i], sets[j]):
+                component[component == y] = x
+                left -= 1
                 out.append((i, j))
     return out
 

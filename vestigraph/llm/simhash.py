@@ -21,6 +21,8 @@ from vestigraph.llm.common import mark, small_batches, small_or_shuffled, sweep,
 SHINGLE, RADIUS, SEED, BLOCKS = 3, 2, 42, 4
 #: Fingerprints of one bucket that are compared at once; larger buckets are cut into tiles, and each two tiles meet.
 TILE = 1024
+#: Documents of one fingerprint from which it is sent to them, and not they to it.
+HOT = 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -265,10 +267,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -
     Null text has no words, and all documents without words are one component with what is within two bits of zero. Repeated rows link to each other. A null doc_id is no id: such a row gets the component of its fingerprint. Empty table: no rows.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct")
-    roots = components(links(distinct, tile))
-    of = distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).where("id is not null"), "distinct")
+    roots = components(links(distinct.select("id", "fp"), tile))
+    of = written(distinct.join(roots, "id", "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")), "roots")
+    # Fingerprints of very many documents are few, so they go to the documents; the rest meet them by shuffle, none of which is large.
+    many = small_or_shuffled(of.where(F.col("n") > HOT).select("fp", "component_id"), 32)
+    found = marked.join(many, "fp", "left")
+    rest = found.where("component_id is null").drop("component_id").join(of.where(F.col("n") <= HOT).drop("n"), "fp", "left")
+    rows = found.where("component_id is not null").unionByName(rest)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ LEAST_ROWS, LEAST_RATIO = 4, 8.0
 #: Calibration is learned from rows scored by a model that has not seen them, over so many folds of the sample, whatever its size.
 FOLDS = 3
 #: Words whose kind a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 # Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
 _WORD = re.compile(r"[^\W\d_]+")
