@@ -25,6 +25,8 @@ from vestigraph.llm.common import remainder, share, small_batches, small_or_shuf
 ROLES = ("system", "user", "assistant")
 #: Lines and characters of a block. Conversations are fitted on blocks of about SAMPLE_ROWS lines in all.
 BLOCK_LINES, BLOCK_CHARS, SAMPLE_ROWS = 512, 1 << 20, 20_000
+#: Characters that go on to Spark at once.
+_SENT = 1 << 20
 # Speaker names that transcripts use.
 _SPEAKERS = {"system": "system sys instruction instructions context", "user": "user human customer client person q question me prompt", "assistant": "assistant ai bot agent model gpt a answer response support"}
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|?|>>\s*)?(" + "|".join(sorted((w for ws in _SPEAKERS.values() for w in ws.split()), key=len, reverse=True)) + r")(?:\*\*)?\s*(?:[:>\]]|\|?>|\*\*:?)\s*", re.I)
@@ -142,25 +144,33 @@ def blocks_of(messages: DataFrame, block_lines: int = BLOCK_LINES, block_chars:
         held: list[tuple] = []
         chars = 0
 
-        def close() -> pa.RecordBatch:
-            nonlocal number, held, chars
+        done: list[dict] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal number, held, chars, size
             turns, heads, lines, texts, roles = zip(*held, strict=True)
-            out = pa.RecordBatch.from_pylist([{"conv_id": conv, "block": number, "turns": turns, "heads": heads, "lines": lines, "texts": texts, "roles": roles}], schema=_BLOCK)
+            done.append({"conv_id": conv, "block": number, "turns": turns, "heads": heads, "lines": lines, "texts": texts, "roles": roles})
+            size += chars + len(held)
             number, held, chars = number + 1, [], 0
-            return out
 
         for b in batches:
             for conv_id, turn, text, role, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and conv_id != conv:
-                    yield close()
+                    close()
                 conv = conv_id
                 for nth, line in enumerate([x for x in text.split("\n") if x.strip()] or [""]):
                     held.append((turn, nth == 0, nth, line, role))
                     chars += len(line)
                     if len(held) >= block_lines or chars >= block_chars:
-                        yield close()
+                        close()
+                if size >= _SENT:  # many small blocks go on together
+                    yield pa.RecordBatch.from_pylist(done, schema=_BLOCK)
+                    done, size = [], 0
         if held:
-            yield close()
+            close()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=_BLOCK)
 
     return written(dealt.mapInArrow(cut, BLOCK), "chat-blocks")
 
@@ -221,6 +231,12 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(ROLES)
         every = (r for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+
+        def ends_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], names=["conv_id", "b", "entry", "leave", "opens", "closes"])
+
         for _, own in groupby(every, lambda r: r["conv_id"]):
             score, back, numbers, conv = np.zeros(k), [], [], None
             score[1:] = -np.inf
@@ -230,13 +246,15 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
                 back.append(reach.argmax(0).astype(np.int8))
                 numbers.append(r["block"])
                 score = reach.max(0)
-            state, out = int(score.argmax()), []
+            state = int(score.argmax())
             for i in range(len(back) - 1, -1, -1):
                 entry = int(back[i][state])
                 out.append((conv, numbers[i], entry, state, i == 0, i == len(back) - 1))
                 state = entry
-            cols = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], names=["conv_id", "b", "entry", "leave", "opens", "closes"])
+            if len(out) >= 4096:
+                yield ends_of(out)
+                out = []
+        yield ends_of(out)
 
     reduced = blocks.select("conv_id", "block", "texts", "heads").mapInArrow(reduce, "conv_id long, block long, inner array<double>, first array<double>")
     ends = reduced.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, "conv_id long, b long, entry int, leave int, opens boolean, closes boolean")
@@ -246,10 +264,12 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
         names = [c.split()[0] for c in TURNS.split(", ")]
+        rows: list[tuple] = []
+        size = 0
         for b in batches:
             for row in b.to_pylist():
                 states = decode(held.value.steps(row["texts"], row["heads"], row["opens"]), row["entry"], row["leave"])
-                before, nth, out = -1 if row["opens"] else row["entry"], 0, []
+                before, nth = -1 if row["opens"] else row["entry"], 0
                 for i, (state, text) in enumerate(zip(states, row["texts"], strict=True)):
                     role, starts = ROLES[state], state != before
                     nth += starts
@@ -257,9 +277,14 @@ def recover(blocks: DataFrame, model: Model) -> DataFrame:
                     piece = ("" if before < 0 else "<|end|>\n" if starts else "\n") + (f"<|{role}|>\n" if starts else "") + escaped(content)
                     if row["closes"] and i == len(states) - 1:
                         piece += "<|end|>\n"
-                    out.append((row["conv_id"], row["turns"][i], row["lines"][i], role, marker, content, starts, nth, row["block"], piece))
+                    rows.append((row["conv_id"], row["turns"][i], row["lines"][i], role, marker, content, starts, nth, row["block"], piece))
                     before = state
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    size += len(piece)
+                if len(rows) >= 4096 or size >= _SENT:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows, size = [], 0
+        cols = list(zip(*rows, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     lines = written(joined.mapInArrow(turns, TURNS), "chat-lines")
     sums = lines.groupBy("conv_id", "block").agg(F.count_if("opens").alias("n"))
