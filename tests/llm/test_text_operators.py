@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vestigraph.llm import chat, common, decontaminate, exact_dedup, html_text, langid, packing, pii, simhash, toxicity, warc
+from vestigraph.llm import chat, common, decontaminate, exact_dedup, fill_middle, html_text, langid, merkle, packing, pii, simhash, token_counts, toxicity, warc
 from vestigraph.llm import queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -827,3 +827,179 @@ def test_packing_without_ranks_goes_to_the_tokenizer(tmp_path):
     rules["normalizer"] = None
     (tmp_path / "other.json").write_text(json.dumps(rules))
     assert packing.ranks_of(str(tmp_path / "other.json")) is None
+
+
+# token counts
+
+
+def library_counts(texts, file="word_bpe_49k.json"):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(file))
+    return [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def mixed_texts(seed, n):
+    """Runs of one kind of character, from one to beyond a chunk, with special strings and contractions between them."""
+    rng, kinds = random.Random(seed), ["abcdefghij", "aeiou'stlvd", "漢字仮名交じり文", "áëᅡᆨ가각", "0123456789", "!?.,'\"-", "  \n\t", "éüßİΣ", "🙂👍"]
+    for _ in range(n):
+        parts, size = [], rng.randint(300, 4000)
+        while sum(map(len, parts)) < size:
+            kind = rng.choice(kinds)
+            parts.append("".join(rng.choice(kind) for _ in range(rng.choice([1, 3, 8, 40, 400, 1500]))))
+            parts.append(rng.choice(["<|endoftext|>", "<|startoftext|>", "it's", "they'll", " ", " ", "", "", "", ""]))
+        yield "".join(parts)
+
+
+HARD_TEXTS = ["a" * 5000, "ab" * 4000, "漢" * 3000, "word " * 3000, "́" * 3000, "'s" * 2000, "!" * 4000, "x" * 37 + "<|endoftext|>" * 300]
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(256, 64), (1000, 128)])
+def test_token_counts_of_spliced_chunks(spark, chunk, overlap):
+    texts = [*mixed_texts(chunk, 30), *HARD_TEXTS]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.counts(docs, chunk=chunk, overlap=overlap).collect()}
+    want = library_counts(texts)
+    assert got == {i: (len(t.encode()), n) for i, (t, n) in enumerate(zip([*texts, texts[3]], [*want, want[3]], strict=True))}
+
+
+def test_token_counts(spark, tiny):
+    table = rows(spark, tiny)
+    want = sorted((r.doc_id, len((r.text or "").encode()), n, n > 2048) for r, n in zip(table, library_counts(r.text for r in table), strict=True))
+    assert sorted(map(tuple, q.op11_token_counts(spark, tiny).collect())) == want
+
+
+def test_token_counts_odd(spark, odd, empty):
+    want = Counter((i, n) for (i, t), n in zip(ODD_TEXTS, library_counts(t for _, t in ODD_TEXTS), strict=True))
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.counts(odd).collect()) == want
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.counts(odd, chunk=100, overlap=50).collect()) == want
+    assert token_counts.counts(empty).collect() == [] and token_counts.counts(empty).columns == ["doc_id", "n_bytes", "n_tokens"]
+
+
+def test_token_counts_of_other_vocabularies(spark, odd):
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = token_counts.counts(odd, public_tokenizers.path("piece_bpe_32k.model"))
+    assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == Counter((i, len(pieces.encode(t or ""))) for i, t in ODD_TEXTS)
+    got = token_counts.counts(odd, public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, n) for (i, t), n in zip(ODD_TEXTS, library_counts((t for _, t in ODD_TEXTS), "byte_bpe_50k.json"), strict=True))
+    assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chunks_are_the_text(seed):
+    for text in [*mixed_texts(seed, 5), *HARD_TEXTS, ""]:
+        places = token_counts.cuts(text, 200, 50)
+        assert "".join(text[start:end] for _, start, end in places) == text
+        assert all(base <= start < end for base, start, end in places)
+
+
+# Merkle manifest
+
+
+def hexed(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_tree(level, fanout=16):
+    paths, at = [[] for _ in level], list(range(len(level)))
+    while len(level) > 1:
+        for k, i in enumerate(at):
+            first = i // fanout * fanout
+            paths[k].append(("".join(level[first:i]), "".join(level[i + 1 : first + fanout])))
+            at[k] = i // fanout
+        level = [hexed("".join(level[i : i + fanout])) for i in range(0, len(level), fanout)]
+    return level[0], paths
+
+
+def brute_manifest(table):
+    def leaf(r):
+        return hexed("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    groups, out = defaultdict(list), []
+    for r in table:
+        groups[r[1]].append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = []
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees.append(brute_tree([leaf(r) for r in groups[g]]))
+    root, upper = brute_tree([t[0] for t in trees])
+    for g, (subroot, paths), rest in zip(order, trees, upper, strict=True):
+        for r, path in zip(groups[g], paths, strict=True):
+            told = r
+            if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 == 0 and r[4] is not None:
+                told = (*r[:4], "".join(c.lower() if "A" <= c <= "Z" else c for c in r[4]))
+            folded = leaf(told)
+            for left, right in [*path, *rest]:
+                folded = hexed(left + folded + right)
+            out.append((r[0], leaf(r), subroot, root, hexed("".join(a + b for a, b in [*path, *rest])), folded, folded == root))
+    return Counter(out)
+
+
+def test_merkle_manifest(spark, tiny):
+    table = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in rows(spark, tiny)]
+    assert Counter(map(tuple, q.op12_merkle_manifest(spark, tiny).collect())) == brute_manifest(table)
+
+
+def test_merkle_manifest_odd(spark, odd, empty):
+    """Null ids, sources and texts, rows that repeat more than a block holds, ids that share a place, ids of both ends of the range, groups of 1, 16, 17, 256 and 257 rows."""
+    table = [(None, None, None, None, None)] * 3 + [(i % 40 if i % 7 else None, "one" if i % 3 else None, "en", i % 5, "ABc" * (i % 4)) for i in range(900)]
+    table += [(7, "rep", "en", 1, "A")] * 2500 + [(-(2**63), "é", "x", 1, ""), (2**63 - 1, "é", "x", 1, "q"), (0, "é", "x", 1, "q")]
+    table += [(i * 10**15, f"g{n}", "x", n, "Q") for n in (1, 16, 17, 256, 257) for i in range(n)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in table], "doc_id long, source string, lang string, n_chars long, text string, grp int, leaf string")
+    assert Counter(map(tuple, merkle.audit(docs).collect())) == brute_manifest(table)
+    assert Counter(map(tuple, merkle.audit(odd).collect())) == brute_manifest([(i, "s", "en", len(t or ""), t) for i, t in ODD_TEXTS])
+    assert merkle.audit(empty).collect() == []
+
+
+def test_merkle_many_sources(spark):
+    """More sources than one block holds, each of one document."""
+    table = [(i, f"s{i * 7919 % 300}", "x", 1, "T") for i in range(300)]
+    docs = spark.createDataFrame(table, "doc_id long, source string, lang string, n_chars long, text string")
+    assert Counter(map(tuple, merkle.audit(docs).collect())) == brute_manifest(table)
+
+
+# fill in the middle
+
+
+@pytest.mark.parametrize("name", sorted(fill_middle.GRAMMARS))
+def test_units_follow_the_grammar(spark, name):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    grammar = fill_middle.GRAMMARS[name]
+    texts = ["".join(x) for n in range(6) for x in itertools.product("a \n🙂.", repeat=n)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fill_middle.units(F.col("text"), grammar).alias("u")).collect()
+    assert all(list(r.u) == [m.group() for m in re.finditer(grammar.units, r.text)] for r in got) and len(got) == len(texts)
+
+
+def brute_middle(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    same = hashlib.sha256(text.encode()).hexdigest()
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return doc_id, len(units), "plain", None, None, same, same
+    form, out = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 80 else ("psm", f"<P>{p}<S>{s}<M>{m}")
+    return doc_id, len(units), form, len(p), len(m), hashlib.sha256(out.encode()).hexdigest(), same
+
+
+def test_fill_in_middle(spark, tiny):
+    got = q.op13_fill_in_middle(spark, tiny).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_middle(r.doc_id, r.text) for r in rows(spark, tiny))
+    assert {r.form for r in got} == {"plain", "spm", "psm"}
+
+
+def test_fill_in_middle_odd(spark, odd, empty):
+    texts = [(i, t) for k in range(40) for i, t in ((k, "a <P b <S>"), (k, "<" * 3 + "P " + "S>" * 2 + " <M"), (k, " \n🙂 é x ")) for i in (k,)] + ODD_TEXTS
+    docs = spark.createDataFrame([(i, t, 3, "y") for i, t in texts], "doc_id long, text string, n int, form string")
+    assert Counter(map(tuple, fill_middle.report(docs).collect())) == Counter(brute_middle(i, t) for i, t in texts)
+    assert fill_middle.report(empty).collect() == []
