@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import scope, text
-from vestigraph.operators import citations, documents, evaluation, evidence, layout, rules, temporal, versions
+from vestigraph.operators import citations, documents, evaluation, evidence, layout, rules, substrings, temporal, versions
 from vestigraph.plans import relations
 
 
@@ -38,7 +38,7 @@ def _cited(spark, evidence, answer="no evidence in it"):
     spans = spark.createDataFrame([("chunk-1", "Beta", 111, 115), ("chunk-1", "Far", 500, 503), ("chunk-1", "Edge", 110, 400)], "chunk_id string, mention string, char_start long, char_end long")
     answers = spark.createDataFrame([(1, answer, evidence)], "answer_id long, answer string, evidence array<string>")
     injected = spark.createDataFrame([(1, "chunk-1"), (1, "chunk-3")], "answer_id long, chunk_id string")
-    found = citations.located(answers, chunks, spans)
+    found = citations.located(answers, chunks, spans, injected)
     kept = citations.grounded(found, answers, injected, chunks, spans)
     return [[(r.chunk_id, r.nth, r.char_offset, r.char_end) for r in x.orderBy("nth").collect()] for x in (found, kept)]
 
@@ -261,3 +261,43 @@ def test_merged_aliases_keep_their_order(spark):
     kept, moved = versions.merge_entities(nodes, edges, 1, 2)
     assert {r.id: (r.aliases, r.confidence) for r in kept.collect()} == {1: (["z", "a", "R", "k"], 0.9), 3: ([], 0.1)}
     assert [tuple(r) for r in moved.collect()] == [(1, 3, "e")]
+
+
+def test_only_what_was_given_is_cited(spark):
+    chunks = spark.createDataFrame([("chunk-1", 10, 0, " " + "a b" * 100, 4), ("chunk-2", 10, 400, "short", None)], "chunk_id string, doc_id long, char_start long, text string, page int")
+    spans = spark.createDataFrame([], "chunk_id string, mention string, char_start long, char_end long")
+    answers = spark.createDataFrame([(1, ["chunk-1", "chunk-2"]), (2, ["chunk-1", "chunk-2"])], "answer_id long, evidence array<string>")
+    given = spark.createDataFrame([(1, "chunk-1"), (2, "chunk-2"), (2, "chunk-2"), (2, "chunk-7")], "answer_id long, chunk_id string")
+    got = {(r.answer_id, r.chunk_id, r.page, r.snippet) for r in citations.located(answers, chunks, spans, given).collect()}
+    assert got == {(1, "chunk-1", 4, ("a b" * 100)[:200] + "…"), (2, "chunk-2", None, "short")}
+
+
+@pytest.mark.parametrize("lot_chars", [10**9, 60])
+def test_names_in_texts(spark, lot_chars):
+    rng = random.Random(3)
+    names = [None, "", "a", "ab", "abab", "b🙂", "🙂", *{"".join(rng.choice("abc🙂 ") for _ in range(rng.randint(1, 6))) for _ in range(40)}]
+    texts = [(i, "".join(rng.choice("abc🙂 ") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "a"), (62, "🙂")]
+    known = spark.createDataFrame([(n,) for n in [*names, "ab"]], "name string")
+    got = [tuple(r) for r in substrings.occurring(spark.createDataFrame(texts, "id long, text string"), known, "id", lot_chars=lot_chars).collect()]
+    want = {(i, n) for i, t in texts for n in names if t and n and n in t}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_bridge_over_many_systems(spark):
+    """No cap on the systems: the clause names the last of them."""
+    systems = spark.range(20_000).select("id", F.concat(F.lit("s"), F.col("id") + 10_000).alias("name")).withColumnRenamed("id", "system_id")
+    clauses = spark.createDataFrame([("c1", 1, "by s29999 and s10001"), ("c2", 1, "none"), (" ", 1, "s29999")], "clause_id string, doc_id long, text string")
+    windows = spark.createDataFrame([("c1", "2024-01-01", None)], "clause_id string, valid_from string, valid_to string")
+    document = spark.createDataFrame([], "doc_id long, valid_from string, valid_to string")
+    for lot in (10**9, 20_000):
+        edges = rules.bridged(clauses, systems, windows, document, lot_chars=lot)
+        assert sorted((r.clause_id, r.system_id, r.origin) for r in edges.where("system_id is not null").collect()) == [("c1", 1, "inherited"), ("c1", 19_999, "inherited")]
+        assert {r.what: r.n for r in rules.bridge_counts(edges).collect()} == {"unmatched": 1, "inherited": 2, "system:1": 1, "system:19999": 1}
+
+
+def test_clause_paragraphs(spark):
+    """A place in the middle, at the start, in another block, none, and past the end."""
+    texts = ["头一段\n\n第十一条 适用标准工时制的岗位。\n\n尾段", "第一条 综合工时制"]
+    rows = spark.createDataFrame([("a", texts[0], 5, 9), ("b", texts[1], 0, 3), ("c", texts[0], 0, 3), ("d", texts[0], None, None), ("e", texts[1], 5, 500)], "id string, text string, start int, end int")
+    got = {r.id: r.p for r in rows.select("id", rules.clause_text(F.lit("n"), F.lit(None).cast("string"), rules.paragraph(F.col("text"), F.col("start"), F.col("end"))).alias("p")).collect()}
+    assert got == {"a": "n  第十一条 适用标准工时制的岗位。", "b": "n  第一条 综合工时制", "c": "n  头一段", "d": "n ", "e": "n "}

@@ -10,13 +10,15 @@ CHUNK_ID = r"chunk-[0-9A-Za-z]{1,64}"
 SOURCE_MARK = r"\[source:[^\]]*\]"
 HARD = r"[A-Za-z]{1,4}-?\d[\p{L}\p{N}_./:-]*|\d+(?:\.\d+)?\s*(?:小时|天|次|分钟|%)"
 LEAST = 2
+SNIPPET = 200
 
 
-def located(answers: DataFrame, chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row per answer and cited chunk: answer_id, chunk_id, doc_id, nth, char_offset, char_end.
+def located(answers: DataFrame, chunks: DataFrame, spans: DataFrame, injected: DataFrame) -> DataFrame:
+    """One row per answer and cited chunk: answer_id, chunk_id, doc_id, nth, char_offset, char_end, page, snippet.
 
     answers: answer_id and evidence, an array of items such as `chunk-1` or `chunk-1#mention`. chunks: chunk_id, doc_id,
-    char_start, text. spans: chunk_id, mention, char_start, char_end. Items that name no chunk of a document go. An item
+    char_start, text, and page where it is known. spans: chunk_id, mention, char_start, char_end. injected: answer_id,
+    chunk_id, what the answer was given. Items that name no chunk of a document, or one that wasn't given, go. An item
     whose mention is a span's (without case) gets the first such place, relative to the chunk and inside it; others mean
     the whole chunk. Of several items for a chunk the narrowest counts, at the first one's rank.
     """
@@ -25,13 +27,17 @@ def located(answers: DataFrame, chunks: DataFrame, spans: DataFrame) -> DataFram
     pool = chunks.where("doc_id is not null").select("chunk_id", "doc_id", F.col("char_start").alias("base"), F.length("text").alias("size"))
     named = spans.join(pool, "chunk_id").where("char_end > base and char_start < base + size")
     places = named.groupBy("chunk_id", F.lower(F.trim("mention")).alias("said")).agg(F.min(F.struct("char_start", "char_end")).alias("at"))
-    rows = items.join(pool, "chunk_id").join(places, ["chunk_id", "said"], "left")
+    given = items.join(injected.select("answer_id", "chunk_id").distinct(), ["answer_id", "chunk_id"], "left_semi")
+    rows = given.join(pool, "chunk_id").join(places, ["chunk_id", "said"], "left")
     start = F.coalesce(F.greatest(F.lit(0), F.col("at.char_start") - F.col("base")), F.lit(0))
     end = F.when(F.col("at").isNull(), F.col("size")).otherwise(F.least("size", F.col("at.char_end") - F.col("base")))
     sized = rows.select("answer_id", "chunk_id", "doc_id", "nth", start.alias("char_offset"), end.alias("char_end"))
     width = F.greatest(F.lit(0), F.col("char_end") - F.col("char_offset"))
     best = sized.groupBy("answer_id", "chunk_id").agg(F.min("nth").alias("nth"), F.min_by(F.struct("doc_id", F.col("char_offset").cast("long").alias("char_offset"), F.col("char_end").cast("long").alias("char_end")), F.struct(width, F.col("nth"))).alias("b"))
-    return best.select("answer_id", "chunk_id", "b.doc_id", "nth", "b.char_offset", "b.char_end")
+    page = F.col("page") if "page" in chunks.columns else F.lit(None).cast("int")
+    bare = F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    shown = chunks.select("chunk_id", page.alias("page"), F.when(F.length(bare) <= SNIPPET, bare).otherwise(F.concat(F.substring(bare, 1, SNIPPET), F.lit("…"))).alias("snippet"))
+    return best.join(shown, "chunk_id").select("answer_id", "chunk_id", "b.doc_id", "nth", "b.char_offset", "b.char_end", "page", "snippet")
 
 
 def fragments(answers: DataFrame, injected: DataFrame, spans: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vestigraph.operators.substrings import LOT_CHARS, occurring
+
 # Evidence weights and the two tiers.
 WEIGHTS = {"trip_approved": 0.35, "order_closed": 0.30, "location_match": 0.22, "access_contrast": 0.13}
 ACCEPT, REVIEW = 0.80, 0.50
@@ -125,19 +127,33 @@ def paragraph(text: Column, start: Column, end: Column, reach: int = 1200) -> Co
     return F.when((start >= 0) & (start < end) & (end <= F.length(text)), F.substr(text, (from_ + 1).cast("int"), (to - from_).cast("int")))
 
 
-def bridged(clauses: DataFrame, systems: DataFrame, windows: DataFrame, document: DataFrame) -> DataFrame:
-    """(system_id, clause_id, evidence, valid_from, valid_to, origin): an edge where a clause's text names a system.
+def clause_text(name: Column, mention: Column, block: Column) -> Column:
+    """What a clause is judged by: its name, the words that mention it and, where its place is known, the paragraph around it."""
+    return F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(mention, F.lit("")), F.coalesce(F.concat(F.lit(" "), block), F.lit("")))
+
+
+def bridged(clauses: DataFrame, systems: DataFrame, windows: DataFrame, document: DataFrame, lot_chars: int = LOT_CHARS) -> DataFrame:
+    """(system_id, clause_id, evidence, valid_from, valid_to, origin): an edge where a clause's text names a system; all columns but clause_id null for a clause that names none.
 
-    clauses: clause_id, doc_id, text. systems: system_id, name, a bounded vocabulary. windows: clause_id, valid_from,
-    valid_to, the clause's own; document: doc_id, valid_from, valid_to, used where the clause has none. origin says which:
-    inherited, doc_scope or no_window.
+    clauses: clause_id, doc_id, text (see `clause_text`); those without an id make no edges. systems: system_id, name, as
+    many as there are. windows: clause_id, valid_from, valid_to, the clause's own; document: doc_id, valid_from, valid_to,
+    used where the clause has none. origin says which: inherited, doc_scope or no_window.
     """
-    named = clauses.join(F.broadcast(systems.where("name != ''").limit(10_000)), F.expr("contains(text, name)"))
+    named_by = clauses.where(F.trim("clause_id") != "")
+    hits = occurring(named_by, systems, "clause_id", lot_chars=lot_chars).join(systems.select("system_id", "name"), "name")
+    named = named_by.join(hits, "clause_id", "left")
     own = windows.select("clause_id", F.struct("valid_from", "valid_to").alias("own"))
     doc = document.select("doc_id", F.struct("valid_from", "valid_to").alias("doc"))
     rows = named.join(own, "clause_id", "left").join(doc, "doc_id", "left").withColumn("w", F.coalesce("own", "doc"))
     origin = F.when(F.col("own").isNotNull(), "inherited").when(F.col("doc").isNotNull(), "doc_scope").otherwise("no_window")
-    return rows.select("system_id", "clause_id", F.substring("text", 1, 200).alias("evidence"), "w.valid_from", "w.valid_to", origin.alias("origin"))
+    hit = lambda c: F.when(F.col("system_id").isNotNull(), c)
+    return rows.select("system_id", "clause_id", hit(F.substring("text", 1, 200)).alias("evidence"), hit(F.col("w.valid_from")).alias("valid_from"), hit(F.col("w.valid_to")).alias("valid_to"), hit(origin).alias("origin"))
+
+
+def bridge_counts(edges: DataFrame) -> DataFrame:
+    """(what, n) of what `bridged` gives: clauses that name no system as `unmatched`, edges by origin, and edges of each system."""
+    of = F.array(F.coalesce("origin", F.lit("unmatched")), F.concat(F.lit("system:"), F.col("system_id").cast("string")))
+    return edges.select(F.explode(of).alias("what")).where("what is not null").groupBy("what").agg(F.count("*").alias("n"))
 
 
 def day_facts(days: DataFrame, trips: DataFrame, orders: DataFrame, places: DataFrame, access: DataFrame) -> DataFrame:

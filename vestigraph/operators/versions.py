@@ -82,7 +82,7 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, left: int, right: int) ->
     of = lambda key, c: F.max(F.when(F.col("id") == key, F.col(c)))
     both = nodes.where(F.col("id").isin(left, right)).agg(F.max("confidence").alias("c"), of(left, "aliases").alias("own"), of(right, "name").alias("name"), of(right, "aliases").alias("other"))
     every = F.concat(F.coalesce("own", none), F.array("name"), F.coalesce("other", none))
-    both = both.select("c", F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x.isNotNull() & (x != ""))).alias("a"))
+    both = both.select("c", F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))).alias("a"))
     kept = nodes.where(F.col("id") != right).join(F.broadcast(both))
     is_left = F.col("id") == left
     kept = kept.select("id", "name", F.when(is_left, F.col("a")).otherwise(F.col("aliases")).alias("aliases"), F.when(is_left, F.col("c")).otherwise(F.col("confidence")).alias("confidence"))

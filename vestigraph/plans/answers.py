@@ -15,7 +15,7 @@ _CITED = f"""
     c AS (SELECT 'chunk-' || doc_id || 'x' || i AS chunk_id, doc_id, i, (i - 1) * 400 AS base, ps[i] AS body FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{_PIECE}') AS ps FROM d))),
     s AS (SELECT chunk_id, mention, instr(body, mention) - 1 AS a FROM (SELECT chunk_id, body, unnest(list_distinct(regexp_extract_all(body, '{_MENTION}'))) AS mention FROM c)),
     i AS (SELECT doc_id AS answer_id, chunk_id, i - 1 AS nth, '' AS said FROM c UNION ALL SELECT doc_id, chunk_id, 100000 + i - 1, lower(regexp_extract(body, '{_MENTION}')) FROM c UNION ALL SELECT doc_id, 'chunk-' || (doc_id + 1) || 'x1', 1000000, '' FROM d),
-    l AS (SELECT answer_id, chunk_id, nth, coalesce(a, 0) AS x, CASE WHEN a IS NULL THEN length(body) ELSE least(length(body), a + length(mention)) END AS y FROM i JOIN c USING (chunk_id) LEFT JOIN s ON s.chunk_id = i.chunk_id AND lower(mention) = said AND said <> ''),
+    l AS (SELECT answer_id, i.chunk_id, nth, coalesce(a, 0) AS x, CASE WHEN a IS NULL THEN length(c.body) ELSE least(length(c.body), a + length(mention)) END AS y FROM i /*given*/ JOIN c ON c.chunk_id = i.chunk_id LEFT JOIN s ON s.chunk_id = i.chunk_id AND lower(mention) = said AND said <> ''),
     lx AS (SELECT answer_id, chunk_id, nth, arg_min(x, (x, y)) AS x, arg_min(y, (x, y)) AS y FROM l GROUP BY 1, 2, 3),
     b AS (SELECT answer_id, chunk_id, min(nth) AS nth, arg_min(x, (y - x, nth)) AS char_offset, arg_min(y, (y - x, nth)) AS char_end FROM lx GROUP BY 1, 2),
     g AS (SELECT doc_id AS answer_id, trim(unnest(regexp_extract_all(t, '{citations.HARD}'))) AS f FROM d UNION SELECT d.doc_id, mention FROM d JOIN c ON c.doc_id = d.doc_id OR c.chunk_id = 'chunk-' || (d.doc_id + 1) || 'x1' JOIN s ON s.chunk_id = c.chunk_id WHERE contains(t, mention)),
@@ -23,14 +23,12 @@ _CITED = f"""
 """
 
 
-@query(f"WITH {_CITED} SELECT answer_id, b.chunk_id, nth, char_offset, char_end FROM b JOIN c USING (chunk_id) LEFT JOIN fs USING (answer_id) WHERE fs IS NULL OR len(list_filter(fs, lambda f: contains(body, f))) > 0")
-def citation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document, whole, as an answer that cites all its chunks, the first name in each, its neighbour's first chunk and what doesn't exist."""
+def _citations(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     chunk = lambda doc, n: F.concat(F.lit("chunk-"), doc, F.lit("x"), n)
     pieces = F.regexp_extract_all("t", F.lit(_PIECE), F.lit(0))
     parts = docs.select("doc_id", F.posexplode(pieces).alias("nr", "text"))
-    chunks = parts.select(chunk(F.col("doc_id"), F.col("nr") + 1).alias("chunk_id"), "doc_id", (F.col("nr") * 400).alias("char_start"), "text")
+    chunks = parts.select(chunk(F.col("doc_id"), F.col("nr") + 1).alias("chunk_id"), "doc_id", (F.col("nr") * 400).alias("char_start"), "text", (F.floor(F.col("nr") / 2) + 1).cast("int").alias("page"))
     names = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(_MENTION), F.lit(0)))
     each = chunks.select("chunk_id", "text", "char_start", F.explode(names("text")).alias("mention"))
     spans = each.select("chunk_id", "mention", (F.col("char_start") + F.instr("text", F.col("mention")) - 1).alias("char_start")).withColumn("char_end", F.col("char_start") + F.length("mention"))
@@ -40,11 +38,27 @@ def citation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("ps", pieces)
     evidence = F.concat(own, named, F.array(other, F.lit("chunk-none"), F.lit("no id")))
     answers = rows.select(F.col("doc_id").alias("answer_id"), F.col("t").alias("answer"), evidence.alias("evidence"), F.size("ps").alias("n"))
-    injected = rows.select(F.col("doc_id").alias("answer_id"), F.explode(F.concat(own, F.array(other))).alias("chunk_id"))
-    found = citations.located(answers, chunks, spans)
+    given = F.concat(own, F.array(other)) if every else F.filter(own, lambda _, i: i % 2 == 0)
+    injected = rows.select(F.col("doc_id").alias("answer_id"), F.explode(given).alias("chunk_id"))
+    found = citations.located(answers, chunks, spans, injected)
     kept = citations.grounded(found, answers, injected, chunks, spans).join(answers.select("answer_id", "n"), "answer_id")
     nth = F.when(F.col("nth") < F.col("n"), F.col("nth")).when(F.col("nth") < 2 * F.col("n"), 100000 + F.col("nth") - F.col("n")).otherwise(1000000)
-    return kept.select("answer_id", "chunk_id", nth.alias("nth"), "char_offset", "char_end")
+    return kept.withColumn("nth", nth).drop("n")
+
+
+@query(f"WITH {_CITED} SELECT answer_id, b.chunk_id, nth, char_offset, char_end FROM b JOIN c USING (chunk_id) LEFT JOIN fs USING (answer_id) WHERE fs IS NULL OR len(list_filter(fs, lambda f: contains(body, f))) > 0")
+def citation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, whole, as an answer that cites all its chunks, the first name in each, its neighbour's first chunk and what doesn't exist."""
+    return _citations(spark, sf_dir, True).select("answer_id", "chunk_id", "nth", "char_offset", "char_end")
+
+
+@query(rf"""WITH {_CITED.replace("/*given*/", "JOIN c g ON g.chunk_id = i.chunk_id AND g.doc_id = i.answer_id AND g.i % 2 = 1").replace("d.doc_id OR c.chunk_id = 'chunk-' || (d.doc_id + 1) || 'x1'", "d.doc_id AND c.i % 2 = 1")},
+    v AS (SELECT chunk_id, regexp_replace(body, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS v FROM c)
+    SELECT answer_id, b.chunk_id, nth, char_offset, char_end, ((i - 1) // 2 + 1)::INT AS page, CASE WHEN length(v) <= 200 THEN v ELSE substr(v, 1, 200) || '…' END AS snippet
+    FROM b JOIN c USING (chunk_id) JOIN v USING (chunk_id) LEFT JOIN fs USING (answer_id) WHERE fs IS NULL OR len(list_filter(fs, lambda f: contains(body, f))) > 0""")
+def citation_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers where only every other chunk was given: the others, and the neighbour's, are no citations."""
+    return _citations(spark, sf_dir, False).select("answer_id", "chunk_id", "nth", "char_offset", "char_end", "page", "snippet")
 
 
 _BLOCK = 400

@@ -128,6 +128,22 @@ def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(nodes, edges)
 
 
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, [' ' || p_brand || ' ', '', p_partkey || ' ' || split_part(p_name, ' ', 1) || ' 2', '3 ' || split_part(p_name, ' ', 2) || ' 3', ' '] AS aliases, p_retailprice / 10000 AS confidence FROM part),
+    m AS (SELECT list_concat(a.aliases, [b.name], b.aliases) AS every, greatest(a.confidence, b.confidence) AS confidence FROM n a, n b WHERE a.id = 4 AND b.id = 9),
+    k AS (SELECT id, name, CASE id WHEN 4 THEN (SELECT list_filter(list_transform(every, lambda x: trim(x)), lambda x: x <> '') FROM m) ELSE aliases END AS aliases, CASE id WHEN 4 THEN (SELECT confidence FROM m) ELSE confidence END AS confidence FROM n WHERE id <> 9),
+    u AS (SELECT id, name, confidence, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS i FROM k)
+    SELECT id, name, round(confidence, 6) AS confidence, alias, (row_number() OVER (PARTITION BY id ORDER BY i) - 1)::INT AS place FROM (SELECT * FROM u QUALIFY id <> 4 OR row_number() OVER (PARTITION BY id, alias ORDER BY i) = 1)""")
+def merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with aliases that hold digits and blanks; part 9 becomes an alias of part 4."""
+    part = table(spark, sf_dir, "part")
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    aliases = F.array(F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.lit(""), F.concat("p_partkey", F.lit(" "), word(1), F.lit(" 2")), F.concat(F.lit("3 "), word(2), F.lit(" 3")), F.lit(" "))
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), aliases.alias("aliases"), (F.col("p_retailprice") / 10000).alias("confidence"))
+    edges = part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"), F.lit("next").alias("kind"))
+    kept, _ = versions.merge_entities(nodes, edges, 4, 9)
+    return kept.select("id", "name", F.round("confidence", 6).alias("confidence"), F.posexplode("aliases").alias("place", "alias"))
+
+
 def _rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     alias = F.when(F.size("aliases") > 0, F.concat(F.lit(" = "), F.array_join("aliases", ","))).otherwise("")
     out = edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(None).cast("string").alias("name"))

@@ -109,29 +109,54 @@ def comp_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("who.user_id", "earned", "days_left", "level")
 
 
-_MARKDOWN = ["头一段\n\n第十一条 适用标准工时制的岗位。\n\n末段", "第一条 综合工时制和标准工时制。", "无关的一段\n\n第二条 没有名字"]
-_CLAUSES = [("c1", 0, 5, 9), ("c2", 1, 0, 3), ("c3", 2, 7, 10), ("c4", 2, 90, 95), ("c5", 0, 0, 3)]
-_PARAGRAPHS = {"c1": "第十一条 适用标准工时制的岗位。", "c2": "第一条 综合工时制和标准工时制。", "c3": "第二条 没有名字", "c4": None, "c5": "头一段"}
+_CLAUSES = """
+    c AS (SELECT doc_id, text, 'clause-' || doc_id AS clause_id, length(text) // 2 AS s, least(length(text), length(text) // 2 + 12) AS e FROM documents WHERE text <> ''),
+    f AS (SELECT *, CASE WHEN contains(substr(text, greatest(s - 1200, 0) + 1, least(s, 1200)), chr(10) || chr(10)) THEN greatest(s - 1200, 0) + length(regexp_extract(substr(text, greatest(s - 1200, 0) + 1, least(s, 1200)), '(?s)^.*\n\n')) ELSE 0 END AS a,
+                 CASE WHEN contains(substr(text, e + 1, 1200), chr(10) || chr(10)) THEN e + instr(substr(text, e + 1, 1200), chr(10) || chr(10)) - 1 ELSE length(text) END AS b FROM c),
+    p AS (SELECT doc_id, clause_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substr(text, a + 1, b - a) END AS block, coalesce(lang, '') AS name, substr(text, s + 1, e - s) AS mention FROM f JOIN documents USING (doc_id, text)),
+    t AS (SELECT *, name || ' ' || mention || coalesce(' ' || block, '') AS text FROM p)
+"""
+_SYSTEMS = "n AS (SELECT name, min(id) AS system_id FROM (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT p_partkey, unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT p_partkey, lower(substr(p_type, 1, 3)) FROM part) GROUP BY 1)"
+_BRIDGE = f"""{_CLAUSES}, {_SYSTEMS},
+    h AS (SELECT system_id, clause_id, doc_id, substr(text, 1, 200) AS evidence FROM t JOIN n ON contains(text, n.name)),
+    w AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '2024-01-0' || (1 + doc_id % 9) WHEN doc_id % 3 = 1 THEN '2020-05-0' || (1 + doc_id % 9) END AS valid_from, CASE doc_id % 3 WHEN 0 THEN 'inherited' WHEN 1 THEN 'doc_scope' ELSE 'no_window' END AS origin FROM h)"""
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause in the middle of each document; every fourth one's place is not known."""
+    docs = table(spark, sf_dir, "documents").where("text != ''")
+    start = F.floor(F.length("text") / 2).cast("int")
+    end = F.least(F.length("text"), start + 12)
+    block = rules.paragraph(F.col("text"), F.when(F.col("doc_id") % 4 != 0, start), end)
+    return docs.select(F.concat(F.lit("clause-"), "doc_id").alias("clause_id"), "doc_id", F.col("lang").alias("name"), F.substr("text", start + 1, end - start).alias("mention"), block.alias("block"))
+
+
+@query(f"WITH {_CLAUSES} SELECT clause_id, block, text FROM t")
+def clause_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph around each clause, and the text that it is judged by."""
+    return _clauses(spark, sf_dir).select("clause_id", "block", rules.clause_text(F.col("name"), F.col("mention"), F.col("block")).alias("text"))
 
 
-def _clauses(spark: SparkSession) -> DataFrame:
-    docs = spark.createDataFrame(list(enumerate(_MARKDOWN)), "doc_id int, markdown string")
-    clauses = spark.createDataFrame(_CLAUSES, "clause_id string, doc_id int, start int, end int").join(docs, "doc_id")
-    return clauses.select("clause_id", "doc_id", rules.paragraph(F.col("markdown"), F.col("start"), F.col("end")).alias("text"))
+def _bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses = _clauses(spark, sf_dir).select("clause_id", "doc_id", rules.clause_text(F.col("name"), F.col("mention"), F.col("block")).alias("text"))
+    part = table(spark, sf_dir, "part")
+    each = F.concat(F.array("p_name", F.lower(F.substring("p_type", 1, 3))), F.split("p_name", " "))
+    systems = part.select(F.col("p_partkey").alias("id"), F.explode(each).alias("name")).groupBy("name").agg(F.min("id").alias("system_id"))
+    window = lambda begin: (F.concat(F.lit(begin), 1 + F.col("doc_id") % 9).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
+    own = clauses.where("doc_id % 3 = 0").select("clause_id", *window("2024-01-0"))
+    document = clauses.where("doc_id % 3 < 2").select("doc_id", *window("2020-05-0"))
+    return rules.bridged(clauses, systems, own, document)
 
 
-@query(f"""SELECT * FROM (VALUES {', '.join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _PARAGRAPHS.items())}) t(clause_id, text)""")
-def clause_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clauses(spark).drop("doc_id")
+@query(f"WITH {_BRIDGE} SELECT system_id, clause_id, evidence, valid_from, origin FROM w")
+def policy_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, their words and the beginnings of their types as systems that clauses name; a third of the clauses has a window of its own, a third its document's."""
+    return _bridge(spark, sf_dir).where("system_id is not null").select("system_id", "clause_id", "evidence", "valid_from", "origin")
 
 
-@query("""SELECT * FROM (VALUES ('S', 'c1', '2024-01-01', 'inherited'), ('S', 'c2', '2020-05-05', 'doc_scope'), ('Z', 'c2', '2020-05-05', 'doc_scope')) t(system_id, clause_id, valid_from, origin)""")
-def policy_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal clauses that name systems; one has a window of its own, one its document's."""
-    systems = spark.createDataFrame([("S", "标准工时制"), ("Z", "综合工时制"), ("F", "不定时工作制")], "system_id string, name string")
-    windows = spark.createDataFrame([("c1", "2024-01-01", None)], "clause_id string, valid_from string, valid_to string")
-    document = spark.createDataFrame([(1, "2020-05-05", None)], "doc_id int, valid_from string, valid_to string")
-    return rules.bridged(_clauses(spark), systems, windows, document).select("system_id", "clause_id", "valid_from", "origin")
+@query(f"WITH {_BRIDGE} SELECT 'unmatched' AS what, count(*) AS n FROM t WHERE clause_id NOT IN (SELECT clause_id FROM h) HAVING count(*) > 0 UNION ALL SELECT origin, count(*) FROM w GROUP BY 1 UNION ALL SELECT 'system:' || system_id, count(*) FROM w GROUP BY 1")
+def policy_bridge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.bridge_counts(_bridge(spark, sf_dir))
 
 
 @query(f"""WITH {_DAYS}, d AS (SELECT DISTINCT user_id, day FROM e), x AS (SELECT user_id, day, event_type, cents % 3 AS site FROM e),
