@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import scope, text
-from vestigraph.operators import citations, documents, evaluation, evidence, layout, rules, substrings, temporal, versions
+from vestigraph.operators import citations, documents, evaluation, evidence, layout, retrieval, rules, substrings, temporal, versions
 from vestigraph.plans import relations
 
 
@@ -301,3 +301,23 @@ def test_clause_paragraphs(spark):
     rows = spark.createDataFrame([("a", texts[0], 5, 9), ("b", texts[1], 0, 3), ("c", texts[0], 0, 3), ("d", texts[0], None, None), ("e", texts[1], 5, 500)], "id string, text string, start int, end int")
     got = {r.id: r.p for r in rows.select("id", rules.clause_text(F.lit("n"), F.lit(None).cast("string"), rules.paragraph(F.col("text"), F.col("start"), F.col("end"))).alias("p")).collect()}
     assert got == {"a": "n  第十一条 适用标准工时制的岗位。", "b": "n  第一条 综合工时制", "c": "n  头一段", "d": "n ", "e": "n "}
+
+
+@pytest.mark.parametrize("limit", [1, 4, 9])
+def test_covering_rows_are_all_that_can_be_selected(spark, limit):
+    """Groups with few and many rows and none, keys in several groups, ties, nulls, a question without bigrams; lots far smaller than the table."""
+    rng = random.Random(limit)
+    docs = [(rng.choice([None, "a", "b", *"cdefgh"]), rng.randint(0, 50), "".join(rng.choice("abc ") for _ in range(rng.choice([0, 3, 9]))) or None, rng.choice([None, 1, 2]), rng.choice([0, 1, None]), rng.choice([None, 3, 4])) for _ in range(150)]
+    rows = spark.createDataFrame(sorted({(d[0], d[1]): d for d in docs}.values(), key=str), "grp string, id long, text string, mentions long, spans long, char_start long").repartition(3)
+    asked = spark.createDataFrame([(1, "abcab"), (2, "cc"), (3, "-"), (4, None)], "item_id long, text string")
+    wanted = evidence.selected(_all_pairs(rows, asked), limit, "item_id", "grp", "id")
+    got = evidence.selected(retrieval.covering(rows, asked, limit, "grp", "id", lot=7), limit, "item_id", "grp", "id")
+    of = lambda df: sorted((r.item_id, r["rank"], r.id, str(r.grp), r.sure, round(r.score, 6)) for r in df.collect())
+    assert of(got) == of(wanted)
+
+
+def _all_pairs(rows, asked):
+    grams = lambda c: text.bigrams(F.coalesce(F.col(c), F.lit("")))
+    pairs = rows.withColumn("g", grams("text")).crossJoin(asked.select("item_id", grams("text").alias("q")))
+    share = F.when(F.size("q") > 0, F.round(F.size(F.array_intersect("g", "q")) / F.size("q"), 6)).otherwise(0.0)
+    return pairs.select("item_id", "grp", "id", share.alias("score"), "mentions", "spans", "char_start")

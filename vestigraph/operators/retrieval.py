@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,16 @@ VECTOR_BLOCK = 2048
 QUESTIONS = 2000
 
 
-def slices(questions: DataFrame, key: str, most: int = QUESTIONS) -> list[DataFrame]:
-    """The question set cut by a hash of its key into parts of about `most` rows, each small enough to be sent to every task."""
-    n = max(1, -(-questions.count() // most))
+#: Characters of the questions that go to all tasks at once, and rows that are ranked at once.
+QUESTION_CHARS, COVERAGE_LOT = 2_000_000, 4096
+#: Cells of a matrix of texts and bigrams.
+CELLS = 1 << 23
+
+
+def slices(questions: DataFrame, key: str, most: int = QUESTIONS, text: str | None = None) -> list[DataFrame]:
+    """The question set cut by a hash of its key into parts of about `most` rows and, where a text column is named, QUESTION_CHARS characters, each small enough to be sent to every task."""
+    size = questions.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0)) if text else F.lit(0)).first()
+    n = max(1, -(-size[0] // most), -(-size[1] // QUESTION_CHARS))
     return [questions.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
@@ -92,38 +100,130 @@ def _bm25_top(docs: DataFrame, queries: DataFrame, k: int, doc: str, query: str,
     return top(best, query, F.round("score", digits), doc, k)
 
 
-def coverage_scores(docs: DataFrame, questions: DataFrame, doc: str = "doc_id", question: str = "item_id") -> DataFrame:
-    """(doc, question, score) for all documents and questions: the share of a question's bigrams of letters and digits that a text has, 0 for a question without any; rounded to 6 digits.
+class _Coverage:
+    """Shares of the questions' bigrams that texts have, for a slice of questions that every task holds."""
 
-    A text is read once for all questions of a slice: its distinct bigrams are looked up among the asked ones, and one
-    matrix product counts them for every question.
-    """
-    return reduce(DataFrame.unionByName, (_coverage(docs, part, doc, question) for part in slices(questions, question)))
+    def __init__(self, asked: list[tuple]):
+        grams = [bigram_codes(text or "") for _, text in asked]
+        self.names, self.size = [q for q, _ in asked], np.array([max(len(g), 1) for g in grams], np.float64)
+        self.grams = np.unique(np.concatenate(grams)) if asked else np.zeros(0, np.uint64)
+        self.of = np.concatenate([np.searchsorted(self.grams, g) for g in grams]) if asked else np.zeros(0, np.int64)
+        self.by = np.repeat(np.arange(len(asked)), [len(g) for g in grams])
 
+    def table(self) -> np.ndarray:
+        held = np.zeros((len(self.grams), len(self.names)), np.float32)
+        held[self.of, self.by] = 1
+        return held
 
-def _coverage(docs: DataFrame, questions: DataFrame, doc: str, question: str) -> DataFrame:
-    asked = [(r[0], bigram_codes(r[1] or "")) for r in questions.select(question, "text").collect()]  # one slice, of bounded size
-    every = np.unique(np.concatenate([g for _, g in asked])) if asked else np.zeros(0, np.uint64)
-    table = np.zeros((len(every), len(asked)), np.float32)
-    for j, (_, g) in enumerate(asked):
-        table[np.searchsorted(every, g), j] = 1
-    held = docs.sparkSession.sparkContext.broadcast((every, table, [q for q, _ in asked]))
-    of = docs.schema[doc].dataType.simpleString()
+    def shares(self, texts: list[str], table: np.ndarray) -> np.ndarray:
+        """A row for each text, rounded to 6 digits; 0 for a question without bigrams."""
+        rows, step = [np.zeros((0, len(self.names)))], max(1, CELLS // max(len(self.grams), 1))
+        for at in range(0, len(texts), step):
+            part = texts[at : at + step]
+            has = np.zeros((len(part), len(self.grams)), np.float32)
+            for i, text in enumerate(part):
+                codes = bigram_codes(text)
+                place = np.searchsorted(self.grams, codes)
+                place[place == len(self.grams)] = 0
+                has[i, place[self.grams[place] == codes] if len(self.grams) else []] = 1
+            rows.append(np.round((has @ table).astype(np.float64) / self.size, 6))
+        return np.concatenate(rows)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, w, names = held.value
-        size = np.maximum(w.sum(0), 1).astype(np.float64)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                has = np.zeros((part.num_rows, len(grams)), np.float32)
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    has[i] = np.isin(grams, bigram_codes(text), assume_unique=True)
-                share = np.round((has @ w).astype(np.float64) / size, 6)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names * part.num_rows, pa.int64()), pa.array(share.ravel())], names=[doc, question, "score"])
 
-    return docs.select(doc, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, f"{doc} {of}, {question} bigint, score double")
+def _coverages(questions: DataFrame, question: str) -> list[tuple[DataFrame, _Coverage]]:
+    return [(part, _Coverage([(r[0], r[1]) for r in part.select(question, "text").collect()])) for part in slices(questions, question, text="text")]
+
+
+def best_coverage(docs: DataFrame, questions: DataFrame, doc: str = "doc_id", question: str = "item_id") -> DataFrame:
+    """(doc, best_overlap) for all documents: the largest share of a question's bigrams of letters and digits that the text has, 0 where there is none.
+
+    The maximum is taken where the text is read, so a document is one row for each slice of questions.
+    """
+    kind, parts = docs.schema[doc].dataType.simpleString(), []
+    texts = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
+    for _, model in _coverages(questions, question):
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            table = held.value.table()
+            for b in batches:
+                got = held.value.shares(b.column(1).to_pylist(), table)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.max(1, initial=0.0))], names=[doc, "best_overlap"])
+
+        parts.append(texts.mapInArrow(scan, f"{doc} {kind}, best_overlap double"))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(doc).agg(F.max("best_overlap").alias("best_overlap"))
+
+
+def covering(rows: DataFrame, questions: DataFrame, limit: int, group: str, key: str = "doc_id", question: str = "item_id", lot: int = COVERAGE_LOT) -> DataFrame:
+    """(question, group, key, score, mentions, spans, char_start): of all pairs of a question and a row those that `evidence.selected` with the same limit can take, and no fewer.
+
+    rows: group, key, text, mentions, spans, char_start. A question's best rows of a task are kept while it reads: of each
+    group as many as can have sure places, of those the best `limit`; and the best 2 x limit to fill up, times the most
+    that a key repeats in what was read at once. What was kept is cut again after each lot, so a task sends on a bounded
+    number of rows for each question, whatever it reads, and no window ever sees a whole group.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, key)}
+    groups = rows.agg(F.count_distinct(group)).first()[0]
+    sure = max(limit // max(groups, 1), 1)
+    texts = rows.select(group, key, F.coalesce("text", F.lit("")).alias("text"), F.col("mentions").cast("double"), F.col("spans").cast("double"), F.col("char_start").cast("double"), F.xxhash64(group).alias("g"))
+    asked_kind, parts = questions.schema[question].dataType.simpleString(), []
+    for _, model in _coverages(questions, question):
+        held = rows.sparkSession.sparkContext.broadcast(model)
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            model, table = held.value, held.value.table()
+            kept: list[pa.Table | None] = [None] * len(model.names)
+            for read in _lots(batches, lot):
+                shares = model.shares(read.column("text").to_pylist(), table)
+                facts = read.drop_columns(["text"])
+                for j in range(len(model.names)):
+                    one = facts.append_column("score", pa.array(shares[:, j]))
+                    one = one.take(pa.array(_takeable(one, limit, sure, group, key)))
+                    if kept[j] is not None:
+                        one = pa.concat_tables([kept[j], one])
+                        one = one.take(pa.array(_takeable(one, limit, sure, group, key)))
+                    kept[j] = one
+            for name, one in zip(model.names, kept, strict=True):
+                if one is not None:
+                    yield from one.drop_columns(["g"]).append_column(question, pa.array([name] * len(one), _ARROW.get(asked_kind, pa.string()))).select([question, group, key, "score", "mentions", "spans", "char_start"]).combine_chunks().to_batches()
+
+        parts.append(texts.mapInArrow(scan, f"{question} {asked_kind}, {group} {kinds[group]}, {key} {kinds[key]}, score double, mentions double, spans double, char_start double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _lots(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _takeable(rows: pa.Table, limit: int, sure: int, group: str, key: str) -> np.ndarray:
+    """Places of the rows of one question that can be taken: see `covering`. Nulls stand as Spark sorts them, last descending and first ascending."""
+    number = lambda c, null: np.where(np.isnan(x := rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64)), null, x)
+    score, mentions, spans, start = rows.column("score").to_numpy(), number("mentions", -np.inf), number("spans", -np.inf), number("char_start", -np.inf)
+    keys = rows.column(key).combine_chunks()
+    tie = pa.compute.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    own = np.lexsort((tie, start, -mentions, -score))
+    of = rows.column("g").to_numpy()[own]
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+    nth = np.empty(len(of), np.int64)
+    nth[order] = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
+    grouped = rows.column(group).combine_chunks().is_valid().to_numpy(zero_copy_only=False)[own]
+    places = own[(nth < sure) & grouped][:limit]
+    fills = np.lexsort((tie, start, -mentions, ~(spans > 0), -score))
+    return np.union1d(places, fills[: 2 * limit * int(np.bincount(tie).max(initial=1))])
 
 
 def top(scores: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:

@@ -64,8 +64,7 @@ _OVERLAP = f"""
 @query(f"WITH {_OVERLAP} SELECT doc_id, max(score)::DOUBLE AS best_overlap FROM x GROUP BY 1")
 def bigram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best coverage of any question's bigrams by each document."""
-    scores = retrieval.coverage_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return scores.groupBy("doc_id").agg(F.max("score").alias("best_overlap"))
+    return retrieval.best_coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -93,9 +92,8 @@ def quota_node_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quota_evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for every question: each source but the first has sure places, the rest fills up, rows with a place in the text first."""
     docs = table(spark, sf_dir, "documents")
-    scores = retrieval.coverage_scores(docs, table(spark, sf_dir, "benchmark"))
-    facts = docs.select("doc_id", F.nullif("source", F.lit("src0")).alias("source"), F.length("text").alias("mentions"), (F.col("doc_id") % 3).alias("spans"), F.expr("doc_id div 2").alias("char_start"))
-    rows = scores.join(facts, "doc_id")
+    facts = docs.select("doc_id", "text", F.nullif("source", F.lit("src0")).alias("source"), F.length("text").alias("mentions"), (F.col("doc_id") % 3).alias("spans"), F.expr("doc_id div 2").alias("char_start"))
+    rows = retrieval.covering(facts, table(spark, sf_dir, "benchmark"), 64, "source")
     return evidence.selected(rows, 64, "item_id", "source", "doc_id").select("item_id", "doc_id", "score", "sure", "rank")
 
 
