@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import scope, text
-from vestigraph.operators import citations, documents, evaluation, evidence, layout, retrieval, rules, substrings, temporal, versions
+from vestigraph.operators import citations, documents, evaluation, evidence, layout, lexical_index, retrieval, rules, substrings, temporal, vectors, versions
 from vestigraph.plans import relations
+from vestigraph.session import shared_path
 
 
 def test_layout_blocks_in_both_forms(spark):
@@ -321,3 +322,54 @@ def _all_pairs(rows, asked):
     pairs = rows.withColumn("g", grams("text")).crossJoin(asked.select("item_id", grams("text").alias("q")))
     share = F.when(F.size("q") > 0, F.round(F.size(F.array_intersect("g", "q")) / F.size("q"), 6)).otherwise(0.0)
     return pairs.select("item_id", "grp", "id", share.alias("score"), "mentions", "spans", "char_start")
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_nearest_vectors(spark, block):
+    """Ragged and zero vectors, nulls, equal vectors, and blocks so small that bounds and the grid count."""
+    rng = random.Random(block)
+    near = [[rng.gauss(3 * (i % 3), 0.2), rng.gauss(0, 0.2), rng.gauss(i % 2, 0.2)] for i in range(60)]
+    every = [*near, [0.0, 0.0], [], [1.0], [1.0, 2.0], [1.0, 2.0, 0.0, 0.0], None, [2.0, 4.0], [-1.0, 0.5, 0.0, 3.0, 1.0], [None, 1.0]]
+    df = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<double>")
+    plain = {i: [x or 0.0 for x in v] for i, v in enumerate(every) if v is not None}
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=False)) / size if size else 0.0
+
+    got = {}
+    for r in vectors.dense_topk(df, df.where("vec_id % 2 = 0"), 4, block=block).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got.keys() == {i for i in plain if i % 2 == 0}
+    for i, found in got.items():
+        want = sorted(((cosine(plain[i], v), j) for j, v in plain.items() if j != i), key=lambda x: (-round(x[0], 9), x[1]))[:4]
+        assert [round(s, 9) for _, _, s in sorted(found)] == [round(s, 9) for s, _ in want]
+
+
+def test_index_search_against_all_scores(spark):
+    """Segments and blocks far smaller than the table, so that bounds cut; ties, empty and null texts, repeated terms; a kept index is searched again."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 13), k=rng.choice([0, 1, 4, 30]))) for _ in range(120)] + [None, "漢字仮名 w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(1, "w0 w3 W3"), (2, "w11"), (3, "none"), (4, None), (5, " ".join(words)), (6, "漢字")], "item_id long, text string")
+    path = shared_path(spark, "index")
+    lexical_index.build(docs, path, block=3)
+    index = lexical_index.opened(spark, path)
+    got = {}
+    for r in retrieval.top(lexical_index.search(index, asked, 5), "item_id", F.round("score", 6), "doc_id", 5).collect():
+        got.setdefault(r.item_id, []).append((r["rank"], r.doc_id))
+    of = [text.token_list(t or "") for t in texts]
+    mean, want = sum(map(len, of)) / len(of), {}
+    for i, q in ((r.item_id, set(text.token_list(r.text or ""))) for r in asked.collect()):
+        scores = []
+        for d, found in enumerate(of):
+            s = 0.0
+            for t in q & set(found):
+                df, tf = sum(t in x for x in of), found.count(t)
+                s += math.log(1 + (len(of) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(found) / mean))
+            if q & set(found):
+                scores.append((-round(s, 6), d))
+        if scores:
+            want[i] = [(n, d) for n, (_, d) in enumerate(sorted(scores)[:5], start=1)]
+    assert {i: sorted(x) for i, x in got.items()} == want

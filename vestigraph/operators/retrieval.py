@@ -12,11 +12,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestigraph.functions.text import bigram_codes, match_score, terms, token_list, windows
+from vestigraph.functions.text import bigram_codes, match_score, terms, windows
+from vestigraph.operators import lexical_index
+from vestigraph.session import shared_path
 
 K1, B = 1.5, 0.75
-#: Vectors of one block; two blocks meet in one task row.
-VECTOR_BLOCK = 2048
 #: Questions that go to all tasks at once; a larger set makes more passes.
 QUESTIONS = 2000
 
@@ -37,67 +37,11 @@ def slices(questions: DataFrame, key: str, most: int = QUESTIONS, text: str | No
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "item_id", k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """(query, doc, score, rank): for each query the k best documents that share a token with it, by score rounded to `digits`, then doc.
 
-    Query tokens are a set; documents without tokens count in the number and the mean length. One pass counts lengths and
-    the documents of each asked token; a second scores a batch of documents against all questions at once and sends on k
-    rows for each question. Nothing is shuffled for a pair of question and document that is not among the best of a batch.
+    Query tokens are a set; documents without tokens count in the number and the mean length. Texts are read once, into an
+    index in the shared folder (`lexical_index`), which can also be kept and searched again.
     """
-    kinds = {query: queries.schema[query].dataType.simpleString(), doc: docs.schema[doc].dataType.simpleString()}
-    return reduce(DataFrame.unionByName, (_bm25_top(docs, part, k, doc, query, k1, b, digits, kinds) for part in slices(queries, query)))
-
-
-def _bm25_top(docs: DataFrame, queries: DataFrame, k: int, doc: str, query: str, k1: float, b: float, digits: int, kinds: dict[str, str]) -> DataFrame:
-    asked = [(r[0], set(token_list(r[1]))) for r in queries.select(query, "text").collect()]  # one slice, of bounded size
-    place = {t: i for i, t in enumerate(sorted(set().union(*(ts for _, ts in asked))))}
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(place)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(len(held.value), np.int64), 0, 0
-        get = held.value.get
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = token_list(text)
-                n, total = n + 1, total + len(words)
-                df[[i for i in {get(w, -1) for w in words} if i >= 0]] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], names=["token", "n"])
-
-    counted = dict(tuple(r) for r in docs.select(F.coalesce("text", F.lit(""))).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n")).collect())  # one row for each asked token
-    n_docs, words = counted.pop(-1, 0), counted.pop(-2, 0)
-    df = np.zeros(len(place))
-    df[list(counted)] = list(counted.values())
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    weights = np.zeros((len(place), len(asked)))
-    for j, (_, tokens_) in enumerate(asked):
-        for t in tokens_:
-            weights[place[t], j] = idf[place[t]]
-    norm, model = words / n_docs if words else 1.0, spark.sparkContext.broadcast((weights, [q for q, _ in asked]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, (w, names) = held.value.get, model.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tf = np.zeros((part.num_rows, len(w)))
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found = token_list(text)
-                    for t in found:
-                        if (c := get(t)) is not None:
-                            tf[i, c] += 1
-                    tf[i] = tf[i] * (k1 + 1) / (tf[i] + k1 * (1 - b + b * len(found) / norm))
-                got = (tf @ w).T
-                hit = (tf > 0).astype(np.float32) @ (w != 0).astype(np.float32) > 0
-                near = np.where(hit.T, np.round(got, digits), -np.inf)
-                # Rows of equal score at the cut all go on, as the tie is settled by doc over all batches.
-                least = np.partition(near, -k, axis=1)[:, -k][:, None] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
-                q, d = np.nonzero((near >= least) & np.isfinite(near))
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()], batch_type(query)), part.column(0).take(pa.array(d)), pa.array(got[q, d])], names=[query, doc, "score"])
-
-    types = {query: pa.int64() if kinds[query] in ("bigint", "int") else pa.string()}
-    batch_type = types.get
-    schema = f"{query} {'bigint' if kinds[query] in ('bigint', 'int') else 'string'}, {doc} {kinds[doc]}, score double"
-    best = docs.select(doc, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, schema)
-    return top(best, query, F.round("score", digits), doc, k)
+    index = lexical_index.build(docs, shared_path(docs.sparkSession, "lexical-index"), doc)
+    return top(lexical_index.search(index, queries, k, doc, query, k1, b, digits), query, F.round("score", digits), doc, k)
 
 
 class _Coverage:
@@ -240,42 +184,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(lambda p: p["x"] * p["y"]) / size).otherwise(0.0)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = VECTOR_BLOCK, vec: str = "vec_id") -> DataFrame:
-    """(query_id, vec, score, rank): for each query the k nearest others by cosine, exact, over all vectors.
-
-    Vectors and queries are packed into blocks of bytes; each two blocks are one matrix product, and a pair of blocks
-    sends on k rows for each query.
-    """
-    columns = lambda df: df.select(F.col(vec).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
-                rows = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                size = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([rows.tobytes()])], names=["ids", "rows"])
-
-    left = columns(queries).mapInArrow(packed, "ids binary, rows binary").select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    right = columns(vectors).mapInArrow(packed, "ids binary, rows binary")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q_ids, q_rows, ids, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                q, i = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                near = np.frombuffer(q_rows).reshape(len(q), -1) @ np.frombuffer(rows).reshape(len(i), -1).T
-                near[q[:, None] == i[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(i, near.shape), -near), axis=1)[:, :k]
-                score = np.take_along_axis(near, best, 1)
-                keep = np.isfinite(score).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, best.shape[1])[keep]), pa.array(i[best].ravel()[keep]), pa.array(score.ravel()[keep])], names=["query_id", vec, "score"])
-
-    # Blocks of queries meet blocks of vectors: the product of two block counts, each a two-thousandth of the rows.
-    met = left.crossJoin(right).mapInArrow(nearest, f"query_id long, {vec} long, score double")
-    return top(met, "query_id", F.col("score"), vec, k)
-
-
 def fingerprints(rows: DataFrame, group: str, key: str) -> DataFrame:
     """(group, n, fingerprint): SHA-256 of each group's keys, sorted as text and joined by line ends. Keys stream through the digest in order, so a group of any size takes no memory."""
     dealt = rows.select(F.col(group).cast("string").alias("g"), F.col(key).cast("string").alias("k")).repartition("g").sortWithinPartitions("g", "k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vestigraph.functions import text as tx
 from vestigraph.operators import evidence, retrieval
+from vestigraph.operators import vectors as vec
 from vestigraph.plans.registry import query, table
 
 _TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+(?:[-_./][0-9A-Za-z]+)*'), lambda x: lower(x))"
@@ -73,7 +74,7 @@ def bigram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, vec_id, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.dense_topk(vectors, vectors.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 4))
+    return vec.dense_topk(vectors, vectors.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 4))
 
 
 @query("""WITH d AS (SELECT c_custkey AS id, c_mktsegment AS kind, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of an Arrow batch, as rows can be as large as a block of an index.
+BATCH_BYTES, _BATCH = 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -34,4 +37,15 @@ def ship(spark: SparkSession) -> SparkSession:
         folder = tempfile.mkdtemp(prefix="vestigraph-")
         context.addPyFile(shutil.make_archive(f"{folder}/vestigraph_package", "zip", ROOT, "vestigraph"))
         _shipped.add(context.applicationId)
+    if not context.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share. Where none is named, only local mode may use a temporary one: on a cluster each executor would write to its own disk."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    top = top or "file://" + tempfile.mkdtemp(prefix="vestigraph-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share. Where none is named, only local mode may use a temporary one: on a cluster each executor would write to its own disk."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-    top = top or "file://" + tempfile.mkdtemp(prefix="vestigraph-usage-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from vestigraph.session import shared_path
 
 
 def daily(events: DataFrame, at: str, kind: str, value: str) -> DataFrame:
