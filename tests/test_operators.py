@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import scope, text
-from vestigraph.operators import citations, documents, evaluation, evidence, layout, lexical_index, retrieval, rules, substrings, temporal, vectors, versions
+from vestigraph.operators import alignment, citations, documents, evaluation, evidence, layout, lexical_index, patterns, projection, retrieval, rules, substrings, temporal, vectors, versions
 from vestigraph.plans import relations
 from vestigraph.session import shared_path
 
@@ -373,3 +373,51 @@ def test_index_search_against_all_scores(spark):
         if scores:
             want[i] = [(n, d) for n, (_, d) in enumerate(sorted(scores)[:5], start=1)]
     assert {i: sorted(x) for i, x in got.items()} == want
+
+
+@pytest.mark.parametrize("with_ratio", [False, True])
+def test_similar_names_in_one_large_block(spark, with_ratio):
+    """5,000 names that share their beginning: all pairs that brute force finds, from few candidates."""
+    rng = random.Random(9)
+    stems = ["ab" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(6, 14))) for _ in range(4600)]
+    names = sorted({*stems, *(s[:5] + rng.choice("xyz") + s[6:] for s in stems[:200]), *(s + "q" for s in stems[200:400])})
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {(r.left_name, r.right_name) for r in alignment.candidates(df, with_ratio=with_ratio).select("left_name", "right_name").collect()}
+    grams = {n: {n[i : i + 2] for i in range(len(n) - 1)} for n in names}
+    changed = {(min(a, b), max(a, b)) for a, b in [*((s, s[:5] + c + s[6:]) for s in stems[:200] for c in "xyz"), *((s, s + "q") for s in stems[200:400])] if a != b and a in grams and b in grams}
+    near = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.7 or with_ratio and SequenceMatcher(None, a, b).ratio() >= 0.7
+    assert {p for p in changed if near(*p)} <= got and all(near(*p) for p in got)
+    if not with_ratio:
+        of = {}
+        for n in names:
+            for g in grams[n]:
+                of.setdefault(g, []).append(n)
+        some = rng.sample(names, 150)
+        want = {(min(a, b), max(a, b)) for a in some for b in {x for g in grams[a] for x in of[g]} if a != b and near(a, b)}
+        assert want == {p for p in got if p[0] in some or p[1] in some}
+    block = df.select(F.substring("name", 1, 2).alias("block"), F.col("name").alias("key"), text.name_bigrams(F.col("name")).alias("grams"), "name")
+    assert alignment.near_names(block, None, 0.7, False).count() < len(names) ** 2 / 100
+
+
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_pairs_by_tiles(spark, tile):
+    rng = random.Random(tile)
+    edges = [(rng.randint(0, 40), rng.choice(["hot", "hot", "hot", "a", "b", None]), None, None) for _ in range(120)] + [(None, "hot", None, None)]
+    df = spark.createDataFrame(edges, "src long, dst string, valid_from date, valid_to date")
+    got = [tuple(r) for r in patterns.shared_pairs(df, temporal=False, tile=tile).collect()]
+    of = {d: sorted({s for s, x, *_ in edges if x == d and s is not None}) for d in ("hot", "a", "b")}
+    assert sorted(got) == sorted((a, b, d) for d, members in of.items() for a in members for b in members if a < b)
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
+    got = {r.nth: r.x for r in projection.numbered(rows.orderBy("x")).collect()}
+    assert got == {i + 1: i for i in range(1000)}
+    assert projection.numbered(rows.where("x < 0").orderBy("x")).collect() == []
+
+
+def test_records_without_a_key_meet_nothing(spark):
+    records = spark.createDataFrame([(i, None if i % 3 else "t1", None if i % 2 else "n2") for i in range(12)], "id long, tax_id string, name string")
+    subjects = spark.createDataFrame([(1, "t1", None), (2, None, "n2"), (3, None, "n2")], "sid long, tax_id string, name string")
+    got = {r.id: (r.level, r.aligned_id, r.reason) for r in alignment.cascade(records, subjects, ["tax_id", "name"], "sid").collect()}
+    assert got == {i: ("tax_id", 1, None) if i % 3 == 0 else (None, None, "multiple_candidates") if i % 2 == 0 else (None, None, "key_missing") for i in range(12)}

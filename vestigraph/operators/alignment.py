@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from vestigraph.functions.text import jaccard, name_bigrams
 
+#: Parts of the rows that have no key.
+SALTS = 1000
 # Thresholds of the two tiers, bonus for each shared attribute and its cap, cap with contradicting tax ids.
 AUTO, REVIEW, BONUS, BONUS_CAP, CONFLICT_CAP = 0.90, 0.70, 0.05, 0.10, 0.85
 
@@ -22,7 +24,8 @@ def cascade(records: DataFrame, subjects: DataFrame, levels: list[str], subject:
     out = records
     for k in levels:
         found = subjects.where(F.col(k).isNotNull()).groupBy(F.col(k)).agg(F.count_distinct(subject).alias(f"n_{k}"), F.min(subject).alias(f"id_{k}"))
-        out = out.join(found, k, "left")
+        spread = F.when(F.col(k).isNull(), F.pmod(F.xxhash64(*records.columns), F.lit(SALTS))).otherwise(0)  # rows without a key meet nothing; they need not meet in one task
+        out = out.withColumn("__salt", spread).join(found.withColumn("__salt", F.lit(0).cast("long")), [k, "__salt"], "left").drop("__salt")
     level = F.coalesce(*(F.when(F.col(f"n_{k}").isNotNull(), F.lit(k)) for k in levels))
     n, hit = F.coalesce(*(F.col(f"n_{k}") for k in levels)), F.coalesce(*(F.col(f"id_{k}") for k in levels))
     missing = F.coalesce(*(F.col(k).cast("string") for k in levels)).isNull()
@@ -54,12 +57,48 @@ def name_similarity(a: Column, b: Column, with_ratio: bool = True, grams: tuple[
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.round(near, 6))
 
 
-def _may_be_near(left: str, right: str) -> Column:
-    """Wider than similarity >= REVIEW: the smaller set of bigrams, or the shorter name, is not too small beside the other."""
-    share = lambda x, y: F.least(x, y) / F.greatest(x, y, F.lit(1))
-    sizes = share(F.size(f"{left}_grams"), F.size(f"{right}_grams")) >= REVIEW
-    # A ratio of 2 m / (a + b) can't exceed 2 a / (a + b) for the shorter length a.
-    return sizes | (share(F.length(f"{left}_name"), F.length(f"{right}_name")) >= REVIEW / (2 - REVIEW))
+def bag(text: Column) -> Column:
+    """Characters, each with its number among its like, so that a set of them counts repeats."""
+    chars = F.split(text, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame | None, need: float, dice: bool) -> DataFrame:
+    """(block, left_key, right_key): all pairs in one block whose sets can reach a similarity of `need`, and few others.
+
+    left, right: block, key, tokens (distinct). Without right, left meets itself, key before key. Tokens are put in one
+    order, the rarest of a block first. Sets that are similar enough share one of their first few tokens, as the rest alone
+    would not do; what could still follow the shared token's places must suffice as well, and the sizes must. So rows come
+    from rare tokens that two sets share, not from the block. dice: overlap 2 o / (a + b), else Jaccard o / (a + b - o).
+    """
+    both = left if right is None else left.unionByName(right)
+    rarity = both.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").agg(F.count("*").alias("n"))
+    least = need / (2 - need) if dice else need  # of the other set's size, and of what must be shared of one's own
+
+    def firsts(rows: DataFrame, side: str) -> DataFrame:
+        each = rows.select("block", "key", F.explode("tokens").alias("token")).join(rarity, ["block", "token"])
+        ranked = each.groupBy("block", "key").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).withColumn("size", F.size("t"))
+        few = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
+        return ranked.select("block", "key", "size", F.posexplode(F.slice("t", 1, few)).alias("at", "e")).select("block", F.col("e.token").alias("token"), *(F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "at")))
+
+    met = firsts(left, "left").join(firsts(left if right is None else right, "right"), ["block", "token"])
+    if right is None:
+        met = met.where("left_key < right_key")
+    smaller, larger = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
+    total = F.col("left_size") + F.col("right_size")
+    wanted = total * (need / 2) if dice else total * (need / (1 + need))
+    left_over = F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at"))
+    return met.where((smaller >= larger * least - 1e-9) & (left_over >= wanted - 1e-9)).select("block", "left_key", "right_key").distinct()
+
+
+def near_names(left: DataFrame, right: DataFrame | None, need: float, with_ratio: bool) -> DataFrame:
+    """(left_key, right_key) of names (block, key, grams, name) whose bigrams may have a Jaccard similarity of `need` or, with_ratio, whose characters may allow such a ratio: matching blocks are common characters, with repeats."""
+    sets = lambda df, tokens: df.select("block", "key", tokens.alias("tokens"))
+    of = lambda tokens, dice: prefix_pairs(sets(left, tokens), None if right is None else sets(right, tokens), need, dice)
+    found = of(F.col("grams"), False)
+    if with_ratio:
+        found = found.unionByName(of(bag(F.col("name")), True)).distinct()
+    return found.select("left_key", "right_key")
 
 
 def scored(similarity: Column, shared: Column, tax_conflict: Column) -> Column:
@@ -75,9 +114,9 @@ def tier(similarity: Column) -> Column:
 def candidates(names: DataFrame, key: str = "id", name: str = "name", prefix: int = 2, with_ratio: bool = True) -> DataFrame:
     """left_name < right_name of distinct names that share a prefix and are similar: similarity and tier. `members` rows bear a name, so equal names are never paired one by one."""
     by_name = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("members"), F.min(key).alias("id"))
-    block = by_name.withColumn("block", F.substring("name", 1, prefix)).withColumn("grams", name_bigrams(F.col("name")))
-    side = lambda s: block.select("block", *(F.col(c).alias(f"{s}_{c}") for c in ("name", "members", "id", "grams")))
-    met = side("left").join(side("right"), "block").where((F.col("left_name") < F.col("right_name")) & _may_be_near("left", "right"))
+    block = by_name.withColumn("block", F.substring("name", 1, prefix)).withColumn("grams", name_bigrams(F.col("name"))).withColumn("key", F.col("name"))
+    side = lambda s: block.select(F.col("key").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("name", "members", "id", "grams")))
+    met = near_names(block, None, REVIEW, with_ratio).join(side("left"), "left_key").join(side("right"), "right_key")
     met = met.withColumn("similarity", name_similarity(F.col("left_name"), F.col("right_name"), with_ratio, (F.col("left_grams"), F.col("right_grams"))))
     return met.withColumn("tier", tier(F.col("similarity"))).where("tier is not null").select("left_name", "right_name", "left_id", "right_id", "left_members", "right_members", "similarity", "tier")
 
@@ -94,8 +133,12 @@ def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_r
     Both sides: id, name, tax_id, address, phone, legal_rep. Rows that share a tax id are no candidates, they align;
     a raw row with several automatic hits has them all sent to review.
     """
-    side = lambda df, s: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), name_bigrams(F.col("name")).alias(f"{s}_grams"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "tax_id", "address", "phone", "legal_rep")))
-    met = side(raw, "raw").join(side(canonical, "canonical"), "block").where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
+    named = lambda df: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), name_bigrams(F.col("name")).alias("grams"), "id", "name", "tax_id", "address", "phone", "legal_rep")
+    distinct = lambda df: named(df).select("block", F.col("name").alias("key"), "grams", "name").dropDuplicates(["key"])
+    side = lambda df, s: named(df).select(F.col("name").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("grams", "id", "name", "tax_id", "address", "phone", "legal_rep")))
+    # The bonus for shared attributes lowers what the name must give by itself.
+    pairs = near_names(distinct(raw), distinct(canonical), REVIEW - BONUS_CAP, with_ratio).withColumnsRenamed({"left_key": "raw_key", "right_key": "canonical_key"})
+    met = pairs.join(side(raw, "raw"), "raw_key").join(side(canonical, "canonical"), "canonical_key").where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
     shared = sum((F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)).cast("int") for c in ("address", "phone", "legal_rep")), F.lit(0))
     conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != "") & (F.col("raw_tax_id") != F.col("canonical_tax_id")), F.lit(False))
     found = met.withColumn("similarity", scored(name_similarity(F.col("raw_name"), F.col("canonical_name"), with_ratio, (F.col("raw_grams"), F.col("canonical_grams"))), shared, conflict))

@@ -10,12 +10,29 @@ from pyspark.sql import functions as F
 from vestigraph.functions.scope import valid_at
 
 
-def shared_pairs(edges: DataFrame, as_of: str | None = None, temporal: bool = True) -> DataFrame:
+#: Members of one tile: a value that more sources share is cut into tiles, and each two tiles meet in a task of their own.
+TILE = 1000
+
+
+def pairs_by_tiles(members: DataFrame, value: str = "dst", member: str = "src", tile: int = TILE) -> DataFrame:
+    """left_id < right_id and shared, for distinct (member, value) rows: each two members of a value once.
+
+    A value of up to `tile` members is one key of the join. A larger one is n / tile tiles by a hash of the member, and a
+    key is an ordered pair of tiles, so no task gets more than two tiles' rows, whatever share of all members a value has.
+    """
+    sized = members.groupBy(F.col(value).alias("shared")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    rows = members.select(F.col(value).alias("shared"), F.col(member).alias("member")).join(sized, "shared")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int"))
+    low = rows.select("shared", F.col("member").alias("a"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j"))
+    high = rows.select("shared", F.col("member").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    met = low.join(high, ["shared", "i", "j"]).where("(i < j and a != b) or a < b")
+    return met.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "shared")
+
+
+def shared_pairs(edges: DataFrame, as_of: str | None = None, temporal: bool = True, tile: int = TILE) -> DataFrame:
     """left_id < right_id for sources that share a destination, each pair and destination once. Both edges must be valid."""
     live = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of)) if temporal else edges
-    live = live.where("dst is not null").select("src", "dst").distinct()
-    other = live.withColumnRenamed("src", "right_id")
-    return live.withColumnRenamed("src", "left_id").join(other, "dst").where("left_id < right_id").select("left_id", "right_id", F.col("dst").alias("shared"))
+    return pairs_by_tiles(live.where("src is not null and dst is not null").select("src", "dst").distinct(), tile=tile)
 
 
 def shared_groups(edges: DataFrame, as_of: str | None = None, temporal: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vestigraph.session import shared_path
+
 # Relation names that pass as they are, and the categories of entity types.
 RELATIONS = ("HAS_CHUNK", "MENTIONS", "SUPPORTED_BY", "AFFILIATED_WITH", "SUPPLIES_TO", "PARTY_TO", "HAS_FINANCIAL_INDICATOR", "OPERATES_SEGMENT", "RELATED")
 CATEGORIES = {"topic": "核心主题 次主题 主题", "norm": "法规 标准 规范 REGULATION CONTRACT_CLAUSE", "org": "组织 机构 公司 部门 ORG LEGAL_PERSON", "system": "系统 平台 工具"}
@@ -107,6 +109,16 @@ def findings(rows: DataFrame, **wanted: object) -> DataFrame:
     return filtered(rows, **wanted).orderBy(level_rank(F.col("level")), "employee_id", "rule")
 
 
+def numbered(ordered: DataFrame, name: str = "nth") -> DataFrame:
+    """Rows of a sorted table with their place from 1. The sort's ranges are written as they stand and number their own rows; a range's count, one number each, tells where the next begins."""
+    spark, path = ordered.sparkSession, shared_path(ordered.sparkSession, "ordered")
+    ordered.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__range", F.shiftrightunsigned("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit(2**33 - 1)) + 1).drop("__range", "__at", "__base")
+
+
 def anomalies(days: DataFrame, employee: str | None = None, namespace: str = "EMPLOYEE:") -> DataFrame:
     """Days (employee_id, date, status) that need an explanation. Only people of the namespace count: extracted fragments bear other ids."""
     rows = days.where(F.col("status").isin(*ANOMALIES) & F.col("employee_id").startswith(namespace))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vestigraph.functions import scope
 from vestigraph.functions import text as tx
-from vestigraph.operators import evaluation, ingest, projection, versions
+from vestigraph.operators import evaluation, ingest, patterns, projection, versions
 from vestigraph.plans.registry import query, table
 
 _SEEN = """
@@ -104,8 +104,7 @@ def suspicion_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SUSPECTED} SELECT id AS employee_id, severity AS level, status AS rule, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id, status) AS nth FROM s WHERE status = 'P' AND severity <> 'low'")
 def finding_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _suspected(spark, sf_dir).where("severity != 'low'").select(F.col("id").alias("employee_id"), F.col("severity").alias("level"), F.col("status").alias("rule"))
-    listed = [tuple(r) for r in projection.findings(rows, rule="P").collect()]  # the order is what the query is about; findings of one rule
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(listed, 1)], "employee_id long, level string, rule string, nth long")
+    return projection.numbered(projection.findings(rows, rule="P"))
 
 
 _ATTENDANCE = "a AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'ent_' ELSE 'EMPLOYEE:' END || user_id AS employee_id, ts::DATE::VARCHAR AS date, CASE event_type WHEN 'error' THEN 'absent' WHEN 'signup' THEN 'missing_check_in' WHEN 'click' THEN 'missing_check_out' ELSE 'normal' END AS status FROM events)"
@@ -140,13 +139,12 @@ def tenant_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT 'shared_address' AS kind, x.s_suppkey AS a, y.s_suppkey AS b, x.s_nationkey AS s FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey)
-    SELECT kind, a || ',' || b || ',' || s AS members, NULL::VARCHAR AS details FROM a UNION ALL SELECT 'cycle', l_orderkey || ',' || l_partkey, 'hops 2' FROM lineitem WHERE l_quantity = 50""")
+    SELECT kind, a || ',' || b || ',' || s AS members, NULL::VARCHAR AS details FROM a UNION ALL SELECT 'cycle', l_orderkey || ',' || l_partkey, 'hops 2' FROM lineitem""")
 def suspicion_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule hits and algorithm hits in one shape."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("string").alias("shared"))
-    pairs = s.withColumnRenamed("k", "a").join(s.withColumnRenamed("k", "b"), "shared").where("a < b")
-    rules = pairs.select(F.lit("shared_address").alias("kind"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "shared")
-    cycles = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.lit("cycle").alias("kind"), F.array(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("members"), F.lit("hops 2").alias("details"))
+    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("string").alias("dst"))
+    rules = patterns.pairs_by_tiles(members).select(F.lit("shared_address").alias("kind"), F.col("left_id").cast("string").alias("a"), F.col("right_id").cast("string").alias("b"), "shared")
+    cycles = table(spark, sf_dir, "lineitem").select(F.lit("cycle").alias("kind"), F.array(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("members"), F.lit("hops 2").alias("details"))
     return projection.hits(rules, cycles).withColumn("members", F.array_join("members", ","))
 
 
