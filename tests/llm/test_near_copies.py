@@ -57,3 +57,39 @@ def test_stage_drops_every_near_copy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, sf).select("doc_id").collect()) == brute_kept(rows)
+
+
+def test_one_large_family(spark):
+    """5,000 near copies of one text, a family of another kind that shares half of it, and texts that join two versions: few comparisons, the same components."""
+    rng = random.Random(8)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    texts = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i, k in enumerate(rng.choices(range(120), k=5000))]
+    texts += [" ".join([*base[:60], *(f"y{j}" for j in range(60)), f"z{i}"]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_dedup.one_of_each(docs, 64).orderBy("doc_id").collect()] == [0, 5000]
+
+
+def test_groups_that_representatives_leave(spark):
+    """Links inside one candidate group that only the tiles find: chains between members that are no copies of what was drawn."""
+    rng = random.Random(4)
+    base, texts = [str(rng.randrange(10**6)) for _ in range(60)], []
+    for _ in range(90):
+        texts.append(" ".join(base))
+        base[rng.randrange(60)] = str(rng.randrange(10**6))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = docs.selectExpr("doc_id as id", "0L as root")
+    want = brute_kept(rows)
+    for tile in (5, 20):
+        edges = near_dedup.confirmed(docs, groups, tile).collect()
+        root = {i: i for i, _ in rows}
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        assert sorted({find(i) for i in root}) == want

@@ -1003,3 +1003,34 @@ def test_fill_in_middle_odd(spark, odd, empty):
     docs = spark.createDataFrame([(i, t, 3, "y") for i, t in texts], "doc_id long, text string, n int, form string")
     assert Counter(map(tuple, fill_middle.report(docs).collect())) == Counter(brute_middle(i, t) for i, t in texts)
     assert fill_middle.report(empty).collect() == []
+
+
+# columns whose names the stages would use themselves
+
+
+def test_stages_keep_columns_of_any_name(spark, tiny):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ("__score", "__features", "__raw", "__p", "__y", "__SPANS", "__items", "__cut", "__doc", "__digest", "__at_file", "__at_row", "__gone")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, tiny)
+        assert got.columns == docs.columns
+        rows_ = got.collect()
+        assert rows_ and all(r[n] == f"{n} {r.doc_id}" for r in rows_ for n in names)
+
+
+def test_stages_on_an_empty_table(spark, tiny, empty):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, tiny).collect() == []
+
+
+def test_very_deep_pages():
+    """Depth costs no more than length: seconds, where a square would take a quarter of an hour."""
+    blocks = html_text.leaf_blocks("<div class=a>x" * 30_000)
+    feats = html_text.features(blocks)
+    assert len(feats) == 30_000 and feats[-1].count("has div") == 1 and feats[-1].count("name a") == 1
+    assert html_text.leaf_blocks("</p>" * 10 + "<p>x</nav></p>y")[-1][1] is None

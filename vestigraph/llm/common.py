@@ -74,6 +74,17 @@ def small_or_shuffled(df: DataFrame, row_bytes: int = 96) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column, however its letters are cased."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import small_batches, small_or_shuffled, text_of, written
+from vestigraph.llm.common import free, small_batches, small_or_shuffled, text_of, written
 
 WINDOW, AUTOMATON_WORDS = 10, 500_000
 #: Documents of which a larger share of words is hit go as a whole.
@@ -212,13 +212,14 @@ def _matcher(docs: DataFrame, benchmark: DataFrame, window: int, most: int):
     return None, written(merged, "benchmark-hits-merged")
 
 
-def _with_hits(docs: DataFrame, hits: DataFrame | None) -> DataFrame:
-    """docs with __spans and __items, null where the automaton is asked in the task."""
+def _with_hits(docs: DataFrame, hits: DataFrame | None, spans: str = "__spans", items: str = "__items") -> DataFrame:
+    """docs with two more columns, spans and items, null where the automaton is asked in the task."""
     if hits is None:
-        return docs.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    side = small_or_shuffled(hits.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans"), F.col("items").alias("__items")), 2000)
-    met = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.unhex(F.sha2(text_of(), 256)) == F.col("__digest"))
-    return docs.join(side, met, "left").drop("__doc", "__digest")
+        return docs.withColumns({spans: F.lit(None).cast("array<int>"), items: F.lit(None).cast("array<string>")})
+    doc, digest = free(docs, "__doc", "__digest")
+    side = small_or_shuffled(hits.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("spans").alias(spans), F.col("items").alias(items)), 2000)
+    met = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.unhex(F.sha2(text_of(), 256)) == F.col(digest))
+    return docs.join(side, met, "left").drop(doc, digest)
 
 
 def _found(machine, words: list[bytes], spans: list[int] | None, items: list[str] | None) -> tuple[list[list[int]], set[str]]:
@@ -230,7 +231,7 @@ def _found(machine, words: list[bytes], spans: list[int] | None, items: list[str
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null text has no words; repeated rows are each reported; items with the same id count once; an empty benchmark hits nothing."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null text has no words; repeated rows are each reported; items with the same id count once; an empty benchmark hits nothing; an empty table gives no rows; columns but doc_id and text are not read."""
     machine, hits = _matcher(docs, benchmark, window, most)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = MOST_COVERAGE, most: int = AUTOMATON_WORDS) -> DataFrame:
-    """docs, all columns, without the hit spans; a document goes if more than most_coverage of its words are hit. n_chars, where there is one, follows the text. Clean documents are untouched, null texts too; rows that repeat are each treated; an empty table or benchmark changes nothing."""
+    """docs, all columns, whatever their names, without the hit spans; a document goes if more than most_coverage of its words are hit. n_chars, where there is one, follows the text. Clean documents are untouched, null texts too; rows that repeat are each treated; an empty table or benchmark changes nothing."""
     machine, hits = _matcher(docs, benchmark, window, most)
 
     def cut(texts, spans_of, items_of):
@@ -273,7 +274,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cove
 
     # Spark may copy a deterministic function into filter and projection; this one is to run once for each text.
     once = F.pandas_udf(cut, "struct<gone: boolean, text: string>").asNondeterministic()
-    rows = _with_hits(docs, hits).withColumn("__cut", once("text", "__spans", "__items")).where(~F.col("__cut.gone"))
-    new = F.coalesce(F.col("__cut.text"), F.col("text"))
-    changed = {"text": new} | ({"n_chars": F.when(F.col("__cut.text").isNotNull(), F.length("__cut.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    spans, items, made = free(docs, "__spans", "__items", "__cut")
+    rows = _with_hits(docs, hits, spans, items).withColumn(made, once("text", spans, items)).where(~F.col(f"{made}.gone"))
+    new = F.coalesce(F.col(f"{made}.text"), F.col("text"))
+    changed = {"text": new} | ({"n_chars": F.when(F.col(f"{made}.text").isNotNull(), F.length(f"{made}.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.withColumns(changed).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import fresh_path, small_or_shuffled, text_of, written
+from vestigraph.llm.common import free, fresh_path, small_or_shuffled, text_of, written
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,12 +31,12 @@ _PLACE = ("__at_file", "__at_row")
 _SIGNED = "digest binary, doc_id long, __at_file string, __at_row long"
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with its content locator __at_file, __at_row; what isn't read from files is written first."""
+def located(docs: DataFrame, names: tuple[str, str] = _PLACE) -> DataFrame:
+    """docs with its content locator under two names that it must not have; what isn't read from files is written first."""
 
     def place(df: DataFrame) -> DataFrame:
         meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias(_PLACE[0]), meta["row_index"].alias(_PLACE[1]))
+        return df.select("*", meta["file_path"].alias(names[0]), meta["row_index"].alias(names[1]))
 
     try:
         return place(docs)
@@ -131,8 +131,9 @@ def _shape(rows: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """The rows that stay, with all their columns, in a table read from files or not; an empty table stays empty."""
-    placed = located(docs)
-    rows = _dedup(placed.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *_PLACE), files_per_batch)
-    gone = small_or_shuffled(written(rows.where("not kept").select(*_PLACE), "copies"), 320)
-    return placed.join(gone, list(_PLACE), "left_anti").select(*docs.columns)
+    """The rows that stay, with all their columns, whatever their names, in a table read from files or not; an empty table stays empty."""
+    names = tuple(free(docs, *_PLACE))
+    placed = located(docs, names)
+    rows = _dedup(placed.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *(F.col(n).alias(p) for n, p in zip(names, _PLACE, strict=True))), files_per_batch)
+    gone = small_or_shuffled(written(rows.where("not kept").select(*(F.col(p).alias(n) for n, p in zip(names, _PLACE, strict=True))), "copies"), 320)
+    return placed.join(gone, list(names), "left_anti").select(*docs.columns)

@@ -30,28 +30,65 @@ _SPACE, _NAME = re.compile(r"\s+"), re.compile(r"[a-z]+")
 _NOTICE = re.compile(r"cookie|subscri|newsletter|copyright|©|all rights|privacy|sign ?up|log ?in|advert|sponsor|share|related|comment|reply", re.I)
 
 
+class Element:
+    """An element and the chain of those around it. Elements with equal chains are one object, and each knows only what it adds to the chain, so a page of any depth costs its own tags."""
+
+    __slots__ = ("tag", "names", "parent", "own", "added", "rest", "inner", "headed")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None, open_: dict[str, int]):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.own = (f"has {tag}", *(f"name {n}" for n in names))
+        #: Of its own features those that no element around it has.
+        self.added = tuple(f for f in self.own if not open_.get(f))
+        #: The nearest element from here outwards whose parent's chain still adds features.
+        self.rest = parent if parent is None or parent.added else parent.rest
+        self.inner = tag if tag in _BOX else parent.inner if parent else "none"
+        self.headed = tag in ("h1", "h2") or bool(parent and parent.headed)
+
+    def ancestry(self) -> list[str]:
+        """Features of all tags and names of the chain, each once."""
+        found, at = [], self
+        while at is not None:
+            found += at.added
+            at = at.rest
+        return found
+
+
 class _Blocks(HTMLParser):
-    """Leaf blocks in page order: text, ancestors (tag and names), number of characters in links."""
+    """Leaf blocks in page order: text, the element they stand in, number of characters in links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[str, tuple, int]] = []
+        self.stack: list[Element] = []
+        self.known: dict[tuple, Element] = {}
+        self.open: dict[str, int] = {}  # of each tag, and of each feature of the chain
+        self.blocks: list[tuple[str, Element | None, int]] = []
         self.parts: list[str] = []
         self.linked = self.in_link = self.unseen = 0
-        self.path: tuple = ()
 
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.path, self.linked))
+            self.blocks.append((text, self.stack[-1] if self.stack else None, self.linked))
         self.parts, self.linked = [], 0
 
+    def _open(self, tag: str, names: tuple[str, ...]) -> None:
+        parent = self.stack[-1] if self.stack else None
+        key = (id(parent), tag, names)
+        element = self.known.get(key)
+        if element is None:
+            element = self.known[key] = Element(tag, names, parent, self.open)
+        self.stack.append(element)
+        for f in element.own:
+            self.open[f] = self.open.get(f, 0) + 1
+        self.unseen += tag in _UNSEEN
+
     def _close(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.unseen -= tag in _UNSEEN
+        for element in self.stack[at:]:
+            self.unseen -= element.tag in _UNSEEN
+            for f in element.own:
+                self.open[f] -= 1
         del self.stack[at:]
-        self.path = tuple(self.stack)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -64,19 +101,16 @@ class _Blocks(HTMLParser):
         self.in_link = 0
         if self.unseen and tag == "body":
             self._close(0)
-        tags = [t for t, _ in self.stack]
-        if tag in _CLOSES_P and tags and tags[-1] == "p":
-            self._close(len(tags) - 1)
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tags and tags[-1] == tag:
-            self._close(len(tags) - 1)
-        elif tag in ("li", "td", "th") and tags[-2:] == [tag, "p"]:
-            self._close(len(tags) - 2)
+        size = len(self.stack)
+        last, second = (self.stack[-1].tag if size else None), (self.stack[-2].tag if size > 1 else None)
+        if tag in _CLOSES_P and last == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and last == tag:
+            self._close(size - 1)
+        elif tag in ("li", "td", "th") and (second, last) == (tag, "p"):
+            self._close(size - 2)
         if tag in _VOID:
             return
         names = {n for k, v in attrs if k in ("class", "id", "role", "itemprop", "aria-label") and v for n in _NAME.findall(v.lower())}
-        self.stack.append((tag, tuple(sorted(names))))
-        self.unseen += tag in _UNSEEN
-        self.path = tuple(self.stack)
+        self._open(tag, tuple(sorted(names)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -87,10 +121,12 @@ class _Blocks(HTMLParser):
         if tag in _INLINE:
             return
         self._end_block()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._close(at)
-                break
+        if not self.open.get(f"has {tag}"):
+            return
+        at = len(self.stack) - 1
+        while self.stack[at].tag != tag:
+            at -= 1
+        self._close(at)
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
@@ -99,7 +135,7 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
+def leaf_blocks(html: str) -> list[tuple[str, Element | None, int]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -110,45 +146,38 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
 _BOX = ("article", "main", "nav", "aside", "footer", "header", "form", "section")
 
 
-def _holder(path: tuple) -> tuple:
-    """The element that a block stands in among others of its kind."""
-    return path[:-1]
-
-
-def features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
+def features(blocks: list[tuple[str, Element | None, int]]) -> list[list[str]]:
     """Feature names of each block: its tag, ancestors and their names, its own text, and what stands in the same element, so that prose is known without any telling name around it."""
     out, headed, memo = [], False, {}
-    plain: dict[tuple, int] = {}
-    links: dict[tuple, int] = {}
-    for text, path, linked in blocks:
-        at = _holder(path)
+    plain: dict[Element | None, int] = {}
+    links: dict[Element | None, int] = {}
+    for text, element, linked in blocks:
+        at = element.parent if element else None
         plain[at] = plain.get(at, 0) + max(0, len(text) - linked)
         links[at] = links.get(at, 0) + linked
     whole = max(1, sum(plain.values()))
     most = max(plain.values(), default=0)
-    before = ()
-    for nth, (text, path, linked) in enumerate(blocks):
-        if path not in memo:
-            tags = [t for t, _ in path]
-            inner = next((t for t in reversed(tags) if t in _BOX), "none")
-            at = _holder(path)
+    before = None
+    for nth, (text, element, linked) in enumerate(blocks):
+        if element not in memo:
+            at = element.parent if element else None
             size, linky = plain[at], links[at]
-            memo[path] = [
-                *(f"has {t}" for t in set(tags)), *(f"name {n}" for n in {n for _, ns in path for n in ns}), *(f"last {n}" for n in (path[-1][1] if path else ())), f"in {tags[-1] if tags else ''}", f"inner {inner}",
+            memo[element] = [
+                *(element.ancestry() if element else ()), *(f"last {n}" for n in (element.names if element else ())), f"in {element.tag if element else ''}", f"inner {element.inner if element else 'none'}",
                 f"group {min(12, size.bit_length())}", f"group share {min(4, 5 * size // whole)}", f"group links {min(3, 4 * linky // max(1, size + linky))}", f"largest {size == most}",
             ]
         n = text.count(" ") + 1
         share = min(3, 4 * linked // max(1, len(text)))
-        tag = path[-1][0] if path else ""
-        f = ["bias", f"words {min(6, n.bit_length())}", f"links {share}", f"ends {text[-1] in '.!?:;”"'}", f"headed {headed}", f"{tag} links {share} words {min(4, n.bit_length())}", f"same {path == before}", *memo[path]]
+        tag = element.tag if element else ""
+        f = ["bias", f"words {min(6, n.bit_length())}", f"links {share}", f"ends {text[-1] in '.!?:;”"'}", f"headed {headed}", f"{tag} links {share} words {min(4, n.bit_length())}", f"same {element is before}", *memo[element]]
         if n < 40 and _NOTICE.search(text):
             f.append("notice")
         if nth == 0:
             f.append("first")
         if nth == len(blocks) - 1:
             f.append("last block")
-        headed |= any(t in ("h1", "h2") for t, _ in path)
-        before = path
+        headed |= bool(element and element.headed)
+        before = element
         out.append(f)
     return out
 
@@ -360,7 +389,7 @@ def main_text(field: Field, html: str) -> str:
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
-    """page_id, url, text, n_chars for every page. Null html is an empty page and gives an empty text; a page that breaks off is read to its end; repeated rows give repeated rows."""
+    """page_id, url, text, n_chars for every page. Null html is an empty page and gives an empty text; a page that breaks off is read to its end; repeated rows give repeated rows; an empty table gives none; columns but these three are not read."""
     spark = pages.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(field or train())  # some hundred weights

@@ -5,7 +5,8 @@ within RADIUS = 26 bits, on vertical bit planes as in `simhash`, and what is lef
 sets. For so wide a radius pigeonhole leaves blocks of two bits, which would put all documents together, so documents meet
 for that comparison over BANDS keys, each made of ROWS minima of the shingles under different hashes: two texts of
 similarity 0.8 share none with a chance of (1 - 0.8**6)**30 = 0.0001. Documents are linked to the first one of a key only,
-so keys cost no pairs. What is linked meets in one task, or by tiles in several.
+so keys cost no pairs. What is linked meets in one task; in a large group, first a few of its members and then, by tiles,
+what these have not brought together.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vestigraph.llm.common import small_batches, small_or_shuffled, text_of, written
+from vestigraph.llm.common import free, small_batches, small_or_shuffled, text_of, written
 from vestigraph.llm.simhash import _LOWER, _planes, components, near_at_lag
 
 SHINGLE, SEED, BANDS, ROWS, RADIUS = 5, 42, 30, 6, 26
@@ -25,6 +27,8 @@ SHINGLE, SEED, BANDS, ROWS, RADIUS = 5, 42, 30, 6, 26
 NUM, DEN = 4, 5
 #: Documents of one linked group that are compared at once; larger groups are cut into tiles, and each two tiles meet.
 TILE = 128
+#: Members of a larger group that all others meet first, members that meet them in one task, and how often that is done.
+REPRESENTATIVES, PART, ROUNDS = 16, 1024, 2
 #: Rows, and bytes of their sets, from which groups are compared together.
 GROUPED, _GROUPED_BYTES = 1024, 32 << 20
 _CHUNK = 1 << 12
@@ -134,19 +138,88 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(scan, "doc_id long, same binary, keys array<long>")
 
 
-def confirmed(docs: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) inside groups (id, root) of candidates: a spanning forest of the pairs that are copies indeed."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = small_or_shuffled(written(groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")), "candidates"))
+def with_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (id and other columns) with each document's set of shingles as bytes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(small_or_shuffled(placed), "id").select(*placed.columns, "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingles(t).tobytes() for t in b.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], names=["id", "root", "tiles", "own", "hashes"])
+            sets = pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield b.drop_columns(["text"]).append_column("hashes", sets)
+
+    return texts.mapInArrow(scan, T.StructType([*placed.schema.fields, T.StructField("hashes", T.BinaryType())]))
+
+
+def _met_representatives(docs: DataFrame, members: DataFrame, nr: int) -> DataFrame:
+    """Edges (a, b) between some members of each group and all others that are their copies.
+
+    members: id, root, rest, n and r (the group's members, and how many of them are rest). About REPRESENTATIVES of the
+    rest, drawn by a hash, go to each part of their group and all members stream by, so a set is sent once and these few
+    once for each PART of members.
+    """
+    drawn = F.col("rest") & (F.pmod(F.xxhash64("id", F.lit(nr)), F.ceil(F.col("r") / REPRESENTATIVES)) == 0)
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = with_sets(docs, members.select("id", "root", drawn.alias("drawn"), parts.alias("parts")))
+    own = F.struct(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(0).alias("order")))
+    sent = rows.select("root", "id", "hashes", F.explode(F.when(F.col("drawn"), F.concat(every, F.array(own))).otherwise(F.array(own))).alias("to")).select("root", "to.part", "to.order", "id", "hashes")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, drawn = None, []
+        for b in batches:
+            out = []
+            for root, part, order, doc, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, part) != at:
+                    at, drawn = (root, part), []
+                found = np.frombuffer(hashes, np.uint64)
+                mark = fingerprint(found) & (2**64 - 1)
+                if not order:
+                    drawn.append((doc, mark, found))
+                    continue
+                for other, its, theirs in drawn:
+                    less, more = sorted((len(found), len(theirs)))
+                    if other != doc and (mark ^ its).bit_count() <= RADIUS and DEN * less >= NUM * more and alike(found, theirs):
+                        out.append((other, doc))
+            cols = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    return sent.repartition("root", "part").sortWithinPartitions("root", "part", "order").mapInArrow(meet, "a long, b long")
+
+
+def _counted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """id, root, rest, n, r: rest are the members outside the group's largest component, all of them while none is known. Groups that hang together are left out."""
+    if roots is None:
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+        return members.select("id", "root").join(sizes, "root").select("id", "root", F.lit(True).alias("rest"), "n", F.col("n").alias("r"))
+    of = members.select("id", "root").join(roots.withColumnRenamed("root", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    parts = of.groupBy("root", "c").agg(F.count("*").alias("k"))
+    groups = parts.groupBy("root").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"))
+    return of.join(groups.where("most < n"), "root").select("id", "root", (F.col("c") != F.col("main")).alias("rest"), "n", (F.col("n") - F.col("most")).alias("r"))
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) inside groups (id, root) of candidates whose components are those of the pairs that are copies indeed.
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(placed, "id").select("id", "root", "tiles", "own", "text")
-    rows = texts.mapInArrow(scan, "id long, root long, tiles int, own int, hashes binary")
-    rows = rows.select("id", "root", "own", "hashes", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    Members of a large group first meet a few of them, which mostly leaves one large component. Then only pairs with at
+    least one end outside it can tell more: tiles of the rest meet one another and the tiles of that component. Groups of
+    up to `tile` members are a tile of their own.
+    """
+    counted = written(_counted(groups, None), "candidates")
+    small, large, edges = counted.where(F.col("n") <= tile), counted.where(F.col("n") > tile), None
+    for nr in range(ROUNDS):
+        if large.where(F.col("r") > tile).isEmpty():
+            break
+        found = written(_met_representatives(docs, large, nr).distinct(), "met")
+        edges = found if edges is None else edges.unionByName(found)
+        large = written(_counted(large, components(edges)), "candidates")
+    left = small.unionByName(large)
+    tiles, others = F.ceil(F.col("r") / tile).cast("int"), F.ceil((F.col("n") - F.col("r")) / tile).cast("int")
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), tiles)).otherwise(-1 - F.pmod(F.xxhash64("id"), others)).cast("int")
+    rows = with_sets(docs, left.select("id", "root", own.alias("own"), tiles.alias("tiles"), others.alias("others")))
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    across = F.when(F.col("others") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("others"), F.lit(1))), lambda k: -k)).otherwise(F.array().cast("array<int>"))
+    met = F.when(F.col("own") >= 0, F.concat(every, across)).otherwise(every)
+    rows = rows.select("root", "id", "own", "hashes", F.explode(met).alias("other"))
     rows = rows.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "own", "hashes")
     rows = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
 
@@ -174,22 +247,25 @@ def confirmed(docs: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame
         if held:
             yield flush()
 
-    return rows.mapInArrow(compare, "a long, b long")
+    last = rows.mapInArrow(compare, "a long, b long")
+    return last if edges is None else last.unionByName(edges)
 
 
 def one_of_each(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """The document with the smallest doc_id of each component of copies, with all columns; rows that repeat that doc_id stay too.
 
-    Texts with equal sets are copies, also those without words. A row without doc_id stays.
+    Texts with equal sets are copies, also those without words and null ones. A row without doc_id stays; an empty table
+    stays empty; columns may have any names.
     """
     marked = written(signed(docs), "shingles")
     distinct = written(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")).where("id is not null"), "distinct_sets")
     keyed = distinct.select("id", F.explode("keys").alias("key"))
-    first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
-    linked = components(keyed.select(F.col("id").alias("a"), first.alias("b")).where("a != b"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("b"))
+    linked = components(keyed.join(first, "key").select(F.col("id").alias("a"), "b").where("a != b"))
     groups = written(linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()), "groups")
     roots = components(confirmed(docs, groups, tile))
     of = distinct.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    gone = marked.join(of, "same").where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    (name,) = free(docs, "__gone")
+    gone = marked.join(of, "same").where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = small_or_shuffled(written(gone, "near_copies"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigraph.llm.common import mark, remainder, share, small_batches, sweep, text_of, written
+from vestigraph.llm.common import free, mark, remainder, share, small_batches, sweep, text_of, written
 
 #: Lexicon and trees are fitted on about so many labelled rows at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -187,10 +187,10 @@ def _margin() -> Column:
     return F.element_at(vector_to_array("probability"), 2)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with all columns and `__score`: 0 to 1. Without trained trees every row gets the share of toxic labels."""
+def score(docs: DataFrame, scorer: Scorer, name: str = "__score") -> DataFrame:
+    """docs with all its columns and one more, `name`, which it must not have: 0 to 1. Without trained trees every row gets the share of toxic labels."""
     if scorer.trees is None:
-        return docs.withColumn("__score", F.lit(scorer.prior))
+        return docs.withColumn(name, F.lit(scorer.prior))
     table = [(float(x), float(y)) for x, y in zip(scorer.isotonic.boundaries.toArray(), scorer.isotonic.predictions.toArray(), strict=True)]
 
     # Isotonic steps as an interpolated lookup, a bounded table.
@@ -201,20 +201,22 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
         x, y = zip(*table, strict=True)
         return pd.Series(np.interp(p.to_numpy(), x, y))
 
-    rows = docs.withColumn("__features", array_to_vector(feature_column(docs.sparkSession, scorer.lexicon, text_of())))
-    trees = scorer.trees.copy().setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("__p").setPredictionCol("__y")
-    scored = trees.transform(rows).withColumn("__score", calibrated(F.element_at(vector_to_array("__p"), 2)))
-    return scored.drop("__features", "__raw", "__p", "__y")
+    made = free(docs, "__features", "__raw", "__p", "__y")
+    rows = docs.withColumn(made[0], array_to_vector(feature_column(docs.sparkSession, scorer.lexicon, text_of())))
+    trees = scorer.trees.copy().setFeaturesCol(made[0]).setRawPredictionCol(made[1]).setProbabilityCol(made[2]).setPredictionCol(made[3])
+    scored = trees.transform(rows).withColumn(name, calibrated(F.element_at(vector_to_array(made[2]), 2)))
+    return scored.drop(*made)
 
 
 def assess(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Null text is empty and scored like any other; ids without labels are scored too; repeated rows are each scored; without labels every score is 0."""
+    """Per document: doc_id, held_out, score, predicted. Null text is empty and scored like any other; ids without labels are scored too; repeated rows are each scored; without labels every score is 0; an empty table gives no rows; columns but doc_id and text are not read."""
     scorer = fit(docs, labels.where(remainder("doc_id", folds) != held_out), sample_rows)
     rows = score(docs.select(F.col("doc_id").cast("long"), "text"), scorer)
     return rows.select("doc_id", (remainder("doc_id", folds) == held_out).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns, whatever their names. Null texts are scored as empty, repeated rows alike; an empty table stays empty, and without labels nothing goes."""
     scorer = fit(docs, labels.where(remainder("doc_id", folds) != held_out))
-    return score(docs, scorer).where(F.col("__score") < threshold).select(*docs.columns)
+    (name,) = free(docs, "__score")
+    return score(docs, scorer, name).where(F.col(name) < threshold).select(*docs.columns)
