@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigraph.operators import documents, intervals
@@ -54,17 +54,20 @@ def chunk_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunked(table(spark, sf_dir, "documents"), 800)
 
 
-_NAMED = [(1, 0, "华辰智能有限公司 hired 张伟先生 for $ 3000 元 on 2024-03-05"), (2, 100, "AcmeInc. and BetaLLC"), (3, 0, "李雷 教授 2023年5月1日 2023 年度 12.5 亿 美元"), (4, 0, ""), (5, 0, None), (6, 7, "no names, 5 dollars")]
-_FOUND = [
-    (1, "ORG", "华辰智能有限公司", 0, 8, 0.85), (1, "PERSON", "张伟", 15, 17, 0.7), (1, "MONEY", "$ 3000 元", 24, 32, 0.85), (1, "DATE", "2024-03-05", 36, 46, 0.7), (2, "ORG", "AcmeInc.", 100, 108, 0.85), (2, "ORG", "BetaLLC", 113, 120, 0.85),
-    (3, "PERSON", "李雷", 0, 2, 0.7), (3, "MONEY", " 12.5 亿 美元", 23, 33, 0.85), (3, "DATE", "2023年5月1日", 6, 15, 0.7), (3, "DATE", "2023 年", 16, 22, 0.7),
-]
+_NER = "n AS (SELECT doc_id, 'Firm' || doc_id || '有限公司' AS org, substr('张王李赵', (doc_id % 4 + 1)::INT, 1) || '伟' AS person, ' ' || coalesce(n_chars, 0) || ' 元' AS money, strftime(DATE '2001-01-01' + (doc_id % 9000)::INT, '%Y-%m-%d') AS day FROM documents)"
 
 
-@query(f"SELECT doc_id, entity_type, mention, char_start, char_end, confidence::DOUBLE AS confidence FROM (VALUES {', '.join(map(str, _FOUND))}) t(doc_id, entity_type, mention, char_start, char_end, confidence)")
+@query(f"""WITH {_NER}, x AS (SELECT *, doc_id * 10 AS o, length(org) AS a FROM n)
+    SELECT doc_id, 'ORG' AS entity_type, org AS mention, o AS char_start, o + a AS char_end, 0.85::DOUBLE AS confidence FROM x
+    UNION ALL SELECT doc_id, 'PERSON', person, o + a + 4, o + a + 6, 0.7 FROM x UNION ALL SELECT doc_id, 'MONEY', money, o + a + 14, o + a + 14 + length(money), 0.85 FROM x
+    UNION ALL SELECT doc_id, 'DATE', day, o + a + 18 + length(money), o + a + 28 + length(money), 0.7 FROM x""")
 def regex_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal chunks with entities of all four kinds; the tables hold none."""
-    chunks = spark.createDataFrame([(i, 0, at, t) for i, at, t in _NAMED], "doc_id int, chunk_no int, char_start long, chunk string")
+    """A sentence on each document that names a firm, a person, a sum and a day; its chunk begins ten characters later for each document."""
+    i = F.col("doc_id")
+    person = F.concat(F.substr(F.lit("张王李赵"), (i % 4 + 1).cast("int"), F.lit(1)), F.lit("伟"))
+    day = F.date_add(F.lit("2001-01-01").cast("date"), (i % 9000).cast("int")).cast("string")
+    said = F.concat(F.lit("Firm"), i, F.lit("有限公司 to "), person, F.lit(" 先生 paid"), F.lit(" "), F.coalesce("n_chars", F.lit(0)), F.lit(" 元 on "), day, F.lit("."))
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_no"), (i * 10).alias("char_start"), said.alias("chunk"))
     return documents.entities(chunks).drop("chunk_no")
 
 
@@ -87,31 +90,37 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", documents.clean_html(F.col("html")).alias("text"))
 
 
-_DATED = ["报告期：2024年3月", "2023-06-30", "本办法自2025年1月2日起施行", "截至 2022-12-31，共计", "2021年度 发布", "签署日期：1999-13-40", "no date"]
+_DAY = "p AS (SELECT doc_id, doc_id % 4 AS kind, (1995 + doc_id % 40)::INT AS y, (1 + doc_id % 12)::INT AS m, (1 + doc_id % 31)::INT AS d FROM documents)"
 
 
-@query(f"""SELECT * FROM (VALUES {', '.join(str((i, x)) for i, x in enumerate(_DATED))}) t(doc_id, text) JOIN (VALUES (0, '2024-03-31'), (1, NULL), (2, '2025-01-02'), (3, '2022-12-31'), (4, '2021-12-31'), (5, NULL), (6, NULL)) d(doc_id, document_date) USING (doc_id)""")
-def document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test tables hold no such dates; the cases are literal."""
-    rows = spark.createDataFrame(list(enumerate(_DATED)), "doc_id int, text string")
-    return rows.select("doc_id", "text", documents.document_date(F.col("text"), today=F.lit("2026-01-01").cast("date")).cast("string").alias("document_date"))
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (i % 4).alias("kind"), (1995 + i % 40).cast("string").alias("y"), (1 + i % 12).cast("string").alias("m"), (1 + i % 31).cast("string").alias("d"))
+    return docs, F.col("kind")
 
 
-_ENDING = [("本办法有效期至2027年12月31日。", "2027-12-31"), ("合同有效期至2027-01-01\n本制度自2024-01-01起施行", None), ("本规定有效期截止至 2028年6月", "2028-06-30"), ("本细则\n有效期至2027-01-01", None), ("本制度有效期到2125年度", None), ("本制度有效期至2025-02-30\n本制度有效期至：2026.3.4", "2026-03-04"), ("", None)]
+@query(f"""WITH {_DAY} SELECT doc_id, CASE WHEN y > 2027 THEN NULL WHEN kind = 0 THEN last_day(make_date(y, m, 1))::VARCHAR WHEN kind = 1 THEN try_cast(printf('%d-%02d-%02d', y, m, d) AS DATE)::VARCHAR WHEN kind = 2 THEN y || '-12-31' END AS document_date FROM p""")
+def document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each document that dates it by a month, a day that need not exist, or a year, or that has a date but no word for it."""
+    docs, kind = _days(spark, sf_dir)
+    line = F.when(kind == 0, F.concat(F.lit("报告期："), "y", F.lit("年"), "m", F.lit("月"))).when(kind == 1, F.concat(F.lit("本办法自"), "y", F.lit("年"), "m", F.lit("月"), "d", F.lit("日起施行"))).when(kind == 2, F.concat("y", F.lit("年度 发布"))).otherwise(F.concat("y", F.lit("-"), "m", F.lit("-"), "d"))
+    return docs.select("doc_id", documents.document_date(line, today=F.lit("2026-01-01").cast("date")).cast("string").alias("document_date"))
 
 
-@query(f"""SELECT * FROM (VALUES {", ".join(f"({i}, {repr(d) if d else 'NULL'})" for i, (_, d) in enumerate(_ENDING))}) t(doc_id, expires)""")
+@query(f"""WITH {_DAY} SELECT doc_id, CASE WHEN y > 2031 OR kind = 2 THEN NULL WHEN kind = 0 THEN try_cast(printf('%d-%02d-%02d', y, m, d) AS DATE)::VARCHAR WHEN kind = 1 THEN last_day(make_date(y, m, 1))::VARCHAR WHEN kind = 3 THEN y || '-12-31' END AS expires FROM p""")
 def document_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal cases: whose end it is, days that don't exist, years beyond reach."""
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ENDING)], "doc_id int, text string")
-    return rows.select("doc_id", documents.document_expiry(F.col("text"), F.lit("2030-01-01").cast("date")).cast("string").alias("expires"))
-
-
-_MENTIONED = [("Alpha pays Beta", "Beta", 11, 11), ("Alpha pays Beta", "Beta", 3, 11), ("Alpha pays Beta", "Beta", None, 11), ("Alpha pays Beta", "Gamma", 0, None), ("", "x", 0, None)]
+    """Two lines for each document: the first ends a contract, the second the document itself, but for every fourth."""
+    docs, kind = _days(spark, sf_dir)
+    own = F.when(kind == 0, F.concat(F.lit("本办法有效期至"), "y", F.lit("年"), "m", F.lit("月"), "d", F.lit("日。"))).when(kind == 1, F.concat(F.lit("本规定有效期截止至 "), "y", F.lit("年"), "m", F.lit("月"))).when(kind == 2, F.concat(F.lit("本细则\n有效期至"), "y", F.lit("-01-01"))).otherwise(F.concat(F.lit("本制度有效期到"), "y", F.lit("年度")))
+    text = F.concat(F.lit("合同有效期至2027-01-01\n"), own)
+    return docs.select("doc_id", documents.document_expiry(text, F.lit("2030-01-01").cast("date")).cast("string").alias("expires"))
 
 
-@query(f"""SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if x[3] is None else x[3]})" for i, x in enumerate(_MENTIONED))}) t(id, char_start)""")
+@query("""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 4 THEN '@@' ELSE substr(text, length(text) // 3 + 1, 6) END AS mention, CASE doc_id % 5 WHEN 0 THEN length(text) // 3 WHEN 1 THEN 3 WHEN 2 THEN length(text) + 5 WHEN 4 THEN 0 END AS start FROM documents WHERE text <> '')
+    SELECT doc_id, CASE WHEN substr(text, start + 1, length(mention)) = mention THEN start WHEN instr(text, mention) > 0 THEN instr(text, mention) - 1 END::INT AS char_start FROM d""")
 def mention_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places that are right, wrong, not given, and of mentions that aren't there."""
-    rows = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(_MENTIONED)], "id int, text string, mention string, start int")
-    return rows.select("id", documents.resolved_start(F.col("text"), F.col("mention"), F.col("start")).alias("char_start"))
+    """Six characters of each document, with a place that is right, near the start, past the end or not given, and words that aren't there."""
+    kind, third = F.col("doc_id") % 5, F.floor(F.length("text") / 3).cast("int")
+    start = F.when(kind == 0, third).when(kind == 1, 3).when(kind == 2, F.length("text") + 5).when(kind == 4, 0)
+    docs = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", "text", F.when(kind == 4, "@@").otherwise(F.substr("text", third + 1, F.lit(6))).alias("mention"), start.alias("start"))
+    return docs.select("doc_id", documents.resolved_start(F.col("text"), F.col("mention"), F.col("start")).alias("char_start"))

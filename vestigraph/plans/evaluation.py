@@ -113,17 +113,18 @@ def judged_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.accuracy(right, ["source"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
-_VERDICTS = [("recall", 1.0, 1.0, True, 0.8609, False), ("fpr", 0.0, 0.05, False, 0.1391, False), ("gain", 0.1428, 0.1, True, None, True), ("hops", 0.8333, 0.9, True, None, False), ("cost", None, 8000.0, False, None, False), ("coverage", 1.0, 1.0, True, 1.0, False), ("open", 0.5, None, True, None, False)]
-
-
-@query("""SELECT * FROM (VALUES ('recall', 'underpowered'), ('fpr', 'underpowered'), ('gain', 'pass_provisional'), ('hops', 'fail'), ('cost', 'indeterminate'), ('coverage', 'pass'), ('open', 'indeterminate')) t(criterion, verdict)
-    JOIN (VALUES ('recall', 'blocked'), ('fpr', 'unknown'), ('gain', 'measured_provisional'), ('hops', 'measured'), ('cost', 'measured'), ('coverage', 'unknown'), ('open', 'blocked')) s(criterion, status) USING (criterion)""")
+@query("""WITH s AS (SELECT source AS criterion, substr(source, 4)::INT AS k, round(avg(quality), 6) AS v FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2),
+    r AS (SELECT criterion, k, CASE WHEN k % 7 <> 3 THEN v END AS value, CASE WHEN k % 5 <> 4 THEN 0.3 + 0.02 * k END AS threshold, k % 2 = 0 AS up, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 2 = 0 THEN v - 0.1 ELSE v + 0.1 END END AS bound FROM s)
+    SELECT criterion, CASE WHEN value IS NULL OR threshold IS NULL THEN 'indeterminate' WHEN (up AND value < threshold) OR (NOT up AND value > threshold) THEN 'fail' WHEN (up AND bound < threshold) OR (NOT up AND bound > threshold) THEN 'underpowered' WHEN k % 4 = 1 THEN 'pass_provisional' ELSE 'pass' END AS verdict,
+    CASE WHEN k % 6 = 5 THEN 'blocked' WHEN k % 6 IN (3, 4) THEN 'unknown' WHEN k % 6 = 2 THEN 'measured_provisional' ELSE 'measured' END AS status FROM r""")
 def criterion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal criteria, one for each verdict and each status."""
-    rows = spark.createDataFrame(_VERDICTS, "criterion string, value double, threshold double, higher boolean, bound double, provisional boolean")
-    c, n = F.col, F.col("criterion")
-    state = evaluation.status(~n.isin("recall", "open"), n != "fpr", n != "coverage", n != "gain")
-    return rows.select("criterion", evaluation.judged(c("value"), c("threshold"), c("higher"), c("bound"), c("provisional")).alias("verdict"), state.alias("status"))
+    """Each source's share of good documents as a criterion with a threshold, a bound and a direction of its own; some lack one."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    r = rows.groupBy(F.col("source").alias("criterion")).agg(F.round(F.avg("quality"), 6).alias("v")).withColumn("k", F.substring("criterion", 4, 9).cast("int"))
+    k, v = F.col("k"), F.col("v")
+    up, bound = k % 2 == 0, F.when(k % 3 != 0, F.when(k % 2 == 0, v - 0.1).otherwise(v + 0.1))
+    verdict = evaluation.judged(F.when(k % 7 != 3, v), F.when(k % 5 != 4, F.lit(0.3) + F.lit(0.02) * k), up, bound, k % 4 == 1)
+    return r.select("criterion", verdict.alias("verdict"), evaluation.status(k % 6 != 5, k % 6 != 4, k % 6 != 3, k % 6 != 2).alias("status"))
 
 
 _RULES = {"triple": "l_suppkey, l_returnflag, l_partkey", "entity_pair": "l_suppkey, l_partkey", "canonical_name": "l_suppkey % 7, l_returnflag, l_partkey % 11"}

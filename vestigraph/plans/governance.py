@@ -21,28 +21,36 @@ def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", tx.mask_phone(phone).alias("phone"), tx.mask_account(account).alias("account"), tx.mask_invoice(F.concat(F.lit("INV"), key)).alias("invoice"), tx.mask_hashed(F.col("c_name"), "salt").alias("person"))
 
 
-_MASKED = [("amount", "1,234,567.89", "***,***.00"), ("amount", " ", ""), ("invoice", "INV 2024 0315 0001", "INV2****0001"), ("invoice", "INV1", "****"), ("account", "６２２８4800 1234", "6228 **** 1234"), ("account", "12345678", "****"), ("account", "6228480012341234567", "6228 **** **** **** 4567"), ("phone", "+86 138-1234-5678", "861****5678"), ("phone", "1234567", "****")]
-_HASHED = [("filename", "a.pdf", "a.pdf"), ("hashed", "110101 1990-0307", "salt|1101011990" + "0307"), ("hashed", "Jörg Öz", "salt|jörgöz")]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(str((i, *x[::2])) for i, x in enumerate(_MASKED))}) t(nr, category, masked) UNION ALL SELECT nr, category, sha256(plain) FROM (VALUES {', '.join(str((100 + i, *x[::2])) for i, x in enumerate(_HASHED))}) t(nr, category, plain)")
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS n, lpad((c_custkey * 7919 % 100000000)::VARCHAR, 8, '0') AS d FROM customer)
+    SELECT k, 'amount' AS category, CASE WHEN k % 9 = 0 THEN '' ELSE '***,***.00' END AS masked FROM c UNION ALL SELECT k, 'invoice', CASE WHEN k % 9 = 0 THEN '****' ELSE 'INV2****' || right(d, 4) END FROM c
+    UNION ALL SELECT k, 'account', CASE WHEN k % 9 = 0 THEN '****' ELSE '6228 **** ' || right(d, 4) END FROM c UNION ALL SELECT k, 'phone', CASE WHEN k % 9 = 0 THEN '****' ELSE '861****' || right(d, 4) END FROM c
+    UNION ALL SELECT k, 'filename', sha256(n || '.pdf') FROM c UNION ALL SELECT k, 'hashed', sha256('salt|' || lower(regexp_replace(n, '[^0-9A-Za-z]', '', 'g'))) FROM c""")
 def mask_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal values of all categories, at and below the lengths that may show anything."""
-    rows = spark.createDataFrame([(i, c, v) for at, cases in ((0, _MASKED), (100, _HASHED)) for i, (c, v, _) in enumerate(cases, at)], "nr int, category string, value string")
+    """Values of all categories for each customer, written in several ways; of every ninth too short to show anything."""
+    k, short = F.col("c_custkey"), F.col("c_custkey") % 9 == 0
+    d = F.lpad((k * 7919 % 100000000).cast("string"), 8, "0")
+    values = {
+        "amount": F.when(short, " ").otherwise(F.concat("c_acctbal", F.lit(" 元"))), "invoice": F.when(short, "INV 1").otherwise(F.concat(F.lit("INV 2024 "), d)), "account": F.when(short, "12345678").otherwise(F.concat(F.lit("６２２８ "), d)),
+        "phone": F.when(short, "123-4567").otherwise(F.concat(F.lit("+86 1"), d)), "filename": F.concat("c_name", F.lit(".pdf")), "hashed": F.col("c_name"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), v.alias("value")) for c, v in values.items())))
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), each.alias("v")).select("k", "v.*")
     out = F.when(F.lit(False), F.col("value"))
     for category in tx.SENSITIVE:
         out = out.when(F.col("category") == category, tx.masked(F.col("value"), category, "salt"))
-    return rows.select("nr", "category", out.alias("masked"))
-
-
-_LOGGED = [(1, '{"amount": "5", "note": "x", "who": {"phone": "13812345678", "deep": [{"tax_id": "A1"}, "13812345678"]}, "n": 3}', '{"amount": "***,***.00", "note": "x", "who": {"phone": "138****5678", "deep": [{"tax_id": "@"}, "13812345678"]}, "n": 3}'), (2, "[1]", "****"), (3, "oops", "****"), (4, None, None), (5, '{"secret": "s"}', '{"secret": "****"}')]
+    return rows.select("k", "category", out.alias("masked"))
 
 
-@query(f"SELECT nr, replace(masked, '@', sha256('salt|a1')) AS masked FROM (VALUES {', '.join(f"({i}, {'NULL' if w is None else repr(w)})" for i, _, w in _LOGGED)}) t(nr, masked)")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"amount": "***,***.00", "note": "' || c_mktsegment || '", "who": {"phone": "138****' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '", "deep": [{"tax_id": "' || sha256('salt|t' || c_custkey) || '"}, "13812345678"]}, "n": ' || c_nationkey || '}'
+    WHEN 1 THEN '{"secret": "****"}' WHEN 2 THEN '****' END AS masked, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 'segment=' || c_mktsegment || ' phone=138****' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS fields FROM customer""")
 def mask_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal log records: nested objects, lists, what is no object, a field of an unknown category."""
-    rows = spark.createDataFrame([x[:2] for x in _LOGGED], "nr int, payload string")
-    return rows.select("nr", tx.masked_json(F.col("payload"), "salt", {"secret": "unknown"}).alias("masked"))
+    """A log record for each customer: nested objects and lists, a field of an unknown category, what is no object, none; and its fields as a map."""
+    k, phone = F.col("c_custkey"), F.concat(F.lit("138 0000 "), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
+    deep = F.concat(F.lit('{"amount": "'), "c_acctbal", F.lit('", "note": "'), "c_mktsegment", F.lit('", "who": {"phone": "'), phone, F.lit('", "deep": [{"tax_id": "T-'), k, F.lit('"}, "13812345678"]}, "n": '), "c_nationkey", F.lit("}"))
+    payload = F.when(k % 4 == 0, deep).when(k % 4 == 1, F.concat(F.lit('{"secret": "'), k, F.lit('"}'))).when(k % 4 == 2, F.concat(F.lit("["), k, F.lit("]")))
+    fields = tx.masked_map(F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("phone"), phone), "salt")
+    joined = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.masked_json(payload, "salt", {"secret": "unknown"}).alias("masked"), F.when(k % 4 != 3, joined).alias("fields"))
 
 
 _GRANTS = [("ana", "reader", "nation", "read", "0,1,2"), ("ana", "auditor", "nation", "read", "2,3"), ("ben", "admin", "nation", "read", None), ("ben", "reader", "nation", "read", "4"), ("cy", "reader", "nation", "write", "5")]

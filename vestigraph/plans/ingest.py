@@ -15,26 +15,25 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join(f"({', '.join(map(cell, r))})" for r in rows)
 
 
-_NAMES = [("北京恒信达科技股份有限公司", "北京恒信达科技"), ("北京 恒信达　科技有限公司", "北京恒信达科技"), ("股份有限公司", "股份"), ("公司", "公司"), ("ＡＢＣ Ｌｔｄ有限责任公司", "ABCLtd"), ("", ""), (None, "")]
-_ADDRESSES = [("上海市，浦东新区（张江）1－2号", "上海市浦东新区张江12号"), ("No. 5/A, Main-Street!", "No5AMainStreet"), (None, "")]
-
-
-@query(f"SELECT *, substr(sha256(normal), 1, 16) AS digest FROM (VALUES {_values([('name', i, n) for i, (_, n) in enumerate(_NAMES)] + [('address', i, n) for i, (_, n) in enumerate(_ADDRESSES)])}) t(kind, nr, normal)")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), v AS (SELECT 'name' AS kind, k, CASE k % 4 WHEN 0 THEN '股份' ELSE 'Org' || n END AS normal FROM s UNION ALL SELECT 'address', k, 'No' || k || '浦东ab' || n FROM s)
+    SELECT *, substr(sha256(normal), 1, 16) AS digest FROM v""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal names and addresses: wide forms, white space, suffixes that stand alone or several at once."""
-    of = lambda kind, rows, f: spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "nr int, raw string").select(F.lit(kind).alias("kind"), "nr", f(F.col("raw")).alias("normal"))
-    both = of("name", _NAMES, tx.normal_name).unionByName(of("address", _ADDRESSES, tx.normal_address))
-    return both.withColumn("digest", F.substring(tx.shared_id("X", F.col("normal")), 3, 16))
-
+    """Names and addresses of suppliers, written with wide digits, white space, marks and a suffix, or as a suffix alone."""
+    wide = lambda c: F.translate(c.cast("string"), "0123456789", "０１２３４５６７８９")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    name = F.when(k % 4 == 0, "股份有限公司").when(k % 4 == 1, F.concat(F.lit("Org "), wide(n), F.lit(" 股份有限公司"))).when(k % 4 == 2, F.concat(F.lit(" Ｏrg"), n, F.lit("有限责任公司"))).otherwise(F.concat(F.lit("Org　"), wide(n), F.lit("有限公司")))
+    address = F.concat(F.lit("No. "), wide(k), F.lit("，浦东（ab）-"), n, F.lit("!"))
+    each = F.explode(F.array(F.struct(F.lit("name").alias("kind"), tx.normal_name(name).alias("normal")), F.struct(F.lit("address").alias("kind"), tx.normal_address(address).alias("normal"))))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), each.alias("v")).select("k", "v.*")
+    return rows.withColumn("digest", F.substring(tx.shared_id("X", F.col("normal")), 3, 16))
 
-_ANSWERS = [('{"entities": []}', '{"entities": []}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('Here it is: {"a": {"b": 2}} as asked', '{"a": {"b": 2}}'), ("[1, 2]", None), ("no json", None), ("", None), (None, None), ('{"a": 1} and {"b": 2}', None), ("{broken", None)]
 
-
-@query(f"SELECT * FROM (VALUES {_values([(i, w) for i, (_, w) in enumerate(_ANSWERS)])}) t(nr, object)")
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '{"a": ' || c_custkey || '}' WHEN 1 THEN '{"a": {"b": "' || c_name || '"}}' WHEN 2 THEN '{"entities": []}' END AS object FROM customer""")
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a model: alone, fenced, among words, no object, none at all."""
-    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(_ANSWERS)], "nr int, answer string")
-    return rows.select("nr", tx.json_object(F.col("answer")).alias("object"))
+    """An answer on each customer: fenced, among words, alone, no object, none at all, two at once."""
+    k = F.col("c_custkey")
+    answer = F.when(k % 6 == 0, F.concat(F.lit('```json\n{"a": '), k, F.lit("}\n```"))).when(k % 6 == 1, F.concat(F.lit('Here it is: {"a": {"b": "'), "c_name", F.lit('"}} as asked'))).when(k % 6 == 2, '{"entities": []}').when(k % 6 == 3, F.concat(F.lit("["), k, F.lit("]"))).when(k % 6 == 4, F.concat(F.lit('{"a": '), k, F.lit('} and {"b": 2}')))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.json_object(answer).alias("object"))
 
 
 @query("""WITH e AS (SELECT CASE WHEN c_custkey % 10 <> 0 THEN 'n' || c_nationkey END AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE ' ' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS type, c_custkey FROM customer)
@@ -109,24 +108,26 @@ def business_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(edges.select(F.lit("edge").alias("what"), "id", "kind", c("head").alias("name"), c("tail").alias("other"), F.lit(0).cast("long").alias("n")))
 
 
-_RECORDS = [
-    ("d", 1, "公司", "甲", {"行业": "软件"}, True), ("d", 2, "财务指标", "营收 3 亿", {"主体": "甲", "指标名称": "营收"}, True), ("d", 3, "业务板块", "云服务", {"主体": "乙"}, False), ("d", 4, "控股关系", "甲控股丙", {"主体": "甲", "标的": "丙", "关系类型": "控股", "比例": "51%"}, True),
-    ("d", 5, "控股关系", "甲控股丙", {"主体": "甲", "标的": "丙", "关系类型": "控股", "比例": "51%"}, True), ("d", 6, "控股关系", "丁", {"主体": "甲"}, True), ("d", 7, "控股关系", "无主", {}, True), ("d", 8, "业务板块", "甲", {"主体": "甲"}, True), ("d", 9, None, "丙", {}, True), ("d", 10, "公司", "  ", {}, True),
-]
-_EXTRACTED = [
-    ("entity", "甲", "公司", "true false", ""), ("entity", "营收 3 亿", "财务指标", "true false", ""), ("entity", "营收", "财务指标", "false true", ""), ("entity", "云服务", "业务板块", "false false", ""), ("entity", "乙", "公司", "false true", ""), ("entity", "丙", "公司", "false true", ""), ("entity", "丁", "公司", "false true", ""),
-    ("relation", "甲", "具有财务指标", "营收", "true"), ("relation", "乙", "经营业务板块", "云服务", "true"), ("relation", "甲", "控股", "丙", "false"), ("relation", "甲", "关联", "丁", "false"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_values(_EXTRACTED)}) t(what, a, b, c, d)")
+@query("""WITH s AS (SELECT s_nationkey AS d, s_suppkey AS k, s_name AS name FROM supplier), nx AS (SELECT a.*, b.name AS held FROM s a LEFT JOIN s b ON b.k = a.k + 1)
+    SELECT 'entity' AS what, name AS a, '公司' AS b, CASE WHEN EXISTS (SELECT 1 FROM s p WHERE p.k = s.k - 1 AND p.d = s.d) THEN 'false true' ELSE 'true false' END AS c, d::VARCHAR AS d FROM s UNION ALL SELECT 'entity', 'rev ' || k, '财务指标', 'true false', d::VARCHAR FROM s UNION ALL SELECT DISTINCT 'entity', '营收' || k % 3, '财务指标', 'false true', d::VARCHAR FROM s
+    UNION ALL SELECT 'entity', held, '公司', 'false true', d::VARCHAR FROM nx WHERE held IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.name = held AND s.d = nx.d)
+    UNION ALL SELECT DISTINCT 'relation', name || '|' || '营收' || k % 3, '具有财务指标', 'true', d::VARCHAR FROM s UNION ALL SELECT 'relation', name || '|' || held, '控股', 'false', d::VARCHAR FROM nx WHERE held IS NOT NULL""")
 def extraction_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal records of one document: entities, implied relations, made-up ends, repeats, records without a head or a text."""
-    records = spark.createDataFrame(_RECORDS, "doc string, nth int, kind string, text string, attributes map<string,string>, grounded boolean")
-    entities, relations = ingest.from_extraction(records)
+    """A document for each nation with records of its suppliers: companies, their figures, what they hold; repeats, blanks and records without a head are among them."""
+    s = table(spark, sf_dir, "supplier")
+    held = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("held"))
+    rows, k = s.join(held, "s_suppkey", "left"), F.col("s_suppkey")
+    record = lambda step, kind, text, *pairs: F.struct((k * 10 + step).alias("nth"), F.lit(kind).alias("kind"), text.alias("text"), F.create_map(*pairs).cast("map<string,string>").alias("attributes"), F.lit(True).alias("grounded"))
+    owner = (F.lit("主体"), F.col("s_name"))
+    hold = F.when(F.col("held").isNotNull(), F.concat_ws(" ", "s_name", "held"))
+    each = F.array(
+        record(1, "公司", F.col("s_name")), record(2, "财务指标", F.concat(F.lit("rev "), k), *owner, F.lit("指标名称"), F.concat(F.lit("营收"), k % 3)), record(3, "公司", F.lit("  ")),
+        record(4, "控股关系", hold, *owner, F.lit("标的"), F.col("held"), F.lit("关系类型"), F.lit("控股")), record(5, "控股关系", hold, *owner, F.lit("标的"), F.col("held"), F.lit("关系类型"), F.lit("控股")), record(6, "控股关系", F.lit("nobody's")),
+    )
+    entities, relations = ingest.from_extraction(rows.select(F.col("s_nationkey").cast("string").alias("doc"), F.explode(each).alias("r")).select("doc", "r.*"))
     flags = F.concat_ws(" ", F.col("grounded").cast("string"), F.col("auto_created").cast("string"))
-    a = entities.select(F.lit("entity").alias("what"), F.col("name").alias("a"), F.col("type").alias("b"), flags.alias("c"), F.lit("").alias("d"))
-    return a.unionByName(relations.select(F.lit("relation").alias("what"), F.col("head").alias("a"), F.col("relation").alias("b"), F.col("tail").alias("c"), F.col("derived").cast("string").alias("d")))
+    a = entities.select(F.lit("entity").alias("what"), F.col("name").alias("a"), F.col("type").alias("b"), flags.alias("c"), F.col("doc").alias("d"))
+    return a.unionByName(relations.select(F.lit("relation").alias("what"), F.concat_ws("|", "head", "tail").alias("a"), F.col("relation").alias("b"), F.col("derived").cast("string").alias("c"), F.col("doc").alias("d")))
 
 
 _AFFILIATED = f"""

@@ -160,11 +160,13 @@ def hop_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.hop_origin(hops, edges, chunks).select("path_id", "hop", "origin", "evidence")
 
 
-@query("""SELECT * FROM (VALUES (1, 'a,b,c,d'), (2, 'x'), (3, '')) t(id, ids)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus || ',' END || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',c' || o_custkey % 7 END AS ids FROM orders""")
 def anchored_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors first, then what else was found, each once."""
-    rows = spark.createDataFrame([(1, ["a", "b", "a"], ["c", "b", "d"]), (2, None, ["x"]), (3, [], None)], "id int, anchors array<string>, ids array<string>")
-    return rows.select("id", F.array_join(projection.ordered_union(F.col("anchors"), F.col("ids")), ",").alias("ids"))
+    """An order's status and priority first, then what else was found, each once; either may be missing."""
+    k = F.col("o_orderkey")
+    anchors = F.when(k % 5 != 0, F.array("o_orderstatus", "o_orderpriority", "o_orderstatus"))
+    found = F.when((k % 3 != 0) | (k % 5 == 0), F.when(k % 3 == 0, F.array("o_orderpriority", "o_orderpriority")).otherwise(F.array("o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey") % 7))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(projection.ordered_union(anchors, found), ",").alias("ids"))
 
 
 _ACTIONS = "a AS (SELECT c_nationkey AS org, 'v' || (c_custkey % 17) AS result, CASE WHEN c_custkey % 4 <> 0 THEN 'v' || ((c_custkey * 5 + 3) % 17) END AS parent, c_custkey AS created_at FROM customer)"
@@ -213,14 +215,15 @@ def version_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.moved(rows.drop("to"), changes).select("version", "status", "entity_count", "error_code", "refused")
 
 
-_CONSISTENT = [("a", "v1", True, "v1"), ("b", "v1", False, "v1"), ("c", "v1", None, None), ("d", None, None, "v1"), ("e", "v2", True, "v1"), ("f", "", None, "")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'pg_graph_consistent', true, false), ('b', 'ghost_version', false, false), ('c', 'graph_unreachable', false, false), ('d', 'no_active_version', true, false), ('e', 'pg_graph_consistent', true, true), ('f', 'no_active_version', true, false)) t(org, code, ok, drift)")
+@query("""WITH t AS (SELECT c_custkey AS org, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN '' ELSE 'v' || c_custkey % 3 END AS active, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS found, CASE WHEN c_custkey % 4 <> 0 THEN 'v' || c_custkey % 2 END AS manifest FROM customer),
+    c AS (SELECT *, CASE WHEN coalesce(active, '') = '' THEN 'no_active_version' WHEN found IS NULL THEN 'graph_unreachable' WHEN found THEN 'pg_graph_consistent' ELSE 'ghost_version' END AS code FROM t)
+    SELECT org, code, code IN ('no_active_version', 'pg_graph_consistent') AS ok, coalesce(active <> '' AND manifest <> active, false) AS drift FROM c""")
 def version_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal tenants: consistent, ghost, unreachable, none, restored to another version, empty names."""
-    rows = spark.createDataFrame(_CONSISTENT, "org string, active string, in_graph boolean, manifest string")
-    return rows.select("org", versions.consistency(F.col("active"), F.col("in_graph"), F.col("manifest")).alias("c")).select("org", "c.*")
+    """Customers as tenants: with an active version or none or an empty name, in the graph or not or unreachable, and a backup that may name another."""
+    k, v = F.col("c_custkey"), lambda n: F.concat(F.lit("v"), F.col("c_custkey") % n)
+    active = F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 11 == 0, "").otherwise(v(3))
+    found = F.when(k % 5 == 1, False).when(k % 5 != 0, True)
+    return table(spark, sf_dir, "customer").select(k.alias("org"), versions.consistency(active, found, F.when(k % 4 != 0, v(2))).alias("c")).select("org", "c.*")
 
 
 @query("""SELECT c_custkey, c_nationkey % 3 = 0 OR c_nationkey % 3 = 1 AS permissive, coalesce(c_nationkey % 3 = 1, false) AS semi, c_nationkey % 3 = 1 AS strict, (SELECT count(*) FROM customer WHERE c_nationkey % 3 = 2) AS leaked FROM customer""")

@@ -73,21 +73,28 @@ def weighted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("day").cast("string").alias("day"), sure.alias("confidence")).withColumn("conclusion", rules.conclusion(F.col("confidence")))
 
 
-_POLICY = [(1, 1, "标准工时制：周工作超过 44 小时的为高风险"), (1, 2, "员工每周工作 40 小时"), (2, 1, "每周工作 38 小时；月标准工时为174小时"), (2, 2, "月累计加班超过 36 小时"), (1, 3, "核心在岗时段为 10:00 至 16:30"), (2, 3, "核心时段未在岗超过 5 次"), (3, 1, "连续出勤达到 12 天，季度剩余不足15天")]
-_POLICY_VALUES = [("weekly_hours_cap", 44.0, 1, 1, 1), ("monthly_standard_hours", 174.0, 2, 1, 2), ("monthly_overtime_cap", 36.0, 2, 2, 4), ("core_hours_required", 6.5, 1, 3, 5), ("core_absence_limit", 5.0, 2, 3, 7), ("consecutive_days_limit", 12.0, 3, 1, 8), ("comp_off_quarter_remaining_days", 15.0, 3, 1, 9)]
+_POLICY = """
+    p AS (SELECT s_nationkey AS source_no, s_suppkey AS segment_no, CASE s_suppkey % 4 WHEN 0 THEN 'monthly_standard_hours' WHEN 1 THEN 'monthly_overtime_cap' WHEN 2 THEN 'consecutive_days_limit' ELSE 'core_hours_required' END AS key,
+          CASE s_suppkey % 4 WHEN 0 THEN 160 + s_suppkey % 10 WHEN 1 THEN 30 + s_suppkey % 7 WHEN 2 THEN 5 + s_suppkey % 9 ELSE 6.5 END::DOUBLE AS value, CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 5 END AS pattern_no FROM supplier)
+"""
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence of a policy for each supplier; its nation is the source."""
+    k = F.col("s_suppkey")
+    said = F.when(k % 4 == 0, F.concat(F.lit("标准工时制：月标准工时为"), 160 + k % 10, F.lit("小时"))).when(k % 4 == 1, F.concat(F.lit("月累计加班超过 "), 30 + k % 7, F.lit(" 小时"))).when(k % 4 == 2, F.concat(F.lit("连续出勤达到 "), 5 + k % 9, F.lit(" 天"))).otherwise("核心在岗时段为 10:00 至 16:30")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source_no"), k.alias("segment_no"), said.alias("text"))
 
 
-@query(f"SELECT key, value::DOUBLE AS value, source_no, segment_no, pattern_no FROM (VALUES {', '.join(map(str, _POLICY_VALUES))}) t(key, value, source_no, segment_no, pattern_no)")
+@query(f"WITH {_POLICY} SELECT key, value, source_no, segment_no, pattern_no FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY source_no, segment_no) = 1")
 def policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal policies: a rule's first source and segment count, whichever of its patterns matches there."""
-    sources = spark.createDataFrame(_POLICY, "source_no int, segment_no int, text string")
-    return rules.first_match(sources, list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
+    """A rule's first source and segment count, whichever of its patterns matches there."""
+    return rules.first_match(_policies(spark, sf_dir), list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
 
 
-@query("SELECT * FROM (VALUES ('monthly_standard_hours'), ('core_hours_required'), ('made_up')) t(key)")
+@query(f"WITH {_POLICY} SELECT key FROM (VALUES ('weekly_hours_cap'), ('monthly_standard_hours'), ('core_hours_required'), ('consecutive_days_limit'), ('made_up')) t(key) WHERE key NOT IN (SELECT key FROM p WHERE segment_no % 4 < 2)")
 def policy_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.createDataFrame([x for x in _POLICY if x[0] != 2 and x[1] != 3], "source_no int, segment_no int, text string")
-    found = rules.first_match(sources, list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
+    found = rules.first_match(_policies(spark, sf_dir).where("segment_no % 4 < 2"), list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
     return rules.unresolved(found, ["weekly_hours_cap", "monthly_standard_hours", "core_hours_required", "consecutive_days_limit", "made_up"])
 
 
