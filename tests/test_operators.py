@@ -421,3 +421,17 @@ def test_records_without_a_key_meet_nothing(spark):
     subjects = spark.createDataFrame([(1, "t1", None), (2, None, "n2"), (3, None, "n2")], "sid long, tax_id string, name string")
     got = {r.id: (r.level, r.aligned_id, r.reason) for r in alignment.cascade(records, subjects, ["tax_id", "name"], "sid").collect()}
     assert got == {i: ("tax_id", 1, None) if i % 3 == 0 else (None, None, "multiple_candidates") if i % 2 == 0 else (None, None, "key_missing") for i in range(12)}
+
+
+def test_matches_against_each_pair(spark):
+    """All tiers, equal names, odd names and queries, Han terms; against the score of each pair, for a limit and for all."""
+    rng = random.Random(6)
+    names = [None, "", " ", "a", "ab", "工时", "标准工时制", "abcd", *("".join(rng.choice("abc 工时制标") for _ in range(rng.randint(1, 5))) for _ in range(60))]
+    asked = [None, "", "  ", "ab", " abcd ", "标准工时制是什么", "ab，工时 abc", *("".join(rng.choice("abc 工时制标，") for _ in range(rng.randint(1, 9))) for _ in range(25))]
+    n = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    score = text.match_score(F.col("name"), F.col("query"), text.terms(F.col("query")))
+    pairs = n.crossJoin(q).withColumn("score", score).where("score is not null")
+    for limit in (3, 100):
+        want = {(r.query_id, r["rank"], r.id, r.score) for r in retrieval.top(pairs, "query_id", F.col("score"), "id", limit).collect()}
+        assert {(r.query_id, r["rank"], r.id, r.score) for r in retrieval.matches(n, q, limit).collect()} == want

@@ -12,8 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestigraph.functions.text import bigram_codes, match_score, terms, windows
-from vestigraph.operators import lexical_index
+from vestigraph.functions.text import bigram_codes, terms, windows
+from vestigraph.operators import lexical_index, substrings
 from vestigraph.session import shared_path
 
 K1, B = 1.5, 0.75
@@ -247,12 +247,91 @@ def derived_only(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.contains("id", F.lit(":")))
 
 
+#: Names that are scored together.
+NAME_LOT = 8192
+
+
+class _Asked:
+    """A slice of queries that every task holds: the automaton of all that names may contain, the queries' characters, and their terms."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = [(key, query.strip(" "), terms_) for key, query, terms_ in rows if (query or "").strip(" ")]
+        self.keys, self.wholes = [r[0] for r in rows], [r[1] for r in rows]
+        self.by_whole: dict[str, list[int]] = {}
+        self.by_term: dict[str, list[int]] = {}
+        for j, (_, whole, terms_) in enumerate(rows):
+            self.by_whole.setdefault(whole, []).append(j)
+            for t in terms_:
+                if t != whole:
+                    self.by_term.setdefault(t, []).append(j)
+
+    def automaton(self):
+        return substrings._automaton([*self.by_whole.keys() | self.by_term.keys()])
+
+    def tiers(self, names: list[str], automaton) -> np.ndarray:
+        """How well each name (row) answers each query (column), as `match_score`, 0 for not at all."""
+        found = self._by_characters(names)
+        place: dict[str, list[int]] = {}
+        for i, name in enumerate(names):
+            place.setdefault(name, []).append(i)
+        inside = substrings._automaton(list(place))
+
+        def raise_to(i: int | list[int], queries: list[int], tier: int) -> None:
+            at = np.ix_(np.atleast_1d(i), queries)
+            found[at] = np.maximum(found[at], tier)
+
+        for text, queries in self.by_term.items():  # terms that contain a name
+            if len(text) >= 2:
+                for name in {n for _, n in inside.iter(text)}:
+                    raise_to(place[name], queries, 65)
+        for text, queries in self.by_whole.items():
+            for name in {n for _, n in inside.iter(text)}:
+                raise_to(place[name], queries, 100 if name == text else 90)
+        if len(automaton):
+            for name, rows in place.items():
+                for text in {t for _, t in automaton.iter(name)}:
+                    raise_to(rows, self.by_term.get(text, []), 85 if text == name else 70)
+                    raise_to(rows, self.by_whole.get(text, []), 100 if text == name else 95)
+        return found
+
+    def _by_characters(self, names: list[str]) -> np.ndarray:
+        """40 where at least two characters are shared, and half as many as the name is long."""
+        number = {c: i for i, c in enumerate(sorted(set("".join(names))))}
+        asked, size = np.zeros((len(number), len(self.wholes)), np.float32), np.array([len(n) for n in names])[:, None]
+        for j, whole in enumerate(self.wholes):
+            asked[[number[c] for c in set(whole) if c in number], j] = 1
+        out, step = np.zeros((len(names), len(self.wholes)), np.int8), max(1, CELLS // max(len(number), 1))
+        for at in range(0, len(names), step):
+            has = np.zeros((len(names[at : at + step]), len(number)), np.float32)
+            for i, name in enumerate(names[at : at + step]):
+                has[i, [number[c] for c in set(name)]] = 1
+            shared = has @ asked
+            out[at : at + step] = np.where((shared >= 2) & (2 * shared >= size[at : at + step]), 40, 0)
+        return out
+
+
 def matches(names: DataFrame, queries: DataFrame, limit: int = 8, key: str = "query_id") -> DataFrame:
-    """(query_id, id, name, score, rank): the names (id, name) that answer a query (query_id, query) best, then by id. The queries go to all names in slices."""
+    """(query_id, id, name, score, rank): the names (id, name) that answer a query (query_id, query) best, then by id.
 
-    def part(asked: DataFrame) -> DataFrame:
-        held = F.broadcast(asked.select(key, "query", terms(F.col("query")).alias("wanted")))
-        scored = names.select("id", "name").join(held).withColumn("score", match_score(F.col("name"), F.col("query"), F.col("wanted")))
-        return top(scored.where("score is not null").select(key, "id", "name", "score"), key, F.col("score"), "id", limit)
+    A slice of queries goes to all names. Queries' terms are found in names, and names in queries' terms, by automata, and
+    shared characters by one product; no pair of a name and a query becomes a row unless it is among the best of its lot.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("id", names), (key, queries))}
+    parts = []
+    for part in slices(queries, key, text="query"):
+        asked = _Asked([tuple(r) for r in part.select(key, "query", terms(F.col("query"))).collect()])  # one slice, of bounded size
+        held = names.sparkSession.sparkContext.broadcast(asked)
 
-    return reduce(DataFrame.unionByName, (part(x) for x in slices(queries, key)))
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            asked, automaton = held.value, held.value.automaton()
+            for lot in _lots(batches, NAME_LOT):
+                lot = lot.sort_by("id")  # noqa: PLW2901
+                tier = asked.tiers(lot.column("name").to_pylist(), automaton).astype(np.int32)
+                order = np.argsort(-(tier * len(lot) - np.arange(len(lot))[:, None]), axis=0, kind="stable")[:limit]
+                best = np.take_along_axis(tier, order, 0)
+                nth, q = np.nonzero(best)
+                at = pa.array(order[nth, q])
+                yield from pa.table({key: pa.array([asked.keys[j] for j in q], _ARROW.get(kinds[key], pa.string())), "id": lot.column("id").take(at), "name": lot.column("name").take(at), "score": pa.array(best[nth, q], pa.int32())}).combine_chunks().to_batches()
+
+        parts.append(names.where("name != '' and id is not null").select("id", "name").mapInArrow(scan, f"{key} {kinds[key]}, id {kinds['id']}, name string, score int"))
+    return top(reduce(DataFrame.unionByName, parts), key, F.col("score"), "id", limit)

@@ -118,20 +118,22 @@ def pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.substring("fingerprint", 1, 16))
 
 
-_ASKED = [(1, "green ivory part of type small plated"), (2, "ivory"), (3, "BRASS steel"), (4, "")]
-
-
-@query(f"""WITH q(query_id, query) AS (VALUES {', '.join(map(str, _ASKED))}), n AS (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT p_partkey + 10000000, lower(p_type) FROM part),
-    t AS (SELECT query_id, query, list_filter(list_distinct([query] || string_split(query, ' ')), lambda x: x <> '') AS ts FROM q WHERE query <> ''),
+@query(f"""WITH q AS (SELECT item_id AS query_id, trim(text) AS query FROM benchmark UNION ALL SELECT 10000000 + p_partkey, p_name || ' ' || lower(p_type) FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 20000000 + p_partkey, split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 20 = 0),
+    n AS (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT p_partkey + 10000000, lower(p_type) FROM part UNION ALL SELECT p_partkey + 20000000, split_part(p_name, ' ', 2) FROM part),
+    m AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(query, '{"|".join(tx.STOP_WORDS)}', ' ', 'g'), '{tx.QUERY_MARKS.replace("'", "''")}', ' ', 'g'), ' '), lambda x: x <> '') AS parts FROM q WHERE query <> ''),
+    t AS (SELECT query_id, query, list_distinct([query] || parts || flatten(list_transform(parts, lambda x: regexp_extract_all(x, '[A-Za-z0-9]{{2,}}')))) AS ts FROM m),
     s AS (SELECT query_id, id, name, CASE WHEN query = name THEN 100 WHEN contains(name, query) THEN 95 WHEN contains(query, name) THEN 90 WHEN list_contains(list_filter(ts, lambda x: x <> query), name) THEN 85 WHEN len(list_filter(ts, lambda x: x <> query AND contains(name, x))) > 0 THEN 70 WHEN len(list_filter(ts, lambda x: length(x) >= 2 AND contains(x, name))) > 0 THEN 65
         WHEN len(list_intersect(list_distinct(string_split(name, '')), list_distinct(string_split(query, '')))) >= 2 AND len(list_intersect(list_distinct(string_split(name, '')), list_distinct(string_split(query, '')))) / length(name) >= 0.5 THEN 40 END AS score FROM t, n),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score IS NOT NULL)
     SELECT query_id, id, name, score, rank::INT AS rank FROM r WHERE rank <= 8""")
 def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts and types that answer a few free queries."""
-    part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).unionByName(part.select((F.col("p_partkey") + 10000000).alias("id"), F.lower("p_type").alias("name")))
-    return retrieval.matches(names, spark.createDataFrame(_ASKED, "query_id int, query string"))
+    """Names of parts, their types and words of them that answer all benchmark texts, and names and words of every twentieth part."""
+    part, some = table(spark, sf_dir, "part"), table(spark, sf_dir, "part").where("p_partkey % 20 = 0")
+    of = lambda df, shift, c, key, name: df.select((F.col("p_partkey") + shift).alias(key), c.alias(name))
+    names = of(part, 0, F.col("p_name"), "id", "name").unionByName(of(part, 10000000, F.lower("p_type"), "id", "name")).unionByName(of(part, 20000000, F.split_part("p_name", F.lit(" "), F.lit(2)), "id", "name"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = asked.unionByName(of(some, 10000000, F.concat_ws(" ", "p_name", F.lower("p_type")), "query_id", "query")).unionByName(of(some, 20000000, F.split_part("p_name", F.lit(" "), F.lit(1)), "query_id", "query"))
+    return retrieval.matches(names, asked)
 
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> '')) AS g FROM documents), q AS (SELECT list_distinct(string_split('Zürich quartz jukebox, 1984?', '')) AS g)
