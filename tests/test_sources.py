@@ -112,3 +112,53 @@ def test_stream_counts_records_in_any_order(spark, tmp_path):
     want = sorted(tuple(r) for r in usage.daily(spark.read.parquet(_uri(tmp_path / "events")), "ts", "kind", "value").collect())
     got = usage.stream_daily(spark, _uri(tmp_path / "events"), "ts", "kind", "value", files_per_batch=1)
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 9
+
+
+def test_stream_unites_documents_and_goes_on(spark, tmp_path):
+    """Documents that come again in later files, in a file that repeats another, and in a second run from the same place."""
+    from vestigraph.streaming import usage
+
+    source, place = _uri(tmp_path / "events"), _uri(tmp_path / "place")
+
+    def add(rows):
+        spark.createDataFrame(rows, "ts string, kind string, value double, doc long").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+
+    first = [("2024-01-01 01:00:00", "a", 1.0, 1), ("2024-01-01 02:00:00", "a", 2.0, 2), ("2024-01-02 02:00:00", "a", 2.0, 1), ("2024-01-01 02:00:00", "b", 2.0, None)]
+    add(first)
+    add(first)
+    check = lambda: sorted(map(tuple, usage.daily(spark.read.parquet(source), "ts", "kind", "value", "doc").collect()))
+    run = lambda: sorted(map(tuple, usage.stream_daily(spark, source, "ts", "kind", "value", files_per_batch=1, doc="doc", place=place).collect()))
+    assert run() == check() and {r[4] for r in check()} == {2, 1, 0}
+    add([("2024-01-01 05:00:00", "a", 4.0, 2), ("2024-01-01 06:00:00", "a", 4.0, 3), ("2023-12-31 06:00:00", "a", 4.0, 3)])
+    assert run() == check()
+    assert run() == check()  # nothing new
+
+
+def test_snapshots_are_whole_or_not_there(spark, tmp_path):
+    from vestigraph.sources import snapshots
+
+    path, schema = _uri(tmp_path / "nodes"), "id string, n int, new int"
+    rows = lambda *x: spark.createDataFrame([(a, b, 0) for a, b in x], schema)
+    read = lambda org="o": sorted((r.id, r.n) for r in snapshots.read(spark, path, org, "v", schema).collect())
+    assert read() == []
+    with pytest.raises(ValueError):
+        snapshots.rollback(spark, path, "o", "v")
+    snapshots.commit(rows(("a", 1), ("b", 2)), path, "o", "v")
+    snapshots.written(rows(("x", 9)), path, "o", "v")  # a load that breaks off before its last step
+    with pytest.raises(Exception, match="broken"):
+        snapshots.commit(rows(("x", 9)).withColumn("id", F.raise_error(F.lit("broken")).cast("string")), path, "o", "v")
+    assert read() == [("a", 1), ("b", 2)]
+    snapshots.upsert(rows(("b", 5), ("c", 3), ("a", 0)), path, "o", "v", ["id"], ["n"])
+    assert read() == [("a", 1), ("b", 5), ("c", 3)]
+    snapshots.rollback(spark, path, "o", "v")
+    assert read() == [("a", 1), ("b", 2)]
+    snapshots.rollback(spark, path, "o", "v")
+    assert read() == [("a", 1), ("b", 5), ("c", 3)]
+    snapshots.upsert(rows(("p", 1)), path, "p", "v", ["id"], ["n"])
+    snapshots.purge(spark, path, "o", "v")
+    assert read() == [] and read("p") == [("p", 1)]
+    snapshots.rollback(spark, path, "o", "v")
+    assert read() == [("a", 1), ("b", 5), ("c", 3)]
+    assert snapshots.vacuum(spark, path, "o", "v") >= 2 and read() == [("a", 1), ("b", 5), ("c", 3)]
+    with pytest.raises(ValueError):
+        snapshots.commit(rows(), path, "../o", "v")

@@ -204,6 +204,13 @@ def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.daily(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("day", F.col("day").cast("string"))
 
 
+@query("SELECT ts::DATE::VARCHAR AS day, event_type AS stage, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(DISTINCT user_id) AS n_docs, round(sum(round(value * 100)::BIGINT)::DOUBLE / count(DISTINCT user_id), 4) AS cents_per_doc FROM events GROUP BY 1, 2")
+def stream_daily_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with each day's distinct users, who stand for documents."""
+    found = usage.stream_daily(spark, f"{sf_dir}/events.parquet", "ts", "event_type", "value", doc="user_id")
+    return found.withColumn("day", F.col("day").cast("string")).withColumn("cents_per_doc", F.round("cents_per_doc", 4))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS nr FROM g)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS n FROM s GROUP BY user_id, nr""")
