@@ -1,6 +1,8 @@
 """Literal cases of forms that the tables hold no example of: entities, dates, masks, answers, extraction records, policies."""
 
 import hashlib
+import html
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,32 @@ def test_policy_values(spark):
     assert sorted(tuple(r) for r in found.select("key", "value", "source_no", "segment_no", "pattern_no").collect()) == sorted(_POLICY_VALUES)
     few = rules.first_match(sources.where("source_no != 2 and segment_no != 3"), list(rules.POLICY_PATTERNS), ["source_no", "segment_no"])
     assert {r[0] for r in rules.unresolved(few, ["weekly_hours_cap", "monthly_standard_hours", "core_hours_required", "consecutive_days_limit", "made_up"]).collect()} == {"monthly_standard_hours", "core_hours_required", "made_up"}
+
+
+def plainly_cleaned(page):
+    text = re.sub(r"(?i)</t[dh]\s*>", "\t", page)
+    text = re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\s*/?>|</(tr|p|div|li|h[1-6]|table)\s*>", "\n", text))
+    text = html.unescape(text).replace("\u00a0", " ").replace("\ufeff", "")
+    lines = [re.sub(r"[^\S\t]+", " ", x).strip() for x in text.splitlines()]
+    noise = re.compile(documents.NOISE_LINE.replace("(?i)^page", "^[pP][aA][gG][eE]").replace("(of|/)", "([oO][fF]|/)"))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for x in lines if not x or not noise.search(x))).strip()
+
+
+def test_pages_keep_what_is_no_tag(spark):
+    pages = [
+        "<p>caf&eacute; &#8217;s &#x41; &#146; &nbsp;x&copy y &notit; &bogus; &amp;lt;</p>", "<script>var a = 1;</script><title>T</title><!-- c --><tr><td>a</td><td>b\u3000c</td></tr>", "a\r\nb\u2028c\x0bd\x85e\x1cf",
+        "<p>- 12 -</p><p>Page 3 of 9</p><p>第 3 页</p><p>text</p>\n\n\n\n\n<div>  end\t </div>", "", "&", "\ufeff\u00a0 x \u00a0",
+    ]
+    rows = spark.createDataFrame([*enumerate(pages), (99, None)], "id int, html string")
+    got = {r.id: r.t for r in rows.select("id", documents.clean_html(F.col("html")).alias("t")).collect()}
+    assert got == {i: plainly_cleaned(p) for i, p in enumerate(pages)} | {99: None}
+
+
+def test_alignment_gate(spark):
+    from vestigraph.operators import alignment
+
+    rows = spark.createDataFrame([(i, "tax_id" if i < 19 else None) for i in range(20)], "id int, level string")
+    assert alignment.gated(rows) is rows
+    with pytest.raises(ValueError, match="18 of 19"):
+        alignment.gated(rows.where("id > 0"))
+    assert tuple(alignment.rate(rows.limit(0)).first()) == (0, 0, 0.0, False)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from vestigraph.functions.text import jaccard, name_bigrams
 
+# Fixed value: the share of rows that has to align before a load.
+LEAST_RATE = 0.95
 #: Parts of the rows that have no key.
 SALTS = 1000
 # Thresholds of the two tiers, bonus for each shared attribute and its cap, cap with contradicting tax ids.
@@ -40,6 +42,21 @@ def statistics(aligned: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("level", "reason", "n", F.round(F.col("aligned") / F.col("total"), 6).alias("alignment_rate"))
 
 
+def rate(aligned: DataFrame, least: float = LEAST_RATE) -> DataFrame:
+    """One row: aligned, total, alignment_rate (0 without rows) and whether it reaches `least`."""
+    n = aligned.agg(F.count("level").alias("aligned"), F.count("*").alias("total"))
+    share = F.when(F.col("total") > 0, F.col("aligned") / F.col("total")).otherwise(0.0)
+    return n.select("aligned", "total", F.round(share, 6).alias("alignment_rate"), (share >= least).alias("passed"))
+
+
+def gated(aligned: DataFrame, least: float = LEAST_RATE) -> DataFrame:
+    """The rows, if enough of them align; too few raise, and nothing is loaded."""
+    found = rate(aligned, least).first()
+    if not found["passed"]:
+        raise ValueError(f"{found['aligned']} of {found['total']} rows align, a rate of {found['alignment_rate']}; {least} is asked for")
+    return aligned
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Longest-matching-blocks ratio; no built-in has it."""
 

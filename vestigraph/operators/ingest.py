@@ -184,3 +184,28 @@ def merged_back(aligned: DataFrame, merges: DataFrame, key: str, level: str = "r
     rows = aligned.join(merges.select(key, "canonical_id"), key, "left")
     now = F.col("aligned_id").isNull() & F.col("canonical_id").isNotNull()
     return rows.select(key, F.when(now, level).otherwise(F.col("level")).alias("level"), F.coalesce("aligned_id", "canonical_id").alias("aligned_id"), F.when(~now, F.col("reason")).alias("reason"))
+
+
+def _recipe(prefix: str, *parts: Column) -> Column:
+    each = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *each), 256), 1, 12))
+
+
+def stable_ids(entities: DataFrame, relations: DataFrame, document: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Ids that a repeated extraction gives again, so that a repeated load adds nothing.
+
+    entities: document, id, canonical_name, entity_type, char_start, char_end: the new id comes from all but the old one, so
+    repeated mentions of one place become one. relations: document, source_entity_id, relation_type, target_entity_id: their
+    ends follow, and their own id comes from ends and type; ends without an entity keep their id. Of rows that share an id
+    the one with the smallest old id stays.
+    """
+    new = _recipe("ent_", F.col(document), *(F.col(c) for c in ("canonical_name", "entity_type", "char_start", "char_end")))
+    named = entities.withColumn("new_id", new)
+    ids = named.select(document, F.col("id").alias("old"), "new_id").distinct()
+    out = relations
+    for end in ("source_entity_id", "target_entity_id"):
+        side = ids.select(document, F.col("old").alias(end), F.col("new_id").alias("to"))
+        out = out.join(side, [document, end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    out = out.withColumn("id", _recipe("rel_", F.col("source_entity_id"), F.col("relation_type"), F.col("target_entity_id")))
+    once = named.groupBy("new_id").agg(F.min_by(F.struct(*entities.columns), F.col("id")).alias("e")).select(*(F.col("new_id").alias("id") if c == "id" else F.col(f"e.{c}") for c in entities.columns))
+    return once, out.select(document, "id", "source_entity_id", "relation_type", "target_entity_id").dropDuplicates([document, "id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,21 +73,26 @@ def regex_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.entities(chunks).drop("chunk_no")
 
 
-_CLEAN_STEPS = [("(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>|<!--.*?-->", "''"), ("(?i)</t[dh]\\s*>", "chr(9)"), ("(?i)<br\\s*/?>|</(tr|p|div|li|h[1-6]|table)\\s*>", "chr(10)"), ("<[^>]+>", "''")]
+_CLEAN_STEPS = [("(?i)</t[dh]\\s*>", "chr(9)"), ("(?i)<br\\s*/?>|</(tr|p|div|li|h[1-6]|table)\\s*>", "chr(10)"), ("<[^>]+>", "''")]
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|(?:amp|lt|gt|quot|nbsp|copy|middot)(?:;|\\b)|[A-Za-z][A-Za-z0-9]+;)"
 
 
 def _clean_sql() -> str:
+    """The tables' references are decoded by a map of all that have a name, and by number."""
     text = "html"
     for pattern, by in _CLEAN_STEPS:
         text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
-    for name, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'"), (" ", "' '"), ("﻿", "''")):
-        text = f"replace({text}, '{name}', {plain})"
-    return text
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = {f"&{name}": plain for name, plain in html5.items() if "\0" not in plain}
+    names = f"MAP {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in known.items())}}}"
+    one = "coalesce(names[e], CASE WHEN e[2] = '#' THEN CASE WHEN lower(e[3]) = 'x' THEN chr(('0x' || regexp_extract(e, '[xX]([0-9a-fA-F]+)', 1))::INT) ELSE chr(regexp_extract(e, '[0-9]+')::INT) END END, e)"
+    return f"""n AS (SELECT {names} AS names), x AS (SELECT page_id, {text} AS t FROM pages), y AS (SELECT page_id, regexp_split_to_array(t, '{_REFERENCE}') AS ps, regexp_extract_all(t, '{_REFERENCE}') AS es FROM x),
+        a AS (SELECT page_id, replace(array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(list_transform([es[i]], lambda e: {one})[1], '')), ''), chr(65279), '') AS t FROM y, n)"""
 
 
-@query(rf"""WITH a AS (SELECT page_id, {_clean_sql()} AS t FROM pages),
-    b AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \r\f]+', ' ', 'g'), ' ' || chr(9))), lambda x: NOT regexp_matches(x, '{documents.NOISE_LINE}')), chr(10)) AS t FROM a)
-    SELECT page_id, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM b""")
+@query(rf"""WITH {_clean_sql()},
+    b AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\x0b\f\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '[ \n\x0b\f\r\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x = '' OR NOT regexp_matches(x, '{documents.NOISE_LINE}')), chr(10)) AS t FROM a)
+    SELECT page_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS text FROM b""")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", documents.clean_html(F.col("html")).alias("text"))
 

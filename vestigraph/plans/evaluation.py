@@ -175,3 +175,12 @@ def judging_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = turns.where("role = 'assistant' and turn > 0").select(key, F.col("text").alias("answer"))
     questions = turns.select(F.struct("conv_id", (F.col("turn") + 1).alias("turn")).alias("index"), F.col("text").alias("question"))
     return evaluation.sheets(answers, questions).select("index.*", "question", "answer")
+
+
+@query("""WITH r AS (SELECT user_id, ts, event_id, round(value * 10)::BIGINT AS tokens FROM events), d AS (SELECT user_id, arg_max(tokens, (ts, event_id)) AS l, arg_min(tokens, (ts, event_id)) AS f, sum(tokens)::BIGINT AS s FROM r GROUP BY 1)
+    SELECT 'last' AS how, count(*) AS n_docs, sum(l)::BIGINT AS tokens, round(avg(l), 4) AS mean FROM d UNION ALL SELECT 'first', count(*), sum(f)::BIGINT, round(avg(f), 4) FROM d UNION ALL SELECT 'sum', count(*), sum(s)::BIGINT, round(avg(s), 4) FROM d""")
+def cost_per_doc_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean tokens of a document by its last record, its first, and all of them; users stand for documents."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.round(F.col("value") * 10).cast("long").alias("tokens"))
+    parts = [evaluation.cost_per_document(rows, "user_id", "tokens", F.col("at"), how).agg(F.lit(how).alias("how"), F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"), F.round(F.avg("tokens"), 4).alias("mean")) for how in ("last", "first", "sum")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -65,6 +65,26 @@ def rbac_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.permitted(own, table(spark, sf_dir, "nation").select("n_nationkey"), "nation", "read", "n_nationkey")
 
 
+@query("""WITH q AS (SELECT o_orderkey AS id, o_custkey % 40 AS person, split_part(o_orderpriority, '-', 1)::INT AS resource, CASE o_orderstatus WHEN 'F' THEN 'read' WHEN 'O' THEN 'write' ELSE 'delete' END AS action, CASE WHEN o_orderkey % 6 = 0 THEN 's' || o_orderkey % 4 END AS scene, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 10 END AS doc FROM orders),
+    r AS (SELECT DISTINCT c_custkey % 40 AS person, 'role' || c_nationkey % 3 AS role FROM customer WHERE c_custkey % 40 % 9 <> 8), m AS (SELECT 'role' || i AS role, j AS resource, a AS action FROM range(3) t(i), range(1, 6) u(j), (VALUES ('read', 0), ('write', 1)) v(a, w) WHERE (i + j + w) % 3 <> 0),
+    x AS (SELECT q.*, coalesce(scene, CASE WHEN resource < 4 THEN 's' || resource END) AS asked FROM q)
+    SELECT id, CASE WHEN person NOT IN (SELECT person FROM r) THEN 'no_role_assignment' WHEN NOT EXISTS (SELECT 1 FROM r JOIN m USING (role) WHERE r.person = x.person AND m.resource = x.resource AND m.action = x.action) THEN 'action_not_permitted'
+        WHEN asked IS NOT NULL AND person % 4 = 1 AND asked NOT IN ('s1', 's2') THEN 'scene_not_in_scope' WHEN doc IS NOT NULL AND person % 5 = 2 AND doc >= 5 OR doc IS NOT NULL AND person % 5 = 3 THEN 'document_not_in_scope' END AS reason FROM x""")
+def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests of forty people: roles from their customers' nations, a matrix of roles, scenes of most resources, and limits to scenes, documents or nothing."""
+    k, person = F.col("o_orderkey"), (F.col("o_custkey") % 40).alias("person")
+    action = F.when(F.col("o_orderstatus") == "F", "read").when(F.col("o_orderstatus") == "O", "write").otherwise("delete")
+    requests = table(spark, sf_dir, "orders").select(k.alias("id"), person, F.substring_index("o_orderpriority", "-", 1).cast("int").alias("resource"), action.alias("action"), F.when(k % 6 == 0, F.concat(F.lit("s"), k % 4)).alias("scene"), F.when(k % 3 != 0, (k % 10).cast("string")).alias("document_id"))
+    customer = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("person"), "c_nationkey")
+    roles = customer.where("person % 9 != 8").select("person", F.concat(F.lit("role"), F.col("c_nationkey") % 3).alias("role")).distinct()
+    matrix = [(f"role{i}", j, a) for i in range(3) for j in range(1, 6) for w, a in enumerate(("read", "write")) if (i + j + w) % 3]
+    scenes = spark.createDataFrame([(j, f"s{j}") for j in range(1, 4)], "resource int, scene string")
+    people = customer.select("person").distinct()
+    of = lambda condition, kind, ids: people.where(condition).select("person", F.lit(kind).alias("kind"), F.explode(F.array(*(F.lit(i) for i in ids))).alias("id"))
+    limits = of("person % 4 = 1", "scene", ("s1", "s2")).unionByName(of("person % 5 = 2", "document", ("0", "1", "2", "3", "4"))).unionByName(people.where("person % 5 = 3").select("person", F.lit("document").alias("kind"), F.lit(None).cast("string").alias("id")))
+    return governance.decisions(requests, roles, spark.createDataFrame(matrix, "role string, resource int, action string"), scenes, limits).select("id", "reason")
+
+
 @query("SELECT doc_id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
 def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.page(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 20, 40)

@@ -174,3 +174,25 @@ def merged_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     aligned = table(spark, sf_dir, "customer").select(key.alias("id"), F.when(key % 4 != 0, "name").alias("level"), F.when(key % 4 != 0, key % 10).alias("aligned_id"), F.when(key % 4 == 0, "no_match").alias("reason"))
     return ingest.merged_back(aligned, aligned.where("id % 3 = 0").select("id", F.lit(77).cast("long").alias("canonical_id")), "id")
+
+
+_MENTIONS = """
+    m AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}'))) AS ms, text FROM documents), e AS (SELECT doc_id, i, ms[i] AS name, instr(text, ms[i]) - 1 AS a, len(ms) AS n FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)),
+    n AS (SELECT *, 'ent_' || substr(sha256(doc_id || '|' || name || '|NAME|' || a || '|' || (a + length(name))), 1, 12) AS id FROM e)
+"""
+
+
+@query(f"""WITH {_MENTIONS} SELECT 'entity' AS what, doc_id, id, name AS detail FROM n
+    UNION ALL SELECT 'relation', x.doc_id, 'rel_' || substr(sha256(x.id || '|NEXT|' || coalesce(y.id, 'end')), 1, 12), x.id || ' ' || coalesce(y.id, 'end') FROM n x LEFT JOIN n y ON y.doc_id = x.doc_id AND y.i = x.i + 1""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in each document under numbers that an extraction happened to give, each twice, with relations to the next one; ids that depend on what they name alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))).alias("ms"))
+    each = docs.select("doc_id", "text", F.size("ms").alias("n"), F.posexplode("ms").alias("i", "name")).withColumn("a", F.instr("text", F.col("name")) - 1)
+    run = F.explode(F.array(F.lit("x"), F.lit("y"))).alias("run")
+    rows = each.select("doc_id", "n", "i", run, F.col("name").alias("canonical_name"), F.lit("NAME").alias("entity_type"), F.col("a").alias("char_start"), (F.col("a") + F.length("name")).alias("char_end"))
+    entities = rows.withColumn("id", F.concat("run", F.col("i").cast("string")))
+    after = F.when(F.col("i") + 1 < F.col("n"), F.concat("run", (F.col("i") + 1).cast("string"))).otherwise("end")
+    relations = entities.select("doc_id", F.col("id").alias("source_entity_id"), F.lit("NEXT").alias("relation_type"), after.alias("target_entity_id"))
+    found, links = ingest.stable_ids(entities.drop("n", "i", "run"), relations)
+    a = found.select(F.lit("entity").alias("what"), "doc_id", "id", F.col("canonical_name").alias("detail"))
+    return a.unionByName(links.select(F.lit("relation").alias("what"), "doc_id", "id", F.concat_ws(" ", "source_entity_id", "target_entity_id").alias("detail")))

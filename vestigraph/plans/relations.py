@@ -137,6 +137,11 @@ def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.statistics(_aligned(spark, sf_dir))
 
 
+@query(f"WITH {_ALIGN} SELECT count(level) AS aligned, count(*) AS total, round(count(level) / count(*), 6) AS alignment_rate, count(level) / count(*) >= 0.95 AS passed FROM a")
+def alignment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.rate(_aligned(spark, sf_dir))
+
+
 def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigraph.functions import text as tx
-from vestigraph.operators import evidence, retrieval
+from vestigraph.operators import evidence, retrieval, substrings
 from vestigraph.operators import vectors as vec
 from vestigraph.plans.registry import query, table
 
@@ -54,6 +54,21 @@ def recall_at_k_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_gold"), F.count("rank").alias("n_pool"), F.count_if(F.col("rank") <= 8).alias("n_final"))
 
 
+@query(f"""WITH {_BM25}, t AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY length(token) DESC, token) AS nth FROM q WHERE length(token) <= 6), g AS (SELECT item_id, documents.doc_id FROM t JOIN documents ON contains(lower(text), token) WHERE nth = 1),
+    h AS (SELECT item_id, g.doc_id, rank FROM g LEFT JOIN k USING (item_id, doc_id))
+    SELECT item_id, count(*) AS n_gold, count_if(rank <= 64) AS n_pool, count_if(rank <= 32) AS n_final, count_if(rank <= 32) > 0 AS hit FROM h GROUP BY 1""")
+def recall_contains_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text contains a question's key, a token of up to six characters, wherever it stands; how many of them the pool of 64 and the final 32 hold."""
+    words = F.explode(F.array_distinct(tx.tokens(F.coalesce("text", F.lit(""))))).alias("token")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", words).where(F.length("token") <= 6)
+    keys = asked.groupBy("item_id").agg(F.min_by("token", F.struct(-F.length("token"), "token")).alias("name"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    gold = substrings.occurring(texts, keys.select("name"), "doc_id").join(keys, "name").select("item_id", "doc_id")
+    found = gold.join(_bm25(spark, sf_dir, 64).select("item_id", "doc_id", "rank"), ["item_id", "doc_id"], "left")
+    final = F.count_if(F.col("rank") <= 32)
+    return found.groupBy("item_id").agg(F.count("*").alias("n_gold"), F.count("rank").alias("n_pool"), final.alias("n_final"), (final > 0).alias("hit"))
+
+
 _GRAMS = "list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]))"
 _OVERLAP = f"""
     b AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS c FROM benchmark)),
