@@ -162,3 +162,33 @@ def test_snapshots_are_whole_or_not_there(spark, tmp_path):
     assert snapshots.vacuum(spark, path, "o", "v") >= 2 and read() == [("a", 1), ("b", 5), ("c", 3)]
     with pytest.raises(ValueError):
         snapshots.commit(rows(), path, "../o", "v")
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000, 1 << 20])
+def test_arrays_are_read_in_ranges(spark, tmp_path, size):
+    """Strings that hold brackets, quotes, commas and line ends; nested values; ranges far smaller than an element; several files, one of them an object, one empty, one a list of plain values."""
+    import random
+
+    from vestigraph.sources import json_arrays
+
+    rng = random.Random(5)
+
+    def value(depth=0):
+        kind = rng.randint(0, 6 if depth < 3 else 3)
+        if kind < 3:
+            return [rng.randint(0, 99), "".join(rng.choice('ab"\\[]{},:é漢 \n') for _ in range(rng.randint(0, 12))), None][kind]
+        return {rng.choice(['a"', "}", "]"]): value(depth + 1) for _ in range(2)} if kind < 6 else [value(depth + 1) for _ in range(3)]
+
+    rows = [{"id": i, "v": value()} for i in range(25)]
+    (tmp_path / "a.json").write_text(json.dumps(rows[:20], ensure_ascii=False, indent=1) + "\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text("\ufeff" + json.dumps(rows[20:24]), encoding="utf-8")
+    (tmp_path / "c.json").write_text(json.dumps(rows[24]) + " \n")
+    (tmp_path / "d.json").write_text(" [ ] \n")
+    (tmp_path / "e.json").write_text("[1, \"}\", null]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = [json.loads(r.value) for r in json_arrays.elements(spark, _uri(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    key = lambda x: json.dumps(x, sort_keys=True)
+    assert sorted(got, key=key) == sorted([*rows, 1, "}", None], key=key)

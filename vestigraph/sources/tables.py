@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vestigraph.functions.text import is_tax_id
+from vestigraph.sources import json_arrays
 
 
 def csv(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
@@ -24,13 +25,10 @@ def csv(spark: SparkSession, path: str, schema: str, optional: bool = False) ->
 def json(spark: SparkSession, path: str, schema: str, version: str | None = None, array: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the schema, and those that don't, as their text (_bad) with what is wrong.
 
-    A line is an object; with `array` a file is, or is a list of them over many lines. With a version, another
-    schema_version raises.
+    A line is an object; with `array` a file is, or is a list of them over many lines, and is read in ranges (`json_arrays`).
+    With a version, another schema_version raises.
     """
-    lines = spark.read.text(path, wholetext=array).where("trim(value) != ''")
-    if array:
-        each = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-        lines = lines.select(F.explode(F.coalesce(each, F.array("value"))).alias("value"))
+    lines = json_arrays.elements(spark, path) if array else spark.read.text(path).where("trim(value) != ''")
     rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
     if version is not None and not rows.where(~F.col("schema_version").eqNullSafe(F.lit(version))).isEmpty():
         raise ValueError(f"not schema version {version}")
