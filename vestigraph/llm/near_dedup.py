@@ -190,11 +190,11 @@ def _counted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """id, root, rest, n, r: rest are the members outside the group's largest component, all of them while none is known. Groups that hang together are left out."""
     if roots is None:
         sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-        return members.select("id", "root").join(sizes, "root").select("id", "root", F.lit(True).alias("rest"), "n", F.col("n").alias("r"))
+        return members.select("id", "root").join(small_or_shuffled(sizes, 32), "root").select("id", "root", F.lit(True).alias("rest"), "n", F.col("n").alias("r"))
     of = members.select("id", "root").join(roots.withColumnRenamed("root", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     parts = of.groupBy("root", "c").agg(F.count("*").alias("k"))
     groups = parts.groupBy("root").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"))
-    return of.join(groups.where("most < n"), "root").select("id", "root", (F.col("c") != F.col("main")).alias("rest"), "n", (F.col("n") - F.col("most")).alias("r"))
+    return of.join(small_or_shuffled(groups.where("most < n"), 64), "root").select("id", "root", (F.col("c") != F.col("main")).alias("rest"), "n", (F.col("n") - F.col("most")).alias("r"))
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
