@@ -298,7 +298,8 @@ def parse(conversations: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int =
     """Every line of a conversation table, whose rows may hold whole transcripts: its speaker, its turn and its piece of the canonical text.
 
     Pieces in order of conv_id, turn and line (within a message as it stood) are the canonical transcript. Roles are learned
-    from conversations that aren't held out and are never read for prediction. Rows that repeat all stay.
+    from conversations that aren't held out and are never read for prediction. Rows that repeat all stay. Null texts are empty, an empty table gives no rows, columns
+    but conv_id, turn, text and role are not read.
     """
     rows = conversations.select("conv_id", "turn", "text", "role")
     blocks = blocks_of(rows)

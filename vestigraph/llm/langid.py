@@ -147,6 +147,11 @@ def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Learns from the folds that aren't held out and predicts every row. lang, source and doc_id are never inputs of a prediction."""
+    """Learns from the folds that aren't held out and predicts every row. lang, source and doc_id are never inputs of a prediction.
+
+    Null texts and those without a letter are `und` with score 0, null languages are not learned from, repeated rows count once
+    for learning and are each predicted, equal scores go to the first language by name, an empty table gives no rows. Columns
+    but doc_id, text and lang are not read.
+    """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).withColumn("held_out", remainder("doc_id", folds) == held_out)
     return predict(rows, fit(rows.where("not held_out"), sample_rows))

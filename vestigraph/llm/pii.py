@@ -315,7 +315,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans. Null text is empty; repeated rows are each reported."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans. Null text is empty; repeated rows are each reported; an empty table gives no rows; columns but doc_id and text are not read."""
     small_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 

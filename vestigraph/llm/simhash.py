@@ -264,7 +264,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included).
 
-    Null text has no words, and all documents without words are one component with what is within two bits of zero. Repeated rows link to each other. A null doc_id is no id: such a row gets the component of its fingerprint. Empty table: no rows.
+    Null text has no words, and all documents without words are one component with what is within two bits of zero. Repeated rows link to each other. A null doc_id is no id: such a row gets the component of its fingerprint. Empty table: no rows. Columns but doc_id and text are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).where("id is not null"), "distinct")
@@ -276,10 +276,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -
     rest = found.where("component_id is null").drop("component_id").join(of.where(F.col("n") <= HOT).drop("n"), "fp", "left")
     rows = found.where("component_id is not null").unionByName(rest)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns; rows that repeat that doc_id stay too."""
-    found = near_duplicates(docs)
-    gone = small_or_shuffled(written(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near_copies"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

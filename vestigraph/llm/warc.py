@@ -228,7 +228,7 @@ def lookup(directory: DataFrame, urls: DataFrame, column: str = "url") -> DataFr
 
 
 def archive_report(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Writes the archives and reads every page back by searching the index for its key and id: one row per page. Null html is empty, a null URL has the empty key, repeated rows are repeated records; an empty table gives no rows."""
+    """Writes the archives and reads every page back by searching the index for its key and id: one row per page. Null html is empty, a null URL has the empty key, repeated rows are repeated records; an empty table gives no rows; columns but page_id, url and html are not read."""
     directory = write_archives(pages, least)
     number = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE))
     wanted = pages.select(reversed_host_key(F.col("url").cast("string")).alias("key"), number.alias("low"), number.alias("high")).distinct()
