@@ -84,7 +84,7 @@ def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.window_check(evidence.index(chunks, mentions, held, wanted), chunks, 900)
 
 
-@query(f"""WITH {_TEXTS}, r(kg_version, rank) AS (VALUES ('v3', 0), ('v2', 1)), d AS (SELECT DISTINCT source AS doc_id, 'v' || v AS kg_version FROM c, (VALUES (1), (2), (3)) t(v) WHERE (length(source) + v + n) % 2 = 0 AND n % 50 < 25),
+@query(f"""WITH {_TEXTS}, r(kg_version, rank) AS (VALUES ('v3', 0), ('v2', 1)), d AS (SELECT DISTINCT source AS doc_id, 'v' || v AS kg_version FROM c, (VALUES (1), (2), (3)) t(v) WHERE (length(source) + v + n) % 2 = 0),
     nd AS (SELECT doc_id, arg_min(kg_version, rank) AS kg_version FROM d JOIN r USING (kg_version) GROUP BY 1), own AS (SELECT h.doc_id, c.chunk_id, c.kg_version FROM h JOIN nd USING (doc_id) JOIN c USING (chunk_id) JOIN r ON r.kg_version = c.kg_version),
     e AS (SELECT DISTINCT entity_id AS id, kg_version FROM m), sel AS (SELECT id, arg_min(kg_version, rank) AS kg_version FROM e JOIN r USING (kg_version) GROUP BY 1),
     ids AS (SELECT DISTINCT own.doc_id, m.entity_id AS id FROM own JOIN m USING (chunk_id) JOIN r ON r.kg_version = m.kg_version)
@@ -94,7 +94,7 @@ def document_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, mentions, held, _ = _texts(spark, sf_dir)
     chain = spark.createDataFrame([("v3", 0), ("v2", 1)], "kg_version string, rank int")
     n = F.col("doc_id")
-    copies = table(spark, sf_dir, "documents").where(n % 50 < 25).select("source", n, F.explode(F.array(*(F.lit(v) for v in (1, 2, 3)))).alias("v")).where((F.length("source") + F.col("v") + n) % 2 == 0)
+    copies = table(spark, sf_dir, "documents").select("source", n, F.explode(F.array(*(F.lit(v) for v in (1, 2, 3)))).alias("v")).where((F.length("source") + F.col("v") + n) % 2 == 0)
     documents = copies.select(F.col("source").alias("doc_id"), F.concat(F.lit("v"), "v").alias("kg_version")).distinct()
     entities = mentions.select(F.col("entity_id").alias("id"), "kg_version").distinct()
     selection = entities.join(chain, "kg_version").groupBy("id").agg(F.min_by("kg_version", "rank").alias("kg_version"))

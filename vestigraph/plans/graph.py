@@ -162,13 +162,13 @@ def split_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(versions.renamed(nodes, 9, "RENAMED"), edges)
 
 
-@query("""WITH seed AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_acctbal < -900), e AS (SELECT DISTINCT 'C' || o_custkey AS src, 'N' || o_orderpriority AS dst FROM orders WHERE o_totalprice > 400000),
+@query("""WITH seed AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_acctbal < -900), e AS (SELECT DISTINCT 'C' || o_custkey AS src, 'N' || o_orderpriority AS dst FROM orders),
     a AS (SELECT id FROM seed UNION SELECT dst FROM e WHERE src IN (SELECT id FROM seed) UNION SELECT src FROM e WHERE dst IN (SELECT id FROM seed))
     SELECT 'edge' AS what, src, dst, 'v2' AS kg_version FROM e WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a) UNION ALL SELECT 'node', 'C' || c_custkey, c_name, 'v2' FROM customer WHERE 'C' || c_custkey IN (SELECT id FROM a)""")
 def incremental_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new version holds what the changed customers touch: those nodes, and edges with both ends among them."""
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
-    edges = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("N"), "o_orderpriority").alias("dst")).distinct()
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("N"), "o_orderpriority").alias("dst")).distinct()
     nodes, inner = versions.rewritten(customers.drop("c_acctbal"), edges, versions.affected(edges, customers.where("c_acctbal < -900")), "v2")
     rows = inner.select(F.lit("edge").alias("what"), "src", "dst", "kg_version")
     return rows.unionByName(nodes.select(F.lit("node").alias("what"), F.col("id").alias("src"), F.col("name").alias("dst"), "kg_version"))

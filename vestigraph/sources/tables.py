@@ -44,13 +44,6 @@ def imported(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame
     return marked.where("error = ''").drop("error"), marked.where("error != ''").withColumn("error", F.concat(F.lit("missing: "), "error"))
 
 
-def first_wins(rows: DataFrame, key: str, order: list[str], required: list[str]) -> DataFrame:
-    """Rows whose required columns aren't blank, the first of each key."""
-    whole = reduce(lambda a, b: a & b, (F.coalesce(F.trim(F.col(c)) != "", F.lit(False)) for c in required))
-    first = rows.where(whole).groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r"))
-    return first.select("r.*")
-
-
 def linked(edges: DataFrame, nodes: DataFrame, ends: tuple[str, str], key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Edges whose two ends exist, and the rest with the end that doesn't."""
     have = nodes.select(F.col(key)).distinct().withColumn("there", F.lit(True))
