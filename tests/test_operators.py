@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import scope, text
-from vestigraph.operators import alignment, citations, documents, evaluation, evidence, layout, lexical_index, patterns, projection, retrieval, rules, substrings, temporal, vectors, versions
+from vestigraph.operators import alignment, citations, documents, evaluation, evidence, layout, lexical_index, paths, patterns, projection, retrieval, rules, substrings, temporal, vectors, versions
 from vestigraph.plans import relations
 from vestigraph.session import shared_path
 
@@ -435,3 +435,19 @@ def test_matches_against_each_pair(spark):
     for limit in (3, 100):
         want = {(r.query_id, r["rank"], r.id, r.score) for r in retrieval.top(pairs, "query_id", F.col("score"), "id", limit).collect()}
         assert {(r.query_id, r["rank"], r.id, r.score) for r in retrieval.matches(n, q, limit).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_paths_without_all_walks(spark, seed):
+    """Random graphs with parallel edges, loops back to the start, hubs, open and missing days: the same path as ranking all walks."""
+    rng = random.Random(seed)
+    day = lambda: rng.choice([None, *(datetime.date(2020, 1, d) for d in (1, 9, 20))])
+    nodes = [(f"n{i}", rng.choice(["A", "B", "C", "H"])) for i in range(12)]
+    edges = sorted({(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.choice("xy")) for _ in range(22)})
+    e = spark.createDataFrame([(*x, day(), day()) for x in edges], "src string, dst string, kind string, valid_from date, valid_to date")
+    n, starts = spark.createDataFrame(nodes, "id string, type string"), spark.createDataFrame([(f"n{i}",) for i in range(12)], "id string")
+    priority = F.when(F.col("terminal_type") == "A", 0).otherwise(1)
+    rank = F.when(F.col("terminal_type") == "B", 0).otherwise(1)
+    at = F.lit("2020-01-10").cast("date")
+    of = lambda df: sorted((r.start, tuple(r.ids), r.hops, r.verdict, r.proven, r.terminal_type) for r in df.collect())
+    assert of(paths.search_best(starts, e, n, priority, rank, at, 3, "H")) == of(paths.best(paths.paths(starts, e, n, 3, "H"), priority, rank, at))

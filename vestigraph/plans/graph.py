@@ -95,7 +95,7 @@ def path_temporal_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT start, path, hops, verdict, proven FROM r WHERE nth = 1""")
 def best_path_seven_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_type = lambda t: F.when(F.col("terminal_type") == t, 0).otherwise(1)
-    best = paths.best(_paths(spark, sf_dir), is_type("SUPPLIER"), is_type("NATION"), F.lit("1999-01-01").cast("date"))
+    best = paths.search_best(*_graph(spark, sf_dir), is_type("SUPPLIER"), is_type("NATION"), F.lit("1999-01-01").cast("date"), 3, hub="REGION")
     return best.select("start", F.array_join("ids", "/").alias("path"), "hops", "verdict", "proven")
 
 
