@@ -2,7 +2,9 @@
 
 import random
 
-from vestigraph.operators import retrieval
+import pytest
+
+from vestigraph.operators import alignment, retrieval
 
 
 def _plan(df):
@@ -28,3 +30,30 @@ def test_anchors_send_no_hits_to_the_driver(spark, tmp_path):
     got = retrieval.anchors(spark.read.parquet(str(tmp_path / "asked")), spark.read.parquet(str(tmp_path / "names")))
     assert "Broadcast" not in _plan(got)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("tax", [("a", "b", "", None), ("a", "b", "c", "d")])
+def test_raw_candidates_compare_names_once(spark, tax):
+    rng = random.Random(7)
+    words = ["north", "norths", "northa", "nortwest", "south", "southern", "no"]
+    rows = lambda n, low: [(low + i, " ".join(rng.choices(words, k=2)) if i else None, rng.choice(tax), rng.choice(["x", "y", "", None]), rng.choice(["1", "2", None]), rng.choice(["p", ""])) for i in range(n)]
+    raw, canonical = rows(50, 0), rows(60, 1000)
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    found = []
+    for a in raw:
+        for b in canonical:
+            if not a[1] or not b[1] or a[1][:2] != b[1][:2] or (a[2] is not None and a[2] == b[2]):
+                continue
+            x, y = grams(a[1]), grams(b[1])
+            near = 1.0 if a[1] == b[1] else round(len(x & y) / len(x | y), 6)
+            total = min(1.0, near + min(0.05 * sum(bool(u) and u == v for u, v in zip(a[3:], b[3:], strict=True)), 0.1))
+            total = round(min(total, 0.85) if a[2] and b[2] else total, 6)
+            if total >= 0.7:
+                found.append((a[0], b[0], total))
+    autos = {a for a, _, _ in found if sum(f[0] == a and f[2] >= 0.9 for f in found) > 1}
+    want = [(a, b, total, "auto_merged" if total >= 0.9 and a not in autos else "human_review") for a, b, total in found]
+    schema = "id long, name string, tax_id string, address string, phone string, legal_rep string"
+    got = alignment.raw_candidates(spark.createDataFrame(raw, schema), spark.createDataFrame(canonical, schema), with_ratio=False)
+    assert "raw_grams" not in _plan(got)  # no pair of rows bears what only names are compared by
+    assert sorted((*r[:2], round(r[2], 6), r[3]) for r in got.collect()) == sorted(want)
+    assert want and (len(tax) == len([t for t in tax if t]) or autos)

@@ -16,6 +16,8 @@ LEAST_RATE = 0.95
 SALTS = 1000
 # Thresholds of the two tiers, bonus for each shared attribute and its cap, cap with contradicting tax ids.
 AUTO, REVIEW, BONUS, BONUS_CAP, CONFLICT_CAP = 0.90, 0.70, 0.05, 0.10, 0.85
+# Attributes that raise a name's similarity where both sides have the same.
+SHARED = ("address", "phone", "legal_rep")
 
 
 def cascade(records: DataFrame, subjects: DataFrame, levels: list[str], subject: str) -> DataFrame:
@@ -140,8 +142,8 @@ def candidates(names: DataFrame, key: str = "id", name: str = "name", prefix: in
 
 def one_auto_only(found: DataFrame, raw: str) -> DataFrame:
     """A raw row with several automatic hits has all its candidates sent to review."""
-    counts = found.groupBy(raw).agg(F.count_if(F.col("tier") == "auto_merged").alias("autos"))
-    return found.join(counts, raw).withColumn("tier", F.when(F.col("autos") > 1, "human_review").otherwise(F.col("tier"))).drop("autos")
+    several = found.where("tier = 'auto_merged'").groupBy(raw).agg(F.count("*").alias("autos")).where("autos > 1")
+    return found.join(several, raw, "left").withColumn("tier", F.when(F.col("autos") > 1, "human_review").otherwise(F.col("tier"))).drop("autos")
 
 
 def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_ratio: bool = True) -> DataFrame:
@@ -152,11 +154,20 @@ def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_r
     """
     named = lambda df: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), name_bigrams(F.col("name")).alias("grams"), "id", "name", "tax_id", "address", "phone", "legal_rep")
     distinct = lambda df: named(df).select("block", F.col("name").alias("key"), "grams", "name").dropDuplicates(["key"])
-    side = lambda df, s: named(df).select(F.col("name").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("grams", "id", "name", "tax_id", "address", "phone", "legal_rep")))
-    # The bonus for shared attributes lowers what the name must give by itself.
-    pairs = near_names(distinct(raw), distinct(canonical), REVIEW - BONUS_CAP, with_ratio).withColumnsRenamed({"left_key": "raw_key", "right_key": "canonical_key"})
-    met = pairs.join(side(raw, "raw"), "raw_key").join(side(canonical, "canonical"), "canonical_key").where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
-    shared = sum((F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)).cast("int") for c in ("address", "phone", "legal_rep")), F.lit(0))
+    side = lambda df, s: named(df).select(F.col("name").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tax_id", *SHARED)))
+    # The bonus for shared attributes lowers what the name must give by itself. Two names are compared once, whatever number of rows bear them.
+    pairs = near_names(distinct(raw), distinct(canonical), REVIEW - BONUS_CAP, with_ratio)
+    for df, s in ((raw, "left"), (canonical, "right")):
+        pairs = pairs.join(distinct(df).select(F.col("key").alias(f"{s}_key"), F.col("name").alias(f"{s}_name"), F.col("grams").alias(f"{s}_grams")), f"{s}_key")
+    near = name_similarity(F.col("left_name"), F.col("right_name"), with_ratio, (F.col("left_grams"), F.col("right_grams")))
+    alike = pairs.select(F.col("left_key").alias("raw_key"), F.col("right_key").alias("canonical_key"), near.alias("near")).where(F.col("near") >= REVIEW - BONUS_CAP - 1e-6)
+    same = [F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)) for c in SHARED]
+    # Names that are alike enough link all their rows; of others only rows meet that share an attribute, each two at the first.
+    sure = alike.where(F.col("near") >= REVIEW - 1e-6).hint("merge").join(side(raw, "raw"), "raw_key").hint("merge").join(side(canonical, "canonical"), "canonical_key")
+    each = lambda df, s: side(df, s).withColumn("at", F.explode(F.array(*(F.struct(F.lit(i).alias("nr"), F.col(f"{s}_{c}").cast("string").alias("value")) for i, c in enumerate(SHARED))))).where("at.value != ''")
+    helped = alike.where(F.col("near") < REVIEW - 1e-6).hint("merge").join(each(raw, "raw"), "raw_key").hint("merge").join(each(canonical, "canonical"), ["canonical_key", "at"])
+    helped = helped.where(F.col("at.nr") == F.coalesce(*(F.when(c, i) for i, c in enumerate(same)))).drop("at")
+    met = sure.unionByName(helped).where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
     conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != "") & (F.col("raw_tax_id") != F.col("canonical_tax_id")), F.lit(False))
-    found = met.withColumn("similarity", scored(name_similarity(F.col("raw_name"), F.col("canonical_name"), with_ratio, (F.col("raw_grams"), F.col("canonical_grams"))), shared, conflict))
+    found = met.withColumn("similarity", scored(F.col("near"), sum((c.cast("int") for c in same), F.lit(0)), conflict))
     return one_auto_only(found.select("raw_id", "canonical_id", "similarity", tier(F.col("similarity")).alias("tier")).where("tier is not null"), "raw_id")
