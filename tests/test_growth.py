@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from vestigraph.functions import text
 from vestigraph.operators import alignment, retrieval
 
 
@@ -20,8 +22,8 @@ def test_anchors_send_no_hits_to_the_driver(spark, tmp_path):
         if name and len(name.strip(" ")) >= 2:
             known[name.strip(" ")] = min(key, known.get(name.strip(" "), key))
     want = []
-    for q, text in asked:
-        hits = [n for n in known if n in (text or "")]
+    for q, question in asked:
+        hits = [n for n in known if n in (question or "")]
         best = sorted((n for n in hits if not any(len(m) > len(n) and n in m for m in hits)), key=lambda n: (-len(n), known[n]))
         want += [(q, known[n], n, rank) for rank, n in enumerate(best[:3], 1)]
     # Read from files, as only their size is known to the planner.
@@ -57,3 +59,18 @@ def test_raw_candidates_compare_names_once(spark, tax):
     assert "raw_grams" not in _plan(got)  # no pair of rows bears what only names are compared by
     assert sorted((*r[:2], round(r[2], 6), r[3]) for r in got.collect()) == sorted(want)
     assert want and (len(tax) == len([t for t in tax if t]) or autos)
+
+
+def test_matches_look_at_each_name_and_query_once(spark, monkeypatch):
+    rows = [("red bolt", 40), ("red", 30), ("bolt", 20), ("blue ring", 25)]
+    names = [(i, name) for name, n in rows for i in random.Random(n).sample(range(1000 * n, 1000 * n + 500), n)]
+    asked = [(i, ["red bolt", "which blue ring is it", "no", " red"][i % 4]) for i in range(60)]
+    sizes, made = [], retrieval._Asked.__init__
+    monkeypatch.setattr(retrieval._Asked, "__init__", lambda self, given: sizes.append(len(given)) or made(self, given))
+    n, q = spark.createDataFrame(names, "id long, name string").repartition(3), spark.createDataFrame(asked, "query_id long, query string")
+    score = text.match_score(F.col("name"), F.col("query"), text.terms(F.col("query")))
+    want = retrieval.top(n.crossJoin(q).withColumn("score", score).where("score is not null"), "query_id", F.col("score"), "id", 8)
+    got = retrieval.matches(n, q)
+    assert sizes == [4]  # all queries, 60 before
+    columns = ("query_id", "id", "name", "score", "rank")
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(r[c] for c in columns) for r in want.collect())
