@@ -93,3 +93,15 @@ def test_groups_that_representatives_leave(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
         assert sorted({find(i) for i in root}) == want
+
+
+def test_one_encoder_for_all_tasks_of_a_worker(monkeypatch):
+    from vestigraph.llm import packing
+
+    path = packing.tokenizer_path()
+    encoder = packing.encoder_of(path, packing.ranks_of(path))
+    assert packing.encoder_of(path, None) is encoder
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 3)
+    for text in ("one two three four, one", "five six", "Ünïcode one 42", ""):
+        assert b"".join(encoder.encode(text)) == encoder._bytes(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert len(encoder.known) <= 6

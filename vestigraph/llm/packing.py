@@ -23,7 +23,7 @@ from vestigraph.llm.common import small_batches, text_of, written
 CAPACITY, END_ID = 4096, 1
 #: Ranks are counted in so many independent parts of each length, so no length lands in one task.
 RANK_PARTS = 256
-_CACHE_WORDS, _SEGMENT = 300_000, 1 << 20
+_CACHE_WORDS, _SEGMENT = 100_000, 1 << 20
 #: str.split() also cuts at these, the tokenizer's white space doesn't hold them.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"\s")
@@ -158,6 +158,16 @@ class WordEncoder:
         yield self.segment(text[at:] if at else text)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str, ranks: dict[bytes, int] | None) -> WordEncoder:
+    """The one encoder of a worker and a tokenizer: tasks that follow one another find their words encoded, and no task's tables lie beside the last one's."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path, ranks)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ids of the whole text and end_id; only what is longer than capacity is cut. A null text is empty."""
     path = path or tokenizer_path()
@@ -166,7 +176,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     ranks = spark.sparkContext.broadcast(ranks_of(path))  # as large as the vocabulary
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size, end = WordEncoder(path, ranks.value), 4 * capacity, np.array([end_id], "<u4").tobytes()
+        encoder, size, end = encoder_of(path, ranks.value), 4 * capacity, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestigraph.llm.common import small_batches, small_or_shuffled, text_of, written
-from vestigraph.llm.packing import WordEncoder, ranks_of, tokenizer_path
+from vestigraph.llm.packing import encoder_of, ranks_of, tokenizer_path
 
 LIMIT = 2048
 #: Characters of a chunk, and how far it reaches back into the one before.
@@ -105,9 +105,6 @@ def tokenizer_at(path: str):
     return found
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def counter(path: str, ranks: dict[bytes, int] | None) -> Callable[[str], int]:
     """Counts the tokens of a text in one piece."""
     if path.endswith(".model"):
@@ -117,9 +114,7 @@ def counter(path: str, ranks: dict[bytes, int] | None) -> Callable[[str], int]:
         return lambda text: len(pieces.encode(text, num_threads=1))
     if ranks is None:
         return lambda text: len(tokenizer_at(path).encode(text, add_special_tokens=False).ids)
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path, ranks)
-    return lambda text: sum(map(len, _encoders[path].encode(text))) // 4
+    return lambda text: sum(map(len, encoder_of(path, ranks).encode(text))) // 4
 
 
 def _plain_counts(rows: DataFrame, path: str, ranks) -> DataFrame:
