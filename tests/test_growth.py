@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input: results against plain loops, and plans without what grew."""
 
+import datetime
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigraph.functions import text
-from vestigraph.operators import alignment, retrieval
+from vestigraph.operators import alignment, evaluation, patterns, retrieval, temporal
 from vestigraph.plans.catalog import ORACLES, QUERIES
 
 
@@ -88,3 +89,42 @@ def test_pages_as_their_sql_decodes_them(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.execute(ORACLES["html_clean"]).fetchall()
     assert sorted(map(tuple, QUERIES["html_clean"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_last_of_an_anchor_is_found_without_sorting_all_facts(spark):
+    rng = random.Random(3)
+    facts = [(i, rng.choice("ab"), rng.choice("rs"), rng.choice("xyz"), rng.choice([datetime.date(2020, 1, d) for d in (1, 2, 3, 4)] + [None]), rng.choice([1, 2, 3]) if i % 20 else None, [rng.randrange(3), i]) for i in range(60)]
+    groups = {}
+    for f in facts:
+        groups.setdefault((f[1], f[2], f[4]), []).append(f)
+    want = set()
+    for (_, _, day), fs in groups.items():
+        if day and len(fs) > 1 and all(f[5] is not None for f in fs):
+            last = max(fs, key=lambda f: (f[5], f[6]))
+            want |= {(f[0], day) for f in fs if f[3] != last[3]}
+    df = spark.createDataFrame(facts, "fact_id long, head string, relation string, tail string, valid_from date, tail_position int, ordinal array<long>")
+    got = temporal.same_anchor(df)
+    assert want and set(map(tuple, got.collect())) == want
+    assert any("HashAggregate" in line and "max(tail_position" in line for line in _plan(got).splitlines())
+
+
+def test_hits_of_two_findings_take_one_shuffle(spark):
+    gold = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "key string")
+    found = spark.createDataFrame([("b",), ("c",), ("d",), (None,), ("d",)], "key string")
+    got = evaluation.recall_and_false_positives(gold, found, "key")
+    assert "Join" not in _plan(got)
+    assert tuple(got.first()) == (3, 4, 1, round(1 / 3, 6), 0.75)
+    assert tuple(evaluation.recall_and_false_positives(gold.limit(0), found.limit(0), "key").first()) == (0, 0, 0, None, None)
+
+
+def test_lines_are_counted_before_they_meet_their_places(spark, tiny):
+    plan = _plan(QUERIES["fixed_pattern_counts"](spark, tiny))
+    assert not any("keys=[r_name" in line and "l_partkey" in line and "s_suppkey" in line for line in plan.splitlines())
+
+
+def test_few_members_with_many_pairs_get_many_tasks(spark, tmp_path):
+    spark.range(300).selectExpr("id AS src", "'x' AS dst").write.parquet(str(tmp_path / "members"))
+    got = patterns.pairs_by_tiles(spark.read.parquet(str(tmp_path / "members")), tile=20)  # 15 tiles, 120 pairs of them
+    assert "SortMergeJoin [shared" in _plan(got)
+    assert got.rdd.getNumPartitions() == 60
+    assert got.distinct().count() == got.where("left_id < right_id").count() == 300 * 299 // 2

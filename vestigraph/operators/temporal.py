@@ -80,12 +80,16 @@ def same_anchor(facts: DataFrame, policies: DataFrame | None = None, position: s
     """Facts of one head and relation that begin on the same day: fact_id, expires_at for those that the last one in the text replaces.
 
     The last by position, then ordinal, stays, and so do facts with its tail. Where a position is unknown nothing is closed,
-    nor without a day. Groups are combined before they are shuffled.
+    nor without a day. Groups are combined by counts and positions alone, which take no sort; only the facts of a group at its
+    last position are then compared by ordinal, and only where there are several.
     """
     live = (facts if policies is None else arbitrated(facts, policies)).where("valid_from is not null")
     anchor = ["head", "relation", "valid_from"]
-    kept = live.groupBy(*anchor).agg(F.count("*").alias("n"), F.count(position).alias("known"), F.max(F.struct(position, ordinal, "tail"))["tail"].alias("kept"))
-    return live.join(kept.where("n > 1 and n = known"), anchor).where("tail != kept").select("fact_id", F.col("valid_from").alias("expires_at"))
+    counted = live.groupBy(*anchor).agg(F.count("*").alias("n"), F.count(position).alias("known"), F.max(position).alias("last"))
+    several = counted.where("n > 1 and n = known").select(*anchor, "last")
+    met = live.select("fact_id", *anchor, "tail", position, ordinal).join(several, anchor)
+    kept = met.where(F.col(position) == F.col("last")).groupBy(*anchor).agg(F.max(F.struct(ordinal, "tail"))["tail"].alias("kept"))
+    return met.select("fact_id", *anchor, "tail").join(kept, anchor).where("tail != kept").select("fact_id", F.col("valid_from").alias("expires_at"))
 
 
 def earliest_expiry(expiries: DataFrame, key: str = "fact_id") -> DataFrame:
