@@ -21,8 +21,10 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def recall_and_false_positives(gold: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     """One row: distinct gold and detected keys, hits, recall, and share of detected that is not gold."""
-    g, d = gold.select(key).distinct().withColumn("g", F.lit(1)), detected.select(key).distinct().withColumn("d", F.lit(1))
-    n = g.join(d, key, "full").agg(F.count("g").alias("n_gold"), F.count("d").alias("n_detected"), F.count_if(F.col("g").isNotNull() & F.col("d").isNotNull()).alias("n_hit"))
+    marked = gold.select(key, F.lit(1).alias("g"), F.lit(0).alias("d")).unionByName(detected.select(key, F.lit(0).alias("g"), F.lit(1).alias("d")))
+    each = marked.groupBy(key).agg(F.max("g").alias("g"), F.max("d").alias("d"))  # one shuffle, and no join's sorts
+    hit = (F.col("g") == 1) & (F.col("d") == 1) & F.col(key).isNotNull()
+    n = each.agg(F.count_if(F.col("g") == 1).alias("n_gold"), F.count_if(F.col("d") == 1).alias("n_detected"), F.count_if(hit).alias("n_hit"))
     return n.select("*", F.round(ratio(F.col("n_hit"), F.col("n_gold")), 6).alias("recall"), F.round(ratio(F.col("n_detected") - F.col("n_hit"), F.col("n_detected")), 6).alias("false_positive_rate"))
 
 
