@@ -103,10 +103,13 @@ def best_path_seven_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
 def fixed_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    # One row for each part and supplier first, so that distinct counts see few rows.
-    few = rows.groupBy("r_name", "n_nationkey", "s_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    return few.groupBy("r_name").agg(F.sum("n").alias("n_paths"), F.count_distinct("n_nationkey").alias("n_nations"), F.count_distinct("s_suppkey").alias("n_suppliers"), F.count_distinct("l_partkey").alias("n_parts"))
+    places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_nationkey", "r_name")
+    # Lines are counted by supplier before they meet their places; only parts need the lines themselves, by two keys.
+    counted = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n")).join(places, "s_suppkey")
+    paths = counted.groupBy("r_name").agg(F.sum("n").alias("n_paths"), F.count_distinct("n_nationkey").alias("n_nations"), F.count_distinct("s_suppkey").alias("n_suppliers"))
+    sold = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").join(places.select("s_suppkey", "r_name"), "s_suppkey").select(F.col("r_name").alias("name"), "l_partkey").distinct()
+    parts = sold.groupBy("name").agg(F.count("l_partkey").alias("n_parts"))
+    return paths.join(parts, F.col("r_name").eqNullSafe(F.col("name"))).drop("name")
 
 
 def _nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
