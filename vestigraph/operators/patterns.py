@@ -12,8 +12,8 @@ from vestigraph.functions.scope import valid_at
 
 #: Members of one tile: a value that more sources share is cut into tiles, and each two tiles meet in a task of their own.
 TILE = 1000
-#: Pairs of tiles that a task gets, on the mean.
-TASK_TILES = 2
+#: Pairs of full tiles, and rows of one side, that a task gets on the mean.
+TASK_TILES, TASK_ROWS = 2, 1_000_000
 
 
 def pairs_by_tiles(members: DataFrame, value: str = "dst", member: str = "src", tile: int = TILE) -> DataFrame:
@@ -21,15 +21,15 @@ def pairs_by_tiles(members: DataFrame, value: str = "dst", member: str = "src",
 
     A value of up to `tile` members is one key of the join. A larger one is n / tile tiles by a hash of the member, and a
     key is an ordered pair of tiles, so no key has more than two tiles' rows, whatever share of all members a value has.
-    Few members make many pairs, so the number of tasks goes by the pairs of tiles, not by the members' size.
+    Few members make many pairs, so the number of tasks goes by the pairs, not by the members' size.
     """
-    sized = members.groupBy(F.col(value).alias("shared")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    rows = members.select(F.col(value).alias("shared"), F.col(member).alias("member")).join(sized, "shared")
+    sized = members.groupBy(F.col(value).alias("shared")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    rows = members.select(F.col(value).alias("shared"), F.col(member).alias("member")).join(sized.drop("n"), "shared")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int"))
     low = rows.select("shared", F.col("member").alias("a"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j"))
     high = rows.select("shared", F.col("member").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-    keys = sized.agg(F.coalesce(F.sum(F.col("tiles").cast("long") * (F.col("tiles") + 1) / 2), F.lit(0))).first()[0]
-    n = max(1, min(int(-(-keys // TASK_TILES)), 20000))
+    work = sized.agg(F.coalesce(F.sum(F.pow("n", F.lit(2))), F.lit(0.0)) / (2 * tile * tile * TASK_TILES), F.coalesce(F.sum(F.col("n") * F.col("tiles")), F.lit(0)) / TASK_ROWS).first()
+    n = max(1, min(int(max(work)) + 1, 20000))
     dealt = lambda rows: rows.repartition(n, "shared", "i", "j")
     met = dealt(low).hint("merge").join(dealt(high), ["shared", "i", "j"]).where("(i < j and a != b) or a < b")
     return met.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "shared")
