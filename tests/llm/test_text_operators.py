@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vestigraph.llm import chat, common, decontaminate, exact_dedup, fill_middle, html_text, langid, merkle, packing, pii, simhash, token_counts, toxicity, warc
 from vestigraph.llm import queries as q
@@ -505,6 +506,23 @@ def test_toxicity_odd(spark, odd, empty):
     assert got == {i: i % 2 for i in range(60)} | {100: 1}
 
 
+def test_scores_take_one_python_step_and_follow_the_curve(spark):
+    words = ["river", "stone", "idiot", "you", "tree", "green", "paper", "moron"]
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(8)).cast("int") + 1) for k in range(9))).alias("text"))
+    labels = texts.select("doc_id", F.contains("text", F.lit("idiot")).cast("int").alias("toxic"))
+    scorer = toxicity.fit(texts, labels)
+    assert scorer.trees is not None
+    scored = toxicity.score(texts, scorer)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rows = texts.select("doc_id", toxicity.array_to_vector(toxicity.feature_column(spark, scorer.lexicon, F.col("text"))).alias("features"))
+    margins = {r[0]: r[1] for r in scorer.trees.transform(rows).select("doc_id", toxicity._margin()).collect()}
+    x, y = (v.toArray() for v in (scorer.isotonic.boundaries, scorer.isotonic.predictions))
+    got = {r.doc_id: r["__score"] for r in scored.collect()}
+    assert len(set(got.values())) > 1
+    assert all(abs(got[i] - np.interp(m, x, y)) < 1e-9 for i, m in margins.items())
+
+
 def test_features_see_disguises():
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"stup"}))
     f = dict(zip(toxicity.NAMES, toxicity.dense("You are an IDIOT, you id1ot! stupidly s t u p", toxicity.Kinds(lexicon)), strict=True))

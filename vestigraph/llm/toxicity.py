@@ -191,21 +191,12 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "__score") -> DataFrame:
     """docs with all its columns and one more, `name`, which it must not have: 0 to 1. Without trained trees every row gets the share of toxic labels."""
     if scorer.trees is None:
         return docs.withColumn(name, F.lit(scorer.prior))
-    table = [(float(x), float(y)) for x, y in zip(scorer.isotonic.boundaries.toArray(), scorer.isotonic.predictions.toArray(), strict=True)]
-
-    # Isotonic steps as an interpolated lookup, a bounded table.
-    @F.pandas_udf("double")
-    def calibrated(p: pd.Series) -> pd.Series:
-        import numpy as np
-
-        x, y = zip(*table, strict=True)
-        return pd.Series(np.interp(p.to_numpy(), x, y))
-
-    made = free(docs, "__features", "__raw", "__p", "__y")
+    made = free(docs, "__features", "__raw", "__p", "__y", "__margin")
     rows = docs.withColumn(made[0], array_to_vector(feature_column(docs.sparkSession, scorer.lexicon, text_of())))
     trees = scorer.trees.copy().setFeaturesCol(made[0]).setRawPredictionCol(made[1]).setProbabilityCol(made[2]).setPredictionCol(made[3])
-    scored = trees.transform(rows).withColumn(name, calibrated(F.element_at(vector_to_array(made[2]), 2)))
-    return scored.drop(*made)
+    scored = trees.transform(rows).withColumn(made[4], F.element_at(vector_to_array(made[2]), 2))
+    # The curve is applied by the model itself: a second Python function would give each task a second Python worker.
+    return scorer.isotonic.copy().setFeaturesCol(made[4]).setPredictionCol(name).transform(scored).drop(*made)
 
 
 def assess(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
