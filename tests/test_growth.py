@@ -129,3 +129,20 @@ def test_few_members_with_many_pairs_get_many_tasks(spark, tmp_path):
     assert got.rdd.getNumPartitions() > 50
     assert patterns.pairs_by_tiles(spark.range(5000).selectExpr("id AS src", "id AS dst")).rdd.getNumPartitions() <= 4  # many values without a pair: no more than the session has
     assert got.distinct().count() == got.where("left_id < right_id").count() == 300 * 299 // 2
+
+
+@pytest.mark.parametrize(("longest", "simple"), [(2, False), (3, False), (4, False), (4, True), (5, False), (5, True)])
+def test_cycles_meet_in_the_middle(spark, longest, simple):
+    rng = random.Random(longest)
+    edges = {(rng.randrange(9), rng.randrange(9)) for _ in range(34)}
+    want, walks = set(), [(a, b) for a, b in edges if b > a]
+    for hops in range(2, longest + 1):
+        walks = [(*w, b) for w in walks for a, b in edges if a == w[-1] and a != b and b >= w[0] and (a, b) not in zip(w, w[1:])]
+        walks = [w for w in walks if not simple or w[-1] not in w[1:-1]]
+        want |= {(*w[:-1], *[None] * (longest - hops), hops) for w in walks if w[-1] == w[0]}
+    rows = [*edges, *list(edges)[:5], (None, 1), (1, None)]
+    found = patterns.cycles(spark.createDataFrame(rows, "src long, dst long"), longest, simple)
+    assert found.columns == [f"n{j}" for j in range(1, longest + 1)] + ["hops"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    # No walk of over half the edges is made: nothing is joined on the node at which one would end.
+    assert f"Join [n{longest}#" not in _plan(found)

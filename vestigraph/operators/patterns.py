@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestigraph.functions.scope import valid_at
+from vestigraph.session import shared_path
 
 
 #: Members of one tile: a value that more sources share is cut into tiles, and each two tiles meet in a task of their own.
@@ -52,26 +53,50 @@ def shared_groups(edges: DataFrame, as_of: str | None = None, temporal: bool = T
 def cycles(edges: DataFrame, longest: int = 4, simple: bool = False) -> DataFrame:
     """Closed walks of 2 to `longest` edges from their smallest node, no edge twice (simple: no node twice): n1..n4 without the closing node, and hops.
 
-    Every step keeps to nodes not smaller than the start, so each cycle is found from one node only.
+    A cycle is a walk that leaves its smallest node and one that comes back to it, each half as long, which meet by that
+    node and the one in the middle. So no walk is made that has more than half of the edges of the longest cycle, and all
+    keep to nodes not smaller than the start, so each cycle is found from one node only, and once. The distinct edges
+    are written once, as all halves begin with them.
     """
-    e = edges.where("src != dst").select("src", "dst").distinct()
-    step = lambda k: e.select(F.col("src").alias(f"n{k}"), F.col("dst").alias(f"n{k + 1}"))
-    walk, out = step(1).where("n2 > n1"), []
-    for k in range(2, longest + 1):
-        if k < longest:
-            grown = walk.join(step(k), f"n{k}").where(F.col(f"n{k + 1}") >= F.col("n1"))
-        else:  # nothing goes on from here, so only edges back to the start are met, by both their ends
-            back = e.select(F.col("src").alias(f"n{k}"), F.col("dst").alias("n1"), F.col("dst").alias(f"n{k + 1}"))
-            grown = walk.join(back, [f"n{k}", "n1"])
-        last = (F.col(f"n{k}"), F.col(f"n{k + 1}"))
-        for j in range(1, k):  # a trail: the new edge is none of the earlier ones
-            grown = grown.where(~((F.col(f"n{j}") == last[0]) & (F.col(f"n{j + 1}") == last[1])))
-        if simple:
-            grown = grown.where(" and ".join(f"n{k + 1} != n{j}" for j in range(2, k + 1)))
-        closed = grown.where(F.col(f"n{k + 1}") == F.col("n1"))
-        out.append(closed.select(*(F.col(f"n{j}") if j <= k else F.lit(None).cast(e.schema["src"].dataType).alias(f"n{j}") for j in range(1, longest + 1)), F.lit(k).alias("hops")))
-        walk = grown
-    return reduce(DataFrame.unionByName, out).distinct()
+    kind, path = edges.schema["src"].dataType, shared_path(edges.sparkSession, "cycle-edges")
+    edges.where("src != dst").select("src", "dst").distinct().write.parquet(path)
+    e = edges.sparkSession.read.schema(edges.select("src", "dst").schema).parquet(path)
+    leaving, coming, out = e.where("dst > src").toDF("n1", "n2"), {1: e.where("src > dst").toDF("m1", "n1")}, []
+    for half in range(1, -(-longest // 2) + 1):
+        if half > 1:
+            leaving = _further(leaving.join(e.toDF(f"n{half}", f"n{half + 1}"), f"n{half}"), "n", half, simple)
+        for back in (half - 1, half):
+            if not back or half + back > longest:
+                continue
+            if back not in coming:
+                coming[back] = _further(coming[back - 1].join(e.toDF(f"m{back}", f"m{back - 1}"), f"m{back - 1}"), "m", back, simple)
+            # The k-th last node of a cycle of k = half + back edges: the first of the way back is where both meet.
+            last = coming[back].select("n1", *(F.col(f"m{j}").alias(f"n{half + back + 1 - j}") for j in range(1, back + 1)))
+            met = leaving.join(last, ["n1", f"n{half + 1}"])
+            nodes = [f"n{j}" for j in range(1, half + back + 1)] + ["n1"]
+            if back > 1:  # up to three edges can't repeat one
+                pair = lambda j: (F.col(nodes[j]), F.col(nodes[j + 1]))
+                for i in range(half):
+                    for j in range(half, half + back):
+                        met = met.where(~((pair(i)[0] == pair(j)[0]) & (pair(i)[1] == pair(j)[1])))
+                if simple:
+                    for i in range(1, half + 1):
+                        for j in range(half + 1, half + back):
+                            met = met.where(F.col(nodes[i]) != F.col(nodes[j]))
+            out.append(met.select(*(F.col(f"n{j}") if j <= half + back else F.lit(None).cast(kind).alias(f"n{j}") for j in range(1, longest + 1)), F.lit(half + back).alias("hops")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _further(grown: DataFrame, name: str, edges: int, simple: bool) -> DataFrame:
+    """Of walks that have just come to so many edges, those without a node below n1 and without an edge twice (simple: a node twice). n1 is an end of each; the other nodes are n2 and on, or m1 and on."""
+    first = 2 if name == "n" else 1
+    nodes = [F.col("n1"), *(F.col(f"{name}{j}") for j in range(first, first + edges))]
+    grown = grown.where(nodes[-1] >= F.col("n1"))
+    for a, b in zip(nodes[:-2], nodes[1:-1], strict=True):  # both sides in the order in which nodes were added
+        grown = grown.where(~((a == nodes[-2]) & (b == nodes[-1])))
+    for other in nodes[:-1] if simple else ():
+        grown = grown.where(other != nodes[-1])
+    return grown
 
 
 def amounts_disagree(a: Column, b: Column, c: Column) -> Column:
