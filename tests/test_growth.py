@@ -4,6 +4,7 @@ import datetime
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,23 @@ def test_cycles_meet_in_the_middle(spark, longest, simple):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     # No walk of over half the edges is made: nothing is joined on the node at which one would end.
     assert f"Join [n{longest}#" not in _plan(found)
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 1])
+def test_coverage_takes_a_few_texts_at_a_time(spark, monkeypatch, cells):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdé1 ,") for _ in range(n))
+    texts, asked = [word(rng.randrange(40)) for _ in range(300)], [(i, word(rng.randrange(12))) for i in range(50)] + [(50, ""), (51, None)]
+    grams = lambda t: {a + b for s in ["".join(c for c in (t or "").lower() if c.isalnum())] for a, b in zip(s, s[1:])}
+    want = [[round(len(grams(q) & grams(t)) / max(len(grams(q)), 1), 6) for _, q in asked] for t in texts]
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "STEP_CELLS", 4 * len(asked))
+    model = retrieval._Coverage(asked)
+    table = model.table()
+    assert (table is None) == (cells == 1)
+    got = list(model.shares(pa.array(texts), table))
+    assert max(map(len, got)) <= 4 and [row for part in got for row in part.tolist()] == want
+    assert list(retrieval._Coverage([]).shares(pa.array(["ab"]), None))[0].shape == (1, 0)
+    docs, questions = spark.createDataFrame([*enumerate(texts), (300, None)], "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")
+    best = dict(map(tuple, retrieval.best_coverage(docs, questions).collect()))
+    assert best == {i: max(row) for i, row in enumerate(want)} | {300: 0.0}
