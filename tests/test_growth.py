@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 import tracemalloc
 
 import duckdb
@@ -148,7 +149,7 @@ def test_cycles_meet_in_the_middle(spark, longest, simple):
     assert found.columns == [f"n{j}" for j in range(1, longest + 1)] + ["hops"]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     # No walk of over half the edges is made: nothing is joined on the node at which one would end.
-    assert f"Join [n{longest}#" not in _plan(found)
+    assert longest < 4 or not re.search(rf"Join(\(skew=true\))? \[[^]]*\bn{longest}#", _plan(found))
 
 
 @pytest.mark.parametrize("cells", [1 << 23, 1])
