@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -493,6 +494,61 @@ def test_features_against_plain_counts(seed):
         assert {k: got[k] for k in want} == pytest.approx(want), text
 
 
+def plain_features(text, lexicon):
+    """All features by patterns over the whole text, each as it is said."""
+    low = text.lower()
+    words = re.findall(r"[^\W\d_]+", low)
+    whole, you = [w in lexicon.words for w in words], [w in toxicity.SECOND_PERSON for w in words]
+    stems = [len(w) >= 4 and any(w[:k] in lexicon.stems for k in (4, 5, 6)) for w in words]
+    near = sum(any(whole[max(0, i - 4) : i + 5] + stems[max(0, i - 4) : i + 5]) for i, x in enumerate(you) if x) if any(whole) or any(stems) else 0
+    odd = [m.group() for m in re.finditer(r"[^\W\d_]+[@$*!#0-9]+[^\W\d_]+|(\w)\1{3,}", low)]
+    ways = [{w.translate(str.maketrans("013457@$!", to)).strip("*#") for to in ("oleastasi", "oieastasi")} for w in odd] + [{w.replace(" ", "")} for w in re.findall(r"\b(?:\w ){3,}\w\b", low)]
+    n, chars, letters, upper = max(1, len(words)), max(1, len(text)), max(1, sum(map(len, words))), sum(map(str.isupper, text)) if text != low else 0
+    loud = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper else 0
+    return [np.log1p(sum(whole)), np.log1p(sum(stems)), sum(whole) / n, sum(stems) / n, sum(any(map(lexicon.holds, x)) for x in ways) / n, near / n, sum(you) / n, upper / chars, loud / n, (chars - letters - text.count(" ")) / chars, text.count("!") / chars, len(odd) / n, letters / n, np.log1p(len(words))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_features_are_those_of_the_plain_patterns(seed):
+    rng = random.Random(seed)
+    lexicon = toxicity.Lexicon(frozenset({"idiot", "du", "aaaa"}), frozenset({"stup", "dumbo", "bloede", "abcd"}))
+    kinds = toxicity.Kinds(lexicon)
+    parts = ["you", "Du", "id1ot", "IDIOT", "stupid", "bloeder", "a", "b", "aaaa", "1111", "____", "!!!!", "a1", "@", "$", "*", "#", "0", "٣", "²", "_", "é", "ß", "İ", "ǅ", "𝐀", "漢", "🙂", "\u0301", "\n", "\x1c", "\u00a0", " ", " ", " ", " a", " b c d", "ABC", "."]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert toxicity.dense(text, kinds) == plain_features(text, lexicon), text
+
+
+def test_characters_are_classed_as_patterns_class_them():
+    every, what = "".join(map(chr, range(0x110000))), toxicity.characters()
+    assert what.dtype == np.uint8
+    for bit, pattern in ((toxicity._LETTER, r"[^\W\d_]"), (toxicity._WORDLY, r"\w"), (toxicity._SIGN, r"[@$*!#0-9]")):
+        assert "".join(every[i] for i in np.flatnonzero(what & bit)) == "".join(re.findall(pattern, every)), pattern
+
+
+def test_features_take_less_time_than_plain_patterns():
+    """op6_toxicity has a budget of CPU seconds a GB; patterns over every character took most of it, and a long word took the square of its letters."""
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon(frozenset({"idiot", "moron"}), frozenset({"stup", "dumbo"}))
+    kinds = toxicity.Kinds(lexicon)
+    texts = [" ".join("".join(rng.choice("abcdefghilmnoprstué") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", "", ".", ","]) for _ in range(600)).capitalize() for _ in range(40)]
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            begun = time.process_time()
+            for text in texts:
+                f(text)
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    toxicity.dense("", kinds)
+    assert least(lambda text: toxicity.dense(text, kinds)) < 0.6 * least(lambda text: plain_features(text, lexicon))
+    begun = time.process_time()
+    toxicity.dense("ab" * 20_000, kinds)
+    assert time.process_time() - begun < 1
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.assess(odd, labels).count() == len(ODD_TEXTS)

@@ -11,8 +11,9 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,17 +31,16 @@ TREES, DEPTH = 12, 3
 LEAST_ROWS, LEAST_RATIO = 4, 8.0
 #: Calibration is learned from rows scored by a model that has not seen them, over so many folds of the sample, whatever its size.
 FOLDS = 3
-#: Words whose kind a task remembers.
-REMEMBERED = 50_000
 # Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
-_WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[^\W\d_]+[@$*!#0-9]+[^\W\d_]+|(\w)\1{3,}")
+#: Letters around signs, or four times one character. Letters are read from the first of them only, so a long run is read once.
+_ODD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[@$*!#0-9]++[^\W\d_]+|(\w)\1{3,}")
 #: A 1 stands for an l or an i.
 _PLAIN = (str.maketrans("013457@$!", "oleastasi"), str.maketrans("013457@$!", "oieastasi"))
 _SPACED = re.compile(r"\b(?:\w ){3,}\w\b")
 _STEMS = (4, 5, 6)
-_YOU = re.compile(b"[\x04-\x07]")
+#: What a character is: [^\W\d_], \w, one of _SIGNS, upper case.
+_LETTER, _WORDLY, _SIGN, _UPPER, _SIGNS = 1, 2, 4, 8, "@$*!#0123456789"
 NAMES = ("words_hit", "stems_hit", "word_density", "stem_density", "hidden_density", "near_you", "you_density", "capitals", "all_caps", "marks", "exclaim", "odd_words", "mean_word", "log_words")
 
 
@@ -53,41 +53,89 @@ class Lexicon:
         return word in self.words or self.begins(word)
 
     def begins(self, word: str) -> bool:
-        return len(word) >= _STEMS[0] and any(word[:k] in self.stems for k in _STEMS)
+        four, five, six = _STEMS
+        return len(word) >= four and (word[:four] in self.stems or word[:five] in self.stems or word[:six] in self.stems)
 
 
-class Kinds(dict):
-    """What each word is to a lexicon: 1 in it, 2 begins like one of it, 4 second person. Learned as words come, and begun anew when there are many."""
+class Kinds:
+    """What each word is to a lexicon: 1 in it, 2 begins like one of it, 4 second person. Nothing is remembered of words that come, as most are rare."""
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__()
         self.lexicon = lexicon
+        self.listed = {w: (w in lexicon.words) + 4 * (w in SECOND_PERSON) for w in lexicon.words | SECOND_PERSON}
+        self.heads = {stem[: _STEMS[0]] for stem in lexicon.stems}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = kind = (word in self.lexicon.words) + 2 * self.lexicon.begins(word) + 4 * (word in SECOND_PERSON)
-        return kind
+    def of(self, words: list[str]) -> bytes:
+        listed, heads, head, begins = self.listed.get, self.heads, _STEMS[0], self.lexicon.begins
+        return bytes([listed(w, 0) + 2 * begins(w) if w[:head] in heads else listed(w, 0) for w in words])
+
+
+@cache
+def characters() -> np.ndarray:
+    """What each code point is, made once in a worker."""
+    every = "".join(map(chr, range(0x110000)))
+    of = lambda test: np.fromiter(map(test, every), bool, len(every))
+    wordly, decimal = of(str.isalnum), of(str.isdecimal)
+    kinds = (wordly & ~decimal).astype(np.uint8) * _LETTER + wordly.astype(np.uint8) * _WORDLY + of(str.isupper).astype(np.uint8) * _UPPER
+    kinds[[ord(c) for c in _SIGNS]] += _SIGN
+    kinds[ord("_")] += _WORDLY
+    return kinds
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _edges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true begin and end."""
+    turns = np.flatnonzero(np.concatenate([[False], flags]) != np.concatenate([flags, [False]]))
+    return turns[::2], turns[1::2]
+
+
+def _odd(low: str, points: np.ndarray, letter: np.ndarray, wordly: np.ndarray, sign: np.ndarray) -> list[str]:
+    """All matches of _ODD. One lies within a run of word characters and signs, and has signs between letters or four characters alike; only such runs are matched."""
+    begin, end = _edges(sign)
+    between = begin[(begin > 0) & (end < len(low)) & letter[begin - 1] & letter[end % len(low)]] if len(begin) else begin
+    same = points[1:] == points[:-1]
+    alike = np.flatnonzero(same[:-2] & same[1:-1] & same[2:] & wordly[:-3])
+    if not len(between) and not len(alike):
+        return []
+    begin, end = _edges(wordly | sign)
+    runs = np.unique(np.searchsorted(begin, np.concatenate([between, alike]), "right") - 1)
+    return [m.group() for a, b in zip(begin[runs].tolist(), end[runs].tolist(), strict=True) for m in _ODD.finditer(low[a:b])]
+
+
+def _spaced(low: str, points: np.ndarray, wordly: np.ndarray) -> list[str]:
+    """All matches of _SPACED, which are looked for where four words of one character follow each other."""
+    around = np.concatenate([[False], wordly, [False]])
+    lone = wordly & ~around[:-2] & ~around[2:]
+    pair = lone[:-2] & lone[2:] & (points[1:-1] == ord(" "))
+    return [m.group() for m in _SPACED.finditer(low)] if (pair[:-4] & pair[2:-2] & pair[4:]).any() else []
 
 
 def dense(text: str, kinds: Kinds) -> list[float]:
-    """The features of a whole text."""
+    """The features of a whole text. Characters are classed by arrays; patterns see only the places that can match."""
     low, lexicon = text.lower(), kinds.lexicon
-    words = _WORD.findall(low)
+    points = _points(low)
+    what = characters()[points]
+    letter, wordly, sign = (what & k != 0 for k in (_LETTER, _WORDLY, _SIGN))
+    words = np.where(letter, points, np.uint32(ord(" "))).tobytes().decode("utf-32-le").split()
     n = max(1, len(words))
-    kind = bytes(map(kinds.__getitem__, words))
+    kind = kinds.of(words)
     count = [kind.count(k) for k in range(8)]
     whole, stems, you = sum(count[1::2]), count[2] + count[3] + count[6] + count[7], sum(count[4:])
     near = 0
     if you and (whole or stems):
-        near = sum(any(k & 3 for k in kind[max(0, m.start() - 4) : m.start() + 5]) for m in _YOU.finditer(kind))
-    odd = [m.group() for m in _ODD.finditer(low)]
-    read = [{w.translate(t).strip("*#") for t in _PLAIN} for w in odd] + [{m.group().replace(" ", "")} for m in _SPACED.finditer(low)]
+        each = np.frombuffer(kind, np.uint8)
+        hits, at = np.flatnonzero(each & 3), np.flatnonzero(each & 4)
+        near = int(np.count_nonzero(np.searchsorted(hits, at + 5) > np.searchsorted(hits, at - 4)))
+    odd = _odd(low, points, letter, wordly, sign)
+    read = [{w.translate(t).strip("*#") for t in _PLAIN} for w in odd] + [{w.replace(" ", "")} for w in _spaced(low, points, wordly)]
     hidden = sum(any(map(lexicon.holds, ways)) for ways in read)
     chars = max(1, len(text))
-    letters = max(1, sum(map(len, words)))
-    upper = sum(map(str.isupper, text)) if text != low else 0
-    loud = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper else 0
+    letters = max(1, int(np.count_nonzero(letter)))
+    upper = int(np.count_nonzero(characters()[_points(text)] & _UPPER)) if text != low else 0
+    loud = sum(len(w) > 2 for w in filter(str.isupper, text.split())) if upper else 0
     marks = chars - letters - text.count(" ")
     return [math.log1p(whole), math.log1p(stems), whole / n, stems / n, hidden / n, near / n, you / n, upper / chars, loud / n, marks / chars, text.count("!") / chars, len(odd) / n, letters / n, math.log1p(len(words))]
 
