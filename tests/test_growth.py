@@ -68,6 +68,19 @@ def test_raw_candidates_compare_names_once(spark, tax):
     assert want and (len(tax) == len([t for t in tax if t]) or autos)
 
 
+@pytest.mark.parametrize("tile", [1, 7, 4096])
+def test_pairs_of_rows_are_not_shuffled(spark, tile):
+    rng = random.Random(9)
+    rows = lambda n, low: [(low + i, rng.choice(["north a", "north b", "nortwest"]), rng.choice(["a", "b", "", None]), rng.choice(["x", "y", "", None]), rng.choice(["1", None]), rng.choice(["p", ""])) for i in range(n)]
+    schema = "id long, name string, tax_id string, address string, phone string, legal_rep string"
+    raw, canonical = (spark.createDataFrame([*rows(40, low), (low + 99, "single", None, "x", None, "p")], schema) for low in (0, 1000))
+    want = sorted(map(tuple, alignment.raw_candidates(raw, canonical, with_ratio=False).collect()))
+    got = alignment.raw_candidates(raw, canonical, with_ratio=False, **({"tile": tile} if tile < 4096 else {}))
+    above = re.split(r"SortMergeJoin \[link|Exchange", _plan(got))[0]
+    assert "Join" not in above and "similarity" in above  # pairs come from the last join, and no shuffle or join follows
+    assert sorted(map(tuple, got.collect())) == want and {t for *_, t in want} == {"auto_merged", "human_review"}
+
+
 def test_matches_look_at_each_name_and_query_once(spark, monkeypatch):
     rows = [("red bolt", 40), ("red", 30), ("bolt", 20), ("blue ring", 25)]
     names = [(i, name) for name, n in rows for i in random.Random(n).sample(range(1000 * n, 1000 * n + 500), n)]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestigraph.functions.text import jaccard, name_bigrams
+from vestigraph.session import shared_path
 
 # Fixed value: the share of rows that has to align before a load.
 LEAST_RATE = 0.95
@@ -140,34 +141,76 @@ def candidates(names: DataFrame, key: str = "id", name: str = "name", prefix: in
     return met.withColumn("tier", tier(F.col("similarity"))).where("tier is not null").select("left_name", "right_name", "left_id", "right_id", "left_members", "right_members", "similarity", "tier")
 
 
-def one_auto_only(found: DataFrame, raw: str) -> DataFrame:
-    """A raw row with several automatic hits has all its candidates sent to review."""
-    several = found.where("tier = 'auto_merged'").groupBy(raw).agg(F.count("*").alias("autos")).where("autos > 1")
-    return found.join(several, raw, "left").withColumn("tier", F.when(F.col("autos") > 1, "human_review").otherwise(F.col("tier"))).drop("autos")
+#: Rows of a name that lie in one tile, pairs of rows that a task makes on the mean, and rows in tiles that it gets.
+TILE, TASK_PAIRS, TASK_ROWS = 4096, 5_000_000, 1_000_000
+#: What a tile belongs to: a name, or a name and one attribute's value, of rows with a tax id or of those without.
+GROUP = ("key", "nr", "value", "open")
 
 
-def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_ratio: bool = True) -> DataFrame:
+def raw_candidates(raw: DataFrame, canonical: DataFrame, prefix: int = 2, with_ratio: bool = True, tile: int = TILE) -> DataFrame:
     """(raw_id, canonical_id, similarity, tier): unaligned rows against subjects whose names share a prefix.
 
     Both sides: id, name, tax_id, address, phone, legal_rep. Rows that share a tax id are no candidates, they align;
-    a raw row with several automatic hits has them all sent to review.
+    a raw row with several automatic hits has them all sent to review. Pairs of rows grow with the square of a name's rows,
+    so they are made last, each two tiles of rows in one task, and are never shuffled: how many automatic hits a raw row
+    has is counted before, over the pairs of which one has no tax id, as others contradict each other.
     """
-    named = lambda df: df.where(F.coalesce("name", F.lit("")) != "").select(F.substring("name", 1, prefix).alias("block"), name_bigrams(F.col("name")).alias("grams"), "id", "name", "tax_id", "address", "phone", "legal_rep")
-    distinct = lambda df: named(df).select("block", F.col("name").alias("key"), "grams", "name").dropDuplicates(["key"])
-    side = lambda df, s: named(df).select(F.col("name").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "tax_id", *SHARED)))
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    distinct = lambda df: df.where(has("name")).select("name").distinct().select(F.substring("name", 1, prefix).alias("block"), F.col("name").alias("key"), name_bigrams(F.col("name")).alias("grams"), "name")
     # The bonus for shared attributes lowers what the name must give by itself. Two names are compared once, whatever number of rows bear them.
     pairs = near_names(distinct(raw), distinct(canonical), REVIEW - BONUS_CAP, with_ratio)
     for df, s in ((raw, "left"), (canonical, "right")):
         pairs = pairs.join(distinct(df).select(F.col("key").alias(f"{s}_key"), F.col("name").alias(f"{s}_name"), F.col("grams").alias(f"{s}_grams")), f"{s}_key")
     near = name_similarity(F.col("left_name"), F.col("right_name"), with_ratio, (F.col("left_grams"), F.col("right_grams")))
     alike = pairs.select(F.col("left_key").alias("raw_key"), F.col("right_key").alias("canonical_key"), near.alias("near")).where(F.col("near") >= REVIEW - BONUS_CAP - 1e-6)
-    same = [F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)) for c in SHARED]
     # Names that are alike enough link all their rows; of others only rows meet that share an attribute, each two at the first.
-    sure = alike.where(F.col("near") >= REVIEW - 1e-6).hint("merge").join(side(raw, "raw"), "raw_key").hint("merge").join(side(canonical, "canonical"), "canonical_key")
-    each = lambda df, s: side(df, s).withColumn("at", F.explode(F.array(*(F.struct(F.lit(i).alias("nr"), F.col(f"{s}_{c}").cast("string").alias("value")) for i, c in enumerate(SHARED))))).where("at.value != ''")
-    helped = alike.where(F.col("near") < REVIEW - 1e-6).hint("merge").join(each(raw, "raw"), "raw_key").hint("merge").join(each(canonical, "canonical"), ["canonical_key", "at"])
-    helped = helped.where(F.col("at.nr") == F.coalesce(*(F.when(c, i) for i, c in enumerate(same)))).drop("at")
-    met = sure.unionByName(helped).where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)))
-    conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != "") & (F.col("raw_tax_id") != F.col("canonical_tax_id")), F.lit(False))
-    found = met.withColumn("similarity", scored(F.col("near"), sum((c.cast("int") for c in same), F.lit(0)), conflict))
-    return one_auto_only(found.select("raw_id", "canonical_id", "similarity", tier(F.col("similarity")).alias("tier")).where("tier is not null"), "raw_id")
+    all_rows = F.struct(F.lit(-1).alias("nr"), F.lit("").alias("value"))
+    shared = [F.when(has(c), F.struct(F.lit(i).alias("nr"), F.col(c).cast("string").alias("value"))) for i, c in enumerate(SHARED)]
+    grouped = lambda df: df.where(has("name")).select(F.col("name").alias("key"), "id", "tax_id", *SHARED, (~has("tax_id")).alias("open"), F.explode(F.array_compact(F.array(all_rows, *shared))).alias("at")).select("*", "at.*")
+    sized = lambda df: grouped(df).groupBy(*GROUP).agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    of = lambda df, s: df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns if c not in ("nr", "value")})
+    linked = alike.join(of(sized(raw), "raw"), "raw_key").where((F.col("near") >= REVIEW - 1e-6) == (F.col("nr") < 0)).join(of(sized(canonical), "canonical"), ["canonical_key", "nr", "value"])
+    scores = F.array(*(scored(F.col("near"), F.lit(n), F.lit(bool(conflict))) for n in range(len(SHARED) + 1) for conflict in (0, 1)))
+    linked, path = linked.select("*", scores.alias("scores"), F.monotonically_increasing_id().alias("link")), shared_path(raw.sparkSession, "alike-names")
+    linked.write.parquet(path)  # all that follows begins with them, and their numbers must stay
+    links = raw.sparkSession.read.schema(linked.schema).parquet(path)
+    open_ = F.col("raw_open") | F.col("canonical_open")
+    some = links.where(open_ & (F.col("near") + BONUS_CAP >= AUTO - 1e-6))
+    if not some.isEmpty():
+        autos = _rows_met(some, grouped(raw).withColumn("autos", F.lit(0).cast("long")), grouped(canonical), tile).where("tier = 'auto_merged'")
+        several = autos.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("autos")).where("autos > 1")
+        return _rows_met(links, grouped(raw).join(several, "id", "left"), grouped(canonical), tile)
+    return _rows_met(links, grouped(raw).withColumn("autos", F.lit(None).cast("long")), grouped(canonical), tile)
+
+
+def _tiles(rows: DataFrame, tile: int, held: tuple[str, ...]) -> DataFrame:
+    """(group, own, rows): each group's rows in lists of about `tile`."""
+    n = rows.groupBy(*GROUP).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(n, list(GROUP)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    return dealt.groupBy(*GROUP, "own").agg(F.collect_list(F.struct(*held)).alias("rows"))
+
+
+def _rows_met(links: DataFrame, raw: DataFrame, canonical: DataFrame, tile: int) -> DataFrame:
+    """(raw_id, canonical_id, similarity, tier) of all rows of linked groups. A key of the join is two tiles, which are shuffled as lists; their pairs come one by one from the join and go into no shuffle."""
+    pairs, members = F.col("raw_n").cast("double") * F.col("canonical_n"), F.col("raw_n").cast("double") * F.col("canonical_tiles") + F.col("canonical_n").cast("double") * F.col("raw_tiles")
+    work = links.agg(F.coalesce(F.sum(pairs), F.lit(0.0)) / TASK_PAIRS, F.coalesce(F.sum(members), F.lit(0.0)) / TASK_ROWS).first()
+    n = max(1, min(int(max(work)) + 1, 20000))
+    two = ["link", "raw_own", "canonical_own"]
+    upto = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"{s}_tiles") - 1)).alias(f"{s}_own")
+    units = links.select("*", upto("raw")).select("*", upto("canonical"))
+
+    def side(rows: DataFrame, s: str, more: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+        held = ("id", "tax_id", *SHARED, *more)
+        lists = _tiles(rows, tile, held).withColumnsRenamed({"key": f"{s}_key", "open": f"{s}_open", "own": f"{s}_own"})
+        dealt = units.join(lists, [f"{s}_key", "nr", "value", f"{s}_open", f"{s}_own"]).select(*two, *carried, "rows").repartition(n, *two)
+        return dealt.select(*two, *carried, F.explode("rows").alias("r")).select(*two, *carried, *(F.col(f"r.{c}").alias(f"{s}_{c}") for c in held))
+
+    met = side(raw, "raw", ("autos",), ("nr", "scores")).hint("merge").join(side(canonical, "canonical"), two)
+    same = [F.coalesce((F.col(f"raw_{c}") == F.col(f"canonical_{c}")) & (F.col(f"raw_{c}") != ""), F.lit(False)) for c in SHARED]
+    met = met.where(~F.coalesce(F.col("raw_tax_id") == F.col("canonical_tax_id"), F.lit(False)) & ((F.col("nr") < 0) | (F.col("nr") == F.coalesce(*(F.when(c, i) for i, c in enumerate(same))))))
+    conflict = F.coalesce((F.col("raw_tax_id") != "") & (F.col("canonical_tax_id") != ""), F.lit(False))
+    similarity = F.get("scores", sum((c.cast("int") for c in same), F.lit(0)) * 2 + conflict.cast("int"))
+    found = met.select("raw_id", "canonical_id", similarity.alias("similarity"), F.col("raw_autos").alias("autos"))
+    # A raw row with several automatic hits has all its candidates sent to review.
+    named = tier(F.col("similarity"))
+    return found.where(named.isNotNull()).select("raw_id", "canonical_id", "similarity", F.when(F.col("autos") > 1, "human_review").otherwise(named).alias("tier"))
